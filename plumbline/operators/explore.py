@@ -34,7 +34,8 @@ def histogram(table: DataFrame | TableStats, columns: int = HISTOGRAM_COLUMNS) -
         bins = bin_count(m["n"])
         width = (m["max"] - m["min"]) / bins
         x = col(c.name).cast("double")
-        slot = F.least(F.floor((x - m["min"]) / width), F.lit(bins - 1)) if width else F.when(x.isNotNull(), F.lit(0))
+        slot = F.least(F.floor((x - m["min"]) / width), F.lit(bins - 1)) if width else F.lit(0)
+        slot = F.when(x.isNotNull(), slot)
         cells.append(F.struct(F.lit(c.name).alias("column"), slot.cast("int").alias("bin")))
         edges.append({"column": c.name, "low": m["min"], "width": width})
     if not cells:

@@ -261,8 +261,8 @@ def add_target_encoding(df: DataFrame, column: str, target: str, smoothing: floa
 
 
 def add_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Stable hash of the text, in 1000 slots."""
-    return df.select("*", *[(hash32(col(c).cast("string")) % HASH_SPACE).alias(f"{c}_hash") for c in columns])
+    """Stable hash of the text, in 1000 slots; missing values hash as 'nan'."""
+    return df.select("*", *[(hash32(F.coalesce(col(c).cast("string"), F.lit("nan"))) % HASH_SPACE).alias(f"{c}_hash") for c in columns])
 
 
 def add_date_parts(df: DataFrame, columns: list[str]) -> DataFrame:

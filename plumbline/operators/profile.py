@@ -35,7 +35,7 @@ def profile_overview(table: DataFrame | TableStats) -> DataFrame:
 
 
 # Bytes of a value of each fixed-width type.
-WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8}
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
 
 
 def data_bytes(table: DataFrame | TableStats) -> DataFrame:

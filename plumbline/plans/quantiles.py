@@ -3,7 +3,7 @@
 A column of up to ``EXACT_LIMIT`` values is sorted in one task: the counts prove
 the bound first. Beyond that, each wanted rank is found by sampled pivots (Floyd and Rivest): a random sample of the open bracket gives
 two pivots around the rank, one scan counts the rows below, at and between
-them, and the bracket shrinks about a hundredfold per round. Nothing is
+them, and the bracket shrinks over a hundredfold per round. Nothing is
 shuffled but counters and the bounded sample, and the counts make the result
 exact whatever the sample was.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col
 
 EXACT_LIMIT = 1_000_000
-SAMPLE_SIZE = 20_000
+SAMPLE_SIZE = 200_000
 DRAW = "plumbline random draw"
 
 
@@ -101,47 +101,48 @@ def select_ranks(
     open_at = {t: Bracket(t[0], None, None, 0, n) for t, n in wanted.items()}
     seed = 0
     while open_at:
-        small = {b for b in open_at.values() if b.inside <= sample_size}
+        small = {t: b for t, b in open_at.items() if b.inside <= sample_size}
         if small:
-            picked = _collect(df, {b: None for b in small}, seed)
-            for t in [t for t, b in open_at.items() if b in small]:
-                b = open_at.pop(t)
-                found[t] = picked[b][t[1] - b.below]
-        if not open_at:
-            break
-        seed += 1
-        sample = _collect(df, {b: sample_size / b.inside for b in open_at.values()}, seed)
-        pivots = {t: _pivots(t[1], b, sample[b]) for t, b in open_at.items()}
-        open_at, done = _narrow(df, open_at, pivots)
-        found.update(done)
+            found.update(_finish(df, small))
+            open_at = {t: b for t, b in open_at.items() if t not in small}
+        if open_at:
+            seed += 1
+            open_at, done = _narrow(df, open_at, _pivots(df, open_at, sample_size, seed))
+            found.update(done)
     return found
 
 
-def _collect(df: DataFrame, share: dict[Bracket, float | None], seed: int) -> dict[Bracket, list[float]]:
-    """Sorted values inside each bracket; all of them, or a random share."""
-    brackets = list(share)
-    names = sorted({b.column for b in brackets})
-    df = df.select(*[col(c) for c in names], F.rand(seed).alias(DRAW))
-    aggs = []
-    for i, b in enumerate(brackets):
-        test = b.holds()
-        if share[b] is not None and share[b] < 1:
-            test &= (col(DRAW) < share[b])
-        x = F.when(test, col(b.column).cast("double"))
-        aggs.append(F.array_sort(F.collect_list(x)).alias(f"v{i}"))
-    row = df.agg(*aggs).first()
-    return {b: list(row[f"v{i}"]) for i, b in enumerate(brackets)}
-
-
-def _pivots(rank: int, b: Bracket, sample: list[float]) -> tuple[float | None, float | None]:
-    """Sampled values that very likely enclose the rank."""
-    m = len(sample)
-    if not m:
-        return None, None
-    share = (rank - b.below + 0.5) / b.inside
-    slack = 3 * math.sqrt(max(share * (1 - share), 1 / m) / m)
-    lo, hi = math.floor((share - slack) * m), math.ceil((share + slack) * m)
-    return (sample[lo] if lo >= 0 else None), (sample[hi] if hi < m else None)
+def _finish(df: DataFrame, targets: dict[tuple[str, int], Bracket]) -> dict[tuple[str, int], float]:
+    """Sort the few values inside each bracket and read off the rank."""
+    index = {b: i for i, b in enumerate(dict.fromkeys(targets.values()))}
+    lists = [
+        F.sort_array(F.collect_list(F.when(b.holds(), col(b.column).cast("double")))).alias(f"v{i}") for b, i in index.items()
+    ]
+    picks = [F.get(f"v{index[b]}", F.lit(t[1] - b.below).cast("int")).alias(f"r{k}") for k, (t, b) in enumerate(targets.items())]
+    row = df.agg(*lists).select(*picks).first()
+    return {t: row[f"r{k}"] for k, t in enumerate(targets)}
+
+
+def _pivots(df: DataFrame, targets: dict[tuple[str, int], Bracket], sample_size: int, seed: int):
+    """Per target, two sampled values that very likely enclose its rank."""
+    index = {b: i for i, b in enumerate(dict.fromkeys(targets.values()))}
+    names = sorted({b.column for b in index})
+    drawn = df.select(*[col(c) for c in names], F.rand(seed).alias(DRAW))
+    samples = [
+        F.sort_array(
+            F.collect_list(F.when(b.holds() & (col(DRAW) < sample_size / b.inside), col(b.column).cast("double")))
+        ).alias(f"v{i}")
+        for b, i in index.items()
+    ]
+    picks = []
+    for k, (t, b) in enumerate(targets.items()):
+        v, m = F.col(f"v{index[b]}"), F.size(f"v{index[b]}")
+        share = (t[1] - b.below + 0.5) / b.inside
+        slack = 3 * math.sqrt(max(share * (1 - share), 1 / sample_size) / sample_size)
+        low, high = F.floor(m * (share - slack)).cast("int"), F.ceil(m * (share + slack)).cast("int")
+        picks += [F.when(low >= 0, F.get(v, low)).alias(f"a{k}"), F.get(v, high).alias(f"b{k}")]
+    row = drawn.agg(*samples).select(*picks).first()
+    return {t: (row[f"a{k}"], row[f"b{k}"]) for k, t in enumerate(targets)}
 
 
 def _narrow(df: DataFrame, open_at: dict, pivots: dict):

@@ -17,6 +17,7 @@ from plumbline.functions.scalar import looks_numeric
 from plumbline.plans import correlation, quantiles, value_counts
 
 IQR_FENCE = 1.5
+ROW_HASH = "plumbline row hash"
 
 
 def stats_of(table: "DataFrame | TableStats") -> "TableStats":
@@ -220,10 +221,17 @@ class TableStats:
 
     @cached_property
     def duplicates(self) -> int:
-        """Rows beyond the first of each group of equal rows."""
+        """Rows beyond the first of each group of equal rows.
+
+        Only 8-byte hashes of all rows are shuffled; whole rows are compared
+        where a hash repeats, so hash collisions do not matter.
+        """
         if not self.df.columns:
             return 0
-        groups = self.df.groupBy(*[col(c) for c in self.df.columns]).agg(F.count(F.lit(1)).alias("cnt"))
+        columns = [col(c) for c in self.df.columns]
+        hashed = self.df.select(*columns, F.xxhash64(*columns).alias(ROW_HASH))
+        repeated = hashed.groupBy(col(ROW_HASH)).agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select(col(ROW_HASH))
+        groups = hashed.join(repeated, ROW_HASH, "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("cnt"))
         return groups.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0))).first()[0]
 
     @cached_property
