@@ -263,6 +263,8 @@ UNION ALL SELECT 'anomaly', NULL, unnest(['total_rows', 'iqr_rows', 'iqr_pct', '
         iq = " OR ".join(f"coalesce({c} < (SELECT lo FROM fence WHERE col = '{c}' AND outl > 0) OR {c} > (SELECT hi FROM fence WHERE col = '{c}' AND outl > 0), false)" for c in nums(view))
         z = " OR ".join(f"coalesce(abs({c} - (SELECT mean FROM st WHERE col = '{c}')) / (SELECT std FROM st WHERE col = '{c}' AND n >= 5 AND std > 0) > 3, false)" for c in nums(view))
         return f"anom AS MATERIALIZED (SELECT count(*) AS n, count(*) FILTER (WHERE {iq}) AS iq, count(*) FILTER (WHERE {z}) AS z FROM fx)"
+    bare = "\nUNION ALL ".join(p for p in report_parts.split("\nUNION ALL ") if "cleaned_shape" not in p)
+    sql["report_json"] = query(Q, bare, st(Q), fence(Q), miss(Q), vc(Q), corr(Q), text_share(Q), score(Q), insight(Q), anom(Q))
     sql["report_long"] = query(R, report_parts, st(R), fence(R), miss(R), vc(R), corr(R), text_share(R), score(R), insight(R), anom(R))
     sql["version_select"] = query("fx_dups", """SELECT 'cleaned' AS choice, count(*) AS rows FROM (SELECT DISTINCT * FROM fx)
 UNION ALL SELECT 'original', count(*) FROM fx UNION ALL SELECT 'fallback', count(*) FROM fx""")
@@ -284,14 +286,17 @@ UNION ALL SELECT 'original', count(*) FROM fx UNION ALL SELECT 'fallback', count
 FROM miss JOIN top USING (col)""", miss(R), vc(R), top)
     sql["quality_grade"] = query(Q, "SELECT overall_score, CASE WHEN overall_score >= 80 THEN 'Excellent' WHEN overall_score >= 60 THEN 'Fair' ELSE 'Poor' END AS grade FROM score", *parts)
     p = "missing::DOUBLE / n_rows * 100"
-    sql["suggest_missing"] = query(Q, f"""SELECT 'missing_values' AS "type", col AS "column", CASE WHEN {p} > 30 THEN 'high' WHEN {p} > 10 THEN 'medium' ELSE 'low' END AS severity,
+    fill_rule = f"""SELECT 'missing_values' AS "type", col AS "column", CASE WHEN {p} > 30 THEN 'high' WHEN {p} > 10 THEN 'medium' ELSE 'low' END AS severity,
   CASE WHEN skew IS NULL THEN 'mode' WHEN abs(skew) > 1 THEN 'median' ELSE 'mean' END AS strategy, {one(p)} || '% of ''' || col || ''' is missing' AS description
-FROM miss LEFT JOIN (SELECT col, skew FROM st) USING (col) WHERE missing > 0""", miss(Q), st(Q))
-    sql["suggest_duplicates"] = query(Q, f"""SELECT 'duplicates' AS "type", NULL::VARCHAR AS "column", 'medium' AS severity, 'drop_duplicates' AS strategy,
-  d || ' duplicate rows (' || {one('d::DOUBLE / n * 100')} || '%)' AS description FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx)) AS d FROM fx) WHERE d > 0""")
+FROM miss LEFT JOIN (SELECT col, skew FROM st) USING (col) WHERE missing > 0"""
+    sql["suggest_missing"] = query(Q, fill_rule, miss(Q), st(Q))
+    copies_rule = f"""SELECT 'duplicates' AS "type", NULL::VARCHAR AS "column", 'medium' AS severity, 'drop_duplicates' AS strategy,
+  d || ' duplicate rows (' || {one('d::DOUBLE / n * 100')} || '%)' AS description FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx)) AS d FROM fx) WHERE d > 0"""
+    sql["suggest_duplicates"] = query(Q, copies_rule)
     p = "outl::DOUBLE / n * 100"
-    sql["suggest_outliers"] = query(Q, f"""SELECT 'outliers' AS "type", col AS "column", CASE WHEN {p} > 10 THEN 'high' ELSE 'medium' END AS severity, 'iqr_clip' AS strategy,
-  outl || ' outliers in ''' || col || ''' (' || {one(p)} || '%)' AS description FROM st JOIN fence USING (col) WHERE n > 0 AND {p} > 1""", st(Q), fence(Q))
+    clip_rule = f"""SELECT 'outliers' AS "type", col AS "column", CASE WHEN {p} > 10 THEN 'high' ELSE 'medium' END AS severity, 'iqr_clip' AS strategy,
+  outl || ' outliers in ''' || col || ''' (' || {one(p)} || '%)' AS description FROM st JOIN fence USING (col) WHERE n > 0 AND {p} > 1"""
+    sql["suggest_outliers"] = query(Q, clip_rule, st(Q), fence(Q))
     sql["attention_columns"] = query(Q, f"""SELECT col AS "column", 'missing' AS reason, {pct('missing', 'n_rows')} AS "value" FROM miss WHERE missing > 0
 UNION ALL SELECT col, 'mostly_missing', {pct('missing', 'n_rows')} FROM miss WHERE {pct('missing', 'n_rows')} > 10
 UNION ALL SELECT col, 'outliers', outl::DOUBLE FROM fence WHERE outl > 0
@@ -331,6 +336,10 @@ UNION ALL SELECT col, 'skewed', {r('skew')} FROM st WHERE abs(round(skew, 4)) >
         f"round({clip(c, f'(SELECT lo FROM b_{c})', f'(SELECT hi FROM b_{c})')}, 4) AS {c}" for c in ("price", "spiky")) + ", priority, status, cust_text, day_text FROM uniq",
         f"uniq AS MATERIALIZED (SELECT DISTINCT * REPLACE (coalesce(price, (SELECT avg(price) FROM fx)) AS price, {text_mode}) FROM fx)", bound.format(c="price"), bound.format(c="spiky"))
 
+    sql["cleaning_suggestions"] = query(Q, "\nUNION ALL ".join((fill_rule, copies_rule, clip_rule)), miss(Q), st(Q), fence(Q))
+    sql["cleaning_summary"] = query(Q, "SELECT a AS rows_before, b AS rows_after, a - b AS rows_removed FROM (SELECT count(*) AS a, (SELECT count(*) FROM uniq) AS b FROM fx)",
+        f"uniq AS MATERIALIZED (SELECT DISTINCT * REPLACE (coalesce(price, (SELECT avg(price) FROM fx)) AS price, {text_mode}) FROM fx)")
+
     # profile
     sql["profile_overview"] = query(Q, f"""SELECT max(n_rows) AS rows, 7 AS columns, 3 AS numeric_cols, 4 AS categorical_cols, sum(n_rows)::BIGINT AS total_cells, sum(missing)::BIGINT AS missing_cells,
   max(n_rows) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx)) AS duplicate_rows, {pct('sum(missing)', 'sum(n_rows)')} AS missing_pct FROM miss""", miss(Q))
@@ -397,6 +406,7 @@ FROM (SELECT mn, (mx - mn) / k AS w, least(floor(({{c}} - mn) / ((mx - mn) / k))
     sql["feat_hash"] = query(R, "SELECT id, ('0x' || substr(md5(name), 1, 8))::BIGINT % 1000 AS name_hash FROM fx")
     sql["feat_datetime"] = query(Q, "SELECT id, year(day_text::DATE) AS day_text_year, month(day_text::DATE) AS day_text_month, isodow(day_text::DATE) - 1 AS day_text_weekday FROM fx")
     sql["feature_suggestions"] = query(R, "SELECT * FROM sug", st(R), miss(R), corr(R), suggestions(R))
+    sql["suggestion_totals"] = query(R, "SELECT count(*) AS total_suggestions, count(*) FILTER (WHERE priority = 'high') AS high_priority FROM sug", st(R), miss(R), corr(R), suggestions(R))
     sql["auto_features"] = query(C, "SELECT feature AS name, \"type\" FROM sug WHERE \"type\" IN ('log_transform', 'interaction')", st(C), miss(C), corr(C), suggestions(C))
     sql["suggestion_filter"] = query(R, "SELECT * FROM sug WHERE priority = 'high' AND (title ILIKE '%sk%' OR \"column\" ILIKE '%sk%')", st(R), miss(R), corr(R), suggestions(R))
 
@@ -431,6 +441,9 @@ UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 4), round(sum(rc
     sql["leaderboard_rank"] = linear(BOARD_SQL)
     sql["leaderboard_roundtrip"] = linear(BOARD_SQL)
 
+    sql["leaderboard_summary"] = linear(f"""SELECT 'regression' AS task, (SELECT model FROM ({BOARD_SQL}) WHERE is_best) AS best_model, 2 AS n_models_trained, 1 AS n_models_failed,
+  count(*) FILTER (WHERE NOT is_test) AS n_train, count(*) FILTER (WHERE is_test) AS n_test FROM prep""")
+
     # explanation of a linear score: weight times distance from the background mean
     sql["shapley_values"] = shap("SELECT * FROM phi")
     sql["shapley_global"] = shap("SELECT * FROM imp")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def version_rows(df: DataFrame) -> DataFrame:
 # -- cleaning -------------------------------------------------------------
 
 
+def cleaning_summary(df: DataFrame) -> DataFrame:
+    return cleaning.apply_cleaning(df).summary()
+
+
+def report_json(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "report")
+    report.write_report(report.report_long(df), path)
+    return df.sparkSession.read.schema(report.SCHEMA).json(path)
+
+
 def cleaning_log(df: DataFrame) -> DataFrame:
     return cleaning.apply_cleaning(df, custom_column_strategies={"price": "drop"}).log()
 
@@ -163,10 +174,15 @@ def guard(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(enough).alias("enough"))
 
 
-def fitted_metrics(name: str, target: str) -> Query:
+def fitted_metrics(name: str, *targets: str) -> Query:
+    """Metrics of one candidate on the test rows, for each target."""
+
     def build(df: DataFrame) -> DataFrame:
-        run = leaderboard.train_candidates(_features(df, target), names=[name])
-        return run.leaderboard.select("model", "status", "score", "accuracy", "f1_score", "rmse", "mae", "r2_score")
+        boards = []
+        for target in targets:
+            run = leaderboard.train_candidates(_features(df, target), names=[name])
+            boards.append(run.leaderboard.select(F.lit(target).alias("target"), "model", "status", "score", "accuracy", "f1_score", "rmse", "mae", "r2_score"))
+        return reduce(DataFrame.unionByName, boards)
 
     return _on("fx_ml", build)
 
@@ -234,6 +250,22 @@ def shapley(df: DataFrame) -> DataFrame:
     return explain.shapley_values(test, train, prepared.names, KEY, score)
 
 
+def shapley_model(df: DataFrame) -> DataFrame:
+    prepared = _features(df, CLASS)
+    train, test = leaderboard.split(prepared, 0.2)
+    fitted = models.fit("Decision Tree", prepared, train)
+    return explain.explain_or_importance(fitted, prepared.task, test, train, prepared.names, KEY)
+
+
+def model_report(df: DataFrame) -> DataFrame:
+    other = df.select("k", "q", "d", "flag", CLASS)
+    return leaderboard.report(leaderboard.automl(other, CLASS, KEY, names=["Decision Tree"]))
+
+
+def model_summary(df: DataFrame) -> DataFrame:
+    return _linear_run(df).summary()
+
+
 def fallback(df: DataFrame) -> DataFrame:
     prepared = _features(df, CLASS)
     train, _ = leaderboard.split(prepared, 0.2)
@@ -278,6 +310,9 @@ def build() -> dict[str, Query]:
         "clip_zscore": (outlier, lambda d: _rounded(cleaning.clip_outliers(d, "zscore"), 4, "value", "rare_flag")),
         "cleaning_log": (quality_view, cleaning_log),
         "clean_pipeline": (quality_view, lambda d: _rounded(cleaning.apply_cleaning(d).df, 4, "price", "spiky")),
+        "cleaning_summary": (quality_view, cleaning_summary),
+        "cleaning_suggestions": (quality_view, quality.cleaning_suggestions),
+        "report_json": (quality_view, report_json),
         "profile_overview": (quality_view, profile.profile_overview),
         "data_bytes": (quality_view, profile.data_bytes),
         "profile_columns": (rules, profile.profile_columns),
@@ -317,6 +352,8 @@ def build() -> dict[str, Query]:
         "iqr_column_summary": (outlier, anomaly.iqr_column_summary),
         "zscore_flags": (outlier, lambda d: anomaly.zscore_flags(d, ["id"])),
         "anomaly_summary": (outlier, anomaly.anomaly_summary),
+        "iforest_summary": (outlier, lambda d: anomaly.iforest_summary(scores(d))),
+        "iforest_flagged": (outlier, lambda d: anomaly.flagged_keys(scores(d), ["id"])),
         "anomaly_sample": (outlier, lambda d: anomaly.anomaly_sample(d, scores(d), ["id"])),
         "anomaly_series": (outlier, lambda d: anomaly.anomaly_series(scores(d), ["id"])),
         "feat_log": (rules, log_feature),
@@ -331,6 +368,7 @@ def build() -> dict[str, Query]:
         "feat_hash": (rules, hash_feature),
         "feat_datetime": (quality_view, date_feature),
         "feature_suggestions": (rules, lambda d: features.feature_suggestions(d, ["id"])),
+        "suggestion_totals": (rules, lambda d: features.suggestion_totals(features.feature_suggestions(d, ["id"]))),
         "auto_features": (corr, lambda d: features.auto_features(features.feature_suggestions(d, ["l_orderkey"]))),
         "suggestion_filter": (rules, lambda d: features.suggestion_filter(features.feature_suggestions(d, ["id"]), "high", "SK")),
         "task_single": (ml, lambda d: training.task_frame(d, ["q", "d", "y_num", "y_txt"], training.task_single)),
@@ -353,13 +391,16 @@ def build() -> dict[str, Query]:
         "shapley_global": (ml, lambda d: explain.shapley_global(shapley(d))),
         "shapley_points": (ml, lambda d: explain.shapley_points(shapley(d), KEY)),
         "shapley_row": (ml, lambda d: explain.shapley_row(shapley(d), KEY)),
+        "shapley_model": (ml, shapley_model),
+        "model_report": (ml, model_report),
+        "leaderboard_summary": (ml, model_summary),
         "shapley_fallback": (ml, fallback),
     }
     result = {name: _on(view, make) for name, (view, make) in single.items()}
-    result["model_random_forest"] = fitted_metrics("Random Forest", CLASS)
-    result["model_extra_trees"] = fitted_metrics("Extra Trees", CLASS)
-    result["model_gbt"] = fitted_metrics("Gradient Boosting", CLASS)
-    result["model_decision_tree"] = fitted_metrics("Decision Tree", CLASS)
+    result["model_random_forest"] = fitted_metrics("Random Forest", CLASS, NUMBER)
+    result["model_extra_trees"] = fitted_metrics("Extra Trees", CLASS, NUMBER)
+    result["model_gbt"] = fitted_metrics("Gradient Boosting", CLASS, NUMBER)
+    result["model_decision_tree"] = fitted_metrics("Decision Tree", CLASS, NUMBER)
     result["model_logistic"] = fitted_metrics("Logistic Regression", CLASS)
     result["model_ridge"] = linear_weights("Ridge")
     result["model_lasso"] = linear_weights("Lasso")

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.functions.frames import small_frame
+from plumbline.functions.frames import materialise, small_frame
 from plumbline.operators import models
 from plumbline.operators.training import (
     CLASSIFICATION, Features, classification_report, metrics_classification, metrics_regression, prepare_features,
@@ -21,6 +21,7 @@ from plumbline.operators.training import (
 )
 
 WORKERS = 4
+TEST = "plumbline test row"
 FAILED_SCORE = -999.0
 ROWS = (
     "model string, status string, score double, accuracy double, f1_score double, rmse double, mae double, "
@@ -41,10 +42,6 @@ class Trained:
     train: DataFrame
     test: DataFrame
 
-    def release(self) -> None:
-        for frame in (self.train, self.test):
-            frame.unpersist()
-
     def summary(self) -> DataFrame:
         """Best model, counts of trained and failed candidates, and split sizes."""
         return self.leaderboard.agg(
@@ -84,13 +81,14 @@ def _attempt(name: str, fit: Callable, features: Features, train: DataFrame, tes
 
 
 def split(features: Features, test_size: float) -> tuple[DataFrame, DataFrame]:
-    """Cached training and test rows; every candidate reads the same ones."""
-    test = test_flag(features.key, test_size)
+    """Training and test rows, prepared once and written, so that a lost
+    executor costs no candidate more than rereading its share."""
     rows, cores = features.df, features.df.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < cores:
         # every training round reads these rows again: use all cores for it
         rows = rows.repartition(cores, *[col(k) for k in features.key])
-    return tuple(rows.where(flag).persist(StorageLevel.MEMORY_AND_DISK) for flag in (~test, test))
+    rows = materialise(rows.withColumn(TEST, test_flag(features.key, test_size)), "features")
+    return rows.where(~col(TEST)).drop(TEST), rows.where(col(TEST)).drop(TEST)
 
 
 def train_candidates(features: Features, test_size: float = 0.2, names: list[str] | None = None, fit: Callable = models.fit) -> Trained:

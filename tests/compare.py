@@ -31,6 +31,15 @@ def _cell(v):
     return repr(v)
 
 
+def _kind(name: str) -> str:
+    """Type family of a Spark or DuckDB type name."""
+    families = {
+        "integer": ("tinyint", "smallint", "int", "integer", "bigint", "number"), "float": ("float", "double"),
+        "text": ("string", "varchar"), "flag": ("boolean", "bool"),
+    }
+    return next((f for f, names in families.items() if name.lower() in names), name.lower())
+
+
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     cells = [tuple(_cell(row[i]) for i in order) for row in rows]
@@ -42,6 +51,9 @@ def difference(df, con, sql: str) -> str | None:
     have_names, have = _rows(df.columns, [tuple(r) for r in df.collect()])
     found = con.execute(sql)
     want_names, want = _rows([d[0] for d in found.description], found.fetchall())
+    kinds, wanted = {c: _kind(t) for c, t in df.dtypes}, {d[0]: _kind(str(d[1])) for d in found.description}
+    if kinds != wanted:
+        return f"types {sorted(set(kinds.items()) ^ set(wanted.items()))}"
     if have_names != want_names:
         return f"columns {have_names} != {want_names}"
     if len(have) != len(want):
