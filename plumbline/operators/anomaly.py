@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
+from plumbline.functions.frames import materialise
 from plumbline.functions.scalar import percent, round_stat
 from plumbline.plans.stats import TableStats, stats_of
 
@@ -175,7 +175,7 @@ def iforest_scores(
     nodes = iforest_trees(st, key, seed).toPandas()
     scored = _score(_imputed(st, names), names, nodes, min(SAMPLE_PER_TREE, st.counts["rows"]))
     # scored once: the cut needs all scores, and the result needs them again
-    kept = scored.select(*[col(k) for k in key], "raw_score").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = materialise(scored.select(*[col(k) for k in key], "raw_score"), "scores")
     cut = TableStats(kept.select("raw_score")).quantiles([1 - contamination])["raw_score"][0]
     return kept.select(
         *[col(k) for k in key],

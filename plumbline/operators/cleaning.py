@@ -54,10 +54,8 @@ def apply_cleaning(
     filled, rows_before, rows_now = _fill_missing(df, handle_missing, custom_column_strategies or {}, log)
     clips = handle_outliers and outlier_method in ("iqr", "zscore")
     if remove_duplicates:
-        filled = filled.dropDuplicates()
-        if clips:
-            # the fences need several passes; shuffle the rows only once
-            filled = materialise(filled, "deduplicated")
+        # the count and the fences need several passes; shuffle the rows only once
+        filled = materialise(filled.dropDuplicates(), "deduplicated")
         kept = filled.count()
         if kept < rows_now:
             _note(log, None, "drop_duplicates", None, rows_now - kept)

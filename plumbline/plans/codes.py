@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col
 from plumbline.functions.frames import small_frame
 
-# Above this many distinct values, codes are numbered in range buckets and
-# joined by shuffle; below it, one sort and a broadcast.
+# Above this many distinct values, or bytes of them, codes are numbered in range
+# buckets and joined by shuffle; below it, one sort and a broadcast.
 CODE_LIMIT = 100_000
+CODE_BYTES = 64 * 2**20
 BUCKETS = 512
+# A bucket boundary may be any text, so long values lend only their beginning.
+CUT_LENGTH = 1024
 
 
 def text_codes(df: DataFrame, column: str, null_text: str | None = None, limit: int = CODE_LIMIT) -> tuple[DataFrame, bool]:
@@ -24,8 +27,8 @@ def text_codes(df: DataFrame, column: str, null_text: str | None = None, limit:
     if null_text is not None:
         value = F.coalesce(value, F.lit(null_text))
     values = df.select(value.alias("value")).where("value IS NOT NULL").distinct()
-    size = values.count()
-    if size <= limit:
+    size, width = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value").cast("bigint")), F.lit(0))).first()
+    if size <= limit and width <= CODE_BYTES:
         order = Window.orderBy("value")
         return values.select("value", (F.row_number().over(order) - 1).alias("code")), True
     return _bucketed(values, size), False
@@ -36,8 +39,9 @@ def _bucketed(values: DataFrame, size: int) -> DataFrame:
     shifted by the sizes of the buckets before it."""
     share = min(1.0, 40.0 * BUCKETS / size)
     ceiling = min(int(share * 2**64) - 2**63, 2**63 - 1)
-    sample = sorted(r[0] for r in values.where(F.xxhash64("value") <= F.lit(ceiling)).collect())
-    cuts = sorted({sample[len(sample) * i // BUCKETS] for i in range(1, BUCKETS)}, key=lambda s: s.encode())
+    drawn = values.where(F.xxhash64("value") <= F.lit(ceiling)).select(F.substring("value", 1, CUT_LENGTH))
+    sample = sorted(r[0] for r in drawn.collect())
+    cuts = sorted({sample[len(sample) * i // BUCKETS] for i in range(1, BUCKETS)} if sample else set())
     bucket = _bucket_of(F.col("value"), cuts)
     tagged = values.withColumn("bucket", bucket)
     sizes = {r["bucket"]: r["count"] for r in tagged.groupBy("bucket").count().collect()}

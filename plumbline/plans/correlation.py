@@ -5,43 +5,46 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 
-PAIRS_PER_PASS = 500
-
-
-def correlations(
-    df: DataFrame, moments: dict[str, dict], complete: set[str]
-) -> dict[tuple[str, str], float | None]:
-    """r per pair of the columns in ``moments``; None when undefined.
-
-    Two columns without gaps need one plain sum, as their means and deviations
-    are known. A pair with gaps needs its own, taken over its complete rows.
-    Wide tables take several passes.
-    """
-    pairs = [
-        p for p in combinations(moments, 2) if all(moments[c]["n"] > 1 and moments[c]["std"] for c in p)
-    ]
-    result: dict[tuple[str, str], float | None] = {p: None for p in combinations(moments, 2)}
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        block = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(*[_r(a, b, moments, complete).alias(f"r{i}") for i, (a, b) in enumerate(block)]).first()
-        for i, pair in enumerate(block):
-            r = row[f"r{i}"]
-            result[pair] = None if r is None or math.isnan(r) else max(-1.0, min(1.0, r))
-    return result
-
-
-def _r(a: str, b: str, moments: dict[str, dict], complete: set[str]) -> Column:
-    x, y = col(a).cast("double"), col(b).cast("double")
-    ma, mb = moments[a], moments[b]
-    if a in complete and b in complete:
-        scale = (ma["n"] - 1) * ma["std"] * mb["std"]
-        return F.sum((x - ma["mean"]) * (y - mb["mean"])) / F.nullif(F.lit(scale), F.lit(0.0))
-    # corr() raises under ANSI when one side is constant on the complete rows
-    sx = F.stddev_samp(x if b in complete else F.when(y.isNotNull(), x))
-    sy = F.stddev_samp(y if a in complete else F.when(x.isNotNull(), y))
-    return F.covar_samp(x, y) / F.nullif(sx * sy, F.lit(0.0))
+Pair = tuple[str, str]
+PAIRS_PER_PASS = 200
+
+
+def correlations(df: DataFrame, moments: dict[str, dict], complete: set[str]) -> dict[Pair, float | None]:
+    """r per pair of the columns in ``moments``; None when undefined."""
+    result: dict[Pair, float | None] = {p: None for p in combinations(moments, 2)}
+    varied = [p for p in result if all(moments[c]["n"] > 1 and moments[c]["std"] for c in p)]
+    whole = [p for p in varied if complete.issuperset(p)]
+    for start in range(0, len(whole), PAIRS_PER_PASS):
+        result.update(_without_gaps(df, whole[start : start + PAIRS_PER_PASS], moments))
+    gaps = [p for p in varied if not complete.issuperset(p)]
+    if gaps:
+        result.update(_with_gaps(df, gaps, moments))
+    return {p: None if r is None or math.isnan(r) else max(-1.0, min(1.0, r)) for p, r in result.items()}
+
+
+def _without_gaps(df: DataFrame, pairs: list[Pair], moments: dict[str, dict]) -> dict[Pair, float | None]:
+    """One plain sum per pair, as means and deviations are known."""
+
+    def centred(c: str):
+        return col(c).cast("double") - moments[c]["mean"]
+
+    row = df.agg(*[F.sum(centred(a) * centred(b)).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return {
+        (a, b): row[f"s{i}"] / ((moments[a]["n"] - 1) * moments[a]["std"] * moments[b]["std"])
+        for i, (a, b) in enumerate(pairs)
+    }
+
+
+def _with_gaps(df: DataFrame, pairs: list[Pair], moments: dict[str, dict]) -> dict[Pair, float | None]:
+    """A pair with gaps needs its own deviations, over its complete rows: one
+    scan in long form, grouped by pair. ``corr`` would raise under ANSI when a
+    side is constant on those rows; this stays NULL."""
+    cells = F.array(*[F.struct(col(a).cast("double").alias("x"), col(b).cast("double").alias("y")) for a, b in pairs])
+    long = df.select(F.posexplode(cells).alias("p", "c")).select("p", "c.x", "c.y").where("x IS NOT NULL AND y IS NOT NULL")
+    r = F.covar_samp("x", "y") / F.nullif(F.stddev_samp("x") * F.stddev_samp("y"), F.lit(0.0))
+    return {pairs[row["p"]]: row["r"] for row in long.groupBy("p").agg(r.alias("r")).collect()}

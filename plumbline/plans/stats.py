@@ -217,7 +217,10 @@ class TableStats:
         if self.approx:
             row = self.df.agg(*[F.approx_count_distinct(col(c.name)).alias(f"u{c.pos}") for c in columns]).first()
             return {c.name: row[f"u{c.pos}"] for c in columns}
-        return {name: s["distinct"] for name, s in self.value_summary(columns).items()}
+        if all(c.name in self._summaries for c in columns):
+            return {c.name: self._summaries[c.name]["distinct"] for c in columns}
+        found = {r["column"]: r["n"] for r in value_counts.distinct_counts(self.df, columns).collect()}
+        return {c.name: found.get(c.name, 0) for c in columns}
 
     @cached_property
     def duplicates(self) -> int:

@@ -43,6 +43,11 @@ def value_counts(df: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
     return unpivot(df, columns).groupBy("column", *VALUE_FIELDS).agg(F.count("*").alias("cnt"))
 
 
+def distinct_counts(df: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
+    """(column, n): distinct non-null values, where nothing else is wanted."""
+    return unpivot(df, columns).distinct().groupBy("column").agg(F.count("*").alias("n"))
+
+
 def value_text() -> Column:
     return F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))
 
