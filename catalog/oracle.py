@@ -196,7 +196,7 @@ def suggestions(view: str) -> str:
         kinds = [("= 2", "binary_encode", "high", "_enc"), ("<= 10 AND uniq <> 2", "onehot", "high", "_*"), ("BETWEEN 11 AND 50", "target_encode", "medium", "_target"), ("> 50", "hash_encode", "low", "_hash")]
         some = ", ".join(f"'{c}'" for c in cats(view))
         for test, kind, priority, suffix in kinds:
-            parts.append(f"SELECT '{kind}', col, '{priority}', 'Encode ' || col, uniq || ' categories', col || '{suffix}' FROM miss WHERE col IN ({some}) AND uniq {test}")
+            parts.append(f"SELECT '{kind}', col, '{priority}', 'Encode ' || col, CASE WHEN uniq > 50 THEN 'over 50' ELSE uniq::VARCHAR END || ' categories', col || '{suffix}' FROM miss WHERE col IN ({some}) AND uniq {test}")
     return "sug AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")"
 
 
@@ -396,9 +396,11 @@ FROM (SELECT mn, (mx - mn) / k AS w, least(floor(({{c}} - mn) / ((mx - mn) / k))
     sql["feat_sqrt"] = query(R, "SELECT id, round(sqrt(greatest(skewed, 0)), 6) AS skewed_sqrt FROM fx")
     bins = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN (SELECT count(DISTINCT e) FROM (SELECT unnest([q1, q2, q3]) AS e, mn, mx FROM st WHERE col = '{c}') WHERE e > mn AND e < mx AND e < {c})::INT END AS {c}_bin" for c in ("id", "bal", "skewed"))
     sql["feat_quartile_bin"] = query(R, f"SELECT id, {bins} FROM fx", st(R))
-    sql["feat_zscore"] = query(R, "SELECT id, " + ", ".join(f"round(({c} - (SELECT mean FROM st WHERE col = '{c}')) / (SELECT std FROM st WHERE col = '{c}'), 6) + 0.0 AS {c}_z" for c in ("bal", "nearly_flat", "skewed")) + " FROM fx", st(R))
-    sql["feat_interaction"] = query(C, "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(l_quantity * {c}, 4) AS l_quantity_x_{c}" for c in ("neg_qty", "mixed", "gappy")) + " FROM fx")
-    sql["feat_ratio"] = query(C, "SELECT l_orderkey, l_linenumber, round(l_orderkey / (l_linenumber + 1e-9::DOUBLE), 6) AS l_orderkey_per_l_linenumber, round(l_linenumber / (l_quantity + 1e-9::DOUBLE), 6) AS l_linenumber_per_l_quantity FROM fx")
+    sql["feat_zscore"] = query(R, "SELECT id, " + ", ".join(f"round(({c} - (SELECT mean FROM st WHERE col = '{c}')) / (SELECT std FROM st WHERE col = '{c}'), 4) + 0.0 AS {c}_z" for c in ("bal", "nearly_flat", "skewed")) + " FROM fx", st(R))
+    branches = "\nUNION ALL ".join(
+        f"SELECT l_orderkey, l_linenumber, '{a}_x_{b}' AS feature, round({a}::DOUBLE * {b}::DOUBLE, 4) AS \"value\" FROM fx WHERE '{a}_x_{b}' IN (SELECT name FROM chosen)" for a, b in combinations(nums(C), 2))
+    sql["feat_interaction"] = query(C, branches, corr(C), "chosen AS MATERIALIZED (SELECT a || '_x_' || b AS name FROM pairs WHERE abs(r) > 0.5 ORDER BY i, j LIMIT 3)")
+    sql["feat_ratio"] = query(C, "SELECT l_orderkey, l_linenumber, round(l_orderkey / (l_linenumber + 1e-9::DOUBLE), 4) AS l_orderkey_per_l_linenumber, round(l_linenumber / (l_quantity + 1e-9::DOUBLE), 4) AS l_linenumber_per_l_quantity FROM fx")
     sql["feat_binary"] = query(R, "SELECT id, coalesce(seg = (SELECT seg FROM fx GROUP BY seg ORDER BY count(*) DESC, seg LIMIT 1), false)::INT AS seg_enc FROM fx")
     hot = ", ".join(f"(market = '{m}')::INT AS market_{m}" for m in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
     sql["feat_onehot"] = query(R, f"SELECT id, {hot}, (const_text = 'K')::INT AS \"const_text_K\" FROM fx")

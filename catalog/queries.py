@@ -95,19 +95,21 @@ def bin_feature(df: DataFrame) -> DataFrame:
 
 def z_feature(df: DataFrame) -> DataFrame:
     names = [c for c in suggested(df, features.suggest_zscore) if c != "id"]
-    return _rounded(features.add_zscore(df, names), 6, *[f"{c}_z" for c in names]).select("id", *[f"{c}_z" for c in names])
+    return _rounded(features.add_zscore(df, names), 4, *[f"{c}_z" for c in names]).select("id", *[f"{c}_z" for c in names])
 
 
 def interaction_feature(df: DataFrame) -> DataFrame:
+    """Long form, as the pairs depend on the data."""
     pairs = features.interaction_pairs(df)
     names = [f"{a}_x_{b}" for a, b in pairs]
-    return _rounded(features.add_interaction(df, pairs), 4, *names).select("l_orderkey", "l_linenumber", *names)
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.round(col(n), 4).alias("value")) for n in names])
+    return features.add_interaction(df, pairs).select("l_orderkey", "l_linenumber", F.inline(cells))
 
 
 def ratio_feature(df: DataFrame) -> DataFrame:
     pairs = features.ratio_pairs(df)
     names = [f"{a}_per_{b}" for a, b in pairs]
-    return _rounded(features.add_ratio(df, pairs), 6, *names).select("l_orderkey", "l_linenumber", *names)
+    return _rounded(features.add_ratio(df, pairs), 4, *names).select("l_orderkey", "l_linenumber", *names)
 
 
 def encoded(df: DataFrame, kind: str) -> list[str]:

@@ -13,6 +13,7 @@ from plumbline.functions.scalar import parse_date
 from plumbline.plans import value_counts
 from plumbline.plans.stats import TableStats, stats_of
 
+BIN_ABOVE = 20
 ONE_HOT_LIMIT = 10
 TARGET_LIMIT = 50
 HASH_SPACE = 1000
@@ -53,8 +54,8 @@ def suggest_sqrt(table: DataFrame | TableStats) -> DataFrame:
 def suggest_bins(table: DataFrame | TableStats) -> DataFrame:
     """Numeric columns with more than 20 values."""
     st = stats_of(table)
-    distinct = st.distinct(st.numeric)
-    wide = small_frame(st.spark, [{"column": c} for c, n in distinct.items() if n > 20], "column string")
+    distinct = st.distinct_up_to(st.numeric, BIN_ABOVE)
+    wide = small_frame(st.spark, [{"column": c} for c, n in distinct.items() if n > BIN_ABOVE], "column string")
     return _numeric(st).join(wide, "column", "left_semi").select(
         *_rule("binning", "low", "Quartile bins of", "many distinct values", "_bin")
     )
@@ -119,10 +120,11 @@ def suggest_encoding(table: DataFrame | TableStats) -> DataFrame:
     """How to encode each categorical column, by its number of values."""
     st = stats_of(table)
     rows = []
-    for c, n in st.distinct(st.categorical).items():
+    for c, n in st.distinct_up_to(st.categorical, TARGET_LIMIT).items():
         kind, priority, suffix = encoding_of(n)
+        size = f"{n} categories" if n <= TARGET_LIMIT else f"over {TARGET_LIMIT} categories"
         rows.append({"type": kind, "column": c, "priority": priority, "title": f"Encode {c}",
-                     "description": f"{n} categories", "feature": c + suffix})
+                     "description": size, "feature": c + suffix})
     return small_frame(st.spark, rows, SUGGESTION.replace("seq int, ", ""))
 
 
@@ -156,7 +158,6 @@ def suggest_datetime(table: DataFrame | TableStats, order_by: list[str]) -> Data
 def feature_suggestions(table: DataFrame | TableStats, order_by: list[str]) -> DataFrame:
     """Every suggestion, high priority first."""
     st = stats_of(table)
-    st.value_summary(st.profiled)
     frames = [suggest_log(st), suggest_sqrt(st), suggest_bins(st), suggest_zscore(st), suggest_interaction(st),
               suggest_ratio(st), suggest_encoding(st), suggest_datetime(st, order_by)]
     rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
@@ -233,7 +234,7 @@ def add_onehot(table: DataFrame | TableStats, columns: list[str]) -> DataFrame:
     """One 0/1 column per value, in place of the column."""
     st = stats_of(table)
     infos = [c for c in st.categorical if c.name in columns]
-    over = [c for c, n in st.distinct(infos).items() if n > ONE_HOT_LIMIT]
+    over = [c for c, n in st.distinct_up_to(infos, ONE_HOT_LIMIT).items() if n > ONE_HOT_LIMIT]
     if over:
         raise ValueError(f"too many values to one-hot encode: {over}")
     values = sorted((r["column"], r["s"]) for r in st.value_counts(infos).select("column", "s").collect())

@@ -98,7 +98,11 @@ def insight_cardinality(table: DataFrame | TableStats) -> DataFrame:
 
 
 def _constant(st: TableStats) -> DataFrame:
-    return st.summary_frame(st.profiled).where("distinct <= 1").select(
+    """Numeric columns are constant when min = max; no values are shuffled."""
+    same = F.when(F.col("n") == 0, 0).when(F.col("min") == F.col("max"), 1).cast("bigint")
+    numeric = st.numeric_frame().select("pos", "column", same.alias("distinct"))
+    text = st.summary_frame(st.categorical).select("pos", "column", "distinct")
+    return numeric.unionByName(text).where("distinct <= 1").select(
         *_finding(
             "constant_column", F.lit("medium"), F.col("distinct"), _text("Constant: ", F.col("column")),
             _text(F.col("distinct"), " distinct value(s); drop the column before training"),
@@ -142,8 +146,6 @@ RULES = (
 def insights_all(table: DataFrame | TableStats) -> DataFrame:
     """Every finding, numbered by rule; the rules share one set of passes."""
     st = stats_of(table)
-    st.moments
-    st.value_summary(st.profiled)
     frames = [rule(st).withColumn("rule_no", F.lit(i)) for i, rule in enumerate(RULES, 1)]
     return reduce(DataFrame.unionByName, frames)
 

@@ -42,7 +42,7 @@ def validity(table: DataFrame | TableStats) -> DataFrame:
     """Text columns most of whose values read as numbers; each costs half an issue."""
     st = stats_of(table)
     rows = [
-        {"pos": c.pos, "column": c.name, "n": st.counts["non_null"][c.name], "hits": st.counts["numeric_text"][c.name]}
+        {"pos": c.pos, "column": c.name, "hits": st.numeric_text[c.name], "n": st.counts["non_null"][c.name]}
         for c in st.columns
         if c.is_string
     ]
@@ -64,10 +64,10 @@ def _share_left(part: Column, whole: Column) -> Column:
 def quality_score(table: DataFrame | TableStats) -> DataFrame:
     """One row: the four dimensions, the weighted score and the totals."""
     st = stats_of(table)
-    counts = st.counts
+    numeric_text, counts = st.numeric_text, st.counts
     outliers = st.outlier_counts()
     issues = 0.5 * sum(
-        1 for c, hits in counts["numeric_text"].items() if counts["non_null"][c] and hits / counts["non_null"][c] > 0.5
+        1 for c, hits in numeric_text.items() if counts["non_null"][c] and hits / counts["non_null"][c] > 0.5
     )
     frame = small_frame(
         st.spark,

@@ -80,23 +80,23 @@ class TableStats:
 
     # -- one-pass aggregates ----------------------------------------------
 
-    def _count_aggs(self) -> list[Column]:
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        for c in self.columns:
-            aggs.append(F.count(col(c.name)).alias(f"n{c.pos}"))
-            if c.is_string:
-                aggs.append(F.count_if(looks_numeric(col(c.name))).alias(f"text{c.pos}"))
-        return aggs
+    def _count(self, extra: list[Column]):
+        aggs = [F.count(F.lit(1)).alias("rows"), *[F.count(col(c.name)).alias(f"n{c.pos}") for c in self.columns]]
+        row = self.df.agg(*aggs, *extra).first()
+        return row, {"rows": row["rows"], "non_null": {c.name: row[f"n{c.pos}"] for c in self.columns}}
 
     @cached_property
     def counts(self) -> dict:
-        """rows, non-null count per column, numeric-looking count per text column."""
-        row = self.df.agg(*self._count_aggs()).first()
-        return {
-            "rows": row["rows"],
-            "non_null": {c.name: row[f"n{c.pos}"] for c in self.columns},
-            "numeric_text": {c.name: row[f"text{c.pos}"] for c in self.columns if c.is_string},
-        }
+        """Rows, and the non-null count of every column."""
+        return self._count([])[1]
+
+    @cached_property
+    def numeric_text(self) -> dict[str, int]:
+        """Numeric-looking values per text column; the same pass yields ``counts``."""
+        text = [c for c in self.columns if c.is_string]
+        row, counts = self._count([F.count_if(looks_numeric(col(c.name))).alias(f"text{c.pos}") for c in text])
+        self.__dict__.setdefault("counts", counts)
+        return {c.name: row[f"text{c.pos}"] for c in text}
 
     def numeric_long(self, names: list[str]) -> DataFrame:
         """(p, x): the numeric cells with the position of their column in
@@ -222,6 +222,19 @@ class TableStats:
         found = {r["column"]: r["n"] for r in value_counts.distinct_counts(self.df, columns).collect()}
         return {c.name: found.get(c.name, 0) for c in columns}
 
+    def distinct_up_to(self, columns: list[ColumnInfo], limit: int) -> dict[str, int]:
+        """Distinct values where there are at most ``limit``, else ``limit + 1``.
+
+        A sketch first sets aside the columns with far more values, so that
+        only columns whose counts combine well are counted exactly.
+        """
+        if not columns:
+            return {}
+        row = self.df.agg(*[F.approx_count_distinct(col(c.name)).alias(f"u{c.pos}") for c in columns]).first()
+        near = [c for c in columns if row[f"u{c.pos}"] <= 4 * limit + 100]
+        exact = self.distinct(near) if near else {}
+        return {c.name: min(exact.get(c.name, limit + 1), limit + 1) for c in columns}
+
     @cached_property
     def duplicates(self) -> int:
         """Rows beyond the first of each group of equal rows.
