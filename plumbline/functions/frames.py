@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.functions.columns import col
+
 
 def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A bounded report (a row per column, pair or rule) as a local relation.
@@ -39,6 +41,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/plumbline-{label}-{uuid.uuid4().hex}"
 
 
+def deal_out(df: DataFrame, key: list[str]) -> DataFrame:
+    """Rows over all cores, when they arrive in fewer partitions than there are
+    cores and much work per row follows. A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *[col(k) for k in key])
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, cutting its lineage.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.functions.frames import materialise
+from plumbline.functions.frames import deal_out, materialise
 from plumbline.functions.scalar import percent, round_stat
 from plumbline.plans.stats import TableStats, stats_of
 
@@ -111,9 +111,9 @@ def iforest_trees(table: DataFrame | TableStats, key: list[str], seed: int = SEE
     names = [c.name for c in st.numeric if c.name not in key]
     identity = F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key])
     spare = 4 * per_tree
-    dealt = rows > spare * trees
+    dealt = rows >= 2 * per_tree * trees
     if dealt:
-        tree, share = F.pmod(F.xxhash64(identity, F.lit(seed + 1)), F.lit(trees)).cast("int"), spare * trees / rows
+        tree, share = F.pmod(F.xxhash64(identity, F.lit(seed + 1)), F.lit(trees)).cast("int"), min(1.0, spare * trees / rows)
     else:
         tree, share = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))), min(1.0, spare / max(rows, 1))
     draws = _imputed(st, names).select(
@@ -173,7 +173,7 @@ def iforest_scores(
     _numeric_or_raise(st)
     names = [c.name for c in st.numeric if c.name not in key]
     nodes = iforest_trees(st, key, seed).toPandas()
-    scored = _score(_imputed(st, names), names, nodes, min(SAMPLE_PER_TREE, st.counts["rows"]))
+    scored = _score(deal_out(_imputed(st, names), key), names, nodes, min(SAMPLE_PER_TREE, st.counts["rows"]))
     # scored once: the cut needs all scores, and the result needs them again
     kept = materialise(scored.select(*[col(k) for k in key], "raw_score"), "scores")
     cut = TableStats(kept.select("raw_score")).quantiles([1 - contamination])["raw_score"][0]
@@ -238,6 +238,7 @@ def iqr_column_summary(table: DataFrame | TableStats) -> DataFrame:
 def anomaly_summary(table: DataFrame | TableStats) -> DataFrame:
     """Rows flagged by each cell-wise method, and their share."""
     st = stats_of(table)
+    st.together(lambda: st.quartiles(), lambda: st.moments)
     iqr, z = st.iqr_bounds(), [c.name for c in st.numeric]
     counted = st.df.agg(
         F.count(F.lit(1)).alias("total_rows"),

@@ -146,6 +146,7 @@ RULES = (
 def insights_all(table: DataFrame | TableStats) -> DataFrame:
     """Every finding, numbered by rule; the rules share one set of passes."""
     st = stats_of(table)
+    st.together(lambda: st.correlations, lambda: st.value_summary(st.categorical))
     frames = [rule(st).withColumn("rule_no", F.lit(i)) for i, rule in enumerate(RULES, 1)]
     return reduce(DataFrame.unionByName, frames)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.functions.frames import materialise, small_frame
+from plumbline.functions.frames import deal_out, materialise, small_frame
 from plumbline.operators import models
 from plumbline.operators.training import (
     CLASSIFICATION, Features, classification_report, metrics_classification, metrics_regression, prepare_features,
@@ -83,10 +83,7 @@ def _attempt(name: str, fit: Callable, features: Features, train: DataFrame, tes
 def split(features: Features, test_size: float) -> tuple[DataFrame, DataFrame]:
     """Training and test rows, prepared once and written, so that a lost
     executor costs no candidate more than rereading its share."""
-    rows, cores = features.df, features.df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        # every training round reads these rows again: use all cores for it
-        rows = rows.repartition(cores, *[col(k) for k in features.key])
+    rows = deal_out(features.df, features.key)
     rows = materialise(rows.withColumn(TEST, test_flag(features.key, test_size)), "features")
     return rows.where(~col(TEST)).drop(TEST), rows.where(col(TEST)).drop(TEST)
 

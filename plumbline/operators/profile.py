@@ -68,6 +68,7 @@ def profile_columns(table: DataFrame | TableStats) -> DataFrame:
 def profile_numeric(table: DataFrame | TableStats) -> DataFrame:
     """Moments, range and quartiles of every numeric column that has a value."""
     st = stats_of(table)
+    st.together(lambda: st.moments, lambda: st.fences)
     frame = st.numeric_frame().join(st.fence_frame().select("pos", "q1", "median", "q3"), "pos").where("n > 0")
     derived = frame.withColumn("range", F.col("max") - F.col("min")).withColumn(
         "iqr", F.col("q3") - F.col("q1")

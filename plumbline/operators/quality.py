@@ -65,6 +65,7 @@ def quality_score(table: DataFrame | TableStats) -> DataFrame:
     """One row: the four dimensions, the weighted score and the totals."""
     st = stats_of(table)
     numeric_text, counts = st.numeric_text, st.counts
+    st.together(lambda: st.fences, lambda: st.duplicates)
     outliers = st.outlier_counts()
     issues = 0.5 * sum(
         1 for c, hits in numeric_text.items() if counts["non_null"][c] and hits / counts["non_null"][c] > 0.5
@@ -104,6 +105,7 @@ def quality_grade(table: DataFrame | TableStats) -> DataFrame:
 def column_stats_numeric(table: DataFrame | TableStats) -> DataFrame:
     """Summary statistics of every numeric column."""
     st = stats_of(table)
+    st.together(lambda: st.moments, lambda: st.fences, lambda: st.distinct(st.numeric))
     moments = st.numeric_frame()
     fences = st.fence_frame().select("pos", "q1", "median", "q3", "guarded_outliers")
     distinct = _distinct_frame(st)
@@ -193,12 +195,14 @@ def suggest_outliers(table: DataFrame | TableStats) -> DataFrame:
 def cleaning_suggestions(table: DataFrame | TableStats) -> DataFrame:
     """All suggestions, in the order missing, duplicates, outliers."""
     st = stats_of(table)
+    st.together(lambda: st.moments, lambda: st.fences, lambda: st.duplicates)
     return suggest_missing(st).unionByName(suggest_duplicates(st)).unionByName(suggest_outliers(st))
 
 
 def attention_columns(table: DataFrame | TableStats) -> DataFrame:
     """Columns that want a look, one row per reason."""
     st = stats_of(table)
+    st.together(lambda: st.moments, lambda: st.fences)
     pct = percent(F.col("missing"), F.col("rows"))
     missing = st.missing_frame().select("column", F.lit("missing").alias("reason"), pct.alias("value"))
     reasons = [

@@ -29,6 +29,8 @@ def report_long(
 ) -> DataFrame:
     """Shape, quality, insights, and whatever else has been computed."""
     st = stats_of(table)
+    st.numeric_text
+    st.together(lambda: st.correlations, lambda: st.value_summary(st.categorical), lambda: st.fences, lambda: st.duplicates)
     shape = small_frame(st.spark, [{"rows": st.counts["rows"], "columns": len(st.columns)}], "rows bigint, columns bigint")
     parts = [
         _melt(shape, "original_shape", None, ["rows", "columns"]),

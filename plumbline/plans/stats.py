@@ -6,8 +6,11 @@ Only bounded facts reach the driver: one number per column, pair or rule.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,7 @@ class TableStats:
         self.columns: list[ColumnInfo] = describe_columns(df)
         self._quantiles: dict[tuple[str, float], float | None] = {}
         self._summaries: dict[str, dict] = {}
+        self._distinct: dict[str, int] = {}
 
     # -- schema -----------------------------------------------------------
 
@@ -78,6 +82,14 @@ class TableStats:
         rows = [{"pos": c.pos, "column": c.name, "dtype": c.dtype, "role": c.role} for c in self.columns]
         return small_frame(self.spark, rows, "pos int, column string, dtype string, role string")
 
+    def together(self, *passes: Callable[[], object]) -> None:
+        """Run independent passes side by side, so that a short job need not
+        wait for a long one. Counts, which all of them use, come first."""
+        self.counts
+        run = inheritable_thread_target(self.spark)(lambda task: task())
+        with ThreadPoolExecutor(len(passes)) as pool:
+            list(pool.map(run, passes))
+
     # -- one-pass aggregates ----------------------------------------------
 
     def _count(self, extra: list[Column]):
@@ -219,8 +231,11 @@ class TableStats:
             return {c.name: row[f"u{c.pos}"] for c in columns}
         if all(c.name in self._summaries for c in columns):
             return {c.name: self._summaries[c.name]["distinct"] for c in columns}
-        found = {r["column"]: r["n"] for r in value_counts.distinct_counts(self.df, columns).collect()}
-        return {c.name: found.get(c.name, 0) for c in columns}
+        need = [c for c in columns if c.name not in self._distinct]
+        if need:
+            self._distinct.update({c.name: 0 for c in need})
+            self._distinct.update({r["column"]: r["n"] for r in value_counts.distinct_counts(self.df, need).collect()})
+        return {c.name: self._distinct[c.name] for c in columns}
 
     def distinct_up_to(self, columns: list[ColumnInfo], limit: int) -> dict[str, int]:
         """Distinct values where there are at most ``limit``, else ``limit + 1``.
