@@ -58,7 +58,7 @@ def coalition_weights(features: int, permutations: int = PERMUTATIONS, seed: int
 
 def shapley_values(
     rows: DataFrame, background: DataFrame, names: list[str], key: list[str], score: Callable[[DataFrame], DataFrame],
-    explained: int = EXPLAINED_ROWS, reference: int = BACKGROUND_ROWS,
+    explained: int = EXPLAINED_ROWS, against: int = BACKGROUND_ROWS,
 ) -> DataFrame:
     """(key..., feature, value, contribution) of the first rows.
 
@@ -68,7 +68,7 @@ def shapley_values(
     """
     order = [col(k) for k in key]
     first = rows.orderBy(*order).limit(explained).select(*order, *[col(n).cast("double").alias(n) for n in names])
-    base = background.orderBy(*order).limit(reference).select(*[col(n).cast("double").alias(n) for n in names]).collect()
+    base = background.orderBy(*order).limit(against).select(*[col(n).cast("double").alias(n) for n in names]).collect()
     weights = coalition_weights(len(names))
     spark = rows.sparkSession
     backs = small_frame(
