@@ -53,18 +53,22 @@ def value_text() -> Column:
 
 
 def summarise(counts: DataFrame) -> DataFrame:
-    """Per column: distinct values, mode (smallest on ties) and entropy in nats."""
-    first = F.min(F.struct((-F.col("cnt")).alias("neg"), *VALUE_FIELDS))
-    total = F.sum("cnt")
-    spread = F.sum(F.col("cnt") * F.ln(F.col("cnt").cast("double")))
-    return counts.groupBy("column").agg(
-        F.count("*").alias("distinct"),
-        total.alias("non_null"),
-        first.alias("first"),
-        (F.ln(total.cast("double")) - spread / total).alias("entropy"),
-    ).select(
-        "column", "distinct", "non_null", "entropy",
-        (-F.col("first.neg")).alias("top_freq"),
+    """Per column: distinct values, mode (smallest on ties) and entropy in nats.
+
+    The totals, one row per column, need only hash aggregation. They then pick
+    the commonest values out of the same shuffled counts, so that only ties are
+    sorted rather than every distinct value.
+    """
+    n = F.col("cnt").cast("double")
+    facts = counts.groupBy("column").agg(
+        F.count("*").alias("distinct"), F.sum("cnt").alias("non_null"), F.max("cnt").alias("top_freq"),
+        F.sum(n * F.ln(n)).alias("spread"),
+    )
+    tied = counts.join(F.broadcast(facts), "column").where("cnt = top_freq")
+    best = tied.groupBy(*facts.columns).agg(F.min(F.struct(*VALUE_FIELDS)).alias("first"))
+    return best.select(
+        "column", "distinct", "non_null", "top_freq",
+        (F.ln(F.col("non_null").cast("double")) - F.col("spread") / F.col("non_null")).alias("entropy"),
         *[F.col(f"first.{f}").alias(f) for f in VALUE_FIELDS],
     )
 

@@ -103,6 +103,18 @@ def test_value_counts_combine_before_the_shuffle(spark, sf_dir):
     assert "partial_count" in plan_of(st.value_counts(st.categorical))
 
 
+def test_summary_shuffles_the_counts_once(spark, sf_dir):
+    st = TableStats(table(spark, sf_dir, "fx_rules"))
+    summary = value_counts.summarise(st.value_counts(st.categorical))
+    found = {r["column"]: r for r in summary.collect()}
+    assert found["seg"]["s"] == "A" and found["seg"]["distinct"] == 2 and found["const_text"]["entropy"] == 0.0
+    assert "ReusedExchange" in plan_of(summary)
+
+
+def test_duplicates_shuffle_hashes(spark, sf_dir):
+    assert TableStats(table(spark, sf_dir, "fx_dups")).duplicates == table(spark, sf_dir, "fx_dups").count() - table(spark, sf_dir, "fx_dups").distinct().count()
+
+
 def test_statistics_read_only_their_columns(spark, sf_dir):
     st = TableStats(table(spark, sf_dir, "lineitem").select("l_tax", "l_returnflag"))
     assert "ReadSchema: struct<l_tax:double>" in plan_of(st.numeric_long(["l_tax"]).groupBy("p").agg(F.avg("x")))
