@@ -50,6 +50,19 @@ def describe_columns(df: DataFrame) -> list[ColumnInfo]:
     ]
 
 
+def comparable(df: DataFrame) -> list[str]:
+    """Columns that whole-row comparison can use: all but those with maps."""
+
+    def has_map(t: T.DataType) -> bool:
+        if isinstance(t, T.ArrayType):
+            return has_map(t.elementType)
+        if isinstance(t, T.StructType):
+            return any(has_map(f.dataType) for f in t.fields)
+        return isinstance(t, T.MapType)
+
+    return [f.name for f in df.schema.fields if not has_map(f.dataType)]
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Give NaN and NULL one meaning: a missing value."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}

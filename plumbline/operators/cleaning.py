@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import CATEGORICAL, NESTED, NUMERIC, ColumnInfo, col, describe_columns, nan_to_null
+from plumbline.functions.columns import CATEGORICAL, NESTED, NUMERIC, ColumnInfo, col, comparable, describe_columns, nan_to_null
 from plumbline.functions.frames import materialise, small_frame
 from plumbline.functions.scalar import round_stat
 from plumbline.operators.quality import fill_strategy
@@ -55,7 +55,7 @@ def apply_cleaning(
     clips = handle_outliers and outlier_method in ("iqr", "zscore")
     if remove_duplicates:
         # the count and the fences need several passes; shuffle the rows only once
-        filled = materialise(filled.dropDuplicates(), "deduplicated")
+        filled = materialise(filled.dropDuplicates(comparable(filled)), "deduplicated")
         kept = filled.count()
         if kept < rows_now:
             _note(log, None, "drop_duplicates", None, rows_now - kept)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, hash32
 from plumbline.functions.frames import small_frame
 from plumbline.functions.scalar import parse_date
-from plumbline.plans import value_counts
 from plumbline.plans.stats import TableStats, stats_of
 
 BIN_ABOVE = 20
@@ -133,16 +132,20 @@ def date_columns(table: DataFrame | TableStats, order_by: list[str]) -> list[str
     st = stats_of(table)
     if not st.categorical:
         return []
-    names = [f"order_{i}" for i in range(len(order_by))]
-    keep = st.df.select(
-        *[col(k).alias(n) for k, n in zip(order_by, names)],
-        *[(F.date_format(col(c.name), "yyyy-MM-dd HH:mm:ss") if c.dtype.startswith(("timestamp", "date")) else col(c.name).cast("string")).alias(c.name) for c in st.categorical],
-    )
-    long = value_counts.unpivot(keep, [c for c in TableStats(keep).columns if c.name in {x.name for x in st.categorical}], names)
-    order = Window.partitionBy("column").orderBy(*names, "s")
-    first = long.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= DATE_ROWS)
-    hits = first.groupBy("column").agg(F.avg(parse_date(F.col("s")).isNotNull().cast("double")).alias("share"))
-    found = {r["column"] for r in hits.where(F.col("share") > DATE_SHARE).collect()}
+    typed = [c.name for c in st.categorical if c.dtype.startswith(("timestamp", "date"))]
+    # one bounded top-k per text column: no task sorts more than it keeps
+    firsts = [
+        st.df.where(col(c.name).isNotNull())
+        .orderBy(*[col(k) for k in order_by], col(c.name))
+        .limit(DATE_ROWS)
+        .select(F.lit(c.name).alias("column"), parse_date(col(c.name)).isNotNull().cast("double").alias("hit"))
+        for c in st.categorical
+        if c.is_string
+    ]
+    found = set(typed)
+    if firsts:
+        hits = reduce(DataFrame.unionByName, firsts).groupBy("column").agg(F.avg("hit").alias("share"))
+        found |= {r["column"] for r in hits.where(F.col("share") > DATE_SHARE).collect()}
     return [c.name for c in st.categorical if c.name in found]
 
 

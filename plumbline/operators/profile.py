@@ -149,8 +149,11 @@ def normality_shapiro(table: DataFrame | TableStats, key: str, limit: int = SHAP
     long = value_counts.unpivot(keep, tested, ["key_"]).select(
         "column", "key_", F.coalesce("d", F.col("i").cast("double")).alias("value")
     )
-    order = Window.partitionBy("column").orderBy(hash32(F.col("key_").cast("string")), "key_")
-    sample = long.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SHAPIRO_ROWS)
+    # only rows that can be among the smallest hashes go on to be ranked
+    draw = hash32(F.col("key_").cast("string"))
+    share = min(1.0, 4.0 * SHAPIRO_ROWS / min(st.counts["non_null"][c.name] for c in tested))
+    order = Window.partitionBy("column").orderBy(draw, "key_")
+    sample = long.where(draw <= F.lit(int(share * 2**32))).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SHAPIRO_ROWS)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"column": [pdf["column"].iloc[0]], "p_value": [round(shapiro_p(pdf["value"].to_numpy()), 6)]})

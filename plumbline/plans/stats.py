@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import CATEGORICAL, NUMERIC, ColumnInfo, col, describe_columns, nan_to_null
+from plumbline.functions.columns import CATEGORICAL, NUMERIC, ColumnInfo, col, comparable, describe_columns, nan_to_null
 from plumbline.functions.frames import small_frame
 from plumbline.functions.scalar import looks_numeric
 from plumbline.plans import correlation, quantiles, value_counts
@@ -257,9 +257,9 @@ class TableStats:
         Only 8-byte hashes of all rows are shuffled; whole rows are compared
         where a hash repeats, so hash collisions do not matter.
         """
-        if not self.df.columns:
+        columns = [col(c) for c in comparable(self.df)]
+        if not columns:
             return 0
-        columns = [col(c) for c in self.df.columns]
         hashed = self.df.select(*columns, F.xxhash64(*columns).alias(ROW_HASH))
         repeated = hashed.groupBy(col(ROW_HASH)).agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select(col(ROW_HASH))
         groups = hashed.join(repeated, ROW_HASH, "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("cnt"))

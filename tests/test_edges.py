@@ -124,6 +124,13 @@ def test_booleans_and_dates_are_categorical(spark):
     assert features.date_columns(df, ["n"]) == ["d"]
 
 
+def test_maps_stay_out_of_row_comparison(spark):
+    df = spark.sql("SELECT 1 AS n, 'a' AS s, map('k', 1) AS m FROM range(3)")
+    assert TableStats(df).duplicates == 2
+    assert cleaning.drop_duplicates(df).count() == 1
+    assert quality.quality_score(df).first()["columns"] == 3
+
+
 def test_no_numeric_column(spark):
     df = spark.createDataFrame([("a",), ("b",)], "s string")
     with pytest.raises(ValueError, match="numeric"):
