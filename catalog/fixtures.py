@@ -68,8 +68,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in used:
         sql = re.sub(rf"\b(FROM) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
-
-
-def with_view(name: str, sql: str) -> str:
-    """Oracle text: the view as a CTE named ``fx`` before the query."""
-    return f"WITH fx AS ({VIEWS.get(name, f'SELECT * FROM {name}')})\n{sql}"

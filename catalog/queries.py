@@ -260,8 +260,7 @@ def shapley_model(df: DataFrame) -> DataFrame:
 
 
 def model_report(df: DataFrame) -> DataFrame:
-    other = df.select("k", "q", "d", "flag", CLASS)
-    return leaderboard.report(leaderboard.automl(other, CLASS, KEY, names=["Decision Tree"]))
+    return leaderboard.report(leaderboard.train_model(df.drop(NUMBER), CLASS, KEY))
 
 
 def model_summary(df: DataFrame) -> DataFrame:

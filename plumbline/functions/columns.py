@@ -76,13 +76,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Portable 32-bit hash of the named columns, for hash-ranked sampling."""
-    names = columns or df.columns
-    text = F.concat_ws("\x1f", *[F.coalesce(col(c).cast("string"), F.lit("\x1e")) for c in names])
-    return hash32(text)
-
-
 def hash32(text: Column) -> Column:
     """First 32 bits of md5 as a non-negative bigint; the same in every engine."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")

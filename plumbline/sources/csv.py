@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import col
-from plumbline.functions.scalar import missing_token_to_null
+from plumbline.functions.scalar import NUMERIC_TEXT, missing_token_to_null
 
 OVERFLOW = "plumbline extra field"
 
 # Text that reads as an integer, and as a boolean.
-INTEGER_TEXT = r"^[ \t]*[+-]?[0-9]{1,18}[ \t]*$"
+INTEGER_TEXT = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
 BOOLEAN_TEXT = r"^(True|False|TRUE|FALSE|true|false)$"
-# Fixed value: text that reads as a finite or infinite number.
-NUMBER_TEXT = r"(?i)^[ \t]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|infinity)[ \t]*$"
 
 
 class BadInput(ValueError):
@@ -58,8 +56,11 @@ def _typed(raw: DataFrame, names: list[str]) -> DataFrame:
     clean = raw.select(*[missing_token_to_null(col(n)).alias(n) for n in names], col(OVERFLOW))
     aggs = [F.count(F.lit(1)).alias("rows"), F.count(col(OVERFLOW)).alias("wide")]
     for i, n in enumerate(names):
-        for kind, pattern in (("int", INTEGER_TEXT), ("num", NUMBER_TEXT), ("bool", BOOLEAN_TEXT)):
-            aggs.append(F.coalesce(F.bool_and(col(n).rlike(pattern)), F.lit(False)).alias(f"{kind}{i}"))
+        whole = col(n).rlike(INTEGER_TEXT) & F.trim(col(n)).try_cast("bigint").isNotNull()
+        fits = {"int": whole, "num": col(n).rlike(NUMERIC_TEXT), "bool": col(n).rlike(BOOLEAN_TEXT)}
+        for kind, test in fits.items():
+            all_fit = F.bool_and(F.when(col(n).isNotNull(), test))
+            aggs.append(F.coalesce(all_fit, F.lit(False)).alias(f"{kind}{i}"))
         aggs.append(F.count(col(n)).alias(f"n{i}"))
     row = clean.agg(*aggs).first()
     if not row["rows"]:

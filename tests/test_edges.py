@@ -39,6 +39,12 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
     assert [r["f"] for r in rows] == [2.0, 1.5, 1000.0]
 
 
+def test_csv_wide_integers(spark, tmp_path):
+    df = csv.read_csv(spark, write(tmp_path, "a,b\n9223372036854775807,9223372036854775808\nNA, 7 \n"))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double"}
+    assert {r["a"] for r in df.collect()} == {2**63 - 1, None}
+
+
 def test_csv_short_rows_are_filled(spark, tmp_path):
     assert csv.read_csv(spark, write(tmp_path, "a,b\n1,2\n3\n")).orderBy("a").collect()[1]["b"] is None
 
