@@ -398,7 +398,7 @@ FROM (SELECT mn, (mx - mn) / k AS w, least(floor(({{c}} - mn) / ((mx - mn) / k))
     sql["feat_quartile_bin"] = query(R, f"SELECT id, {bins} FROM fx", st(R))
     sql["feat_zscore"] = query(R, "SELECT id, " + ", ".join(f"round(({c} - (SELECT mean FROM st WHERE col = '{c}')) / (SELECT std FROM st WHERE col = '{c}'), 4) + 0.0 AS {c}_z" for c in ("bal", "nearly_flat", "skewed")) + " FROM fx", st(R))
     branches = "\nUNION ALL ".join(
-        f"SELECT l_orderkey, l_linenumber, '{a}_x_{b}' AS feature, round({a}::DOUBLE * {b}::DOUBLE, 2) AS \"value\" FROM fx WHERE '{a}_x_{b}' IN (SELECT name FROM chosen)" for a, b in combinations(nums(C), 2))
+        f"SELECT l_orderkey, l_linenumber, '{a}_x_{b}' AS feature, {a}::DOUBLE * {b}::DOUBLE AS \"value\" FROM fx WHERE '{a}_x_{b}' IN (SELECT name FROM chosen)" for a, b in combinations(nums(C), 2))
     sql["feat_interaction"] = query(C, branches, corr(C), "chosen AS MATERIALIZED (SELECT a || '_x_' || b AS name FROM pairs WHERE abs(r) > 0.5 ORDER BY i, j LIMIT 3)")
     sql["feat_ratio"] = query(C, "SELECT l_orderkey, l_linenumber, round(l_orderkey / (l_linenumber + 1e-9::DOUBLE), 4) AS l_orderkey_per_l_linenumber, round(l_linenumber / (l_quantity + 1e-9::DOUBLE), 4) AS l_linenumber_per_l_quantity FROM fx")
     sql["feat_binary"] = query(R, "SELECT id, coalesce(seg = (SELECT seg FROM fx GROUP BY seg ORDER BY count(*) DESC, seg LIMIT 1), false)::INT AS seg_enc FROM fx")

@@ -102,7 +102,7 @@ def interaction_feature(df: DataFrame) -> DataFrame:
     """Long form, as the pairs depend on the data."""
     pairs = features.interaction_pairs(df)
     names = [f"{a}_x_{b}" for a, b in pairs]
-    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.round(col(n), 2).alias("value")) for n in names])
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), col(n).alias("value")) for n in names])
     return features.add_interaction(df, pairs).select("l_orderkey", "l_linenumber", F.inline(cells))
 
 
