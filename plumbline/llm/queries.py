@@ -8,6 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import byte_bpe_roundtrip
+from plumbline.llm.html_text import extract_pages
+from plumbline.llm.quality_mil import fit_quality, score_quality
+from plumbline.llm.secret_scan import scan_secrets, secret_digest
+from plumbline.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +20,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe_roundtrip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = (op4_quality_mil, op5_byte_bpe, op8_html_text, op9_token_counts, op10_secret_scan)
+
+
 def build() -> dict[str, Query]:
-    return {"op5_byte_bpe": op5_byte_bpe}
+    return {query.__name__: query for query in QUERIES}
 
 
 def oracle() -> dict[str, str]:
