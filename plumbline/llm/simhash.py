@@ -32,7 +32,7 @@ SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
 #: Members of a list whose pairs are tallied directly.
-LIST_LIMIT = 4096
+LIST_LIMIT = 1024
 #: Members of a five-byte list from which flipping bits is cheaper than tallying.
 FLIP_FROM = 4096
 SLICE_BYTES = 1_000_000
