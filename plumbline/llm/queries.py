@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.byte_bpe import byte_bpe_roundtrip
+from plumbline.llm.decontamination import find_leaks
 from plumbline.llm.html_text import extract_pages
 from plumbline.llm.quality_mil import fit_quality, score_quality
 from plumbline.llm.secret_scan import scan_secrets, secret_digest
+from plumbline.llm.simhash import simhash_components
+from plumbline.llm.substring_dedup import remove_repeats
 from plumbline.llm.token_counts import count_tokens
+from plumbline.llm.topk import top_k
+from plumbline.llm.transcripts import chat_format
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +26,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -30,6 +48,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_roundtrip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -42,7 +68,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op4_quality_mil, op5_byte_bpe, op8_html_text, op9_token_counts, op10_secret_scan)
+QUERIES = (
+    op1_decontamination, op2_simhash, op3_topk, op4_quality_mil, op5_byte_bpe, op6_chat_format, op7_substring_dedup, op8_html_text, op9_token_counts, op10_secret_scan,
+)
+
+OP3_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.t, d.t)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS "rank", vec_id, score FROM s
+QUALIFY "rank" <= 20"""
+
+OP7_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, [w for w in string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if w <> ''] AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d),
+k AS MATERIALIZED (SELECT doc_id, s, array_to_string(w[s : s + 49], ' ') AS k FROM p),
+f AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+g AS (SELECT DISTINCT doc_id, s + unnest(range(0, 50)) AS at FROM (SELECT doc_id, s FROM k JOIN f USING (k) WHERE doc_id > least)),
+r AS (SELECT doc_id, list(at) AS gone FROM g GROUP BY doc_id),
+x AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+  sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE list_select(w, [i for i in range(1, len(w) + 1) if NOT list_contains(gone, i)]) END, ' ')) AS kept_sha256 FROM x"""
 
 
 def build() -> dict[str, Query]:
@@ -50,4 +97,4 @@ def build() -> dict[str, Query]:
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op3_topk": OP3_SQL, "op7_substring_dedup": OP7_SQL}
