@@ -17,8 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in one packed row; a single longer text makes a row of its own.
-CHUNK_BYTES = 32_000_000
-NO_MERGE = 2**31 - 1
-RANK_BITS, BUCKET_BITS = 17, 15
-#: Stands before and after a word's ids and merges with nothing.
+CHUNK_BYTES = 24_000_000
+RANK_BITS, BUCKET_BITS, PLACE_BITS = 17, 15, 29
+#: Stands before and after a word's ids and merges with nothing; as a rank, no merge.
 EDGE = (1 << RANK_BITS) - 1
 #: Odd multiplier of the pair keys; a key has 34 bits, so that the product stays within a bigint.
 SPREAD = 0x19E3779B
@@ -56,8 +57,8 @@ def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Plain reference of the merge order: always the leftmost pair of lowest rank."""
     parts = [word[i : i + 1] for i in range(len(word))]
     while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, NO_MERGE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == NO_MERGE:
+        rank, at = min((ranks.get(a + b, EDGE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == EDGE:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
@@ -110,45 +111,56 @@ def rank_map(path: str) -> RankMap:
 # -- packing -----------------------------------------------------------------
 
 
-def stretches(text: str) -> list[str]:
-    """``text`` cut before every run of white space: the pattern splits each piece by itself."""
+def stretches(text: str) -> list[str | tuple[str]]:
+    """``text`` cut before every run of white space: the pattern splits each piece by itself.
+
+    A plain string stands for itself with a space in front, a tuple for what it holds.
+    """
     if _ODD_SPACE.search(text):
-        return _STRETCH.findall(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+        return [(x,) for x in _STRETCH.findall(text)]
+    pieces = text.split(" ")
+    pieces[0] = (pieces[0],)
+    return pieces
 
 
 def _pack(pattern: str):
     find = regex.compile(pattern).findall
 
-    def flush(ids: list, rows: list, seen: dict[str, int]) -> pa.RecordBatch:
-        words: dict[str, int] = {}
-        parts = [[words.setdefault(w, len(words)) for w in find(piece)] for piece in seen]
+    def flush(ids: list, rows: list, seen: dict) -> pa.RecordBatch:
+        words: dict[str, int] = defaultdict(count().__next__)
+        parts, ends = [], [0]
+        for piece in seen:
+            parts += map(words.__getitem__, find(" " + piece if type(piece) is str else piece[0]))
+            ends.append(len(parts))
         raw = [w.encode() for w in words]
-        ends = np.zeros(len(raw) + 1, dtype=np.int32)
-        np.cumsum([len(w) for w in raw], out=ends[1:])
-        letters = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int16)))
+        letters = _lists(np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int16), np.cumsum([0, *map(len, raw)]))
+        codes = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        columns = [one(letters), one(pa.array(parts, pa.list_(pa.int32()))), one(pa.array(ids, pa.int64())), one(pa.array(rows, pa.list_(pa.int32())))]
+        columns = [one(letters), one(_lists(np.array(parts, dtype=np.int32), np.array(ends))), one(pa.array(ids, pa.int64())), one(codes)]
         return pa.RecordBatch.from_arrays(columns, ["words", "parts", "ids", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, seen, size = [], [], {}, 0
+        ids, rows, seen, size = [], [], defaultdict(count().__next__), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                pieces = stretches(text)
                 size += len(text)
                 ids.append(doc_id)
-                rows.append(np.fromiter((seen.setdefault(x, len(seen)) for x in stretches(text)), dtype=np.int32))
+                rows.append(np.fromiter(map(seen.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
                 if size >= CHUNK_BYTES:
                     yield flush(ids, rows, seen)
-                    ids, rows, seen, size = [], [], {}, 0
+                    ids, rows, seen, size = [], [], defaultdict(count().__next__), 0
         if ids:
             yield flush(ids, rows, seen)
 
     return run
 
 
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+
 # -- the fold ------------------------------------------------------------------
 
 
@@ -162,47 +174,45 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def encode_words(words: Column, ranks: RankMap) -> Column:
-    """Token ids of every byte array in ``words`` (array<array<smallint>>)."""
-    byte_rank, shift, slots = (_literal(v, "array<bigint>") for v in (ranks.byte_rank, ranks.shift, ranks.slots))
-
-    edge, none = F.lit(EDGE), F.lit(NO_MERGE)
+    """Token ids of every byte array in ``words`` (array<array<smallint>>).
 
-    def looked_up(keys: Column) -> Column:
-        """The rank of every pair key, or NO_MERGE."""
-        mixed = F.transform(keys, lambda k: k * F.lit(SPREAD))
-        bucket = lambda m: F.shiftright(m, 12).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-        slot = lambda m: (F.shiftright(m, 28) + F.get(shift, bucket(m))).bitwiseAND(F.lit((1 << ranks.slot_bits) - 1)).cast("int")
-        found = F.transform(mixed, lambda m: F.get(slots, slot(m)))
-        return F.transform(found, lambda e, i: F.when(F.shiftright(e, RANK_BITS) == F.get(keys, i), e.bitwiseAND(F.lit((1 << RANK_BITS) - 1))).otherwise(none))
-
-    pair = lambda a, b: F.shiftleft(a, RANK_BITS).bitwiseOR(b)
-
-    def state_of(ids: Column, found: Column) -> Column:
-        return F.struct(ids.alias("ids"), found.alias("found"))
-
-    def merged(state: Column, at: Column) -> Column:
-        """Joins the tokens at ``at`` and ``at + 1`` and ranks the two pairs that are new."""
-        ids, found = state["ids"], state["found"]
-        new = F.get(found, at - 1)
-        keys = F.array(pair(F.get(ids, at - 2), new), pair(new, F.get(ids, at + 1)))
-        rest = F.size(ids)
-        return state_of(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, rest)),
-            F.concat(F.slice(found, F.lit(1), at - 2), _let(keys, looked_up), F.slice(found, at + 2, rest)),
-        )
+    The state of the fold is one bigint per token: the rank of merging it with
+    the next token, its place in the word, and its id. The smallest of them is
+    the leftmost merge of lowest rank.
+    """
+    byte_rank, shift, slots = (_literal(v, "array<bigint>") for v in (ranks.byte_rank, ranks.shift, ranks.slots))
+    id_mask, low = F.lit(EDGE), RANK_BITS + PLACE_BITS
+    none = F.lit(EDGE << low)
+
+    def ranked(base: Column, key: Column) -> Column:
+        """``base`` with the rank of its pair in front; a slot of another key is far off and so no merge."""
+        mixed = key * F.lit(SPREAD)
+        by = F.get(shift, F.shiftright(mixed, 12).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
+        entry = F.get(slots, (F.shiftright(mixed, 28) + by).bitwiseAND(F.lit((1 << ranks.slot_bits) - 1)).cast("int"))
+        rank = F.least(id_mask, (entry - F.shiftleft(key, RANK_BITS)).bitwiseAND(F.lit(2**63 - 1)))
+        return F.shiftleft(rank, low).bitwiseOR(base)
+
+    def merged(state: Column, first: Column, at: Column) -> Column:
+        """Joins the tokens at ``at`` and ``at + 1``; the token before and the new one meet new neighbours."""
+        new = F.shiftright(first, low)
+        before, after = F.get(state, at - 2), F.get(state, at + 1)
+        bases = F.array(before.bitwiseAND(F.lit((1 << low) - 1)), first.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << RANK_BITS)).bitwiseOR(new))
+        keys = F.array(F.shiftleft(before.bitwiseAND(id_mask), RANK_BITS).bitwiseOR(new), F.shiftleft(new, RANK_BITS).bitwiseOR(after.bitwiseAND(id_mask)))
+        return F.concat(F.slice(state, F.lit(1), at - 2), F.zip_with(bases, keys, ranked), F.slice(state, at + 2, F.size(state)))
 
     def step(state: Column, _: Column) -> Column:
-        found = state["found"]
-        lowest = F.array_min(found)
-        return F.when(lowest == none, state).otherwise(_let(F.array_position(found, lowest).cast("int"), lambda at: merged(state, at)))
+        first = F.array_min(state)
+        return F.when(first >= none, state).otherwise(_let(first, lambda m: _let(F.array_position(state, m).cast("int"), lambda at: merged(state, m, at))))
 
     def start(ids: Column) -> Column:
-        keys = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: pair(a, F.get(ids, i + 1)))
-        return state_of(ids, _let(keys, looked_up))
+        place = lambda i: F.shiftleft(i.cast("bigint"), RANK_BITS)
+        pair = lambda a, i: F.shiftleft(a, RANK_BITS).bitwiseOR(F.coalesce(F.get(ids, i + 1), id_mask))
+        return F.zip_with(F.transform(ids, lambda a, i: place(i).bitwiseOR(a)), F.transform(ids, pair), ranked)
 
     def encode(word: Column) -> Column:
-        ids = F.concat(F.array(edge), F.transform(word, lambda b: F.get(byte_rank, b.cast("int"))), F.array(edge))
-        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), _let(ids, start), step, lambda state: F.slice(state["ids"], F.lit(2), F.size(state["ids"]) - 2))
+        ids = F.concat(F.array(id_mask.cast("bigint")), F.transform(word, lambda b: F.get(byte_rank, b.cast("int"))), F.array(id_mask.cast("bigint")))
+        inner = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda t: t.bitwiseAND(id_mask))
+        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), _let(ids, start), step, inner)
 
     return F.transform(words, encode)
 
@@ -236,7 +246,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word_ends = np.concatenate([[0], np.cumsum(per_word)])
             piece_ends = word_ends[part_ends]
             raw = one["decoded"].to_pylist()
-            texts = [b"".join([raw[w] for w in parts[a:b]]) for a, b in zip(part_ends, part_ends[1:])]
+            of_parts, cuts = parts.tolist(), part_ends.tolist()
+            texts = [raw[of_parts[a]] if b - a == 1 else b"".join([raw[w] for w in of_parts[a:b]]) for a, b in zip(cuts, cuts[1:])]
             pieces, row_ends = lists["rows"]
             out: list[list] = [[], [], [], []]
             for doc_id, a, b in zip(one["ids"].to_pylist(), row_ends, row_ends[1:]):
@@ -245,7 +256,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[0].append(doc_id)
                 out[1].append(len(ids))
                 out[2].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                out[3].append(hashlib.sha256(b"".join([texts[i] for i in chosen.tolist()])).hexdigest())
+                out[3].append(hashlib.sha256(b"".join(map(texts.__getitem__, chosen.tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -52,14 +52,27 @@ _WORD, _NUM, _CAP, _UNIT, _EMPTY = range(5)
 
 
 class _Tokens(dict):
-    """word -> position in parallel lists of kind, hash of the folded word, and whether a sentence ends."""
+    """word -> position in parallel arrays of kind, hash of the folded word, and whether a sentence ends."""
 
     def __init__(self):
-        self.kinds: list[int] = []
-        self.hashes: list[int] = []
-        self.ends: list[bool] = []
+        super().__init__()
+        self.new: list[tuple[int, int, bool]] = []
+        self.filled = 0
+        self.kinds, self.hashes, self.ends = np.zeros(1024, dtype=np.int8), np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=bool)
 
     def __missing__(self, word: str) -> int:
+        stem = word[:-1] if word[-1] in ".,!?:" else word
+        if stem.isalpha():  # most words: no edges to strip and no digits
+            folded = stem.casefold()
+            if folded in NUMBER_WORDS:
+                kind = _NUM
+            elif folded in UNITS:
+                kind = _UNIT
+            else:
+                kind = _CAP if len(stem) > 1 and stem[0].isupper() and stem[1:].islower() else _WORD
+            at = self[word] = len(self)
+            self.new.append((kind, xxhash.xxh64_intdigest(folded, 5), word[-1] in ".!?:"))
+            return at
         bare = _EDGES.sub("", word)
         folded = bare.casefold()
         number = _NUMBER.fullmatch(bare)
@@ -73,10 +86,8 @@ class _Tokens(dict):
             kind = _CAP
         else:
             kind = _WORD
-        at = self[word] = len(self.kinds)
-        self.kinds.append(kind)
-        self.hashes.append(xxhash.xxh64_intdigest(folded, 5))
-        self.ends.append(bool(_ENDS.search(word)))
+        at = self[word] = len(self)
+        self.new.append((kind, xxhash.xxh64_intdigest(folded, 5), bool(_ENDS.search(word))))
         return at
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,14 +95,22 @@ class _Tokens(dict):
             self.clear()
             self.__init__()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        kinds, hashes, ends = self._arrays()
-        return kinds[at], hashes[at], ends[at]
-
-    def _arrays(self):
-        if getattr(self, "_n", -1) != len(self.kinds):
-            self._n = len(self.kinds)
-            self._kept = (np.array(self.kinds, dtype=np.int8), np.array(self.hashes, dtype=np.uint64), np.array(self.ends, dtype=bool))
-        return self._kept
+        self._fill()
+        return self.kinds[at], self.hashes[at], self.ends[at]
+
+    def _fill(self) -> None:
+        """Moves new words into the arrays, which double when they are full."""
+        if not self.new:
+            return
+        end = self.filled + len(self.new)
+        while end > len(self.kinds):
+            self.kinds, self.hashes, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.hashes, self.ends))
+        kinds, hashes, ends = zip(*self.new)
+        self.kinds[self.filled : end] = kinds
+        self.hashes[self.filled : end] = np.array(hashes, dtype=np.uint64)
+        self.ends[self.filled : end] = ends
+        self.filled = end
+        self.new.clear()
 
 
 _SLOT = {_NUM: np.uint64(0x51ED270B7A1C9F35), _CAP: np.uint64(0x2545F4914F6CDD1D)}

@@ -245,3 +245,27 @@ def score_quality(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_score(model), RESULT)
+
+
+def _keep(model: AttentionModel, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(text.as_py() or "").encode() for text in batch.column(column)]
+            accepted: list[np.ndarray] = []
+            start = 0
+            while start < len(texts):  # groups of bounded bytes
+                end, size = start, 0
+                while end < len(texts) and size < GROUP_BYTES:
+                    size += len(texts[end]) + 64
+                    end += 1
+                accepted.append(model.scores(*passages(texts[start:end])) >= THRESHOLD)
+                start = end
+            if accepted:
+                yield batch.filter(pa.array(np.concatenate(accepted)))
+
+    return run
+
+
+def keep_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all their columns; a null text is scored as an empty one."""
+    return docs.mapInArrow(_keep(model, docs.columns.index(text_col)), docs.schema)
