@@ -31,11 +31,13 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
+    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold main text, and those that do not outside the article.
 NEVER = frozenset("script style title noscript template iframe object svg math canvas audio video nav aside footer form button select textarea menu dialog datalist".split())
 OUTSIDE = frozenset(("header", "hgroup"))
+#: Elements that an element of a kind closes without an end tag.
+SIBLINGS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 CLOSES_P = BLOCKS - {"body", "html"}
 HOLDERS = frozenset("article main section div td body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -103,7 +105,7 @@ class _Lines(HTMLParser):
                         break
                     if self.open[depth][0] in HOLDERS:
                         break
-            if tag == "li" and self.open[-1][0] == "li":
+            if self.open[-1][0] in SIBLINGS.get(tag, ()):
                 self._pop_to(len(self.open) - 1)
         elif tag in NEVER:
             self._end_line() if tag in ("textarea", "select", "iframe") else None
@@ -119,8 +121,6 @@ class _Lines(HTMLParser):
         if tag in HOLDERS:
             self.holders.append(holder)
             holder = len(self.holders) - 1
-        elif tag in ("td", "th"):
-            self.words.append(" ")
         self.open.append((tag, masked or hides, landmark, holder))
 
     def handle_endtag(self, tag: str) -> None:
@@ -152,18 +152,19 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def dense(ratios: np.ndarray) -> np.ndarray:
-    """Lines in the upper of two clusters; all of them when the values do not differ."""
-    low, high = float(ratios.min()), float(ratios.max())
+    """Lines whose smoothed or own ratio is in the upper of two clusters of the
+    smoothed ratios; all lines when those do not differ."""
+    smooth = smoothed(ratios)
+    low, high = float(smooth.min()), float(smooth.max())
     if high - low < 1e-9:
         return np.ones(len(ratios), dtype=bool)
     for _ in range(50):
-        cut = (low + high) / 2
-        upper = ratios >= cut
-        new = (float(ratios[~upper].mean()), float(ratios[upper].mean()))
+        upper = smooth >= (low + high) / 2
+        new = (float(smooth[~upper].mean()), float(smooth[upper].mean()))
         if new == (low, high):
             break
         low, high = new
-    return ratios >= (low + high) / 2
+    return np.maximum(smooth, ratios) >= (low + high) / 2
 
 
 def main_text(html: str) -> str:
@@ -175,7 +176,7 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    strong = dense(smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _, _ in lines])))
+    strong = dense(np.array([len(text) / max(1, tags) for text, tags, _, _, _ in lines]))
     free = [i for i, line in enumerate(lines) if not line[2]]
     marked = [i for i in free if lines[i][3] >= 0]
     if marked:
