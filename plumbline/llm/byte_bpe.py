@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in one packed row; a single longer text makes a row of its own.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 RANK_BITS, BUCKET_BITS, PLACE_BITS = 17, 15, 29
 #: Stands before and after a word's ids and merges with nothing; as a rank, no merge.
 EDGE = (1 << RANK_BITS) - 1
@@ -198,7 +198,7 @@ def encode_words(words: Column, ranks: RankMap) -> Column:
         before, after = F.get(state, at - 2), F.get(state, at + 1)
         bases = F.array(before.bitwiseAND(F.lit((1 << low) - 1)), first.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << RANK_BITS)).bitwiseOR(new))
         keys = F.array(F.shiftleft(before.bitwiseAND(id_mask), RANK_BITS).bitwiseOR(new), F.shiftleft(new, RANK_BITS).bitwiseOR(after.bitwiseAND(id_mask)))
-        return F.concat(F.slice(state, F.lit(1), at - 2), F.zip_with(bases, keys, ranked), F.slice(state, at + 2, F.size(state)))
+        return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), F.zip_with(bases, keys, ranked), F.slice(state, at + 2, F.size(state))))
 
     def step(state: Column, _: Column) -> Column:
         first = F.array_min(state)
