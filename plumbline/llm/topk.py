@@ -23,7 +23,7 @@ from plumbline.llm.scratch import written
 SCALE = 64
 BLOCK_ROWS = 512
 #: Blocks that travel together, and queries that are scored together.
-SLICE_BLOCKS, QUERY_ROWS = 16, 512
+SLICE_BLOCKS, QUERY_ROWS = 8, 512
 
 SLICES = "dim int, ids binary, rows binary, high binary, low binary"
 
@@ -117,9 +117,8 @@ def _first_kth(k: int):
             for r in batch.to_pylist():
                 at = np.array(r["at"])
                 docs, ids = _matrix(r["d_rows"], r["d_dim"]), np.frombuffer(r["d_ids"], dtype=np.int64)
-                part = slice(r["block"] * BLOCK_ROWS, (r["block"] + 1) * BLOCK_ROWS)
-                scores = _product(_matrix(r["rows"], r["dim"])[at], docs[part])
-                own = np.frombuffer(r["ids"], dtype=np.int64)[at][:, None] == ids[part][None, :]
+                scores = _product(_matrix(r["rows"], r["dim"])[at], docs)
+                own = np.frombuffer(r["ids"], dtype=np.int64)[at][:, None] == ids[None, :]
                 for i, mine, row in zip(r["at"], own, scores):
                     left = row[~mine]
                     if len(left) >= k:
@@ -208,7 +207,11 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id"
     best = best.groupBy("part", "b.slice", "b.block").agg(F.collect_list("at").alias("at"))
 
     full = docs.select(lane, "slice", F.col("dim").alias("d_dim"), F.col("ids").alias("d_ids"), F.col("rows").alias("d_rows"), "high", "low")
-    first = best.join(full.drop("lane", "high", "low"), "slice").join(asks, "part").mapInArrow(_first_kth(k), "part bigint, at int, kth bigint")
+    # only the chosen block travels on to the queries, not its slice
+    wide = F.lit(8) * F.col("d_dim")
+    block = lambda c, width: F.substring(c, (F.col("block") * width * BLOCK_ROWS + 1).cast("int"), (width * BLOCK_ROWS).cast("int")).alias(c)
+    chosen = best.join(full.drop("lane", "high", "low"), "slice").select("part", "at", "d_dim", block("d_ids", F.lit(8)), block("d_rows", wide))
+    first = chosen.join(asks, "part").mapInArrow(_first_kth(k), "part bigint, at int, kth bigint")
     kths = first.groupBy("part").agg(F.collect_list(F.struct("at", "kth")).alias("kths"))
 
     armed = written(asks.join(kths, "part", "left"), "armed")
