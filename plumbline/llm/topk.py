@@ -109,30 +109,31 @@ def _best_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_kth(k: int):
-    """The k-th score of chosen queries within their chosen block."""
+    """The k-th score of chosen queries within their chosen block, and its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for r in batch.to_pylist():
                 at = np.array(r["at"])
                 docs, ids = _matrix(r["d_rows"], r["d_dim"]), np.frombuffer(r["d_ids"], dtype=np.int64)
                 scores = _product(_matrix(r["rows"], r["dim"])[at], docs)
                 own = np.frombuffer(r["ids"], dtype=np.int64)[at][:, None] == ids[None, :]
                 for i, mine, row in zip(r["at"], own, scores):
-                    left = row[~mine]
+                    left, names = row[~mine], ids[~mine]
                     if len(left) >= k:
-                        out[0].append(r["part"])
-                        out[1].append(i)
-                        out[2].append(int(np.partition(left, len(left) - k)[len(left) - k]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64()))], ["part", "at", "kth"])
+                        last = np.lexsort((names, -left))[k - 1]
+                        for column, value in zip(out, (r["part"], i, int(left[last]), int(names[last]))):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["part", "at", "kth", "last"])
 
     return run
 
 
-def top_in_blocks(queries: np.ndarray, own: np.ndarray, kth: np.ndarray, docs: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray, k: int):
-    """Per query the best k of these blocks that reach ``kth``: arrays (query, id, score), and the number of scored rows."""
-    kth = kth.copy()
+def top_in_blocks(queries: np.ndarray, own: np.ndarray, kth: np.ndarray, last: np.ndarray, docs: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray, k: int):
+    """Per query the best k of these blocks that are no worse than score ``kth`` of id ``last``: arrays (query, id, score), and the number of scored rows."""
+    kth, last = kth.copy(), last.copy()
     best = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(queries)
     reach, scored = bounds(queries, high, low), 0
     for block in np.argsort(-reach.sum(axis=0), kind="stable"):
@@ -143,14 +144,14 @@ def top_in_blocks(queries: np.ndarray, own: np.ndarray, kth: np.ndarray, docs: n
         scores = _product(queries[live], docs[rows])
         scored += scores.size
         for q, row in zip(live, scores):
-            hit = np.flatnonzero((row >= kth[q]) & (ids[rows] != own[q]))
+            hit = np.flatnonzero(((row > kth[q]) | (row == kth[q]) & (ids[rows] <= last[q])) & (ids[rows] != own[q]))
             if not len(hit):
                 continue
             s, i = np.concatenate([best[q][0], row[hit]]), np.concatenate([best[q][1], ids[rows][hit]])
             order = np.lexsort((i, -s))[:k]
             best[q] = (s[order], i[order])
             if len(order) == k:
-                kth[q] = s[order[-1]]
+                kth[q], last[q] = s[order[-1]], i[order[-1]]
     n = [len(s) for s, _ in best]
     return np.repeat(np.arange(len(queries)), n), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best]), scored
 
@@ -161,11 +162,11 @@ def _cells(k: int):
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
                 own, dim = np.frombuffer(r["ids"], dtype=np.int64), r["d_dim"]
-                kth = np.full(len(own), np.iinfo(np.int64).min)
+                kth, last = np.full(len(own), np.iinfo(np.int64).min), np.full(len(own), np.iinfo(np.int64).max)
                 for first in r["kths"] or []:
-                    kth[first["at"]] = first["kth"]
+                    kth[first["at"]], last[first["at"]] = first["kth"], first["last"]
                 docs, ids = _matrix(r["d_rows"], dim), np.frombuffer(r["d_ids"], dtype=np.int64)
-                q, found, scores, _ = top_in_blocks(_matrix(r["rows"], r["dim"]), own, kth, docs, ids, _matrix(r["high"], dim), _matrix(r["low"], dim), k)
+                q, found, scores, _ = top_in_blocks(_matrix(r["rows"], r["dim"]), own, kth, last, docs, ids, _matrix(r["high"], dim), _matrix(r["low"], dim), k)
                 if len(q):
                     columns = [pa.array(np.full(len(q), r["part"])), pa.array(q.astype(np.int32)), pa.array(own[q]), pa.array(found), pa.array(scores)]
                     yield pa.RecordBatch.from_arrays(columns, ["part", "at", "query_id", "vec_id", "score"])
@@ -203,7 +204,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id"
     summary = dealt(docs.select(lane, "slice", F.col("dim").alias("d_dim"), "high", "low"))
     reach = everywhere(asks.select("part", "dim", "rows")).join(summary, "lane")
     best = reach.mapInArrow(_best_block, "part bigint, at int, bound double, slice bigint, block int")
-    best = best.groupBy("part", "at").agg(F.max_by(F.struct("slice", "block"), F.struct("bound", "slice")).alias("b"))
+    best = best.groupBy("part", "at").agg(F.max_by(F.struct("slice", "block"), F.struct("bound", -F.col("slice"), -F.col("block"))).alias("b"))
     best = best.groupBy("part", "b.slice", "b.block").agg(F.collect_list("at").alias("at"))
 
     full = docs.select(lane, "slice", F.col("dim").alias("d_dim"), F.col("ids").alias("d_ids"), F.col("rows").alias("d_rows"), "high", "low")
@@ -211,8 +212,8 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id"
     wide = F.lit(8) * F.col("d_dim")
     block = lambda c, width: F.substring(c, (F.col("block") * width * BLOCK_ROWS + 1).cast("int"), (width * BLOCK_ROWS).cast("int")).alias(c)
     chosen = best.join(full.drop("lane", "high", "low"), "slice").select("part", "at", "d_dim", block("d_ids", F.lit(8)), block("d_rows", wide))
-    first = chosen.join(asks, "part").mapInArrow(_first_kth(k), "part bigint, at int, kth bigint")
-    kths = first.groupBy("part").agg(F.collect_list(F.struct("at", "kth")).alias("kths"))
+    first = chosen.join(asks, "part").mapInArrow(_first_kth(k), "part bigint, at int, kth bigint, last bigint")
+    kths = first.groupBy("part").agg(F.collect_list(F.struct("at", "kth", "last")).alias("kths"))
 
     armed = written(asks.join(kths, "part", "left"), "armed")
     found = everywhere(armed).join(dealt(full), "lane").mapInArrow(_cells(k), "part bigint, at int, query_id bigint, vec_id bigint, score bigint")

@@ -187,7 +187,7 @@ def test_blocks_are_pruned():
     high = np.stack([docs[i : i + topk.BLOCK_ROWS].max(0) for i in range(0, len(docs), topk.BLOCK_ROWS)])
     low = np.stack([docs[i : i + topk.BLOCK_ROWS].min(0) for i in range(0, len(docs), topk.BLOCK_ROWS)])
     ids, queries = np.arange(len(docs)), docs[:: topk.BLOCK_ROWS]
-    q, found, scores, scored = topk.top_in_blocks(queries, ids[:: topk.BLOCK_ROWS], np.full(8, np.iinfo(np.int64).min), docs, ids, high, low, 5)
+    q, found, scores, scored = topk.top_in_blocks(queries, ids[:: topk.BLOCK_ROWS], np.full(8, np.iinfo(np.int64).min), np.full(8, np.iinfo(np.int64).max), docs, ids, high, low, 5)
     assert scored < 0.6 * len(queries) * len(docs)
     for i in range(8):
         all_scores = docs @ queries[i]
