@@ -53,6 +53,14 @@ SELECT event_id AS id,
        WHEN event_id % 13 = 0 THEN NULL ELSE value END AS v,
   CASE WHEN event_id % 5 = 0 THEN 'NA' WHEN event_id % 5 = 1 THEN '' WHEN event_id % 5 = 2 THEN 'null' ELSE event_type END AS raw_text
 FROM events""",
+    "fx_step": """
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS k,
+  CASE WHEN l_linenumber > 3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v,
+  CASE WHEN l_linenumber > 3 THEN 'hi' ELSE 'lo' END AS y_txt,
+  CASE WHEN l_linenumber > 3 THEN CAST(10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y_num FROM lineitem""",
+    "fx_far": """
+SELECT event_id AS id, CASE WHEN event_id % 20 = 0 THEN CAST(1000000 + event_id AS DOUBLE) ELSE CAST(event_id % 2 AS DOUBLE) END AS v FROM events""",
+    "fx_wide": "SELECT o_orderkey AS id, 1234567890123 + 7 * o_orderkey AS big, o_totalprice * 1000000 AS dear FROM orders",
     "fx_code": """
 SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS num_text,
   CASE WHEN o_orderkey % 5 < 3 THEN '12d' ELSE CAST(o_custkey AS STRING) END AS code_text FROM orders""",

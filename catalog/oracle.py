@@ -51,7 +51,13 @@ def each(columns, template: str) -> str:
 
 
 def r(x: str, digits: int = 4) -> str:
-    """Round as the reports do: 4 decimals, 12 significant digits from 1e8 on."""
+    """Round as the reports do."""
+    x = f"({x})"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN NULL ELSE round({x}, {digits}) + 0.0 END"
+
+
+def rs(x: str, digits: int = 4) -> str:
+    """A result of sums, which differ by the order of summation: 12 significant digits from 1e8 on, as the query shows it."""
     x = f"({x})"
     step = f"pow(10.0, floor(log10(abs({x}))) - 11)"
     return (
@@ -181,14 +187,14 @@ def suggestions(view: str) -> str:
     names = nums(view)
 
     def rule(kind, priority, title, text, suffix, where):
-        return f"SELECT '{kind}' AS \"type\", col AS \"column\", '{priority}' AS priority, '{title} ' || col AS title, '{text}' AS description, col || '{suffix}' AS feature FROM st WHERE n >= 5 AND {where}"
+        return f"SELECT '{kind}' AS \"type\", col AS \"column\", '{priority}' AS priority, '{title} ' || col AS title, {text} AS description, col || '{suffix}' AS feature FROM st WHERE n >= 5 AND {where}"
 
     parts = [
-        rule("log_transform", "high", "Log of", "strong skew, all values positive", "_log", "abs(skew) > 2 AND negs = 0 AND zeros = 0"),
-        rule("sqrt_transform", "medium", "Square root of", "skew without negatives", "_sqrt", "abs(skew) > 1 AND negs = 0"),
-        rule("binning", "low", "Quartile bins of", "many distinct values", "_bin", "uniq > 20"),
-        rule("normalize", "medium", "Standardise", "distance-based models need one scale", "_z", "true"),
-        "SELECT 'interaction', a || ' × ' || b, 'medium', 'Interaction ' || a || ' × ' || b, 'the pair is correlated', a || '_x_' || b FROM (SELECT * FROM pairs WHERE abs(r) > 0.5 ORDER BY i, j LIMIT 3)",
+        rule("log_transform", "high", "Log of", "printf('skewness %.2f, all values positive', abs(skew))", "_log", "abs(skew) > 2 AND negs = 0 AND zeros = 0"),
+        rule("sqrt_transform", "medium", "Square root of", "printf('skewness %.2f, no negatives', abs(skew))", "_sqrt", "abs(skew) > 1 AND negs = 0"),
+        rule("binning", "low", "Quartile bins of", "uniq || ' distinct values'", "_bin", "uniq > 20"),
+        rule("normalize", "medium", "Standardise", "'distance-based models need one scale'", "_z", "true"),
+        "SELECT 'interaction', a || ' × ' || b, 'medium', 'Interaction ' || a || ' × ' || b, printf('correlation %.2f', r), a || '_x_' || b FROM (SELECT * FROM pairs WHERE abs(r) > 0.5 ORDER BY i, j LIMIT 3)",
     ]
     for a, b in [(names[0], names[1]), (names[1], names[2 % len(names)])]:
         parts.append(f"SELECT 'ratio', '{a}/{b}', 'low', 'Ratio {a}/{b}', 'relative size, free of scale', '{a}_per_{b}'")
@@ -196,7 +202,7 @@ def suggestions(view: str) -> str:
         kinds = [("= 2", "binary_encode", "high", "_enc"), ("<= 10 AND uniq <> 2", "onehot", "high", "_*"), ("BETWEEN 11 AND 50", "target_encode", "medium", "_target"), ("> 50", "hash_encode", "low", "_hash")]
         some = ", ".join(f"'{c}'" for c in cats(view))
         for test, kind, priority, suffix in kinds:
-            parts.append(f"SELECT '{kind}', col, '{priority}', 'Encode ' || col, CASE WHEN uniq > 50 THEN 'over 50' ELSE uniq::VARCHAR END || ' categories', col || '{suffix}' FROM miss WHERE col IN ({some}) AND uniq {test}")
+            parts.append(f"SELECT '{kind}', col, '{priority}', 'Encode ' || col, uniq::VARCHAR || ' categories', col || '{suffix}' FROM miss WHERE col IN ({some}) AND uniq {test}")
     return "sug AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")"
 
 
@@ -250,22 +256,40 @@ FROM (DESCRIBE lineitem) JOIN miss ON col = column_name GROUP BY 1""", miss("lin
     sql["preview"] = """SELECT coalesce(o_orderkey::VARCHAR, '') AS o_orderkey, coalesce(o_custkey::VARCHAR, '') AS o_custkey,
   coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)"""
     sql["dataset_summary"] = "SELECT count(*) AS rows, 6 AS columns, (SELECT string_agg(column_name, ',') FROM (DESCRIBE orders)) AS column_names FROM orders"
-    report_parts = f"""SELECT 'original_shape' AS section, NULL AS subject, 'rows' AS metric, rows::DOUBLE AS "value" FROM score
-UNION ALL SELECT 'original_shape', NULL, 'columns', columns FROM score
-UNION ALL SELECT 'quality', NULL, unnest(['overall_score', 'completeness', 'uniqueness', 'outlier_score', 'validity']), unnest([overall_score, completeness, uniqueness, outlier_score, validity]) FROM score
-UNION ALL SELECT 'missing', col, 'missing', missing FROM miss
-UNION ALL SELECT 'missing', col, 'missing_pct', {pct('missing', 'n_rows')} FROM miss
-UNION ALL SELECT 'insight', "column", "type", "value" FROM ins
-UNION ALL SELECT 'cleaned_shape', NULL, 'rows', count(*) FROM (SELECT DISTINCT * FROM fx)
-UNION ALL SELECT 'cleaned_shape', NULL, 'columns', 10
-UNION ALL SELECT 'anomaly', NULL, unnest(['total_rows', 'iqr_rows', 'iqr_pct', 'zscore_rows', 'zscore_pct']), unnest([n::DOUBLE, iq::DOUBLE, {pct('iq', 'n')}, z::DOUBLE, {pct('z', 'n')}]) FROM anom"""
+    nothing = "NULL::VARCHAR"
+    numeric = [("mean", rs("mean")), ("std", rs("std")), ("min", r("mn")), ("max", r("mx")), ("q25", r("q1")), ("median", r("q2")), ("q75", r("q3")), ("skewness", r("skew")), ("kurtosis", r("kurt")),
+               ("outlier_count", "outl"), ("missing_count", "missing"), ("unique_count", "st.uniq")]
+    names = ", ".join(f"'{n}'" for n, _ in numeric)
+    values = ", ".join(f"({x})::DOUBLE" for _, x in numeric)
+    limits = [("count", "outl"), ("pct", pct("outl", "n_rows")), ("lower_bound", r("lo")), ("upper_bound", r("hi")), ("min_anomaly", r("omin")), ("max_anomaly", r("omax"))]
+    common = "top AS (SELECT col, arg_min(v, (-cnt, v)) AS v, max(cnt) AS cnt, sum(cnt) AS total, count(*) AS k FROM vc GROUP BY col)"
+
+    def report_parts(view: str, cleaned: bool) -> str:
+        parts = [f"""SELECT 'original_shape' AS section, NULL AS subject, 'rows' AS metric, rows::DOUBLE AS "value", {nothing} AS text FROM score""",
+            f"SELECT 'original_shape', NULL, 'columns', columns, {nothing} FROM score",
+            f"SELECT 'quality', NULL, unnest(['overall_score', 'completeness', 'uniqueness', 'outlier_score', 'validity']), unnest([overall_score, completeness, uniqueness, outlier_score, validity]), {nothing} FROM score",
+            f"SELECT 'totals', NULL, 'missing', sum(missing), {nothing} FROM miss",
+            f"SELECT 'totals', NULL, 'duplicates', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx)), {nothing} FROM fx",
+            f"SELECT 'totals', NULL, 'outliers', sum(outl), {nothing} FROM fence",
+            f"SELECT 'missing', col, 'missing', missing, {nothing} FROM miss",
+            f"SELECT 'missing', col, 'missing_pct', {pct('missing', 'n_rows')}, {nothing} FROM miss",
+            """SELECT 'insight', "column", "type", "value", severity || ': ' || title || '. ' || description FROM ins""",
+            f"SELECT 'column', col, unnest([{names}]), unnest([{values}]), {nothing} FROM st JOIN fence USING (col) JOIN (SELECT col, missing FROM miss) USING (col)",
+            "SELECT 'column', col, 'dtype', NULL, dt FROM miss WHERE col IN (SELECT col FROM st) OR col IN (SELECT col FROM top)",
+            f"SELECT 'column', col, unnest(['missing_count', 'unique_count']), unnest([missing::DOUBLE, uniq::DOUBLE]), {nothing} FROM miss JOIN top USING (col)",
+            "SELECT 'column', col, 'top_value', NULL, v FROM top",
+            f"SELECT 'anomaly', NULL, unnest(['total_rows', 'iqr_rows', 'iqr_pct', 'zscore_rows', 'zscore_pct']), unnest([n::DOUBLE, iq::DOUBLE, {pct('iq', 'n')}, z::DOUBLE, {pct('z', 'n')}]), {nothing} FROM anom",
+            "SELECT 'anomaly_column', col, unnest([" + ", ".join(f"'{n}'" for n, _ in limits) + "]), unnest([" + ", ".join(f"({x})::DOUBLE" for _, x in limits) + f"]), {nothing} FROM st JOIN fence USING (col) WHERE outl > 0"]
+        if cleaned:
+            parts += [f"SELECT 'cleaned_shape', NULL, 'rows', count(*), {nothing} FROM (SELECT DISTINCT * FROM fx)", f"SELECT 'cleaned_shape', NULL, 'columns', 10, {nothing}"]
+        return query(view, "\nUNION ALL ".join(parts), st(view), fence(view), miss(view), vc(view), corr(view), text_share(view), score(view), insight(view), anom(view), common)
+
     def anom(view: str) -> str:
         iq = " OR ".join(f"coalesce({c} < (SELECT lo FROM fence WHERE col = '{c}' AND outl > 0) OR {c} > (SELECT hi FROM fence WHERE col = '{c}' AND outl > 0), false)" for c in nums(view))
         z = " OR ".join(f"coalesce(abs({c} - (SELECT mean FROM st WHERE col = '{c}')) / (SELECT std FROM st WHERE col = '{c}' AND n >= 5 AND std > 0) > 3, false)" for c in nums(view))
         return f"anom AS MATERIALIZED (SELECT count(*) AS n, count(*) FILTER (WHERE {iq}) AS iq, count(*) FILTER (WHERE {z}) AS z FROM fx)"
-    bare = "\nUNION ALL ".join(p for p in report_parts.split("\nUNION ALL ") if "cleaned_shape" not in p)
-    sql["report_json"] = query(Q, bare, st(Q), fence(Q), miss(Q), vc(Q), corr(Q), text_share(Q), score(Q), insight(Q), anom(Q))
-    sql["report_long"] = query(R, report_parts, st(R), fence(R), miss(R), vc(R), corr(R), text_share(R), score(R), insight(R), anom(R))
+    sql["report_json"] = report_parts(Q, False)
+    sql["report_long"] = report_parts(R, True)
     sql["version_select"] = query("fx_dups", """SELECT 'cleaned' AS choice, count(*) AS rows FROM (SELECT DISTINCT * FROM fx)
 UNION ALL SELECT 'original', count(*) FROM fx UNION ALL SELECT 'fallback', count(*) FROM fx""")
     sql["na_normalise"] = query("fx_nonfinite", "SELECT id, CASE WHEN raw_text IN ('NA', '', 'null') THEN NULL ELSE raw_text END AS raw_text, v IS NULL OR isnan(v) AS v_missing FROM fx")
@@ -279,8 +303,13 @@ UNION ALL SELECT 'original', count(*) FROM fx UNION ALL SELECT 'fallback', count
     sql["iqr_outliers"] = query(Q, f'SELECT st.col AS "column", {r("q1")} AS q1, {r("q3")} AS q3, n AS non_null, outl AS outliers FROM st JOIN fence USING (col)', st(Q), fence(Q))
     sql["validity"] = query("fx_code", "SELECT col AS \"column\", round(share, 4) AS numeric_share, CASE WHEN share > 0.5 THEN 0.5 ELSE 0.0 END::DOUBLE AS issue FROM txt", text_share("fx_code"))
     sql["column_stats_numeric"] = query(O, f"""SELECT st.col AS "column", dt AS dtype, missing AS missing_count, {pct('missing', 'st.n_rows')} AS missing_pct, st.uniq AS unique_count,
-  {r('mean')} AS mean, {r('std')} AS std, {r('mn')} AS min, {r('mx')} AS max, {r('q1')} AS q25, {r('q2')} AS median, {r('q3')} AS q75,
+  {rs('mean')} AS mean, {rs('std')} AS std, {r('mn')} AS min, {r('mx')} AS max, {r('q1')} AS q25, {r('q2')} AS median, {r('q3')} AS q75,
   {r('skew')} AS skewness, {r('kurt')} AS kurtosis, outl AS outlier_count FROM st JOIN fence USING (col) JOIN miss USING (col)""", st(O), fence(O), miss(O))
+    wide = """SELECT '{c}' AS "column", CASE '{c}' WHEN 'dear' THEN 'double' ELSE 'bigint' END AS dtype, count(*) - count({c}) AS missing_count, 0.0::DOUBLE AS missing_pct,
+  count(DISTINCT {c}) AS unique_count, MEAN AS mean, STD AS std, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max,
+  round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q75, 0::BIGINT AS outlier_count FROM fx"""
+    sql["column_stats_wide"] = query("fx_wide", "\nUNION ALL ".join(
+        wide.replace("MEAN", rs(f"avg({c}::DOUBLE)")).replace("STD", f"round(stddev_samp({c}::DOUBLE), 1)").replace("{c}", c) for c in ("id", "big", "dear")))
     top = "top AS (SELECT col, arg_min(v, (-cnt, v)) AS v, max(cnt) AS cnt, sum(cnt) AS total, count(*) AS k FROM vc GROUP BY col)"
     sql["column_stats_categorical"] = query(R, f"""SELECT col AS "column", dt AS dtype, missing AS missing_count, {pct('missing', 'n_rows')} AS missing_pct, uniq AS unique_count, v AS top_value
 FROM miss JOIN top USING (col)""", miss(R), vc(R), top)
@@ -346,11 +375,11 @@ UNION ALL SELECT col, 'skewed', {r('skew')} FROM st WHERE abs(round(skew, 4)) >
     sql["data_bytes"] = query(Q, each(nums(Q), "SELECT '{c}' AS \"column\", 8 * count({c}) AS bytes FROM fx") + "\nUNION ALL " + each(cats(Q), "SELECT '{c}', coalesce(sum(strlen({c})), 0)::BIGINT FROM fx"))
     sql["profile_columns"] = query(R, f'SELECT col AS "column", dt AS dtype, n AS count, missing, {pct("missing", "n_rows")} AS missing_pct, uniq AS "unique", {pct("uniq", "n_rows")} AS unique_pct FROM miss', miss(R))
     names = [("mean", "mean"), ("std", "std"), ("variance", "variance"), ("mn", "min"), ("mx", "max"), ("mx - mn", "range"), ("q1", "q1"), ("q2", "median"), ("q3", "q3"), ("q3 - q1", "iqr"), ("skew", "skewness"), ("kurt", "kurtosis"), ("std / nullif(mean, 0)", "cv")]
-    sql["profile_numeric"] = query(O, 'SELECT col AS "column", ' + ", ".join(f"{r(x)} AS {n}" for x, n in names) + " FROM st WHERE n > 0", st(O))
+    sql["profile_numeric"] = query(O, 'SELECT col AS "column", ' + ", ".join(f"{rs(x) if n in ('mean', 'std', 'variance') else r(x)} AS {n}" for x, n in names) + " FROM st WHERE n > 0", st(O))
     sql["profile_outliers"] = query(O, f'SELECT col AS "column", raw_out AS outliers, {pct("raw_out", "n")} AS outlier_pct FROM st JOIN fence USING (col) WHERE n > 0', st(O), fence(O))
     sql["profile_signs"] = query(C, 'SELECT col AS "column", zeros, negs AS negatives FROM st WHERE n > 0', st(C))
     jb = "(n / 6.0 * (pow(skew * (n - 2) / sqrt(n::DOUBLE * (n - 1)), 2) + pow((kurt * (n - 2) * (n - 3) / (n - 1)::DOUBLE - 6) / (n + 1), 2) / 4))"
-    sql["normality_jb"] = query(O, f'SELECT col AS "column", n, {r(jb)} AS jb, round(exp(-{jb} / 2), 6) AS p_value, exp(-{jb} / 2) > 0.05 AS is_normal FROM st WHERE n > 4', st(O))
+    sql["normality_jb"] = query(O, f'SELECT col AS "column", n, {rs(jb)} AS jb, round(exp(-{jb} / 2), 6) AS p_value, exp(-{jb} / 2) > 0.05 AS is_normal FROM st WHERE n > 4', st(O))
     sql["numeric_sample"] = query(O, each(nums(O), "SELECT * FROM (SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY id) AS \"rank\", {c}::DOUBLE AS \"value\" FROM fx WHERE {c} IS NOT NULL) WHERE \"rank\" <= 2000"))
     ranked = 'SELECT col AS "column", "rank", v AS "value", cnt AS count FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, v) AS "rank" FROM vc) WHERE "rank" <= '
     sql["category_top_k"] = query(R, ranked + "20", vc(R))
@@ -435,6 +464,7 @@ FROM (SELECT mn, (mx - mn) / k AS w, least(floor(({{c}} - mn) / ((mx - mn) / k))
     (SELECT coalesce(sum(n), 0)::DOUBLE FROM cm WHERE label = c AND prediction = c) AS hit FROM (SELECT label AS c FROM cm UNION SELECT prediction FROM cm)))"""]
     sql["metrics_classification"] = query(M, "SELECT round(sum(hit) / sum(sup), 4) AS accuracy, round(sum(f * sup) / sum(sup), 4) AS f1_score FROM cls", *rule)
     sql["classification_report"] = query(M, """SELECT class, round(p, 4) AS precision, round(rc, 4) AS recall, round(f, 4) AS f1, sup::BIGINT AS support FROM cls
+UNION ALL SELECT 'accuracy', round(sum(hit) / sum(sup), 4), round(sum(hit) / sum(sup), 4), round(sum(hit) / sum(sup), 4), sum(sup)::BIGINT FROM cls
 UNION ALL SELECT 'macro avg', round(avg(p), 4), round(avg(rc), 4), round(avg(f), 4), sum(sup)::BIGINT FROM cls
 UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 4), round(sum(rc * sup) / sum(sup), 4), round(sum(f * sup) / sum(sup), 4), sum(sup)::BIGINT FROM cls""", *rule)
     sql["metrics_regression"] = query(M, "SELECT round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae, round(1 - avg(e * e) / var_pop(y), 4) AS r2_score FROM (SELECT y_num AS y, y_num - (2 * q + 4) AS e FROM fx)")
@@ -442,6 +472,7 @@ UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 4), round(sum(rc
         sql[f"model_{name.lower()}"] = linear(f"SELECT 'q' AS term, round(b, 6) AS weight FROM w WHERE model = '{name}' UNION ALL SELECT '(intercept)', round(my - b * mx, 6) FROM w WHERE model = '{name}'")
     sql["leaderboard_rank"] = linear(BOARD_SQL)
     sql["leaderboard_roundtrip"] = linear(BOARD_SQL)
+    sql["leaderboard_predict"] = linear(f"SELECT k, round(my + b * (q - mx), 3) AS prediction FROM fx, w WHERE model = (SELECT model FROM ({BOARD_SQL}) WHERE is_best)")
 
     sql["leaderboard_summary"] = linear(f"""SELECT 'regression' AS task, (SELECT model FROM ({BOARD_SQL}) WHERE is_best) AS best_model, 2 AS n_models_trained, 1 AS n_models_failed,
   count(*) FILTER (WHERE NOT is_test) AS n_train, count(*) FILTER (WHERE is_test) AS n_test FROM prep""")
@@ -451,4 +482,25 @@ UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 4), round(sum(rc
     sql["shapley_global"] = shap("SELECT * FROM imp")
     sql["shapley_points"] = shap('SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY k) AS point, "value", contribution, importance FROM phi JOIN imp USING (feature) QUALIFY point <= 50')
     sql["shapley_row"] = shap("SELECT feature, contribution, CASE WHEN contribution >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM phi WHERE k = (SELECT min(k) FROM phi)")
+    # inputs whose results are known
+    S = "fx_step"
+    cls = ["Decision Tree", "Extra Trees", "Gradient Boosting", "KNN", "Logistic Regression", "Random Forest"]
+    num = [m for m in cls if m != "Logistic Regression"]
+    right = "(SELECT avg(CASE WHEN (v = 1) = (y_txt = 'hi') AND 10 * v = y_num THEN 1.0 ELSE 0.0 END) FROM fx)::DOUBLE"
+    sql["step_leaderboard"] = query(S, "\nUNION ALL ".join(
+        [f"SELECT 'y_txt' AS target, {i} AS \"rank\", '{m}' AS model, 'success' AS status, {right} AS score, {right} AS accuracy, {right} AS f1_score, NULL::DOUBLE AS rmse, NULL::DOUBLE AS mae, NULL::DOUBLE AS r2_score, {i} = 1 AS is_best" for i, m in enumerate(cls, 1)]
+        + [f"SELECT 'y_num', {i}, '{m}', 'success', {right}, NULL, NULL, 0.0::DOUBLE, 0.0::DOUBLE, {right}, {i} = 1" for i, m in enumerate(num, 1)]))
+    sql["step_importance"] = query(S, f"SELECT 'v' AS feature, {right} AS importance")
+    test = "test AS (SELECT * FROM fx WHERE ('0x' || substr(md5(k), 1, 8))::BIGINT % 10000 < 2000)"
+    sql["step_report"] = query(S, """SELECT y_txt AS class, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, count(*) AS support FROM test GROUP BY y_txt
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), 1.0, 1.0, 1.0, (SELECT count(*) FROM test)""", test)
+    train = "train AS (SELECT * FROM fx WHERE ('0x' || substr(md5(k), 1, 8))::BIGINT % 10000 >= 2000)"
+    sql["step_shapley"] = query(S, """SELECT 'v' AS feature, round(avg(abs(round(v - m, 6))), 6) AS importance, NULL::VARCHAR AS warning
+FROM (SELECT v FROM test ORDER BY k LIMIT 200), (SELECT avg(v) AS m FROM (SELECT v FROM train ORDER BY k LIMIT 100))""", test, train)
+    sql["step_fallback"] = query(S, f"SELECT 'v' AS feature, {right} AS importance, true AS warned")
+    far = "id % 20 = 0"
+    sql["far_summary"] = query("fx_far", f"""SELECT n AS total_rows, f AS iqr_rows, z AS zscore_rows, {pct('f', 'n')} AS iqr_pct, {pct('z', 'n')} AS zscore_pct, f AS iforest_rows, {pct('f', 'n')} AS iforest_pct FROM (
+  SELECT count(*) AS n, count(*) FILTER ({far}) AS f, count(*) FILTER (abs(v - m) / s > 3) AS z FROM fx, (SELECT avg(v) AS m, stddev_samp(v) AS s FROM fx))""")
+    sql["far_rows"] = query("fx_far", f"SELECT id, {far} AS is_anomaly FROM fx")
+    sql["far_flagged"] = query("fx_far", f"SELECT id FROM fx WHERE {far} ORDER BY id LIMIT 100")
     return sql

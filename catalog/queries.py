@@ -28,6 +28,19 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.select(*[F.round(col(c), digits).alias(c) if c in names else col(c) for c in df.columns])
 
 
+def _sums(df: DataFrame, *names: str) -> DataFrame:
+    """Results of sums as shown here: 12 significant digits from 1e8 on, as
+    further digits depend on the order in which an engine adds up."""
+
+    def shown(c: str):
+        x = col(c)
+        step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 11)
+        large = F.when(step > 1, F.round(x / step) * step).otherwise(F.round(x, 3))
+        return F.when(F.abs(x) < 1e8, x).otherwise(large).alias(c)
+
+    return df.select(*[shown(c) if c in names else col(c) for c in df.columns])
+
+
 # -- sources --------------------------------------------------------------
 
 
@@ -236,10 +249,17 @@ def board_rows(df: DataFrame) -> DataFrame:
 def board_roundtrip(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "automl")
     leaderboard.save(_linear_run(df), path)
-    leaderboard.load_model(df.sparkSession, path)
     return leaderboard.load_leaderboard(df.sparkSession, path).select(*BOARD)
 
 
+def board_predict(df: DataFrame) -> DataFrame:
+    """Raw rows through the kept preparation and the best model that was read back."""
+    path = scratch_path(df.sparkSession, "automl")
+    leaderboard.save(_linear_run(df), path)
+    found = leaderboard.load_model(df.sparkSession, path).predict(df)
+    return found.select("k", F.round("prediction", 3).alias("prediction"))
+
+
 def full_board(df: DataFrame) -> DataFrame:
     run = leaderboard.automl(df.drop(NUMBER), CLASS, KEY)
     return run.leaderboard.select("rank", "model", "status", "score", "accuracy", "f1_score", "is_best", "train_time_sec")
@@ -274,6 +294,51 @@ def fallback(df: DataFrame) -> DataFrame:
     return explain.shapley_fallback(fitted, df.sparkSession, "asked for the stand-in")
 
 
+# -- inputs whose results are known: a label that is a step in one column, and rows planted far out --
+
+
+def step_board(df: DataFrame) -> DataFrame:
+    """All models that can follow a step exactly, as classes and as numbers."""
+    trees = ["Random Forest", "Extra Trees", "Gradient Boosting", "Decision Tree", "KNN"]
+    boards = []
+    for target, task, names in ((CLASS, training.CLASSIFICATION, [*trees, "Logistic Regression"]), (NUMBER, training.REGRESSION, trees)):
+        prepared = training.prepare_features(df.select("k", "v", target), target, KEY, task)
+        run = leaderboard.train_candidates(prepared, names=names)
+        boards.append(run.leaderboard.select(F.lit(target).alias("target"), "rank", "model", "status", "score", "accuracy", "f1_score", "rmse", "mae", "r2_score", "is_best"))
+    return reduce(DataFrame.unionByName, boards)
+
+
+def _step_tree(df: DataFrame):
+    prepared = _features(df, CLASS)
+    train, test = leaderboard.split(prepared, 0.2)
+    return prepared, train, test, models.fit("Decision Tree", prepared, train)
+
+
+def step_importance(df: DataFrame) -> DataFrame:
+    return _step_tree(df)[3].importance_frame(df.sparkSession)
+
+
+def step_shapley(df: DataFrame) -> DataFrame:
+    prepared, train, test, fitted = _step_tree(df)
+    return explain.explain_or_importance(fitted, prepared.task, test, train, prepared.names, KEY)
+
+
+def step_fallback(df: DataFrame) -> DataFrame:
+    """A model that fails while its scores are computed."""
+    prepared, train, test, fitted = _step_tree(df)
+    fitted.predict = lambda rows: rows.withColumn("prediction", F.raise_error(F.lit("fails while it runs")))
+    found = explain.explain_or_importance(fitted, training.REGRESSION, test, train, prepared.names, KEY)
+    return found.select("feature", "importance", F.col("warning").contains("fails while it runs").alias("warned"))
+
+
+def far_summary(df: DataFrame) -> DataFrame:
+    return anomaly.anomaly_summary(df, ["id"], scores(df))
+
+
+def far_rows(df: DataFrame) -> DataFrame:
+    return scores(df).select("id", "is_anomaly")
+
+
 def build() -> dict[str, Query]:
     quality_view, corr, rules, outlier, ml = "fx_quality", "fx_corr", "fx_rules", "fx_outlier", "fx_ml"
     order = ["id", "price", "priority", "status", "spiky", "cust_text", "day_text"]
@@ -293,7 +358,8 @@ def build() -> dict[str, Query]:
         "duplicate_count": ("fx_dups", quality.duplicate_count),
         "iqr_outliers": (quality_view, quality.iqr_outliers),
         "validity": ("fx_code", quality.validity),
-        "column_stats_numeric": (outlier, quality.column_stats_numeric),
+        "column_stats_numeric": (outlier, lambda d: _sums(quality.column_stats_numeric(d), "mean", "std")),
+        "column_stats_wide": ("fx_wide", lambda d: _rounded(_sums(quality.column_stats_numeric(d), "mean"), 1, "std").drop("skewness", "kurtosis")),
         "column_stats_categorical": (rules, quality.column_stats_categorical),
         "quality_grade": (quality_view, quality.quality_grade),
         "suggest_missing": (quality_view, quality.suggest_missing),
@@ -317,11 +383,11 @@ def build() -> dict[str, Query]:
         "profile_overview": (quality_view, profile.profile_overview),
         "data_bytes": (quality_view, profile.data_bytes),
         "profile_columns": (rules, profile.profile_columns),
-        "profile_numeric": (outlier, profile.profile_numeric),
+        "profile_numeric": (outlier, lambda d: _sums(profile.profile_numeric(d), "mean", "std", "variance")),
         "profile_outliers": (outlier, profile.profile_outliers),
         "profile_signs": (corr, profile.profile_signs),
-        "normality_shapiro": ("customer", lambda d: profile.normality_shapiro(d, "c_custkey", limit=10**12)),
-        "normality_jb": (outlier, profile.normality_jb),
+        "normality_shapiro": ("customer", lambda d: profile.normality_shapiro(d, ["c_custkey"])),
+        "normality_jb": (outlier, lambda d: _sums(profile.normality_jb(d), "jb")),
         "numeric_sample": (outlier, lambda d: profile.numeric_sample(d, ["id"])),
         "category_top_k": (rules, profile.category_top_k),
         "category_summary": (rules, profile.category_summary),
@@ -352,7 +418,7 @@ def build() -> dict[str, Query]:
         "iqr_row_flags": (outlier, lambda d: anomaly.iqr_row_flags(d, ["id"])),
         "iqr_column_summary": (outlier, anomaly.iqr_column_summary),
         "zscore_flags": (outlier, lambda d: anomaly.zscore_flags(d, ["id"])),
-        "anomaly_summary": (outlier, anomaly.anomaly_summary),
+        "anomaly_summary": (outlier, lambda d: anomaly.anomaly_summary(d, ["id"])),
         "iforest_summary": (outlier, lambda d: anomaly.iforest_summary(scores(d))),
         "iforest_flagged": (outlier, lambda d: anomaly.flagged_keys(scores(d), ["id"])),
         "anomaly_sample": (outlier, lambda d: anomaly.anomaly_sample(d, scores(d), ["id"])),
@@ -387,6 +453,7 @@ def build() -> dict[str, Query]:
         "feature_importance": (ml, importance),
         "leaderboard_rank": (ml, board_rows),
         "leaderboard_roundtrip": (ml, board_roundtrip),
+        "leaderboard_predict": (ml, board_predict),
         "automl_leaderboard": (ml, full_board),
         "shapley_values": (ml, shapley),
         "shapley_global": (ml, lambda d: explain.shapley_global(shapley(d))),
@@ -396,6 +463,14 @@ def build() -> dict[str, Query]:
         "model_report": (ml, model_report),
         "leaderboard_summary": (ml, model_summary),
         "shapley_fallback": (ml, fallback),
+        "step_leaderboard": ("fx_step", step_board),
+        "step_importance": ("fx_step", step_importance),
+        "step_report": ("fx_step", lambda d: leaderboard.report(leaderboard.train_model(d.drop(NUMBER), CLASS, KEY))),
+        "step_shapley": ("fx_step", step_shapley),
+        "step_fallback": ("fx_step", step_fallback),
+        "far_summary": ("fx_far", far_summary),
+        "far_rows": ("fx_far", far_rows),
+        "far_flagged": ("fx_far", lambda d: anomaly.flagged_keys(scores(d), ["id"])),
     }
     result = {name: _on(view, make) for name, (view, make) in single.items()}
     result["model_random_forest"] = fitted_metrics("Random Forest", CLASS, NUMBER)

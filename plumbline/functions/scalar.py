@@ -24,23 +24,18 @@ DATE_FORMATS = (
     "MM/dd/yyyy",
     "dd-MM-yyyy",
     "dd MMM yyyy",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][XXX]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]",
+    "yyyy-MM-dd HH:mm",
+    "MM/dd/yyyy HH:mm[:ss]",
+    "MMM d, yyyy",
+    "yyyyMMdd",
 )
 
-ROUND_LIMIT = 1e8
-
 
 def round_stat(c: Column, digits: int = 4) -> Column:
-    """Round to ``digits`` decimals; non-finite becomes NULL.
-
-    From 1e8 on, a double cannot carry four decimals that survive a different
-    summation order, so large values keep 12 significant digits instead: the
-    same table then gives the same report however it was partitioned.
-    """
-    step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 11)
-    large = F.when(step > 1, F.round(c / step) * step).otherwise(F.round(c, 3))
-    return F.when(
-        finite_test(c), F.when(F.abs(c) < ROUND_LIMIT, F.round(c, digits)).otherwise(large)
-    )
+    """Round to ``digits`` decimals at any size; non-finite becomes NULL."""
+    return F.when(finite_test(c), F.round(c, digits))
 
 
 def finite_test(c: Column) -> Column:

@@ -98,10 +98,9 @@ def iforest_trees(table: DataFrame | TableStats, key: list[str], seed: int = SEE
     """Node table of an isolation forest: at most 100 trees of 511 nodes.
 
     Each tree grows from its own random rows, chosen by hash of the row key, so
-    a retried task draws the same rows. Rows offer themselves by a hash share
-    that expects four times the rows needed: the shuffle carries a bounded
-    sample at any size. A large table deals each offered row to one tree; a
-    small one lets every tree draw from all rows.
+    a retried task draws the same rows. Every tree draws from all rows: a row
+    offers itself to a tree by a hash share that expects four times the rows
+    needed, so that the shuffle carries a bounded sample at any size.
     """
     st = stats_of(table)
     _numeric_or_raise(st)
@@ -110,19 +109,13 @@ def iforest_trees(table: DataFrame | TableStats, key: list[str], seed: int = SEE
     per_tree = min(SAMPLE_PER_TREE, rows)
     names = [c.name for c in st.numeric if c.name not in key]
     identity = F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key])
-    spare = 4 * per_tree
-    dealt = rows >= 2 * per_tree * trees
-    if dealt:
-        tree, share = F.pmod(F.xxhash64(identity, F.lit(seed + 1)), F.lit(trees)).cast("int"), min(1.0, spare * trees / rows)
-    else:
-        tree, share = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))), min(1.0, spare / max(rows, 1))
-    draws = _imputed(st, names).select(
-        identity.alias("identity"), F.array(*[col(c) for c in names]).alias("x"), tree.alias("tree")
-    )
-    draw = F.xxhash64("identity", F.lit(seed)) if dealt else F.xxhash64("identity", "tree", F.lit(seed))
+    share = min(1.0, 4 * per_tree / max(rows, 1))
     # xxhash64 spreads evenly over the signed 64-bit range
     ceiling = min(int(share * 2**64) - 2**63, 2**63 - 1)
-    draws = draws.withColumn("draw", draw).where(F.col("draw") <= F.lit(ceiling))
+    draws = _imputed(st, names).select(
+        identity.alias("identity"), F.array(*[col(c) for c in names]).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    )
+    draws = draws.withColumn("draw", F.xxhash64("identity", "tree", F.lit(seed))).where(F.col("draw") <= F.lit(ceiling))
 
     def grow(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(keys[0])
@@ -235,20 +228,24 @@ def iqr_column_summary(table: DataFrame | TableStats) -> DataFrame:
     )
 
 
-def anomaly_summary(table: DataFrame | TableStats) -> DataFrame:
-    """Rows flagged by each cell-wise method, and their share."""
+def anomaly_summary(table: DataFrame | TableStats, key: list[str] = (), scores: DataFrame | None = None) -> DataFrame:
+    """Rows flagged by each cell-wise method, and their share; with ``scores``
+    also those that the forest flags. Key columns are not judged."""
     st = stats_of(table)
     st.together(lambda: st.quartiles(), lambda: st.moments)
-    iqr, z = st.iqr_bounds(), [c.name for c in st.numeric]
+    iqr, names = st.iqr_bounds(), [c.name for c in st.numeric if c.name not in key]
     counted = st.df.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(_any([_outside(iqr, c.name) for c in st.numeric])).alias("iqr_rows"),
-        F.count_if(_any([_z_outside(st, c, 3.0) for c in z])).alias("zscore_rows"),
+        F.count_if(_any([_outside(iqr, c) for c in names])).alias("iqr_rows"),
+        F.count_if(_any([_z_outside(st, c, 3.0) for c in names])).alias("zscore_rows"),
     )
-    return counted.select(
+    summary = counted.select(
         "*", percent(F.col("iqr_rows"), F.col("total_rows")).alias("iqr_pct"),
         percent(F.col("zscore_rows"), F.col("total_rows")).alias("zscore_pct"),
     )
+    if scores is None:
+        return summary
+    return summary.crossJoin(iforest_summary(scores).drop("total_rows"))  # one row each
 
 
 def iforest_summary(scores: DataFrame) -> DataFrame:

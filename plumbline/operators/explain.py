@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -12,53 +13,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.functions.frames import small_frame
+from plumbline.functions.frames import materialise, small_frame
 from plumbline.functions.scalar import finite
 from plumbline.operators.models import Fitted
 from plumbline.operators.training import CLASSIFICATION
 
 EXPLAINED_ROWS = 200
 BACKGROUND_ROWS = 100
-EXACT_FEATURES = 8
 PERMUTATIONS = 24
 TOP_FEATURES = 10
 TOP_ROWS = 15
 POINTS = 50
 
 
-def coalition_weights(features: int, permutations: int = PERMUTATIONS, seed: int = 42) -> dict[int, dict[int, float]]:
-    """Coalition (bit mask) -> feature -> weight of its value.
+def coalition_weights(features: int, permutations: int = PERMUTATIONS, seed: int = 42) -> dict[frozenset[int], dict[int, float]]:
+    """Coalition (set of features) -> feature -> weight of its value.
 
-    Up to eight features every coalition is taken and the values are exact;
-    beyond that, random permutations and their reverses are averaged. Either
-    way the contributions of a row add up to its score minus the mean score.
+    Orders of the features are drawn without replacement; each adds one feature
+    after the other, and what a feature changes is averaged over the orders. So
+    the contributions of a row add up to its score minus the mean score, and
+    they are exact once all orders are drawn. Coalitions that several orders
+    pass through are scored once.
     """
-    weights: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-    if features <= EXACT_FEATURES:
-        for mask in range(2**features):
-            size = mask.bit_count()
-            for j in range(features):
-                if mask >> j & 1:
-                    weights[mask][j] += 1 / (features * math.comb(features - 1, size - 1))
-                else:
-                    weights[mask][j] -= 1 / (features * math.comb(features - 1, size))
-        return weights
-    rng, orders = random.Random(seed), []
-    for _ in range(max(1, permutations // 2)):
-        order = rng.sample(range(features), features)
-        orders += [order, order[::-1]]
-    for order in orders:
-        mask = 0
-        for j in order:
-            weights[mask][j] -= 1 / len(orders)
-            mask |= 1 << j
-            weights[mask][j] += 1 / len(orders)
+    rng, orders = random.Random(seed), set()
+    if math.factorial(min(features, 20)) <= permutations:
+        orders = set(itertools.permutations(range(features)))
+    while len(orders) < min(permutations, math.factorial(min(features, 20))):
+        order = tuple(rng.sample(range(features), features))
+        orders |= {order, order[::-1]}
+    weights: dict[frozenset[int], dict[int, float]] = defaultdict(lambda: defaultdict(float))
+    for order in sorted(orders):
+        for step, j in enumerate(order):
+            weights[frozenset(order[:step])][j] -= 1 / len(orders)
+            weights[frozenset(order[: step + 1])][j] += 1 / len(orders)
     return weights
 
 
 def shapley_values(
     rows: DataFrame, background: DataFrame, names: list[str], key: list[str], score: Callable[[DataFrame], DataFrame],
-    explained: int = EXPLAINED_ROWS, against: int = BACKGROUND_ROWS,
+    explained: int = EXPLAINED_ROWS, against: int = BACKGROUND_ROWS, permutations: int = PERMUTATIONS,
 ) -> DataFrame:
     """(key..., feature, value, contribution) of the first rows.
 
@@ -69,31 +62,33 @@ def shapley_values(
     order = [col(k) for k in key]
     first = rows.orderBy(*order).limit(explained).select(*order, *[col(n).cast("double").alias(n) for n in names])
     base = background.orderBy(*order).limit(against).select(*[col(n).cast("double").alias(n) for n in names]).collect()
-    weights = coalition_weights(len(names))
+    weights = list(coalition_weights(len(names), permutations).items())
     spark = rows.sparkSession
     backs = small_frame(
         spark, [{"back": k, **{f"b{i}": r[n] for i, n in enumerate(names)}} for k, r in enumerate(base)],
         ", ".join(["back int", *[f"b{i} double" for i in range(len(names))]]),
     )
-    # at most 256 coalitions (or 24 orders) of at most 100 background rows per explained row
+    # at most one coalition per order and step, and 100 background rows, per explained row
     spread = first.repartition(spark.sparkContext.defaultParallelism, *order)
-    combos = spread.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in weights]).cast("array<bigint>"))).withColumn(
+    held = small_frame(
+        spark, [{"coalition": m, "holds": [i in members for i in range(len(names))]} for m, (members, _) in enumerate(weights)],
+        "coalition int, holds array<boolean>",
+    )
+    combos = spread.withColumn("coalition", F.explode(F.sequence(F.lit(0), F.lit(len(weights) - 1)))).withColumn(
         "back", F.explode(F.sequence(F.lit(0), F.lit(len(base) - 1)))
     )
-    mixed = combos.join(F.broadcast(backs), "back").select(
-        *order, "mask",
-        *[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, col(n)).otherwise(F.col(f"b{i}")).alias(n)
-          for i, n in enumerate(names)],
+    mixed = combos.join(F.broadcast(held), "coalition").join(F.broadcast(backs), "back").select(
+        *order, "coalition", *[F.when(F.get("holds", F.lit(i)), col(n)).otherwise(F.col(f"b{i}")).alias(n) for i, n in enumerate(names)]
     )
-    values = score(mixed).select(*order, "mask", F.posexplode("outputs").alias("output", "y")).groupBy(*order, "mask", "output").agg(
+    values = score(mixed).select(*order, "coalition", F.posexplode("outputs").alias("output", "y")).groupBy(*order, "coalition", "output").agg(
         F.avg("y").alias("y")
     )
     parts = small_frame(
         spark,
-        [{"mask": m, "feature": names[j], "weight": w} for m, fs in weights.items() for j, w in fs.items()],
-        "mask bigint, feature string, weight double",
+        [{"coalition": m, "feature": names[j], "weight": w} for m, (_, fs) in enumerate(weights) for j, w in fs.items()],
+        "coalition int, feature string, weight double",
     )
-    split = values.join(F.broadcast(parts), "mask").groupBy(*order, "output", "feature").agg(F.sum(F.col("weight") * F.col("y")).alias("phi"))
+    split = values.join(F.broadcast(parts), "coalition").groupBy(*order, "output", "feature").agg(F.sum(F.col("weight") * F.col("y")).alias("phi"))
     outputs = F.count(F.lit(1))
     joined = split.groupBy(*order, "feature").agg(
         F.when(outputs == 1, F.max("phi")).otherwise(F.avg(F.abs("phi"))).alias("contribution")
@@ -138,6 +133,7 @@ def shapley_global(values: DataFrame) -> DataFrame:
 
 def shapley_points(values: DataFrame, key: list[str], features: int = TOP_FEATURES, points: int = POINTS) -> DataFrame:
     """Value and contribution of the first rows, for the most important features."""
+    values = materialise(values, "shapley")  # read twice; the model is called once
     top = shapley_global(values).limit(features)
     order = Window.partitionBy("feature").orderBy(*[col(k) for k in key])
     return values.join(F.broadcast(top), "feature").withColumn("point", F.row_number().over(order)).where(F.col("point") <= points).select(
@@ -147,6 +143,7 @@ def shapley_points(values: DataFrame, key: list[str], features: int = TOP_FEATUR
 
 def shapley_row(values: DataFrame, key: list[str], limit: int = TOP_ROWS) -> DataFrame:
     """Contributions to the first row, largest first, with their direction."""
+    values = materialise(values, "shapley")
     first = values.select(*[col(k) for k in key]).orderBy(*[col(k) for k in key]).limit(1)
     return values.join(F.broadcast(first), key, "left_semi").orderBy(F.abs("contribution").desc(), "feature").limit(limit).select(
         "feature", "contribution", F.when(F.col("contribution") >= 0, "positive").otherwise("negative").alias("direction")
@@ -157,7 +154,8 @@ def explain_or_importance(fitted: Fitted, task: str, rows: DataFrame, background
     """Global importance by Shapley values; when the model cannot be explained,
     its own feature importance with a warning."""
     try:
-        found = shapley_global(shapley_values(rows, background, names, key, model_score(fitted, task)))
+        # written here, so that an error while scoring is met here and not by whoever reads the result
+        found = materialise(shapley_global(shapley_values(rows, background, names, key, model_score(fitted, task))), "importance")
         return found.withColumn("warning", F.lit(None).cast("string"))
     except Exception as failure:
         return shapley_fallback(fitted, rows.sparkSession, str(failure).split("\n")[0])

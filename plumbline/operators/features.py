@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, hash32
 from plumbline.functions.frames import small_frame
 from plumbline.functions.scalar import parse_date
 from plumbline.plans.stats import TableStats, stats_of
+from plumbline.plans.value_counts import unpivot
 
 BIN_ABOVE = 20
 ONE_HOT_LIMIT = 10
@@ -23,11 +24,12 @@ TARGET_SMOOTHING = 10.0
 SUGGESTION = "seq int, type string, column string, priority string, title string, description string, feature string"
 
 
-def _rule(kind: str, priority: str, title: str, text: str, suffix: str):
+def _rule(kind: str, priority: str, title: str, text: str | Column, suffix: str):
     """Columns of a suggestion about one column."""
+    text = F.lit(text) if isinstance(text, str) else text
     return [
         F.lit(kind).alias("type"), F.col("column"), F.lit(priority).alias("priority"),
-        F.concat(F.lit(title + " "), F.col("column")).alias("title"), F.lit(text).alias("description"),
+        F.concat(F.lit(title + " "), F.col("column")).alias("title"), text.alias("description"),
         F.concat(F.col("column"), F.lit(suffix)).alias("feature"),
     ]
 
@@ -39,24 +41,24 @@ def _numeric(st: TableStats) -> DataFrame:
 def suggest_log(table: DataFrame | TableStats) -> DataFrame:
     """Strongly skewed positive columns."""
     return _numeric(stats_of(table)).where("size > 2 AND negatives = 0 AND zeros = 0").select(
-        *_rule("log_transform", "high", "Log of", "strong skew, all values positive", "_log")
+        *_rule("log_transform", "high", "Log of", F.format_string("skewness %.2f, all values positive", "size"), "_log")
     )
 
 
 def suggest_sqrt(table: DataFrame | TableStats) -> DataFrame:
     """Skewed columns without negatives."""
     return _numeric(stats_of(table)).where("size > 1 AND negatives = 0").select(
-        *_rule("sqrt_transform", "medium", "Square root of", "skew without negatives", "_sqrt")
+        *_rule("sqrt_transform", "medium", "Square root of", F.format_string("skewness %.2f, no negatives", "size"), "_sqrt")
     )
 
 
 def suggest_bins(table: DataFrame | TableStats) -> DataFrame:
     """Numeric columns with more than 20 values."""
     st = stats_of(table)
-    distinct = st.distinct_up_to(st.numeric, BIN_ABOVE)
-    wide = small_frame(st.spark, [{"column": c} for c, n in distinct.items() if n > BIN_ABOVE], "column string")
-    return _numeric(st).join(wide, "column", "left_semi").select(
-        *_rule("binning", "low", "Quartile bins of", "many distinct values", "_bin")
+    distinct = st.distinct(st.numeric)
+    wide = small_frame(st.spark, [{"column": c, "values": n} for c, n in distinct.items() if n > BIN_ABOVE], "column string, values bigint")
+    return _numeric(st).join(wide, "column").select(
+        *_rule("binning", "low", "Quartile bins of", F.format_string("%d distinct values", "values"), "_bin")
     )
 
 
@@ -83,11 +85,11 @@ def ratio_pairs(table: DataFrame | TableStats) -> list[tuple[str, str]]:
     return [(names[i], names[(i + 1) % len(names)]) for i in range(2)]
 
 
-def _pairs(st: TableStats, pairs: list[tuple[str, str]], kind: str, priority: str, sign: str, text: str, feature: str) -> DataFrame:
+def _pairs(st: TableStats, pairs: list[tuple[str, str]], kind: str, priority: str, sign: str, texts: list[str], feature: str) -> DataFrame:
     rows = [
         {"type": kind, "column": f"{a}{sign}{b}", "priority": priority, "title": f"{kind.capitalize()} {a}{sign}{b}",
          "description": text, "feature": feature.format(a=a, b=b)}
-        for a, b in pairs
+        for (a, b), text in zip(pairs, texts)
     ]
     return small_frame(st.spark, rows, SUGGESTION.replace("seq int, ", ""))
 
@@ -95,13 +97,15 @@ def _pairs(st: TableStats, pairs: list[tuple[str, str]], kind: str, priority: st
 def suggest_interaction(table: DataFrame | TableStats) -> DataFrame:
     """Products of correlated pairs."""
     st = stats_of(table)
-    return _pairs(st, interaction_pairs(st), "interaction", "medium", " × ", "the pair is correlated", "{a}_x_{b}")
+    pairs = interaction_pairs(st)
+    return _pairs(st, pairs, "interaction", "medium", " × ", [f"correlation {st.correlations[p]:.2f}" for p in pairs], "{a}_x_{b}")
 
 
 def suggest_ratio(table: DataFrame | TableStats) -> DataFrame:
     """Ratios of neighbouring numeric columns."""
     st = stats_of(table)
-    return _pairs(st, ratio_pairs(st), "ratio", "low", "/", "relative size, free of scale", "{a}_per_{b}")
+    pairs = ratio_pairs(st)
+    return _pairs(st, pairs, "ratio", "low", "/", ["relative size, free of scale"] * len(pairs), "{a}_per_{b}")
 
 
 def encoding_of(distinct: int) -> tuple[str, str, str]:
@@ -119,11 +123,10 @@ def suggest_encoding(table: DataFrame | TableStats) -> DataFrame:
     """How to encode each categorical column, by its number of values."""
     st = stats_of(table)
     rows = []
-    for c, n in st.distinct_up_to(st.categorical, TARGET_LIMIT).items():
+    for c, n in st.distinct(st.categorical).items():
         kind, priority, suffix = encoding_of(n)
-        size = f"{n} categories" if n <= TARGET_LIMIT else f"over {TARGET_LIMIT} categories"
         rows.append({"type": kind, "column": c, "priority": priority, "title": f"Encode {c}",
-                     "description": size, "feature": c + suffix})
+                     "description": f"{n} categories", "feature": c + suffix})
     return small_frame(st.spark, rows, SUGGESTION.replace("seq int, ", ""))
 
 
@@ -133,18 +136,15 @@ def date_columns(table: DataFrame | TableStats, order_by: list[str]) -> list[str
     if not st.categorical:
         return []
     typed = [c.name for c in st.categorical if c.dtype.startswith(("timestamp", "date"))]
-    # one bounded top-k per text column: no task sorts more than it keeps
-    firsts = [
-        st.df.where(col(c.name).isNotNull())
-        .orderBy(*[col(k) for k in order_by], col(c.name))
-        .limit(DATE_ROWS)
-        .select(F.lit(c.name).alias("column"), parse_date(col(c.name)).isNotNull().cast("double").alias("hit"))
-        for c in st.categorical
-        if c.is_string
-    ]
+    text = [c for c in st.categorical if c.is_string]
     found = set(typed)
-    if firsts:
-        hits = reduce(DataFrame.unionByName, firsts).groupBy("column").agg(F.avg("hit").alias("share"))
+    if text:
+        # one pass over all columns; the rank limit drops rows before the shuffle
+        names = [f"order_{i}" for i in range(len(order_by))]
+        rows = st.df.select(*[col(k).alias(n) for k, n in zip(order_by, names)], *[col(c.name) for c in text])
+        order = Window.partitionBy("column").orderBy(*names, "s")
+        first = unpivot(rows, text, names).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= DATE_ROWS)
+        hits = first.groupBy("column").agg(F.avg(parse_date(F.col("s")).isNotNull().cast("double")).alias("share"))
         found |= {r["column"] for r in hits.where(F.col("share") > DATE_SHARE).collect()}
     return [c.name for c in st.categorical if c.name in found]
 
@@ -237,7 +237,7 @@ def add_onehot(table: DataFrame | TableStats, columns: list[str]) -> DataFrame:
     """One 0/1 column per value, in place of the column."""
     st = stats_of(table)
     infos = [c for c in st.categorical if c.name in columns]
-    over = [c for c, n in st.distinct_up_to(infos, ONE_HOT_LIMIT).items() if n > ONE_HOT_LIMIT]
+    over = [c for c, n in st.distinct(infos).items() if n > ONE_HOT_LIMIT]
     if over:
         raise ValueError(f"too many values to one-hot encode: {over}")
     values = sorted((r["column"], r["s"]) for r in st.value_counts(infos).select("column", "s").collect())

@@ -28,15 +28,19 @@ def _text(*parts) -> Column:
 
 def insight_skewness(table: DataFrame | TableStats) -> DataFrame:
     """Columns with a long tail: |skewness| above 1."""
+    return _skewness(stats_of(table)).drop("pos")
+
+
+def _skewness(st: TableStats) -> DataFrame:
     size = F.abs("skewness")
     side = F.when(F.col("skewness") > 0, "right").otherwise("left")
-    return stats_of(table).numeric_frame().where((F.col("n") >= 5) & (size > 1)).select(
+    return st.numeric_frame().where((F.col("n") >= 5) & (size > 1)).select(
         *_finding(
             "skewness", F.when(size > 3, "high").when(size > 2, "medium").otherwise("low"), F.round("skewness", 4),
             _text(F.when(size > 2, "High").otherwise("Moderate"), " skew: ", F.col("column")),
             _text("Long ", side, " tail; a log or root transform may help a model"),
         )
-    ).drop("pos")
+    )
 
 
 def insight_correlation(table: DataFrame | TableStats) -> DataFrame:
@@ -73,13 +77,17 @@ def insight_imbalance(table: DataFrame | TableStats) -> DataFrame:
 
 def insight_low_variance(table: DataFrame | TableStats) -> DataFrame:
     """Numeric columns that hardly vary."""
+    return _low_variance(stats_of(table)).drop("pos")
+
+
+def _low_variance(st: TableStats) -> DataFrame:
     cv = F.coalesce(F.try_divide(F.col("std"), F.abs("mean")), F.lit(0.0))
-    return stats_of(table).numeric_frame().where((F.col("n") >= 5) & (cv < 0.01) & (F.col("std") < 0.001)).select(
+    return st.numeric_frame().where((F.col("n") >= 5) & (cv < 0.01) & (F.col("std") < 0.001)).select(
         *_finding(
             "low_variance", F.lit("low"), F.round("std", 6), _text("Near-constant: ", F.col("column")),
             _text("The values hardly vary, so they say little to a model"),
         )
-    ).drop("pos")
+    )
 
 
 def _cardinality(st: TableStats) -> DataFrame:
@@ -117,7 +125,10 @@ def insight_constant(table: DataFrame | TableStats) -> DataFrame:
 
 def insight_summary(table: DataFrame | TableStats) -> DataFrame:
     """One row that describes the table."""
-    st = stats_of(table)
+    return _summary(stats_of(table)).drop("pos")
+
+
+def _summary(st: TableStats) -> DataFrame:
     rows = st.counts["rows"]
     frame = small_frame(
         st.spark,
@@ -134,33 +145,24 @@ def insight_summary(table: DataFrame | TableStats) -> DataFrame:
             ),
             F.lit(None).cast("string"),
         )
-    ).drop("pos")
+    )
 
 
-RULES = (
-    insight_skewness, insight_correlation, insight_imbalance, insight_low_variance,
-    insight_cardinality, insight_constant, insight_summary,
-)
+RULES = (_skewness, _correlation, _imbalance, _low_variance, _cardinality, _constant, _summary)
 
 
-def insights_all(table: DataFrame | TableStats) -> DataFrame:
-    """Every finding, numbered by rule; the rules share one set of passes."""
-    st = stats_of(table)
+def _numbered(st: TableStats) -> DataFrame:
     st.together(lambda: st.correlations, lambda: st.value_summary(st.categorical))
     frames = [rule(st).withColumn("rule_no", F.lit(i)) for i, rule in enumerate(RULES, 1)]
     return reduce(DataFrame.unionByName, frames)
 
 
+def insights_all(table: DataFrame | TableStats) -> DataFrame:
+    """Every finding, numbered by rule; the rules share one set of passes."""
+    return _numbered(stats_of(table)).drop("pos")
+
+
 def insights_report(table: DataFrame | TableStats, limit: int = REPORT_ROWS) -> DataFrame:
     """The first findings in rule order, without the summary."""
-    st = stats_of(table)
-    place = small_frame(st.spark, [{"column": c.name, "pos": c.pos} for c in st.columns], "column string, pos int")
-    first = F.split(F.col("column"), " & ")
-    found = insights_all(st).where("type <> 'summary'").withColumn("lead", first[0]).withColumn("tail", F.get(first, 1))
-    ordered = (
-        found.join(place.select(F.col("column").alias("lead"), F.col("pos").alias("p1")), "lead", "left")
-        .join(place.select(F.col("column").alias("tail"), F.col("pos").alias("p2")), "tail", "left")
-        .orderBy("rule_no", "p1", "p2")
-        .limit(limit)
-    )
+    ordered = _numbered(stats_of(table)).where("type <> 'summary'").orderBy("rule_no", "pos").limit(limit)
     return ordered.select("rule_no", "type", "severity", "column", "value", "title", "description")

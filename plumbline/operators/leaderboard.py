@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col
 from plumbline.functions.frames import deal_out, materialise, small_frame
 from plumbline.operators import models
+from plumbline.operators.neighbours import knn_predict
 from plumbline.operators.training import (
-    CLASSIFICATION, Features, classification_report, metrics_classification, metrics_regression, prepare_features,
+    CLASSIFICATION, Features, Preparation, classification_report, metrics_classification, metrics_regression, prepare_features,
     task_automl, task_single, test_flag,
 )
 
@@ -114,47 +117,109 @@ def train_model(df: DataFrame, target: str, key: list[str], task: str = "auto",
 
 
 def report(trained: Trained) -> DataFrame:
-    """Per-class report of the best model, with class names."""
+    """Per-class report of the best model with class names; of a regression, its errors.
+
+    A run without a successful candidate has nothing to report on.
+    """
+    if trained.best is None:
+        raise ValueError("no candidate was trained successfully")
+    predictions = trained.best.predict(trained.test)
+    if trained.task != CLASSIFICATION:
+        return metrics_regression(predictions)
     names = small_frame(
         trained.leaderboard.sparkSession,
         [{"class": str(float(i)), "name": n} for i, n in enumerate(trained.features.classes)], "class string, name string",
     )
-    rows = classification_report(trained.best.predict(trained.test))
+    rows = classification_report(predictions)
     return rows.join(F.broadcast(names), "class", "left").withColumn("class", F.coalesce("name", "class")).drop("name")
 
 
 # -- keeping a run --------------------------------------------------------
 
 
-def save(trained: Trained, path: str) -> None:
-    """Write the leaderboard and the best model."""
-    trained.leaderboard.write.mode("overwrite").parquet(f"{path}/leaderboard")
-    if trained.best is not None and trained.best.pipeline is not None:
-        trained.best.pipeline.write().overwrite().save(f"{path}/model")
-    elif trained.best is not None:
-        trained.train.write.mode("overwrite").parquet(f"{path}/neighbours")
+MANIFEST = (
+    "run string, task string, model string, target string, names array<string>, key array<string>, classes array<string>, text array<string>"
+)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def save(trained: Trained, path: str) -> None:
+    """Write the leaderboard, the best model and how its rows were prepared.
+
+    Every run gets a folder of its own; the manifest that names the last one is
+    written at the end, so that a reader never meets half a run or the model of
+    an earlier one.
+    """
+    features, spark = trained.features, trained.leaderboard.sparkSession
+    run = uuid.uuid4().hex
+    trained.leaderboard.write.parquet(f"{path}/runs/{run}/leaderboard")
+    model = None
+    if trained.best is not None:
+        model = trained.best.name
+        if trained.best.pipeline is not None:
+            trained.best.pipeline.write().save(f"{path}/runs/{run}/model")
+        else:
+            trained.train.write.parquet(f"{path}/runs/{run}/neighbours")
+        prepared = features.preparation
+        if prepared is not None:
+            prepared.fills.write.parquet(f"{path}/runs/{run}/fills")
+            prepared.codes.write.parquet(f"{path}/runs/{run}/codes")
+    row = {
+        "run": run, "task": trained.task, "model": model, "target": features.target, "names": features.names, "key": features.key, "classes": features.classes,
+        "text": features.preparation.text if features.preparation else None,
+    }
+    small_frame(spark, [row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str):
     try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count()
-        return True
-    except Exception as missing:
-        if "PATH_NOT_FOUND" in str(missing):
-            return False
+        return spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
         raise
 
 
 def load_leaderboard(spark: SparkSession, path: str) -> DataFrame:
     """The last leaderboard; an error when none was kept."""
-    if not _exists(spark, f"{path}/leaderboard"):
+    kept = _manifest(spark, path)
+    if kept is None:
         raise FileNotFoundError(f"no leaderboard under {path}; train one first")
-    return spark.read.parquet(f"{path}/leaderboard")
+    return spark.read.parquet(f"{path}/runs/{kept['run']}/leaderboard")
 
 
-def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    """The best model of the last run, unless that was the nearest neighbours,
-    whose training rows are kept under ``neighbours`` instead."""
-    if not _exists(spark, f"{path}/model"):
+@dataclass
+class Loaded:
+    """The best model of a kept run, ready for raw rows."""
+
+    name: str
+    task: str
+    classes: list[str] | None
+    key: list[str]
+    prepare: Callable[[DataFrame], DataFrame]
+    score: Callable[[DataFrame], DataFrame]
+
+    def predict(self, raw: DataFrame) -> DataFrame:
+        """``raw`` rows, prepared as for the training, with ``prediction`` and the class name ``predicted``."""
+        scored = self.score(self.prepare(raw))
+        if self.classes is None:
+            return scored.select(*[col(k) for k in self.key], "prediction")
+        names = small_frame(raw.sparkSession, [{"number": float(i), "predicted": n} for i, n in enumerate(self.classes)], "number double, predicted string")
+        return scored.join(names, F.col("prediction") == F.col("number"), "left").select(*[col(k) for k in self.key], "prediction", "predicted")
+
+
+def load_model(spark: SparkSession, path: str) -> Loaded:
+    """The best model of the last run, with its preparation; an error when that run had none."""
+    kept = _manifest(spark, path)
+    if kept is None or kept["model"] is None:
         raise FileNotFoundError(f"no model under {path}; train one first")
-    return PipelineModel.load(f"{path}/model")
+    root, names, key = f"{path}/runs/{kept['run']}", list(kept["names"]), list(kept["key"])
+    if kept["model"] == "KNN":
+        train = spark.read.parquet(f"{root}/neighbours")
+        score = lambda rows: knn_predict(train, rows.withColumn("label", F.lit(None).cast("double")), names, key, kept["task"], models.NEIGHBOURS)
+    else:
+        score = PipelineModel.load(f"{root}/model").transform
+    prepare = lambda raw: raw
+    if kept["text"] is not None:
+        prepared = Preparation(names, list(kept["text"]), spark.read.parquet(f"{root}/fills"), spark.read.parquet(f"{root}/codes"))
+        prepare = lambda raw: prepared.apply(raw, key)
+    return Loaded(kept["model"], kept["task"], kept["classes"], key, prepare, score)

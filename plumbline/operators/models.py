@@ -19,7 +19,8 @@ from plumbline.operators.training import CLASSIFICATION, Features
 
 SEED = 42
 TREES = 100
-FOREST_DEPTH = 12
+# MLlib grows no tree deeper than this
+FOREST_DEPTH = 30
 BOOST_ROUNDS = 100
 NEIGHBOURS = 5
 
@@ -38,23 +39,23 @@ class Fitted:
         return small_frame(spark, rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def _forest(task: str, **options):
-    common = dict(numTrees=TREES, maxDepth=FOREST_DEPTH, seed=SEED, cacheNodeIds=True, maxMemoryInMB=512)
+def _forest(task: str, max_depth: int, **options):
+    common = dict(numTrees=TREES, maxDepth=max_depth, seed=SEED, cacheNodeIds=True, maxMemoryInMB=512)
     if task == CLASSIFICATION:
         return RandomForestClassifier(featureSubsetStrategy="sqrt", **{**common, **options})
     return RandomForestRegressor(**{"featureSubsetStrategy": "all", **common, **options})
 
 
-def random_forest(features: Features, train: DataFrame):
+def random_forest(features: Features, train: DataFrame, max_depth: int = FOREST_DEPTH):
     """100 bagged trees; a regressor sees every feature at every split."""
-    return _forest(features.task)
+    return _forest(features.task, max_depth)
 
 
-def extra_trees(features: Features, train: DataFrame):
+def extra_trees(features: Features, train: DataFrame, max_depth: int = FOREST_DEPTH):
     """Variant without bagging whose coarse thresholds stand in for random ones."""
     if features.task == CLASSIFICATION:
-        return _forest(features.task, bootstrap=False, maxBins=16)
-    return _forest(features.task, bootstrap=False, maxBins=16, featureSubsetStrategy="onethird")
+        return _forest(features.task, max_depth, bootstrap=False, maxBins=16)
+    return _forest(features.task, max_depth, bootstrap=False, maxBins=16, featureSubsetStrategy="onethird")
 
 
 def gradient_boosting(features: Features, train: DataFrame):
@@ -103,22 +104,31 @@ def candidates(task: str) -> dict:
     return CLASSIFIERS if task == CLASSIFICATION else REGRESSORS
 
 
-def fit(name: str, features: Features, train: DataFrame) -> Fitted:
-    """Train one candidate by name."""
+def fit(name: str, features: Features, train: DataFrame, max_depth: int = FOREST_DEPTH) -> Fitted:
+    """Train one candidate by name; ``max_depth`` bounds the trees of the forests."""
     names = features.names
     if name == "KNN":
         return Fitted(name, lambda rows: knn_predict(train, rows, names, features.key, features.task, NEIGHBOURS), {})
-    return fit_estimator(name, candidates(features.task)[name](features, train), features, train)
+    make = candidates(features.task)[name]
+    options = {"max_depth": max_depth} if make in (random_forest, extra_trees) else {}
+    return fit_estimator(name, make(features, train, **options), features, train)
 
 
 def fit_estimator(name: str, estimator, features: Features, train: DataFrame) -> Fitted:
     assembler = VectorAssembler(inputCols=features.names, outputCol="features_vec")
     estimator = estimator.setFeaturesCol("features_vec").setLabelCol("label")
-    model = estimator.fit(assembler.transform(train))
+    model = estimator.fit(assembler.transform(_declared(features, train)))
     pipeline = PipelineModel([assembler, model])
     return Fitted(name, pipeline.transform, _importances(model, features.names), pipeline)
 
 
+def _declared(features: Features, rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of classes on the label; a written table may have lost it."""
+    if features.task != CLASSIFICATION or not features.classes:
+        return rows
+    return rows.withMetadata("label", {"ml_attr": {"type": "nominal", "name": "label", "num_vals": max(2, len(features.classes))}})
+
+
 def _importances(model, names: list[str]) -> dict[str, float]:
     """Feature importance of tree models, largest first; several one-vs-rest
     models average theirs."""

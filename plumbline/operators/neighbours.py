@@ -1,101 +1,142 @@
-"""Exact k nearest neighbours by a grid that widens for the rows that need it."""
+"""Exact k nearest neighbours by cells around pivots, pruned by the triangle inequality."""
 
 from __future__ import annotations
 
-from itertools import product
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 from plumbline.functions.frames import materialise
 from plumbline.operators.training import CLASSIFICATION
-from plumbline.plans.stats import TableStats
 
-GRID_COLUMNS = 3
-CELL_ROWS = 8
-WIDEN = 4.0
+#: At most this many pivots travel with the tasks.
+MAX_PIVOTS = 4096
+#: Distances to pivots are computed for so many pairs at once.
+BLOCK_PAIRS = 4_000_000
+SLACK = 1e-9
 
 
 def nearest(train: DataFrame, queries: DataFrame, names: list[str], key: list[str], k: int) -> DataFrame:
     """(x, label, dist, rank): the ``k`` nearest training rows of each distinct
     query vector ``x``, ties broken by the row key.
 
-    Each round joins a query only with the rows in the grid cells around its
-    own. A row outside that block is at least one cell width away, so a query
-    whose k-th neighbour is nearer than that is settled; the others go on with
-    wider cells until the block spans the table. Dense regions settle while
-    cells are small, and equal vectors are reduced to their first k rows at the
-    start, so no cell or vector, however full, pairs off with itself.
+    Training vectors belong to the cell of their nearest pivot, of which there
+    are as many as the square root of the rows, drawn by hash. A query first
+    meets the cells nearest to it, until they hold ``k`` rows; its k-th distance
+    there bounds the answer. Then it meets every other cell that can hold a
+    nearer row, in all dimensions at once: a row is at least as far from the
+    query as their distances to the pivot differ, and a cell no nearer than its
+    border with the query's own cell. Equal vectors are reduced to their first k
+    rows at the start, so no vector, however frequent, pairs off with itself.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    point = F.array(*[col(c) for c in names]).alias("x")
+    point = F.array(*[col(c).cast("double") for c in names]).alias("x")
     identity = F.concat_ws("|", *[col(c).cast("string") for c in key]).alias("id")
     copies = Window.partitionBy("x").orderBy("id")
     base = train.select(point, identity, "label").withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k)
     base = materialise(base.drop("copy"), "neighbours")
-    pending = materialise(queries.select(point).distinct(), "queries")
-    points = base.select("x").unionByName(pending)
-    spread = TableStats(points.select(*[F.get("x", i).alias(f"x{i}") for i in range(len(names))])).moments
     size = base.count()
     if not size:
         raise ValueError("no training rows")
-    ranked = sorted(range(len(names)), key=lambda i: -(spread[f"x{i}"]["std"] or 0.0))
-    grid = [i for i in ranked[:GRID_COLUMNS] if spread[f"x{i}"]["std"]] or ranked[:1]
-    extent = max(max(abs(spread[f"x{i}"]["min"]), abs(spread[f"x{i}"]["max"])) for i in grid)
-    reach = max(spread[f"x{i}"]["max"] - spread[f"x{i}"]["min"] for i in grid)
-    width = max(_first_width(base, spread, grid, size), extent * 1e-12, 1e-300)
-    settled = None
-    while True:
-        spans_all = width > 2 * reach and width > 2 * extent
-        found = _round(base, pending, grid, len(names), width, k)
-        last = F.max("rank").over(Window.partitionBy("x"))
-        far = F.max("dist").over(Window.partitionBy("x"))
-        sure = found if spans_all else found.withColumn("last", last).withColumn("far", far).where(
-            (F.col("last") >= min(k, size)) & (F.col("far") < width)
-        )
-        done = materialise(sure.select("x", "label", "dist", "rank"), "settled")
-        settled = done if settled is None else settled.unionByName(done)
-        if spans_all:
-            return settled
-        pending = materialise(pending.join(done.select("x").distinct(), "x", "left_anti"), "queries")
-        if pending.isEmpty():
-            return settled
-        width *= WIDEN
-
-
-def _cells(grid: list[int], width: float):
-    return [F.floor(F.get("x", i) / width) for i in grid]
-
-
-def _first_width(base: DataFrame, spread: dict, grid: list[int], size: int) -> float:
-    """Cell width at which the fullest cell holds few distinct vectors."""
-    lead = spread[f"x{grid[0]}"]
-    width = (lead["max"] - lead["min"]) / max(1.0, (size / CELL_ROWS) ** (1 / len(grid))) or 1.0
-    points = base.select("x").distinct()
-    floor = width * WIDEN**-12
-    while width > floor:
-        fullest = points.groupBy(*_cells(grid, width)).count().agg(F.max("count")).first()[0]
-        if fullest <= 4 * CELL_ROWS:
-            break
-        width /= WIDEN
-    return width
-
-
-def _round(base: DataFrame, pending: DataFrame, grid: list[int], dims: int, width: float, k: int) -> DataFrame:
-    names = [f"c{j}" for j in range(len(grid))]
-    here = _cells(grid, width)
-    rows = base.select(F.col("x").alias("t"), "id", "label", *[c.alias(n) for c, n in zip(here, names)])
-    steps = F.array(*[F.struct(*[F.lit(s).alias(f"s{j}") for j, s in enumerate(step)]) for step in product((-1, 0, 1), repeat=len(grid))])
-    around = pending.select("x", *[c.alias(f"h{j}") for j, c in enumerate(here)], F.explode(steps).alias("step")).select(
-        "x", *[(F.col(f"h{j}") + F.col(f"step.s{j}")).alias(n) for j, n in enumerate(names)]
-    )
-    gaps = [F.get("x", i) - F.get("t", i) for i in range(dims)]
+    wanted = max(1, min(MAX_PIVOTS, math.isqrt(size)))
+    drawn = base.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(wanted).collect()
+    pivots = np.array([r["x"] for r in drawn], dtype=float).reshape(len(drawn), len(names))
+
+    rows = base.select("x", "id", "label").mapInArrow(_assigned(pivots), "x array<double>, id string, label double, cell int, r double")
+    rows = materialise(rows, "cells")
+    cells = {r["cell"]: r for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}
+    counts = np.array([cells[c]["n"] if c in cells else 0 for c in range(len(pivots))])
+    reach = np.array([[cells[c]["low"], cells[c]["high"]] if c in cells else [np.inf, -np.inf] for c in range(len(pivots))])
+    asked = queries.select(point).distinct()
+    near = "x array<double>, tau double, cell int, d double"
+    first = materialise(asked.withColumn("tau", F.lit(float("inf"))).mapInArrow(_cells(pivots, counts, reach, k, False), near), "queries")
+    found = _met(first, rows, len(names), k)
+    found = materialise(found, "found")
+    bound = found.groupBy("x").agg(F.max("dist").alias("tau"), F.count(F.lit(1)).alias("n"))
+    bound = bound.select("x", F.when(F.col("n") >= k, F.col("tau")).otherwise(F.lit(float("inf"))).alias("tau"))
+    more = bound.mapInArrow(_cells(pivots, counts, reach, k, True), near)
+    both = found.select("x", "label", "id", "dist").unionByName(_met(more, rows, len(names), k).select("x", "label", "id", "dist"))
+    order = Window.partitionBy("x").orderBy("dist", "id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("x", "label", "dist", "rank")
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+
+
+def _points(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
+
+
+def _assigned(pivots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK_PAIRS // pivots.size)
+        for batch in batches:
+            x = _points(batch.column(0), pivots.shape[1])
+            cell, r = np.zeros(len(x), dtype=np.int32), np.zeros(len(x))
+            for s in range(0, len(x), step):
+                d = _distances(x[s : s + step], pivots)
+                cell[s : s + step] = d.argmin(axis=1)
+                r[s : s + step] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(r)], [*batch.schema.names, "cell", "r"])
+
+    return run
+
+
+def _cells(pivots: np.ndarray, counts: np.ndarray, reach: np.ndarray, k: int, others: bool):
+    """Cells that a query meets: the nearest that hold ``k`` rows, or the others that can hold one within ``tau``."""
+    between = _distances(pivots, pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK_PAIRS // pivots.size)
+        for batch in batches:
+            x, tau = _points(batch.column(0), pivots.shape[1]), batch.column(1).to_numpy(zero_copy_only=False)
+            query, cell, far = [], [], []
+            for s in range(0, len(x), step):
+                d = _distances(x[s : s + step], pivots)
+                order = np.argsort(d, axis=1, kind="stable")
+                held = np.cumsum(counts[order], axis=1)
+                taken = np.zeros(d.shape, dtype=bool)
+                np.put_along_axis(taken, order, held - counts[order] < k, axis=1)
+                if others:
+                    t = tau[s : s + step, None] * (1 + SLACK) + SLACK
+                    own = order[:, 0]
+                    with np.errstate(all="ignore"):
+                        border = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * between[own])
+                    border = np.where(np.isfinite(border), border, 0.0)
+                    taken = ~taken & (counts > 0) & (d - reach[:, 1] <= t) & (reach[:, 0] - d <= t) & (border * (1 - SLACK) <= t)
+                q, c = np.nonzero(taken & (counts > 0))
+                query.append(q + s)
+                cell.append(c)
+                far.append(d[q, c])
+            chosen = np.concatenate(query) if query else np.zeros(0, dtype=np.int64)
+            if len(chosen):
+                at = pa.array(chosen)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(far))], ["x", "tau", "cell", "d"]
+                )
+
+    return run
+
+
+def pairs(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Queries with the rows of their cells that can lie within ``tau``."""
+    width = F.col("tau") * (1 + SLACK) + SLACK
+    return asked.join(rows.withColumnRenamed("x", "t"), "cell").where(F.abs(F.col("r") - F.col("d")) <= width)
+
+
+def _met(asked: DataFrame, rows: DataFrame, dims: int, k: int) -> DataFrame:
+    gaps = [F.get("x", F.lit(i)) - F.get("t", F.lit(i)) for i in range(dims)]
     square = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
-    pairs = around.join(rows, names).select("x", "label", "id", F.sqrt(square).alias("dist"))
     order = Window.partitionBy("x").orderBy("dist", "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("x", "label", "dist", "rank")
+    met = pairs(asked, rows).select("x", "label", "id", F.sqrt(square).alias("dist"))
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def knn_predict(train: DataFrame, test: DataFrame, names: list[str], key: list[str], task: str, k: int = 5) -> DataFrame:
@@ -108,5 +149,5 @@ def knn_predict(train: DataFrame, test: DataFrame, names: list[str], key: list[s
         answer = answer.select("x", F.col("top.label").alias("prediction"))
     else:
         answer = near.groupBy("x").agg(F.avg("label").alias("prediction"))
-    rows = test.withColumn("x", F.array(*[col(c) for c in names]))
+    rows = test.withColumn("x", F.array(*[col(c).cast("double") for c in names]))
     return rows.join(answer, "x", "left").drop("x")

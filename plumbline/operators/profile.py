@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -132,11 +133,13 @@ def shapiro_p(values: np.ndarray) -> float:
     return 1 - normal.cdf((y - mu) / sigma)
 
 
-def normality_shapiro(table: DataFrame | TableStats, key: str, limit: int = SHAPIRO_LIMIT) -> DataFrame:
+def normality_shapiro(table: DataFrame | TableStats, key: list[str], limit: int = SHAPIRO_LIMIT) -> DataFrame:
     """Shapiro-Wilk p per numeric column on a hash-ranked sample of 500 values.
 
     NULL outside 4 < n <= ``limit``, as the test loses meaning on large
-    samples; ``normality_jb`` answers at any size.
+    samples; ``normality_jb`` answers at any size. Rows are ranked by a hash of
+    ``key``; rows that share one (or have none) are told apart by their values,
+    and each column offers its own share of rows.
     """
     st = stats_of(table)
     tested = [c for c in st.numeric if 4 < st.counts["non_null"][c.name] <= limit]
@@ -145,15 +148,21 @@ def normality_shapiro(table: DataFrame | TableStats, key: str, limit: int = SHAP
     )
     if not tested:
         return base.select("column", "n", F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("boolean").alias("is_normal"))
-    keep = st.df.select(col(key).alias("key_"), *[col(c.name) for c in st.numeric])
+    identity = F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key]).alias("key_")
+    keep = st.df.select(identity, *[col(c.name) for c in st.numeric])
     long = value_counts.unpivot(keep, tested, ["key_"]).select(
         "column", "key_", F.coalesce("d", F.col("i").cast("double")).alias("value")
     )
-    # only rows that can be among the smallest hashes go on to be ranked
-    draw = hash32(F.col("key_").cast("string"))
-    share = min(1.0, 4.0 * SHAPIRO_ROWS / min(st.counts["non_null"][c.name] for c in tested))
-    order = Window.partitionBy("column").orderBy(draw, "key_")
-    sample = long.where(draw <= F.lit(int(share * 2**32))).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SHAPIRO_ROWS)
+    # only rows that can be among the smallest hashes go on to be ranked; where a
+    # repeated key leaves too few of them, all rows of the column do
+    draw = hash32(F.col("key_"))
+    share = {c.name: min(1.0, 4.0 * SHAPIRO_ROWS / st.counts["non_null"][c.name]) for c in tested}
+    offers = reduce(lambda x, c: x | ((F.col("column") == c) & (draw <= F.lit(int(share[c] * 2**32)))), share, F.lit(False))
+    enough = {r["column"]: r["count"] for r in long.where(offers).groupBy("column").count().collect()}
+    short = [c.name for c in tested if enough.get(c.name, 0) < min(SHAPIRO_ROWS, st.counts["non_null"][c.name])]
+    order = Window.partitionBy("column").orderBy(draw, "key_", "value")
+    offered = long.where(offers | F.col("column").isin(short)) if short else long.where(offers)
+    sample = offered.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SHAPIRO_ROWS)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"column": [pdf["column"].iloc[0]], "p_value": [round(shapiro_p(pdf["value"].to_numpy()), 6)]})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ CLASSIFICATION = "classification"
 REGRESSION = "regression"
 NULL_TEXT = "nan"
 MIN_ROWS = 10
-CLASS_LIMIT = 1000
 MAX_MISSING = 0.5
 SPLIT_SLOTS = 10_000
 
@@ -112,6 +112,36 @@ def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+@dataclass
+class Preparation:
+    """What turns raw rows into features: medians and text codes, as small frames.
+
+    ``fills`` (column, value) holds the median of each numeric feature, ``codes``
+    (column, value, code) the code of each text value seen. Unseen text gets a
+    code after all others.
+    """
+
+    names: list[str]
+    text: list[str]
+    fills: DataFrame
+    codes: DataFrame
+
+    def apply(self, raw: DataFrame, key: list[str]) -> DataFrame:
+        """Key columns and one double per feature of other rows with the same columns."""
+        fills = {r["column"]: r["value"] for r in self.fills.collect()}
+        rows = nan_to_null(raw.select(*[col(k) for k in key], *[col(c) for c in self.names]))
+        sizes = {r["column"]: r["n"] for r in self.codes.groupBy("column").agg((F.max("code") + 1).alias("n")).collect()}
+        for c in self.text:
+            mine = self.codes.where(F.col("column") == c).select(F.col("value").alias("code_value"), F.col("code").alias("code_number"))
+            met = rows.withColumn("code_key", F.coalesce(col(c).cast("string"), F.lit(NULL_TEXT))).join(mine, F.col("code_key") == F.col("code_value"), "left")
+            code = F.coalesce(F.col("code_number"), F.lit(sizes.get(c, 0)))
+            rows = met.select(*[code.alias(c) if c == n else col(n) for n in rows.columns])
+        return rows.select(
+            *[col(k) for k in key],
+            *[F.coalesce(col(c).cast("double"), F.lit(fills.get(c) or 0.0)).alias(c) for c in self.names],
+        )
+
+
 @dataclass
 class Features:
     """Prepared rows: key columns, one double per feature, and ``label``."""
@@ -123,14 +153,12 @@ class Features:
     task: str
     classes: list[str] | None = None
     sizes: dict[str, int] = field(default_factory=dict)
+    preparation: Preparation | None = None
 
 
 def class_values(df: DataFrame, target: str) -> list:
-    """Sorted class values of a target."""
-    values = [r[0] for r in df.select(col(target)).where(col(target).isNotNull()).distinct().limit(CLASS_LIMIT + 1).collect()]
-    if len(values) > CLASS_LIMIT:
-        raise ValueError(f"target {target!r} has more than {CLASS_LIMIT} classes")
-    return sorted(values)
+    """Sorted class values of a target; a classifier holds weights for each, so the driver can hold their names."""
+    return sorted(r[0] for r in df.select(col(target)).where(col(target).isNotNull()).distinct().collect())
 
 
 def prepare_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str] | None]:
@@ -139,8 +167,12 @@ def prepare_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, li
     if task == REGRESSION:
         return clean.withColumn("label", col(target).cast("double")), None
     values = class_values(clean, target)
-    label = F.array_position(F.array(*[F.lit(v) for v in values]), col(target)) - 1
-    return clean.withColumn("label", label.cast("double")), [str(v) for v in values]
+    kind = clean.schema[target].dataType.simpleString()
+    codes = small_frame(df.sparkSession, [{"class_value": v, "class_label": float(i)} for i, v in enumerate(values)], f"class_value {kind}, class_label double")
+    joined = clean.join(codes, col(target) == F.col("class_value"))
+    # the number of classes travels with the column: MLlib would look for at most 100 by itself
+    about = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": max(2, len(values))}}
+    return joined.select(*[col(c) for c in clean.columns], F.col("class_label").alias("label", metadata=about)), [str(v) for v in values]
 
 
 def prepare_features(df: DataFrame, target: str, key: list[str], task: str = "auto", detect=task_automl) -> Features:
@@ -161,7 +193,16 @@ def prepare_features(df: DataFrame, target: str, key: list[str], task: str = "au
     flags = [c.name for c in infos if c.dtype == "boolean"]
     text = [c.name for c in infos if c.role == CATEGORICAL and c.name not in flags]
     base = df.select(*[col(k) for k in key], *[col(c.name) for c in infos], col(target).alias("target_"))
-    encoded = impute_median(label_encode(base, text), numeric)
+    st, codes = TableStats(base.select(*[col(c) for c in numeric])) if numeric else None, {c: text_codes(base, c, NULL_TEXT) for c in text}
+    medians = st.quantiles([0.5], numeric) if numeric else {}
+    encoded = base
+    for c, (table, small) in codes.items():
+        encoded = apply_codes(encoded, c, table, small, c, NULL_TEXT)
+    encoded = nan_to_null(encoded).select(*[F.coalesce(col(c).cast("double"), F.lit(medians[c][0])).alias(c) if c in medians else col(c) for c in encoded.columns])
+    spark = df.sparkSession
+    fills = small_frame(spark, [{"column": c, "value": medians[c][0]} for c in numeric], "column string, value double")
+    coded = [table.select(F.lit(c).alias("column"), "value", F.col("code").cast("bigint").alias("code")) for c, (table, _) in codes.items()]
+    coded = reduce(DataFrame.unionByName, coded, small_frame(spark, [], "column string, value string, code bigint"))
     labelled, classes = prepare_target(encoded, "target_", task)
     names = [c.name for c in infos]
     ready = labelled.select(
@@ -169,7 +210,7 @@ def prepare_features(df: DataFrame, target: str, key: list[str], task: str = "au
     )
     if not min_rows_guard(ready):
         raise ValueError(f"not enough rows to train on; at least {MIN_ROWS} are needed")
-    return Features(ready, list(key), names, target, task, classes)
+    return Features(ready, list(key), names, target, task, classes, preparation=Preparation(names, text, fills, coded))
 
 
 def test_flag(key: list[str], test_size: float) -> Column:
@@ -223,15 +264,18 @@ def metrics_classification(predictions: DataFrame, label: str = "label", predict
 
 
 def classification_report(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Precision, recall, F1 and support per class, and both averages."""
+    """Precision, recall, F1 and support per class, the accuracy, and both averages."""
     classes = per_class(predictions, label, prediction)
     names = ("precision", "recall", "f1")
     macro = classes.agg(*[F.avg(c).alias(c) for c in names], F.sum("support").alias("support"))
     weighted = classes.agg(
         *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in names], F.sum("support").alias("support")
     )
+    share = F.sum("hits") / F.sum("support")
+    accuracy = classes.agg(*[share.alias(c) for c in names], F.sum("support").alias("support"))
     rows = (
         classes.select("class", *names, "support")
+        .unionByName(accuracy.select(F.lit("accuracy").alias("class"), "*"))
         .unionByName(macro.select(F.lit("macro avg").alias("class"), "*"))
         .unionByName(weighted.select(F.lit("weighted avg").alias("class"), "*"))
     )

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
-from plumbline.functions.frames import small_frame
+from plumbline.functions.frames import materialise, small_frame
 
 # Above this many distinct values, or bytes of them, codes are numbered in range
 # buckets and joined by shuffle; below it, one sort and a broadcast.
 CODE_LIMIT = 100_000
 CODE_BYTES = 64 * 2**20
 BUCKETS = 512
-# A bucket boundary may be any text, so long values lend only their beginning.
-CUT_LENGTH = 1024
 
 
 def text_codes(df: DataFrame, column: str, null_text: str | None = None, limit: int = CODE_LIMIT) -> tuple[DataFrame, bool]:
@@ -31,38 +29,24 @@ def text_codes(df: DataFrame, column: str, null_text: str | None = None, limit:
     if size <= limit and width <= CODE_BYTES:
         order = Window.orderBy("value")
         return values.select("value", (F.row_number().over(order) - 1).alias("code")), True
-    return _bucketed(values, size), False
+    return _bucketed(values), False
 
 
-def _bucketed(values: DataFrame, size: int) -> DataFrame:
-    """Range buckets cut by a bounded sample, each numbered in its own task and
-    shifted by the sizes of the buckets before it."""
-    share = min(1.0, 40.0 * BUCKETS / size)
-    ceiling = min(int(share * 2**64) - 2**63, 2**63 - 1)
-    drawn = values.where(F.xxhash64("value") <= F.lit(ceiling)).select(F.substring("value", 1, CUT_LENGTH))
-    sample = sorted(r[0] for r in drawn.collect())
-    cuts = sorted({sample[len(sample) * i // BUCKETS] for i in range(1, BUCKETS)} if sample else set())
-    bucket = _bucket_of(F.col("value"), cuts)
-    tagged = values.withColumn("bucket", bucket)
+def _bucketed(values: DataFrame) -> DataFrame:
+    """Range buckets of whole values, each numbered in its own task and shifted
+    by the sizes of the buckets before it."""
+    tagged = materialise(values.repartitionByRange(BUCKETS, "value").withColumn("bucket", F.spark_partition_id()), "codes")
     sizes = {r["bucket"]: r["count"] for r in tagged.groupBy("bucket").count().collect()}
     offsets, total = [], 0
-    for b in range(len(cuts) + 1):
+    for b in sorted(sizes):
         offsets.append({"bucket": b, "offset": total})
-        total += sizes.get(b, 0)
+        total += sizes[b]
     shift = F.broadcast(small_frame(values.sparkSession, offsets, "bucket int, offset bigint"))
     order = Window.partitionBy("bucket").orderBy("value")
     numbered = tagged.withColumn("rn", F.row_number().over(order)).join(shift, "bucket")
     return numbered.select("value", (F.col("rn") - 1 + F.col("offset")).alias("code"))
 
 
-def _bucket_of(value: Column, cuts: list[str]) -> Column:
-    """Number of cuts at or below the value, by comparing against all of them."""
-    reached = F.aggregate(
-        F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(c <= value, 1).otherwise(0)
-    )
-    return reached.cast("int")
-
-
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, small: bool, alias: str, null_text: str | None = None) -> DataFrame:
     """Replace ``column`` by its code. A large code table joins by shuffle,
     where adaptive skew handling splits the partition of a hot value."""

@@ -20,7 +20,6 @@ from plumbline.functions.scalar import looks_numeric
 from plumbline.plans import correlation, quantiles, value_counts
 
 IQR_FENCE = 1.5
-ROW_HASH = "plumbline row hash"
 
 
 def stats_of(table: "DataFrame | TableStats") -> "TableStats":
@@ -237,32 +236,20 @@ class TableStats:
             self._distinct.update({r["column"]: r["n"] for r in value_counts.distinct_counts(self.df, need).collect()})
         return {c.name: self._distinct[c.name] for c in columns}
 
-    def distinct_up_to(self, columns: list[ColumnInfo], limit: int) -> dict[str, int]:
-        """Distinct values where there are at most ``limit``, else ``limit + 1``.
-
-        A sketch first sets aside the columns with far more values, so that
-        only columns whose counts combine well are counted exactly.
-        """
-        if not columns:
-            return {}
-        row = self.df.agg(*[F.approx_count_distinct(col(c.name)).alias(f"u{c.pos}") for c in columns]).first()
-        near = [c for c in columns if row[f"u{c.pos}"] <= 4 * limit + 100]
-        exact = self.distinct(near) if near else {}
-        return {c.name: min(exact.get(c.name, limit + 1), limit + 1) for c in columns}
-
     @cached_property
     def duplicates(self) -> int:
         """Rows beyond the first of each group of equal rows.
 
-        Only 8-byte hashes of all rows are shuffled; whole rows are compared
-        where a hash repeats, so hash collisions do not matter.
+        Rows are counted by a 128-bit digest of their values and gaps: a row
+        costs 16 bytes of shuffle however wide it is, and counts combine in
+        every task first, so that a hot row costs one record a task.
         """
         columns = [col(c) for c in comparable(self.df)]
         if not columns:
             return 0
-        hashed = self.df.select(*columns, F.xxhash64(*columns).alias(ROW_HASH))
-        repeated = hashed.groupBy(col(ROW_HASH)).agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select(col(ROW_HASH))
-        groups = hashed.join(repeated, ROW_HASH, "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("cnt"))
+        gaps = [c.isNull() for c in columns]
+        digest = [F.xxhash64(*columns, *gaps).alias("h1"), F.xxhash64(F.lit(7), *gaps, *columns).alias("h2")]
+        groups = self.df.groupBy(*digest).agg(F.count(F.lit(1)).alias("cnt"))
         return groups.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0))).first()[0]
 
     @cached_property

@@ -35,6 +35,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False, row_cap: i
     if not names:
         raise BadInput(f"{path} is empty")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
+    _check_headers(spark, path, names, options)
     raw = spark.read.options(**options).schema(schema).csv(path)
     typed = _typed(raw, names)
     if row_cap is not None:
@@ -51,6 +52,23 @@ def _check_extension(spark: SparkSession, path: str) -> None:
         raise BadInput(f"only .csv files are read, not {bad[0]['path']}")
 
 
+def _check_headers(spark: SparkSession, path: str, names: list[str], options: dict) -> None:
+    """Columns are read by position, so every file of a folder needs the same header.
+
+    Spark compares them as it opens the files; no task reads beyond its first batch.
+    """
+    if spark.read.format("binaryFile").load(path).select("path").limit(2).count() < 2:
+        return
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.options(**options, enforceSchema=False).schema(schema).csv(path)
+    try:
+        rows.mapInArrow(lambda batches: iter(()), "none int").count()
+    except Exception as failure:
+        if "header" in str(failure):
+            raise BadInput(f"the files under {path} have different headers; the first is {','.join(names)}") from failure
+        raise
+
+
 def _typed(raw: DataFrame, names: list[str]) -> DataFrame:
     """Infer and apply types in one pass over the text."""
     clean = raw.select(*[missing_token_to_null(col(n)).alias(n) for n in names], col(OVERFLOW))

@@ -57,6 +57,36 @@ def test_csv_rejects(spark, tmp_path, text, name, message):
         csv.read_csv(spark, write(tmp_path, text, name))
 
 
+def test_csv_folder_with_other_headers(spark, tmp_path):
+    for folder, second in (("same", "a,b\n3,4\n"), ("other", "b,a\n3,30\n")):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, "a,b\n1,2\n", "one.csv")
+        write(tmp_path / folder, second, "two.csv")
+    assert csv.read_csv(spark, str(tmp_path / "same")).count() == 2
+    with pytest.raises(csv.BadInput, match="different headers"):
+        csv.read_csv(spark, str(tmp_path / "other"))
+
+
+@pytest.mark.parametrize("text", [
+    "2024-02-29 10:11:12.345678", "2024-02-29T10:11:12Z", "2024-02-29T10:11:12.5+01:00", "2024-02-29 10:11", "02/29/2024 10:11", "Feb 29, 2024", "20240229", "2024-02-29",
+])
+def test_date_formats(spark, text):
+    df = spark.createDataFrame([(i, text, "no date") for i in range(10)], "id int, day string, word string")
+    assert features.date_columns(df, ["id"]) == ["day"]
+
+
+def test_names_may_hold_the_pair_sign(spark):
+    rows = [(float(i), float(2 * i), "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "`a & b` double, c double, s string")
+    found = insights.insights_report(df).collect()
+    assert [r["column"] for r in found if r["type"] == "correlation"] == ["a & b & c"]
+
+
+def test_duplicates_tell_gaps_apart(spark):
+    df = spark.createDataFrame([(None, 5), (5, None), (5, None), (0, 1)], "a long, b long")
+    assert TableStats(df).duplicates == 1
+
+
 def test_csv_row_cap_and_line_breaks(spark, tmp_path):
     path = write(tmp_path, 'a,b\n3,"x\ny"\n1,z\n2,w\n')
     df = csv.read_csv(spark, path, multiline=True, row_cap=2, order_by=["a"])

@@ -59,6 +59,33 @@ def test_neighbours_equal_brute_force(spark, shape):
         assert got == brute(train, q, 5)
 
 
+def test_neighbours_meet_few_rows(spark, monkeypatch):
+    """Twelve features in clusters: far fewer pairs are compared than queries times rows."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 10, (40, 12))
+    points = centres[rng.integers(0, 40, 2300)] + rng.normal(0, 1, (2300, 12))
+    names = [f"f{i}" for i in range(12)]
+    rows = [(f"r{i:04d}", float(i % 2), *map(float, p)) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "k string, label double, " + ", ".join(f"{n} double" for n in names))
+    train, asked = df.where("k < 'r2000'"), df.where("k >= 'r2000'")
+    compared = []
+    plain = neighbours.pairs
+
+    def counted(a, b):
+        met = plain(a, b)
+        compared.append(met.count())
+        return met
+
+    monkeypatch.setattr(neighbours, "pairs", counted)
+    found = {}
+    for r in neighbours.nearest(train, asked, names, ["k"], 5).orderBy("x", "rank").collect():
+        found.setdefault(tuple(r["x"]), []).append(r["dist"])
+    for q in points[2000:2020]:
+        want = np.sort(np.sqrt(((points[:2000] - q) ** 2).sum(axis=1)))[:5]
+        assert np.allclose(found[tuple(map(float, q))], want)
+    assert sum(compared) < 0.1 * 300 * 2000
+
+
 def test_neighbours_vote(spark, classes):
     train, test = leaderboard.split(classes, 0.2)
     found = neighbours.knn_predict(train, test, classes.names, ["k"], classes.task)
@@ -111,10 +138,17 @@ def test_shapiro_on_known_samples():
 
 def test_shapiro_skips_small_and_large(spark):
     df = spark.createDataFrame([(i, float(i % 7) if i < 4 else None, float(i)) for i in range(30)], "k int, few double, many double")
-    found = {r["column"]: r["p_value"] for r in profile.normality_shapiro(df, "k", limit=29).collect()}
+    found = {r["column"]: r["p_value"] for r in profile.normality_shapiro(df, ["k"], limit=29).collect()}
     assert found == {"k": None, "few": None, "many": None}
 
 
+def test_shapiro_with_a_repeated_key(spark):
+    rng = np.random.default_rng(5)
+    rows = [("abc"[i % 3] if i % 4 else None, float(x)) for i, x in enumerate(rng.normal(size=3000))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert profile.normality_shapiro(df, ["k"]).first()["p_value"] is not None
+
+
 # -- models ---------------------------------------------------------------
 
 
@@ -161,8 +195,52 @@ def test_leaderboard_ranks_and_survives_a_failure(spark, numbers, tmp_path):
         leaderboard.load_leaderboard(spark, path)
     leaderboard.save(run, path)
     assert leaderboard.load_leaderboard(spark, path).count() == 4
-    if run.best.pipeline is not None:
-        assert leaderboard.load_model(spark, path).transform(run.test).count() == run.n_test
+    loaded = leaderboard.load_model(spark, path)
+    assert loaded.name == run.best.name
+    again = {r["k"]: r["prediction"] for r in loaded.score(run.test).collect()}
+    assert again == {r["k"]: r["prediction"] for r in run.best.predict(run.test).collect()}
+
+
+def test_last_run_wins_and_neighbours_can_be_read_back(spark, sf_dir, classes, numbers):
+    raw = table(spark, sf_dir, "fx_ml")
+    path = scratch_path(spark, "board")
+    leaderboard.save(leaderboard.train_candidates(numbers, names=["Ridge"]), path)
+    run = leaderboard.train_candidates(classes, names=["KNN"])
+    leaderboard.save(run, path)
+    loaded = leaderboard.load_model(spark, path)
+    assert loaded.name == "KNN"
+    few = raw.join(run.test.select("k").orderBy("k").limit(20), "k", "left_semi")
+    predicted = {r["k"]: r["prediction"] for r in loaded.predict(few).collect()}
+    assert len(predicted) == 20 and predicted == {r["k"]: r["prediction"] for r in run.best.predict(run.test).collect() if r["k"] in predicted}
+    leaderboard.save(leaderboard.train_candidates(numbers, names=["Nothing"]), path)
+    with pytest.raises(FileNotFoundError):
+        leaderboard.load_model(spark, path)
+
+
+def test_raw_rows_are_prepared_like_the_training_rows(spark, sf_dir, classes):
+    raw = table(spark, sf_dir, "fx_ml").where("k IS NOT NULL")
+    ready = classes.preparation.apply(raw, ["k"])
+    assert {tuple(r) for r in ready.collect()} == {tuple(r) for r in classes.df.select("k", *classes.names).collect()}
+    odd = raw.limit(1).withColumn("flag", F.lit("never seen")).withColumn("d", F.lit(None).cast("double"))
+    row = classes.preparation.apply(odd, ["k"]).first()
+    assert row["flag"] == 3.0 and row["d"] is not None
+
+
+def test_more_than_a_hundred_classes(spark):
+    rows = [(i, f"c{i % 120:03d}", float(i % 120), float(i % 7)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k int, y string, a double, b double")
+    run = leaderboard.train_candidates(training.prepare_features(df, "y", ["k"]), names=["Decision Tree", "KNN"])
+    assert {r["status"] for r in run.leaderboard.collect()} == {"success"}
+    many = spark.createDataFrame([(i, f"c{i % 1500:04d}", float(i)) for i in range(3000)], "k int, y string, a double")
+    labelled, names = training.prepare_target(many, "y", training.CLASSIFICATION)
+    assert len(names) == 1500 and labelled.agg(F.max("label")).first()[0] == 1499.0
+
+
+def test_report_of_a_regression_and_of_nothing(numbers):
+    run = leaderboard.train_candidates(numbers, names=["Ridge"])
+    assert leaderboard.report(run).columns == ["rmse", "mae", "r2_score"]
+    with pytest.raises(ValueError, match="no candidate"):
+        leaderboard.report(leaderboard.train_candidates(numbers, names=["Nothing"]))
 
 
 def test_all_failures_have_no_best(numbers):
@@ -177,7 +255,7 @@ def test_many_classes_one_against_the_rest(spark, sf_dir):
     assert isinstance(models.gradient_boosting(features, features.df).getClassifier(), models.GBTClassifier)
     run = leaderboard.train_candidates(features, names=["Decision Tree", "Logistic Regression", "KNN"])
     assert run.leaderboard.where("status = 'success'").count() == 3
-    assert {"A", "N", "R", "macro avg", "weighted avg"} >= {r["class"] for r in leaderboard.report(run).collect()}
+    assert {"A", "N", "R", "accuracy", "macro avg", "weighted avg"} >= {r["class"] for r in leaderboard.report(run).collect()}
 
 
 def test_importances_add_up(classes):
@@ -189,9 +267,9 @@ def test_importances_add_up(classes):
 # -- explanation ----------------------------------------------------------
 
 
-@pytest.mark.parametrize("count", [1, 3, 8, 11])
+@pytest.mark.parametrize("count", [1, 3, 8, 11, 70])
 def test_contributions_add_up(spark, count):
-    """Any score, exact or sampled: contributions sum to score minus mean score."""
+    """At every width contributions sum to score minus mean score."""
     rng = np.random.default_rng(count)
     names = [f"f{i}" for i in range(count)]
     pdf = pd.DataFrame(rng.normal(size=(12, count)), columns=names)
@@ -217,6 +295,12 @@ def test_explaining_a_tree_and_falling_back(spark, classes):
     tree = models.fit("Decision Tree", classes, train)
     found = explain.explain_or_importance(tree, classes.task, test, train, classes.names, ["k"])
     assert found.where("warning IS NOT NULL").count() == 0 and found.count() == len(classes.names)
+    def fails(frame):
+        return tree.predict(frame).withColumn("prediction", F.raise_error(F.lit("fails while it runs")))
+
+    late = models.Fitted("Late", fails, tree.importances, tree.pipeline)
+    stand_in = explain.explain_or_importance(late, "regression", test, train, classes.names, ["k"])
+    assert stand_in.where("warning LIKE '%fails while it runs%'").count() == len(classes.names)
     broken = models.Fitted("Broken", tree.predict, tree.importances)
     stand_in = explain.explain_or_importance(broken, classes.task, test, train, classes.names, ["k"])
     assert stand_in.where("warning LIKE '%no pipeline%'").count() == len(classes.names)
