@@ -1,15 +1,15 @@
 """Byte-level BPE: encode whole texts by a rank file, and decode the ids again.
 
-Three steps, without a shuffle. An Arrow step packs some megabytes of documents
+Three steps, without a shuffle; the first is written. An Arrow step packs some megabytes of documents
 into one row: the distinct words of the chunk as byte arrays, and each document
 as positions in that list. Spark's higher-order functions fold the ranked merges
 over every word, looking ranks up in a literal map, and concatenate the binary
 pieces of its ids for the way back. A last Arrow step puts the words of each
 document together again.
 
-The rank map is keyed by the two ids that a merge joins. It is laid out as one
-literal hash table without collisions, so that a lookup costs two array reads at
-any vocabulary size.
+The rank map is keyed by the two ids that a merge joins. It is laid out as two
+literal arrays: the rank of (a, b) stands at shift[a] + b, so that a lookup costs
+two array reads at any vocabulary size.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.scratch import written
+
 #: Bytes of text in one packed row; a single longer text makes a row of its own.
-CHUNK_BYTES = 16_000_000
-RANK_BITS, BUCKET_BITS, PLACE_BITS = 17, 15, 29
+CHUNK_BYTES = 32_000_000
+RANK_BITS, PLACE_BITS = 17, 29
 #: Stands before and after a word's ids and merges with nothing; as a rank, no merge.
 EDGE = (1 << RANK_BITS) - 1
-#: Odd multiplier of the pair keys; a key has 34 bits, so that the product stays within a bigint.
-SPREAD = 0x19E3779B
 
 #: White space as the split pattern understands it (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -72,34 +72,42 @@ class RankMap:
             raise ValueError("the rank file needs all single bytes and ranks under 131,072")
         self.byte_rank = [ranks[bytes([b])] for b in range(256)]
         self.pieces = [b""] * (max(ranks.values()) + 1)
-        pairs: dict[int, int] = {}
+        pairs: dict[int, list[tuple[int, int]]] = {}
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
             for cut in range(1, len(piece)):
                 a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if a is not None and b is not None:
-                    pairs[a << RANK_BITS | b] = rank
-        self.slot_bits = max(8, (2 * len(pairs)).bit_length())
-        self.shift, self.slots = _placed(pairs, self.slot_bits)
+                    pairs.setdefault(a, []).append((b, rank))
+        self.shift, self.slots = _placed(pairs, len(self.pieces))
         if any(len(p) > 1 and fold_merges(p, ranks) != [r] for p, r in ranks.items()):
             raise ValueError("an entry of the rank file is not reached by its own merges; the fold would miss it as a whole word")
 
 
-def _placed(pairs: dict[int, int], slot_bits: int) -> tuple[list[int], list[int]]:
-    """A hash table without collisions: keys of a bucket are shifted together until all of them hit free slots."""
-    size, buckets = 1 << slot_bits, 1 << BUCKET_BITS
-    slots, shift = [-1] * size, [0] * buckets
-    grouped: dict[int, list[int]] = {}
-    for key in pairs:
-        grouped.setdefault(key * SPREAD >> 12 & (buckets - 1), []).append(key)
-    for bucket in sorted(grouped, key=lambda x: (-len(grouped[x]), x)):
-        bases = [key * SPREAD >> 28 & (size - 1) for key in grouped[bucket]]
-        if len(set(bases)) < len(bases):
-            raise ValueError("two pairs of one bucket share a slot; choose another SPREAD")
-        by = next(by for by in range(size) if all(slots[base + by & (size - 1)] < 0 for base in bases))
-        shift[bucket] = by
-        for key, base in zip(grouped[bucket], bases):
-            slots[base + by & (size - 1)] = key << RANK_BITS | pairs[key]
+def _placed(pairs: dict[int, list[tuple[int, int]]], size: int) -> tuple[list[int | None], list[int | None]]:
+    """The sparse matrix of ranks in one array: row ``a`` is shifted until all its entries hit free slots.
+
+    An entry holds its row beside its rank, so that a slot of another row is told apart.
+    """
+    rng = np.random.default_rng(1)
+    room = 4 * sum(map(len, pairs.values())) + 1024
+    used = np.zeros(room + size, dtype=bool)
+    shift: list[int | None] = [None] * size
+    slots: list[int | None] = [None] * len(used)
+    for a in sorted(pairs, key=lambda x: (-len(pairs[x]), x)):
+        columns = np.array([b for b, _ in pairs[a]])
+        for tries in (64, 512, 4096, 32768):
+            places = rng.integers(0, room, tries)
+            free = np.flatnonzero(~used[places[:, None] + columns].any(axis=1))
+            if len(free):
+                break
+        else:
+            raise ValueError("no room for a row of the rank table")
+        by = int(places[free[0]])
+        used[by + columns] = True
+        shift[a] = by
+        for b, rank in pairs[a]:
+            slots[by + b] = a << RANK_BITS | rank
     return shift, slots
 
 
@@ -184,12 +192,11 @@ def encode_words(words: Column, ranks: RankMap) -> Column:
     id_mask, low = F.lit(EDGE), RANK_BITS + PLACE_BITS
     none = F.lit(EDGE << low)
 
-    def ranked(base: Column, key: Column) -> Column:
-        """``base`` with the rank of its pair in front; a slot of another key is far off and so no merge."""
-        mixed = key * F.lit(SPREAD)
-        by = F.get(shift, F.shiftright(mixed, 12).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int"))
-        entry = F.get(slots, (F.shiftright(mixed, 28) + by).bitwiseAND(F.lit((1 << ranks.slot_bits) - 1)).cast("int"))
-        rank = F.least(id_mask, (entry - F.shiftleft(key, RANK_BITS)).bitwiseAND(F.lit(2**63 - 1)))
+    def ranked(base: Column, after: Column) -> Column:
+        """``base`` with the rank of merging its id with ``after`` in front; a slot of another row is far off and so no merge."""
+        a = base.bitwiseAND(id_mask)
+        entry = F.get(slots, (F.get(shift, a.cast("int")) + after).cast("int"))
+        rank = F.least(id_mask, (entry - F.shiftleft(a, RANK_BITS)).bitwiseAND(F.lit(2**63 - 1)))
         return F.shiftleft(rank, low).bitwiseOR(base)
 
     def merged(state: Column, first: Column, at: Column) -> Column:
@@ -197,17 +204,16 @@ def encode_words(words: Column, ranks: RankMap) -> Column:
         new = F.shiftright(first, low)
         before, after = F.get(state, at - 2), F.get(state, at + 1)
         bases = F.array(before.bitwiseAND(F.lit((1 << low) - 1)), first.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << RANK_BITS)).bitwiseOR(new))
-        keys = F.array(F.shiftleft(before.bitwiseAND(id_mask), RANK_BITS).bitwiseOR(new), F.shiftleft(new, RANK_BITS).bitwiseOR(after.bitwiseAND(id_mask)))
-        return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), F.zip_with(bases, keys, ranked), F.slice(state, at + 2, F.size(state))))
+        follow = F.array(new, after.bitwiseAND(id_mask))
+        return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), F.zip_with(bases, follow, ranked), F.slice(state, at + 2, F.size(state))))
 
     def step(state: Column, _: Column) -> Column:
         first = F.array_min(state)
         return F.when(first >= none, state).otherwise(_let(first, lambda m: _let(F.array_position(state, m).cast("int"), lambda at: merged(state, m, at))))
 
     def start(ids: Column) -> Column:
-        place = lambda i: F.shiftleft(i.cast("bigint"), RANK_BITS)
-        pair = lambda a, i: F.shiftleft(a, RANK_BITS).bitwiseOR(F.coalesce(F.get(ids, i + 1), id_mask))
-        return F.zip_with(F.transform(ids, lambda a, i: place(i).bitwiseOR(a)), F.transform(ids, pair), ranked)
+        placed = F.transform(ids, lambda a, i: F.shiftleft(i.cast("bigint"), RANK_BITS).bitwiseOR(a))
+        return F.zip_with(placed, F.slice(ids, F.lit(2), F.size(ids)), ranked)
 
     def encode(word: Column) -> Column:
         ids = F.concat(F.array(id_mask.cast("bigint")), F.transform(word, lambda b: F.get(byte_rank, b.cast("int"))), F.array(id_mask.cast("bigint")))
@@ -226,9 +232,9 @@ def decode_words(encoded: Column, ranks: RankMap) -> Column:
 # -- back to documents -----------------------------------------------------------
 
 
-def _gathered(values: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists ``chosen`` of a list array, one after the other, and the length of each."""
-    starts, lengths = ends[:-1][chosen], np.diff(ends)[chosen]
+    starts, lengths = starts[chosen], lengths[chosen]
     shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     return values[shift + np.arange(len(shift))], lengths
 
@@ -242,9 +248,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, token_ends = lists["encoded"]
             parts, part_ends = lists["parts"]
             # token ids and bytes of every distinct piece
-            piece_tokens, per_word = _gathered(tokens, token_ends, parts)
+            piece_tokens, per_word = _gathered(tokens, token_ends, np.diff(token_ends), parts)
             word_ends = np.concatenate([[0], np.cumsum(per_word)])
             piece_ends = word_ends[part_ends]
+            piece_sizes = np.diff(piece_ends)
             raw = one["decoded"].to_pylist()
             of_parts, cuts = parts.tolist(), part_ends.tolist()
             texts = [raw[of_parts[a]] if b - a == 1 else b"".join([raw[w] for w in of_parts[a:b]]) for a, b in zip(cuts, cuts[1:])]
@@ -252,7 +259,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[list] = [[], [], [], []]
             for doc_id, a, b in zip(one["ids"].to_pylist(), row_ends, row_ends[1:]):
                 chosen = pieces[a:b]
-                ids, _ = _gathered(piece_tokens, piece_ends, chosen)
+                ids, _ = _gathered(piece_tokens, piece_ends, piece_sizes, chosen)
                 out[0].append(doc_id)
                 out[1].append(len(ids))
                 out[2].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
@@ -275,6 +282,7 @@ def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "
     """
     ranks = rank_map(path)
     packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern), CHUNK)
+    packed = written(packed, "chunks")  # so that a core has one Python worker at a time
     encoded = packed.select("parts", "ids", "rows", encode_words(F.col("words"), ranks).alias("encoded"))
     decoded = encoded.select("parts", "ids", "rows", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
     return decoded.mapInArrow(_assemble, RESULT)

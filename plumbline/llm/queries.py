@@ -85,8 +85,8 @@ WITH d AS MATERIALIZED (SELECT doc_id, [w for w in string_split_regex(coalesce(t
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d),
 k AS MATERIALIZED (SELECT doc_id, s, array_to_string(w[s : s + 49], ' ') AS k FROM p),
 f AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
-g AS (SELECT DISTINCT doc_id, s + unnest(range(0, 50)) AS at FROM (SELECT doc_id, s FROM k JOIN f USING (k) WHERE doc_id > least)),
-r AS (SELECT doc_id, list(at) AS gone FROM g GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, s + unnest(range(0, 50)) AS pos FROM (SELECT doc_id, s FROM k JOIN f USING (k) WHERE doc_id > least)),
+r AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
 x AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id))
 SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
   sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE list_select(w, [i for i in range(1, len(w) + 1) if NOT list_contains(gone, i)]) END, ' ')) AS kept_sha256 FROM x"""
