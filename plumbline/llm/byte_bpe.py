@@ -1,11 +1,11 @@
 """Byte-level BPE: encode whole texts by a rank file, and decode the ids again.
 
-Three steps, without a shuffle; the first is written. An Arrow step packs some megabytes of documents
-into one row: the distinct words of the chunk as byte arrays, and each document
-as positions in that list. Spark's higher-order functions fold the ranked merges
-over every word, looking ranks up in a literal map, and concatenate the binary
-pieces of its ids for the way back. A last Arrow step puts the words of each
-document together again.
+Three steps, without a shuffle. An Arrow step packs some megabytes of documents
+into a few rows: the distinct words of the chunk as byte arrays, a slice of them
+a row, and then each document as positions in that list. Spark's higher-order
+functions fold the ranked merges over every word, looking ranks up in a literal
+map, and concatenate the binary pieces of its ids for the way back. A last Arrow
+step puts the words of each document together again.
 
 The rank map is keyed by the two ids that a merge joins. It is laid out as two
 literal arrays: the rank of (a, b) stands at shift[a] + b, so that a lookup costs
@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import written
-
-#: Bytes of text in one packed row; a single longer text makes a row of its own.
+#: Bytes of text in one chunk; a single longer text makes a chunk of its own.
 CHUNK_BYTES = 32_000_000
+#: Words that are folded in one row.
+SLICE_WORDS = 32_768
 RANK_BITS, PLACE_BITS = 17, 29
 #: Stands before and after a word's ids and merges with nothing; as a rank, no merge.
 EDGE = (1 << RANK_BITS) - 1
@@ -134,18 +134,26 @@ def stretches(text: str) -> list[str | tuple[str]]:
 def _pack(pattern: str):
     find = regex.compile(pattern).findall
 
-    def flush(ids: list, rows: list, seen: dict) -> pa.RecordBatch:
+    def row(words=None, parts=None, ids=None, rows=None) -> pa.RecordBatch:
+        kinds = [pa.list_(pa.list_(pa.int16())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+        columns = [pa.nulls(1, k) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, k in zip((words, parts, ids, rows), kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["words", "parts", "ids", "rows"])
+
+    def flush(ids: list, rows: list, seen: dict) -> Iterator[pa.RecordBatch]:
         words: dict[str, int] = defaultdict(count().__next__)
         parts, ends = [], [0]
         for piece in seen:
             parts += map(words.__getitem__, find(" " + piece if type(piece) is str else piece[0]))
             ends.append(len(parts))
+        seen.clear()
         raw = [w.encode() for w in words]
-        letters = _lists(np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int16), np.cumsum([0, *map(len, raw)]))
+        words.clear()
+        for start in range(0, len(raw), SLICE_WORDS):
+            part = raw[start : start + SLICE_WORDS]
+            letters = np.frombuffer(b"".join(part), dtype=np.uint8).astype(np.int16)
+            yield row(words=_lists(letters, np.cumsum([0, *map(len, part)])))
         codes = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        columns = [one(letters), one(_lists(np.array(parts, dtype=np.int32), np.array(ends))), one(pa.array(ids, pa.int64())), one(codes)]
-        return pa.RecordBatch.from_arrays(columns, ["words", "parts", "ids", "rows"])
+        yield row(parts=_lists(np.array(parts, dtype=np.int32), np.array(ends)), ids=pa.array(ids, pa.int64()), rows=codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, seen, size = [], [], defaultdict(count().__next__), 0
@@ -157,10 +165,10 @@ def _pack(pattern: str):
                 ids.append(doc_id)
                 rows.append(np.fromiter(map(seen.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
                 if size >= CHUNK_BYTES:
-                    yield flush(ids, rows, seen)
+                    yield from flush(ids, rows, seen)
                     ids, rows, seen, size = [], [], defaultdict(count().__next__), 0
         if ids:
-            yield flush(ids, rows, seen)
+            yield from flush(ids, rows, seen)
 
     return run
 
@@ -239,35 +247,52 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chose
     return values[shift + np.arange(len(shift))], lengths
 
 
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of the lists in the one list that a row holds."""
+    inner = column.flatten()
+    return inner.flatten().to_numpy(zero_copy_only=False), inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
+
+
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, sizes, raw = [], [], []  # of the words of the chunk that is coming in
     for batch in batches:
         for at in range(batch.num_rows):
-            row = {name: batch.column(i).slice(at, 1) for i, name in enumerate(batch.schema.names)}
-            one = {name: pa.concat_arrays([column.flatten()]) for name, column in row.items()}
-            lists = {name: (one[name].flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(one[name].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)) for name in ("encoded", "parts", "rows")}
-            tokens, token_ends = lists["encoded"]
-            parts, part_ends = lists["parts"]
-            # token ids and bytes of every distinct piece
-            piece_tokens, per_word = _gathered(tokens, token_ends, np.diff(token_ends), parts)
-            word_ends = np.concatenate([[0], np.cumsum(per_word)])
-            piece_ends = word_ends[part_ends]
-            piece_sizes = np.diff(piece_ends)
-            raw = one["decoded"].to_pylist()
-            of_parts, cuts = parts.tolist(), part_ends.tolist()
-            texts = [raw[of_parts[a]] if b - a == 1 else b"".join([raw[w] for w in of_parts[a:b]]) for a, b in zip(cuts, cuts[1:])]
-            pieces, row_ends = lists["rows"]
-            out: list[list] = [[], [], [], []]
-            for doc_id, a, b in zip(one["ids"].to_pylist(), row_ends, row_ends[1:]):
-                chosen = pieces[a:b]
-                ids, _ = _gathered(piece_tokens, piece_ends, piece_sizes, chosen)
-                out[0].append(doc_id)
-                out[1].append(len(ids))
-                out[2].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                out[3].append(hashlib.sha256(b"".join(map(texts.__getitem__, chosen.tolist()))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            parts, ids, rows, encoded, decoded = (batch.column(i).slice(at, 1) for i in range(5))
+            if ids.null_count:
+                values, lengths = _values(encoded)
+                tokens.append(values.astype(np.uint32))
+                sizes.append(lengths)
+                raw += decoded.flatten().to_pylist()
+                continue
+            yield _documents(parts, ids, rows, np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint32), np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64), raw)
+            tokens, sizes, raw = [], [], []
+
+
+def _documents(parts: pa.Array, ids: pa.Array, rows: pa.Array, tokens: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+    """Token ids and bytes of every distinct piece, then of every document."""
+    of_piece, n_words = _values(parts)
+    piece_tokens, per_word = _gathered(tokens, _starts(sizes), sizes, of_piece)
+    cuts = np.concatenate([[0], np.cumsum(n_words)])
+    piece_sizes = np.diff(np.concatenate([[0], np.cumsum(per_word)])[cuts])
+    piece_starts = _starts(piece_sizes)
+    words, cuts = of_piece.tolist(), cuts.tolist()
+    texts = [raw[words[a]] if b - a == 1 else b"".join([raw[w] for w in words[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    pieces, n_pieces = _values(rows)
+    row_ends = np.concatenate([[0], np.cumsum(n_pieces)])
+    out: list[list] = [[], [], []]
+    for a, b in zip(row_ends, row_ends[1:]):
+        chosen = pieces[a:b]
+        found, _ = _gathered(piece_tokens, piece_starts, piece_sizes, chosen)
+        out[0].append(len(found))
+        out[1].append(hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
+        out[2].append(hashlib.sha256(b"".join(map(texts.__getitem__, chosen.tolist()))).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [ids.flatten(), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    )
 
 
 def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,7 +307,6 @@ def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "
     """
     ranks = rank_map(path)
     packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern), CHUNK)
-    packed = written(packed, "chunks")  # so that a core has one Python worker at a time
     encoded = packed.select("parts", "ids", "rows", encode_words(F.col("words"), ranks).alias("encoded"))
     decoded = encoded.select("parts", "ids", "rows", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
     return decoded.mapInArrow(_assemble, RESULT)

@@ -52,7 +52,8 @@ def test_bpe_chunks_do_not_matter(reference):
         chunks = list(byte_bpe._pack(P.PATTERN)(iter([batch])))
     finally:
         byte_bpe.CHUNK_BYTES = before
-    assert len(chunks) > 3 and sum(len(c.column(2)[0]) for c in chunks) == len(ROWS)
+    done = [c for c in chunks if c.column(2)[0].is_valid]
+    assert len(done) > 3 and sum(len(c.column(2)[0]) for c in done) == len(ROWS)
 
 
 def test_bpe_fold_in_plain_python(reference):
