@@ -33,7 +33,11 @@ CHUNK_BYTES = 32_000_000
 #: Words that are folded in one row.
 SLICE_WORDS = 32_768
 RANK_BITS, PLACE_BITS = 17, 29
-#: Stands before and after a word's ids and merges with nothing; as a rank, no merge.
+#: Stands before and after a word's bytes.
+MARK = 256
+#: Signs of the fast path: with a letter in front, the split pattern takes each by itself.
+SIGNS = (".", ",", "!", "?", ";", ":")
+#: The id of a mark, which merges with nothing; as a rank, no merge.
 EDGE = (1 << RANK_BITS) - 1
 
 #: White space as the split pattern understands it (Unicode White_Space).
@@ -70,7 +74,7 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= EDGE or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the rank file needs all single bytes and ranks under 131,072")
-        self.byte_rank = [ranks[bytes([b])] for b in range(256)]
+        self.byte_rank = [ranks[bytes([b])] for b in range(256)] + [EDGE]
         self.pieces = [b""] * (max(ranks.values()) + 1)
         pairs: dict[int, list[tuple[int, int]]] = {}
         for piece, rank in ranks.items():
@@ -143,15 +147,20 @@ def _pack(pattern: str):
         words: dict[str, int] = defaultdict(count().__next__)
         parts, ends = [], [0]
         for piece in seen:
-            parts += map(words.__getitem__, find(" " + piece if type(piece) is str else piece[0]))
+            if type(piece) is tuple:
+                parts += map(words.__getitem__, find(piece[0]))
+            elif piece.isalpha():  # most pieces are a word, or a word and a sign: no need to search
+                parts.append(words[" " + piece])
+            elif piece[-1:] in SIGNS and piece[:-1].isalpha():
+                parts += (words[" " + piece[:-1]], words[piece[-1]])
+            else:
+                parts += map(words.__getitem__, find(" " + piece))
             ends.append(len(parts))
         seen.clear()
         raw = [w.encode() for w in words]
         words.clear()
         for start in range(0, len(raw), SLICE_WORDS):
-            part = raw[start : start + SLICE_WORDS]
-            letters = np.frombuffer(b"".join(part), dtype=np.uint8).astype(np.int16)
-            yield row(words=_lists(letters, np.cumsum([0, *map(len, part)])))
+            yield row(words=_marked(raw[start : start + SLICE_WORDS]))
         codes = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
         yield row(parts=_lists(np.array(parts, dtype=np.int32), np.array(ends)), ids=pa.array(ids, pa.int64()), rows=codes)
 
@@ -173,6 +182,17 @@ def _pack(pattern: str):
     return run
 
 
+def _marked(words: list[bytes]) -> pa.ListArray:
+    """The words as byte arrays with a mark before and after each."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64) + 2
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.full(ends[-1], MARK, dtype=np.int16)
+    inside = np.ones(ends[-1], dtype=bool)
+    inside[ends[:-1]] = inside[ends[1:] - 1] = False
+    values[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
+    return _lists(values, ends)
+
+
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
@@ -190,7 +210,7 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def encode_words(words: Column, ranks: RankMap) -> Column:
-    """Token ids of every byte array in ``words`` (array<array<smallint>>).
+    """Token ids of every marked byte array in ``words`` (array<array<smallint>>).
 
     The state of the fold is one bigint per token: the rank of merging it with
     the next token, its place in the word, and its id. The smallest of them is
@@ -216,25 +236,26 @@ def encode_words(words: Column, ranks: RankMap) -> Column:
         return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), F.zip_with(bases, follow, ranked), F.slice(state, at + 2, F.size(state))))
 
     def step(state: Column, _: Column) -> Column:
-        first = F.array_min(state)
-        return F.when(first >= none, state).otherwise(_let(first, lambda m: _let(F.array_position(state, m).cast("int"), lambda at: merged(state, m, at))))
+        def by(first: Column) -> Column:
+            return F.when(first >= none, state).otherwise(_let(F.array_position(state, first).cast("int"), lambda at: merged(state, first, at)))
+
+        return _let(F.array_min(state), by)
 
-    def start(ids: Column) -> Column:
-        placed = F.transform(ids, lambda a, i: F.shiftleft(i.cast("bigint"), RANK_BITS).bitwiseOR(a))
-        return F.zip_with(placed, F.slice(ids, F.lit(2), F.size(ids)), ranked)
+    def start(placed: Column) -> Column:
+        return F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda base, after: ranked(base, after.bitwiseAND(id_mask)))
 
     def encode(word: Column) -> Column:
-        ids = F.concat(F.array(id_mask.cast("bigint")), F.transform(word, lambda b: F.get(byte_rank, b.cast("int"))), F.array(id_mask.cast("bigint")))
+        placed = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), RANK_BITS).bitwiseOR(F.get(byte_rank, b.cast("int"))))
         inner = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda t: t.bitwiseAND(id_mask))
-        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), _let(ids, start), step, inner)
+        return F.aggregate(F.slice(word, F.lit(4), F.size(word)), _let(placed, start), step, inner)
 
     return F.transform(words, encode)
 
 
 def decode_words(encoded: Column, ranks: RankMap) -> Column:
     """The bytes of every id array in ``encoded``, as the binary pieces of its ids one after the other."""
-    pieces = _literal([base64.b64encode(p).decode() for p in ranks.pieces], "array<binary>")
-    return F.transform(encoded, lambda ids: F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i.cast("int")))))
+    pieces = _literal([p.decode("latin-1") for p in ranks.pieces], "array<string>")  # a character for each byte
+    return F.transform(encoded, lambda ids: F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""), "ISO-8859-1"))
 
 
 # -- back to documents -----------------------------------------------------------
