@@ -33,11 +33,9 @@ CHUNK_BYTES = 32_000_000
 #: Words that are folded in one row.
 SLICE_WORDS = 32_768
 RANK_BITS, PLACE_BITS = 17, 29
-#: Stands before and after a word's bytes.
-MARK = 256
 #: Signs of the fast path: with a letter in front, the split pattern takes each by itself.
 SIGNS = (".", ",", "!", "?", ";", ":")
-#: The id of a mark, which merges with nothing; as a rank, no merge.
+#: The id of the marks around a word, which merge with nothing; as a rank, no merge.
 EDGE = (1 << RANK_BITS) - 1
 
 #: White space as the split pattern understands it (Unicode White_Space).
@@ -46,7 +44,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _STRETCH = regex.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ODD_SPACE = regex.compile(rf"[{_SPACE}] |\A[{_SPACE}]|[{_SPACE}]\Z")
 
-CHUNK = "words array<array<smallint>>, parts array<array<int>>, ids array<bigint>, rows array<array<int>>"
+CHUNK = "words array<array<bigint>>, parts array<array<int>>, ids array<bigint>, rows array<array<int>>"
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -74,7 +72,7 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= EDGE or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the rank file needs all single bytes and ranks under 131,072")
-        self.byte_rank = [ranks[bytes([b])] for b in range(256)] + [EDGE]
+        self.byte_rank = [ranks[bytes([b])] for b in range(256)]
         self.pieces = [b""] * (max(ranks.values()) + 1)
         pairs: dict[int, list[tuple[int, int]]] = {}
         for piece, rank in ranks.items():
@@ -135,11 +133,12 @@ def stretches(text: str) -> list[str | tuple[str]]:
     return pieces
 
 
-def _pack(pattern: str):
+def _pack(pattern: str, byte_rank: list[int]):
     find = regex.compile(pattern).findall
+    first = np.array(byte_rank, dtype=np.int64)
 
     def row(words=None, parts=None, ids=None, rows=None) -> pa.RecordBatch:
-        kinds = [pa.list_(pa.list_(pa.int16())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+        kinds = [pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
         columns = [pa.nulls(1, k) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, k in zip((words, parts, ids, rows), kinds)]
         return pa.RecordBatch.from_arrays(columns, ["words", "parts", "ids", "rows"])
 
@@ -160,7 +159,7 @@ def _pack(pattern: str):
         raw = [w.encode() for w in words]
         words.clear()
         for start in range(0, len(raw), SLICE_WORDS):
-            yield row(words=_marked(raw[start : start + SLICE_WORDS]))
+            yield row(words=_marked(raw[start : start + SLICE_WORDS], first))
         codes = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
         yield row(parts=_lists(np.array(parts, dtype=np.int32), np.array(ends)), ids=pa.array(ids, pa.int64()), rows=codes)
 
@@ -182,15 +181,16 @@ def _pack(pattern: str):
     return run
 
 
-def _marked(words: list[bytes]) -> pa.ListArray:
-    """The words as byte arrays with a mark before and after each."""
+def _marked(words: list[bytes], byte_rank: np.ndarray) -> pa.ListArray:
+    """The words as byte arrays: each byte by its place and rank, with a mark before and after."""
     sizes = np.array([len(w) for w in words], dtype=np.int64) + 2
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    values = np.full(ends[-1], MARK, dtype=np.int16)
+    values = np.full(ends[-1], EDGE, dtype=np.int64)
     inside = np.ones(ends[-1], dtype=bool)
     inside[ends[:-1]] = inside[ends[1:] - 1] = False
-    values[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
-    return _lists(values, ends)
+    values[inside] = byte_rank[np.frombuffer(b"".join(words), dtype=np.uint8)]
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+    return _lists(values | place << RANK_BITS, ends)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -210,13 +210,13 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def encode_words(words: Column, ranks: RankMap) -> Column:
-    """Token ids of every marked byte array in ``words`` (array<array<smallint>>).
+    """The tokens of every marked byte array in ``words``, with a mark before and after.
 
     The state of the fold is one bigint per token: the rank of merging it with
-    the next token, its place in the word, and its id. The smallest of them is
-    the leftmost merge of lowest rank.
+    the next token, its place in the word, and in the lowest bits its id. The
+    smallest of them is the leftmost merge of lowest rank.
     """
-    byte_rank, shift, slots = (_literal(v, "array<bigint>") for v in (ranks.byte_rank, ranks.shift, ranks.slots))
+    shift, slots = (_literal(v, "array<bigint>") for v in (ranks.shift, ranks.slots))
     id_mask, low = F.lit(EDGE), RANK_BITS + PLACE_BITS
     none = F.lit(EDGE << low)
 
@@ -241,21 +241,18 @@ def encode_words(words: Column, ranks: RankMap) -> Column:
 
         return _let(F.array_min(state), by)
 
-    def start(placed: Column) -> Column:
-        return F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda base, after: ranked(base, after.bitwiseAND(id_mask)))
-
     def encode(word: Column) -> Column:
-        placed = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), RANK_BITS).bitwiseOR(F.get(byte_rank, b.cast("int"))))
-        inner = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda t: t.bitwiseAND(id_mask))
-        return F.aggregate(F.slice(word, F.lit(4), F.size(word)), _let(placed, start), step, inner)
+        start = F.zip_with(word, F.slice(word, F.lit(2), F.size(word)), lambda base, after: ranked(base, after.bitwiseAND(id_mask)))
+        return F.aggregate(F.slice(word, F.lit(4), F.size(word)), start, step)
 
     return F.transform(words, encode)
 
 
 def decode_words(encoded: Column, ranks: RankMap) -> Column:
-    """The bytes of every id array in ``encoded``, as the binary pieces of its ids one after the other."""
+    """The bytes of every token array in ``encoded``, as the binary pieces of its ids one after the other; marks have none."""
     pieces = _literal([p.decode("latin-1") for p in ranks.pieces], "array<string>")  # a character for each byte
-    return F.transform(encoded, lambda ids: F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""), "ISO-8859-1"))
+    piece = lambda token: F.get(pieces, token.bitwiseAND(F.lit(EDGE)).cast("int"))
+    return F.transform(encoded, lambda tokens: F.encode(F.array_join(F.transform(tokens, piece), ""), "ISO-8859-1"))
 
 
 # -- back to documents -----------------------------------------------------------
@@ -285,8 +282,9 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, ids, rows, encoded, decoded = (batch.column(i).slice(at, 1) for i in range(5))
             if ids.null_count:
                 values, lengths = _values(encoded)
-                tokens.append(values.astype(np.uint32))
-                sizes.append(lengths)
+                found = (values & EDGE).astype(np.uint32)
+                tokens.append(found[found != EDGE])
+                sizes.append(lengths - 2)
                 raw += decoded.flatten().to_pylist()
                 continue
             yield _documents(parts, ids, rows, np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint32), np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64), raw)
@@ -327,7 +325,7 @@ def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "
     space in front of words. Special tokens are ordinary text.
     """
     ranks = rank_map(path)
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern), CHUNK)
+    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern, ranks.byte_rank), CHUNK)
     encoded = packed.select("parts", "ids", "rows", encode_words(F.col("words"), ranks).alias("encoded"))
     decoded = encoded.select("parts", "ids", "rows", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
     return decoded.mapInArrow(_assemble, RESULT)

@@ -47,6 +47,8 @@ HINTS = frozenset(
     "overlay sidebar sidenav rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer comment comments commentlist reply replies disqus "
     "respond share sharing social related recommended newsletter subscribe subscription signup login search form toolbar widget".split()
 )
+#: Words that do so outside the article only.
+OUTSIDE_HINTS = frozenset("header masthead topbar topnav".split())
 _HINT_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -62,7 +64,7 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = [("", False, -1, 0)]
         self.words: list[str] = []
         self.tags = 0
-        self.landmarks = 0
+        self.kinds: list[str] = []  # element of each landmark
 
     def _end_line(self) -> None:
         if self.words:
@@ -83,10 +85,17 @@ class _Lines(HTMLParser):
                 return True
             if name == "role" and value and value.lower() in ROLES:
                 return True
-            if name in ("class", "id") and value and any(w.lower() in HINTS for w in _HINT_WORDS.findall(value)):
-                return True
+            if name in ("class", "id") and value:
+                words = {w.lower() for w in _HINT_WORDS.findall(value)}
+                if words & HINTS or not inside and words & OUTSIDE_HINTS:
+                    return True
         return False
 
+    @staticmethod
+    def _landmark(tag: str, attrs: list) -> bool:
+        """Does the element say that it holds the main text?"""
+        return tag in ("article", "main") or any((name == "role" and value in ("main", "article")) or (name == "itemprop" and value == "articleBody") for name, value in attrs)
+
     def _pop_to(self, depth: int) -> None:
         self._end_line()
         del self.open[depth:]
@@ -116,8 +125,9 @@ class _Lines(HTMLParser):
         hides = self._masks(tag, attrs, landmark >= 0)
         if hides and not masked:
             self._end_line()
-        if tag in ("article", "main") and not masked:
-            landmark, self.landmarks = self.landmarks, self.landmarks + 1
+        if not (masked or hides) and self._landmark(tag, attrs) and (landmark < 0 or tag == "article" and self.kinds[landmark] != "article"):
+            self.kinds.append(tag)  # an article within the main part is told apart from it, but not a body within its article
+            landmark = len(self.kinds) - 1
         if tag in HOLDERS:
             self.holders.append(holder)
             holder = len(self.holders) - 1

@@ -49,7 +49,7 @@ def test_bpe_chunks_do_not_matter(reference):
     before = byte_bpe.CHUNK_BYTES
     try:
         byte_bpe.CHUNK_BYTES = 500
-        chunks = list(byte_bpe._pack(P.PATTERN)(iter([batch])))
+        chunks = list(byte_bpe._pack(P.PATTERN, byte_bpe.rank_map(RANKS).byte_rank)(iter([batch])))
     finally:
         byte_bpe.CHUNK_BYTES = before
     done = [c for c in chunks if c.column(2)[0].is_valid]
@@ -157,6 +157,8 @@ FRAME = "<html><head><title>t</title><style>p{x}</style><script>var t='</p>';</s
     ("<article><p>Text</p><section class='comments'><p>Nice!</p></section><form>mail <input></form></article>", "Text"),
     ("<main><div class='cookie-notice'>We use cookies</div><p>Kept &lt;b&gt; &#233;</p></main>", "Kept <b> é"),
     ("<article><p>a", "a"), ("<article></article>", ""),
+    ("<div class='site-header'>Site</div><div role='main'><header><h1>Head</h1></header><p>Body</p><div id='reader-comments'>No!</div></div>", "Head\nBody"),
+    ("<main><p>Lead in</p><article><h1>Head</h1><div itemprop='articleBody'><p>Body of the article, long enough</p></div></article></main>", "Head\nBody of the article, long enough"),
     ("<article><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>", "x\ny\n1\n2"),
 ])
 def test_page_text(body, text):
