@@ -482,6 +482,11 @@ UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 4), round(sum(rc
     sql["shapley_global"] = shap("SELECT * FROM imp")
     sql["shapley_points"] = shap('SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY k) AS point, "value", contribution, importance FROM phi JOIN imp USING (feature) QUALIFY point <= 50')
     sql["shapley_row"] = shap("SELECT feature, contribution, CASE WHEN contribution >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM phi WHERE k = (SELECT min(k) FROM phi)")
+    sql["feat_apply"] = query(R, """SELECT id, round((bal - m) / s, 4) AS bal_z, CASE WHEN seg = (SELECT seg FROM tr GROUP BY seg ORDER BY count(*) DESC, seg LIMIT 1) THEN 1 ELSE 0 END AS seg_enc,
+  round((coalesce(total, 0) + 10 * m) / (coalesce(n, 0) + 10), 4) AS nation_target
+FROM t LEFT JOIN (SELECT nation, sum(bal) AS total, count(bal) AS n FROM tr GROUP BY nation) USING (nation), (SELECT avg(bal) AS m, stddev_samp(bal) AS s FROM tr) WHERE is_test""",
+        "t AS (SELECT *, ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % 10000 < 2000 AS is_test FROM fx)", "tr AS (SELECT * FROM t WHERE NOT is_test)")
+
     # inputs whose results are known
     S = "fx_step"
     cls = ["Decision Tree", "Extra Trees", "Gradient Boosting", "KNN", "Logistic Regression", "Random Forest"]

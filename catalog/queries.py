@@ -155,6 +155,16 @@ def date_feature(df: DataFrame) -> DataFrame:
     return features.add_date_parts(df, names).select("id", *parts)
 
 
+def apply_features(df: DataFrame) -> DataFrame:
+    """Transforms learned from the training rows, on the others."""
+    rows = training.hash_split(df, ["id"])
+    train, test = rows.where(~F.col("is_test")).drop("is_test"), rows.where("is_test").drop("is_test")
+    found = features.add_zscore(train, ["bal"], test)
+    found = features.add_binary(train, ["seg"], found)
+    found = features.add_target_encoding(train, "nation", "bal", onto=found)
+    return _rounded(found, 4, "bal_z", "nation_target").select("id", "bal_z", "seg_enc", "nation_target")
+
+
 # -- models ---------------------------------------------------------------
 
 KEY = ["k"]
@@ -463,6 +473,7 @@ def build() -> dict[str, Query]:
         "model_report": (ml, model_report),
         "leaderboard_summary": (ml, model_summary),
         "shapley_fallback": (ml, fallback),
+        "feat_apply": (rules, apply_features),
         "step_leaderboard": ("fx_step", step_board),
         "step_importance": ("fx_step", step_importance),
         "step_report": ("fx_step", lambda d: leaderboard.report(leaderboard.train_model(d.drop(NUMBER), CLASS, KEY))),

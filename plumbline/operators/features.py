@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import col, hash32
+from plumbline.functions.columns import col, hash32, nan_to_null
 from plumbline.functions.frames import small_frame
 from plumbline.functions.scalar import parse_date
 from plumbline.plans.stats import TableStats, stats_of
@@ -184,7 +184,7 @@ def suggestion_filter(suggestions: DataFrame, priority: str | None = None, text:
     return found.where(F.lower("title").contains(needle) | F.lower("column").contains(needle))
 
 
-# -- transforms: each appends columns to the whole table ------------------
+# -- transforms: each appends columns to the whole table, or to ``onto`` what was learned from it --
 
 
 def add_log(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -195,8 +195,9 @@ def add_sqrt(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", *[F.when(col(c).isNotNull(), F.sqrt(F.greatest(col(c).cast("double"), F.lit(0.0)))).alias(f"{c}_sqrt") for c in columns])
 
 
-def add_quartile_bin(table: DataFrame | TableStats, columns: list[str]) -> DataFrame:
-    """Right-closed quartile bins numbered from 0; equal edges merge."""
+def add_quartile_bin(table: DataFrame | TableStats, columns: list[str], onto: DataFrame | None = None) -> DataFrame:
+    """Right-closed quartile bins numbered from 0; equal edges merge. Values of
+    ``onto`` beyond the fitted range fall into the outer bins."""
     st = stats_of(table)
     bins = []
     for c, edges in st.quantiles([0.0, 0.25, 0.5, 0.75, 1.0], columns).items():
@@ -204,17 +205,22 @@ def add_quartile_bin(table: DataFrame | TableStats, columns: list[str]) -> DataF
         x = col(c).cast("double")
         label = reduce(lambda n, e: n + F.when(x > e, 1).otherwise(0), inner, F.lit(0))
         bins.append(F.when(x.isNotNull(), label).alias(f"{c}_bin"))
-    return st.df.select("*", *bins)
+    return _target(st, onto).select("*", *bins)
 
 
-def add_zscore(table: DataFrame | TableStats, columns: list[str]) -> DataFrame:
+def _target(st: TableStats, onto: DataFrame | None) -> DataFrame:
+    return st.df if onto is None else nan_to_null(onto)
+
+
+def add_zscore(table: DataFrame | TableStats, columns: list[str], onto: DataFrame | None = None) -> DataFrame:
+    """Distance from the mean in deviations."""
     st = stats_of(table)
     scaled = []
     for c in columns:
         m = st.moments[c]
         x = col(c).cast("double")
         scaled.append((((x - m["mean"]) / m["std"]) if m["std"] else F.lit(None).cast("double")).alias(f"{c}_z"))
-    return st.df.select("*", *scaled)
+    return _target(st, onto).select("*", *scaled)
 
 
 def add_interaction(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -225,42 +231,41 @@ def add_ratio(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.select("*", *[F.try_divide(col(a).cast("double"), col(b).cast("double") + 1e-9).alias(f"{a}_per_{b}") for a, b in pairs])
 
 
-def add_binary(table: DataFrame | TableStats, columns: list[str]) -> DataFrame:
+def add_binary(table: DataFrame | TableStats, columns: list[str], onto: DataFrame | None = None) -> DataFrame:
     """1 where the value is the mode, else 0 (missing included)."""
     st = stats_of(table)
     summary = st.value_summary([c for c in st.categorical if c.name in columns])
     flags = [F.coalesce((col(c).cast("string") == summary[c]["s"]).cast("int"), F.lit(0)).alias(f"{c}_enc") for c in columns]
-    return st.df.select("*", *flags)
+    return _target(st, onto).select("*", *flags)
 
 
-def add_onehot(table: DataFrame | TableStats, columns: list[str]) -> DataFrame:
-    """One 0/1 column per value, in place of the column."""
+def add_onehot(table: DataFrame | TableStats, columns: list[str], onto: DataFrame | None = None) -> DataFrame:
+    """One 0/1 column per value, in place of the column. Other values of ``onto`` are 0 throughout."""
     st = stats_of(table)
     infos = [c for c in st.categorical if c.name in columns]
     over = [c for c, n in st.distinct(infos).items() if n > ONE_HOT_LIMIT]
     if over:
         raise ValueError(f"too many values to one-hot encode: {over}")
     values = sorted((r["column"], r["s"]) for r in st.value_counts(infos).select("column", "s").collect())
-    kept = [col(c) for c in st.df.columns if c not in columns]
-    return st.df.select(*kept, *[F.coalesce(col(c).cast("string") == v, F.lit(False)).cast("int").alias(f"{c}_{v}") for c, v in values])
+    rows = _target(st, onto)
+    kept = [col(c) for c in rows.columns if c not in columns]
+    return rows.select(*kept, *[F.coalesce(col(c).cast("string") == v, F.lit(False)).cast("int").alias(f"{c}_{v}") for c, v in values])
 
 
-def add_target_encoding(df: DataFrame, column: str, target: str, smoothing: float = TARGET_SMOOTHING) -> DataFrame:
-    """Mean target of the category, pulled towards the overall mean. The
-    encoding suits up to 50 categories, so its table is broadcast; a larger
-    one is left to the join planner."""
+def add_target_encoding(
+    df: DataFrame, column: str, target: str, smoothing: float = TARGET_SMOOTHING, onto: DataFrame | None = None
+) -> DataFrame:
+    """Mean target of the category, pulled towards the overall mean; a category
+    that was not seen gets the mean itself."""
     y = col(target).cast("double")
     prior = df.agg(F.avg(y)).first()[0]
     groups = df.where(col(column).isNotNull()).groupBy(col(column).alias("category")).agg(
         F.sum(y).alias("total"), F.count(y).alias("n")
     )
-    rows = groups.limit(TARGET_LIMIT + 1).collect()
-    if len(rows) <= TARGET_LIMIT:
-        schema = f"category {df.schema[column].dataType.simpleString()}, total double, n bigint"
-        groups = F.broadcast(small_frame(df.sparkSession, [r.asDict() for r in rows], schema))
     value = (F.coalesce("total", F.lit(0.0)) + smoothing * F.lit(prior)) / (F.coalesce("n", F.lit(0)) + smoothing)
-    return df.join(groups, col(column) == F.col("category"), "left").select(
-        *[col(c) for c in df.columns], value.alias(f"{column}_target")
+    rows = df if onto is None else onto
+    return rows.join(groups, col(column) == F.col("category"), "left").select(
+        *[col(c) for c in rows.columns], value.alias(f"{column}_target")
     )
 
 

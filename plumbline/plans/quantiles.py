@@ -59,17 +59,27 @@ def _sorted_ranks(table, wanted: dict[str, list[int]]) -> dict[tuple[str, int],
     names = list(wanted)
     if not names:
         return {}
-    ordered = table.numeric_long(names).groupBy("p").agg(F.sort_array(F.collect_list("x")).alias("v"))
-    slots = max(len(ks) for ks in wanted.values())
-    picked = []
-    for j in range(slots):
-        rank = F.get(F.array(*[F.lit(ks[min(j, len(ks) - 1)]) for ks in wanted.values()]), F.col("p"))
-        picked.append(F.get("v", rank.cast("int")).alias(f"r{j}"))
-    return {
-        (names[row["p"]], k): row[f"r{j}"]
-        for row in ordered.select("p", *picked).collect()
-        for j, k in enumerate(wanted[names[row["p"]]])
-    }
+    found = _picked(table.numeric_long(names), [[F.lit(k) for k in ks] for ks in wanted.values()])
+    return {(c, k): found[p][j] for p, c in enumerate(names) for j, k in enumerate(wanted[c])}
+
+
+def _picked(long: DataFrame, places: list[list[Column]]) -> dict[int, list[float | None]]:
+    """From (p, x): per ``p`` the values at its ``places`` in sorted order, each
+    an expression of ``m``, the number of values. Every ``p`` is sorted in a
+    group of its own; only the picked values leave it."""
+    slots = max(len(at) for at in places)
+    spots = [F.get(F.array(*[at[min(j, len(at) - 1)].cast("bigint") for at in places]), F.col("p")).cast("int") for j in range(slots)]
+    ordered = long.groupBy("p").agg(F.sort_array(F.collect_list("x")).alias("v")).withColumn("m", F.size("v"))
+    rows = ordered.select("p", *[F.when(spot >= 0, F.get("v", spot)).alias(f"r{j}") for j, spot in enumerate(spots)]).collect()
+    found = {row["p"]: [row[f"r{j}"] for j in range(slots)] for row in rows}
+    return {p: found.get(p, [None] * slots) for p in range(len(places))}
+
+
+def _inside(df: DataFrame, brackets: list[Bracket], draws: list[Column] | None = None) -> DataFrame:
+    """(p, x): the values within each bracket, or those of them that are drawn."""
+    tests = [b.holds() if draws is None else b.holds() & d for b, d in zip(brackets, draws or brackets)]
+    cells = F.array(*[F.when(t, col(b.column).cast("double")) for b, t in zip(brackets, tests)])
+    return df.select(F.posexplode(cells).alias("p", "x")).where("x IS NOT NULL")
 
 
 @dataclass(frozen=True)
@@ -112,37 +122,36 @@ def select_ranks(
     return found
 
 
+def _grouped(targets: dict[tuple[str, int], Bracket]) -> dict[Bracket, list[tuple[str, int]]]:
+    groups: dict[Bracket, list[tuple[str, int]]] = {}
+    for t, b in targets.items():
+        groups.setdefault(b, []).append(t)
+    return groups
+
+
 def _finish(df: DataFrame, targets: dict[tuple[str, int], Bracket]) -> dict[tuple[str, int], float]:
     """Sort the few values inside each bracket and read off the rank."""
-    index = {b: i for i, b in enumerate(dict.fromkeys(targets.values()))}
-    lists = [
-        F.sort_array(F.collect_list(F.when(b.holds(), col(b.column).cast("double")))).alias(f"v{i}") for b, i in index.items()
-    ]
-    picks = [F.get(f"v{index[b]}", F.lit(t[1] - b.below).cast("int")).alias(f"r{k}") for k, (t, b) in enumerate(targets.items())]
-    row = df.agg(*lists).select(*picks).first()
-    return {t: row[f"r{k}"] for k, t in enumerate(targets)}
+    groups = _grouped(targets)
+    found = _picked(_inside(df, list(groups)), [[F.lit(t[1] - b.below) for t in ts] for b, ts in groups.items()])
+    return {t: found[p][j] for p, ts in enumerate(groups.values()) for j, t in enumerate(ts)}
 
 
 def _pivots(df: DataFrame, targets: dict[tuple[str, int], Bracket], sample_size: int, seed: int):
     """Per target, two sampled values that very likely enclose its rank."""
-    index = {b: i for i, b in enumerate(dict.fromkeys(targets.values()))}
-    names = sorted({b.column for b in index})
+    groups = _grouped(targets)
+    names = sorted({b.column for b in groups})
     drawn = df.select(*[col(c) for c in names], F.rand(seed).alias(DRAW))
-    samples = [
-        F.sort_array(
-            F.collect_list(F.when(b.holds() & (col(DRAW) < sample_size / b.inside), col(b.column).cast("double")))
-        ).alias(f"v{i}")
-        for b, i in index.items()
-    ]
-    picks = []
-    for k, (t, b) in enumerate(targets.items()):
-        v, m = F.col(f"v{index[b]}"), F.size(f"v{index[b]}")
-        share = (t[1] - b.below + 0.5) / b.inside
-        slack = 3 * math.sqrt(max(share * (1 - share), 1 / sample_size) / sample_size)
-        low, high = F.floor(m * (share - slack)).cast("int"), F.ceil(m * (share + slack)).cast("int")
-        picks += [F.when(low >= 0, F.get(v, low)).alias(f"a{k}"), F.get(v, high).alias(f"b{k}")]
-    row = drawn.agg(*samples).select(*picks).first()
-    return {t: (row[f"a{k}"], row[f"b{k}"]) for k, t in enumerate(targets)}
+    places = []
+    for b, ts in groups.items():
+        at = []
+        for t in ts:
+            share = (t[1] - b.below + 0.5) / b.inside
+            slack = 3 * math.sqrt(max(share * (1 - share), 1 / sample_size) / sample_size)
+            at += [F.floor(F.col("m") * F.lit(share - slack)), F.ceil(F.col("m") * F.lit(share + slack))]
+        places.append(at)
+    long = _inside(drawn, list(groups), [col(DRAW) < sample_size / b.inside for b in groups])
+    found = _picked(long, places)
+    return {t: (found[p][2 * j], found[p][2 * j + 1]) for p, ts in enumerate(groups.values()) for j, t in enumerate(ts)}
 
 
 def _narrow(df: DataFrame, open_at: dict, pivots: dict):

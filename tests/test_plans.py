@@ -42,6 +42,17 @@ def test_quantiles_equal_numpy(numbers, limit, sample):
         assert found[c] == pytest.approx(want, rel=1e-12), c
 
 
+def test_quantiles_of_a_wide_table(spark):
+    """Three hundred columns: every bracket is a group of its own, and only picked values reach the driver."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame(rng.normal(size=(400, 300)), columns=[f"c{i}" for i in range(300)])
+    st = TableStats(spark.createDataFrame(pdf))
+    found = quantiles.quantiles(st, {c: 400 for c in pdf}, [0.25, 0.5], exact_limit=100, sample_size=150)
+    want = pdf.quantile([0.25, 0.5])
+    for c in ("c0", "c17", "c299"):
+        assert found[c] == pytest.approx(want[c].tolist(), rel=1e-12)
+
+
 def test_moments_equal_pandas(numbers):
     df, pdf = numbers
     moments = TableStats(df.drop("far")).moments
