@@ -13,9 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.scratch import give_back
+
 PASSAGE_WORDS = 48
 #: The fit uses at most this many labelled rows of each class, those with the smallest hashes.
 SAMPLE_ROWS = 2500
@@ -24,7 +27,7 @@ SAMPLE_CHARS = 100_000
 THRESHOLD = 0.3
 HIDDEN, GATE = 16, 8
 #: Bytes of text that a task describes at once.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -232,6 +235,7 @@ def _score(model: AttentionModel):
                     ids, out, texts, size = [], [], [], 0
         if ids:
             yield flush(ids, out, texts)
+        give_back()
 
     return run
 
@@ -250,18 +254,14 @@ def score_quality(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id"
 def _keep(model: AttentionModel, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(text.as_py() or "").encode() for text in batch.column(column)]
-            accepted: list[np.ndarray] = []
-            start = 0
-            while start < len(texts):  # groups of bounded bytes
-                end, size = start, 0
-                while end < len(texts) and size < GROUP_BYTES:
-                    size += len(texts[end]) + 64
-                    end += 1
-                accepted.append(model.scores(*passages(texts[start:end])) >= THRESHOLD)
-                start = end
-            if accepted:
-                yield batch.filter(pa.array(np.concatenate(accepted)))
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 64
+            group = np.cumsum(sizes) // GROUP_BYTES  # groups of bounded bytes
+            for start, end in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows])):
+                part = batch.slice(start, end - start)
+                if part.num_rows:
+                    texts = [(text.as_py() or "").encode() for text in part.column(column)]
+                    yield part.filter(pa.array(model.scores(*passages(texts)) >= THRESHOLD))
+        give_back()
 
     return run
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.functions.frames import materialise
@@ -21,6 +23,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on and wait beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, longer by underscores until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
