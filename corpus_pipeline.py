@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash_components(docs)
     first, turn = free_name(docs, "_first"), free_name(docs, "_turn")
     names = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.join(names, F.col("doc_id") == F.col(first), "left_semi")
+    kept = docs.join(names.hint("merge"), F.col("doc_id") == F.col(first), "left_semi")  # one plan at every size
     order = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
     kept = kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops the documents that hold an item of the benchmark."""
     leak = free_name(docs, "_leak")
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col(leak), "left_anti")
+    return docs.join(leaks.hint("merge"), F.col("doc_id") == F.col(leak), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
