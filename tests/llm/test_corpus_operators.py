@@ -90,6 +90,43 @@ def test_components_of_a_chain(spark):
     assert components.components(edges.where("a < 0")).count() == 0
 
 
+@pytest.mark.parametrize("path", [[1, 3, 4, 5, 2], [2, 4, 3, 6, 5, 0, 1, 7], [1, 2, 0, 6, 4, 5, 3], [1, 4, 2, 3, 0, 5, 6]])
+def test_components_of_a_path_in_any_order(spark, path):  # alone: other components keep the rounds going
+    edges = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+    assert same(components.components(edges), [(x, min(path)) for x in path])
+
+
+def drifting(seed, n=8):
+    rng = np.random.default_rng(seed)
+    fps = [int(rng.integers(0, 2**63))]
+    while len(fps) < n:
+        fps.append(fps[-1] ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
+    return fps
+
+
+#: In the order 1-3-4-5-2; of each two steps no list of three bytes holds both.
+CHAIN = [0x0000000000000000, 0x0400000001010000, 0x0601000003010000, 0x0701000003030100, 0x0303000007030100]
+
+
+@pytest.mark.parametrize("fps", [CHAIN, drifting(0)])
+def test_drifting_fingerprints_are_one_component(spark, monkeypatch, fps):
+    import pyarrow as pa
+
+    def given(words):
+        def run(batches):  # the text is the fingerprint
+            for b in batches:
+                found = np.array([int(t.as_py(), 16) for t in b.column(1)], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "_fingerprints", given)
+    rows = [((7 * i + 3) % len(fps), f"{fp:016x}") for i, fp in enumerate(fps)]
+    want = [(i, text, 0) for i, text in rows]
+    assert plain_components(fps, [i for i, _ in rows]) == [0] * len(fps)
+    assert same(simhash.simhash_components(frame(spark, rows)), want)
+
+
 # -- repeated passages -------------------------------------------------------------------
 
 
