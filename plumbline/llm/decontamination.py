@@ -2,7 +2,9 @@
 
 Texts become templates: numbers (with the unit that follows) and names turn into
 typed placeholders, everything else into its folded word. Windows of a benchmark
-item's template are hash-joined with those of the documents; matches on one
+item's template are hash-joined with those of the documents. A capitalised word
+that starts a sentence may be a name or not, so that windows over it are hashed
+in both readings, as are those over an item's first word. Matches on one
 diagonal of a document and an item are then checked for consistent slots: each
 value of the item must stand for one and the same value in the document. A
 window of hardly any plain words proves nothing by its template and is hashed
@@ -32,6 +34,8 @@ SHARE = 0.5
 #: Bits of the filter that spares most document windows the join; its size never depends on the data.
 FILTER_BITS = 1 << 23
 KEPT_WORDS = 400_000
+#: Readings of windows that are hashed at a time.
+READINGS = 1 << 17
 
 #: Words that stand for a number, and units (with the forms in which they follow one).
 NUMBER_WORDS = frozenset(
@@ -118,22 +122,33 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Template:
-    """Tokens of one text after canonicalisation; ``start`` and ``stop`` name the words of each."""
+    """Tokens of one text after canonicalisation; ``start`` and ``stop`` name the words of each.
 
-    def __init__(self, words: list[str], known: _Tokens):
+    ``open`` tokens count as words and may be read as names: capitals that start
+    a sentence and, of an item, the first word. ``merged`` makes them names that
+    take in the names after them.
+    """
+
+    def __init__(self, words: list[str], known: _Tokens, item: bool = False, merged: bool = False):
         self.words = words
         if not words:
             self.start = self.stop = np.zeros(0, dtype=np.int64)
             self.kind, self.shape, self.value = np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+            self.open = np.zeros(0, dtype=bool)
             return
         kind, value, ends = known.of(words)
         kept = np.flatnonzero(kind != _EMPTY)
         kind, value, ends = kind[kept].copy(), value[kept], ends[kept]
         after = np.concatenate([[True], ends[:-1]]) if len(kept) else ends
         previous = np.concatenate([[_WORD], kind[:-1]]) if len(kept) else kind
+        may = (kind == _CAP) & after
         name = (kind == _CAP) & ~after
         unit = (kind == _UNIT) & (previous == _NUM)
-        joins = unit | (name & np.concatenate([[False], name[:-1]])) if len(kept) else name
+        leads = name | may if merged else name
+        joins = unit | (name & np.concatenate([[False], leads[:-1]])) if len(kept) else name
+        if merged:
+            taken = may & np.concatenate([joins[1:], [False]]) if len(kept) else may
+            name, may = name | taken, may & ~taken
         kind[(kind == _CAP) & ~name] = _WORD
         kind[kind == _UNIT] = _WORD
         head = np.flatnonzero(~joins)
@@ -143,32 +158,63 @@ class Template:
         self.start = kept[head]
         self.stop = kept[np.concatenate([head[1:], [len(kept)]]) - 1] + 1 if len(head) else self.start
         self.kind = kind[head]
+        self.open = may[head]
+        if item and len(head):
+            self.open[0] |= self.kind[0] == _WORD
         self.shape = np.where(self.kind == _NUM, _SLOT[_NUM], np.where(self.kind == _CAP, _SLOT[_CAP], self.value))
 
-    def windows(self, size: int) -> np.ndarray:
-        """A hash for every window of ``size`` tokens; of shapes where enough are plain words, else of values."""
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Position, reading and hash of every window of ``size`` tokens; of shapes where enough are plain words, else of values.
+
+        Bit ``j`` of a reading says that the ``j``-th open token of the window is a name.
+        """
         n = len(self.kind) - size + 1
         if n < 1:
-            return np.zeros(0, dtype=np.uint64)
-        out = []
-        with np.errstate(over="ignore"):
-            for tokens in (self.shape, self.value):
-                h = np.full(n, np.uint64(size))
-                for i in range(size):
-                    h = (h ^ tokens[i : i + n]) * _BASE
-                    h ^= h >> np.uint64(29)
-                out.append(h)
+            return
+        shapes, values = (_mixed([tokens[i : i + n] for i in range(size)], size) for tokens in (self.shape, self.value))
+        values ^= np.uint64(0xA5A5A5A5)
         plain = np.concatenate([[0], np.cumsum(self.kind == _WORD)])
-        return np.where(plain[size:] - plain[:-size] >= min(PLAIN, size), out[0], out[1] ^ np.uint64(0xA5A5A5A5))
-
-    def slots(self, at: int, size: int) -> list[str]:
+        plain = plain[size:] - plain[:-size]
+        enough = min(PLAIN, size)
+        yield np.arange(n), np.zeros(n, dtype=np.int64), np.where(plain >= enough, shapes, values)
+        if not self.open.any():
+            return
+        before = np.concatenate([[0], np.cumsum(self.open)])
+        more = (1 << (before[size:] - before[:-size])) - 1  # readings besides the first
+        until = np.cumsum(more)
+        first = 0
+        while first < n:
+            done = until[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(until, done + READINGS, "right")))
+            times = more[first:last]
+            at = np.repeat(np.arange(first, last), times)
+            if len(at):
+                reading = np.arange(len(at)) - np.repeat(until[first:last] - done - times, times) + 1
+                place = at[:, None] + np.arange(size)
+                named = self.open[place] & ((reading[:, None] >> (before[place] - before[at][:, None]) & 1) == 1)
+                shape = np.where(named, _SLOT[_CAP], self.shape[place])
+                yield at, reading, np.where(plain[at] - named.sum(axis=1) >= enough, _mixed(list(shape.T), size), values[at])
+            first = last
+
+    def slots(self, at: int, size: int, reading: int = 0) -> list[str]:
         """The values of the placeholders in a window."""
-        chosen = np.flatnonzero(self.kind[at : at + size] != _WORD)
+        held = self.kind[at : at + size] != _WORD
+        held[[i for j, i in enumerate(np.flatnonzero(self.open[at : at + size]).tolist()) if reading >> j & 1]] = True
+        chosen = np.flatnonzero(held)
         return [" ".join(_EDGES.sub("", w) for w in self.words[self.start[at + i] : self.stop[at + i]]).casefold() for i in chosen.tolist()]
 
 
+def _mixed(tokens: list[np.ndarray], size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = np.full(len(tokens[0]), np.uint64(size))
+        for column in tokens:
+            h = (h ^ column) * _BASE
+            h ^= h >> np.uint64(29)
+    return h
+
+
 def _windows(size: int, lengths: list[int] | None, bits: bytes | None):
-    """Rows ``id, n, size, at, h, slots``. Items: their own size, all windows. Documents: all sizes, those the filter lets pass."""
+    """Rows ``id, n, size, at, h, slots``. Items: their own size, all windows in all readings. Documents: all sizes, those the filter lets pass."""
     passes = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,18 +222,24 @@ def _windows(size: int, lengths: list[int] | None, bits: bytes | None):
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = Template((text.as_py() or "").split(), known)
+                words = (text.as_py() or "").split()
+                t = Template(words, known, item=lengths is None)
                 n = len(t.kind)
-                for length in lengths if lengths is not None else [min(size, n)] if n >= SHORTEST else []:
-                    h = t.windows(length)
-                    hit = np.arange(len(h)) if passes is None else np.flatnonzero(passes[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
-                    if len(hit):
-                        out[0] += [key] * len(hit)
-                        out[1] += [max(1, n - length + 1)] * len(hit)
-                        out[2] += [length] * len(hit)
-                        out[3] += hit.tolist()
-                        out[4] += h[hit].view(np.int64).tolist()
-                        out[5] += [t.slots(i, length) for i in hit.tolist()]
+                if lengths is not None:
+                    asked = [(t, length) for length in lengths]
+                else:
+                    asked = [(x, min(size, len(x.kind))) for x in (t, Template(words, known, True, True)) if len(x.kind) >= SHORTEST and (x is t or len(x.kind) < n)]
+                for x, length in asked:
+                    for at, reading, h in x.windows(length):
+                        hit = np.arange(len(h)) if passes is None else np.flatnonzero(passes[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
+                        if len(hit):
+                            at, reading = at[hit], reading[hit]
+                            out[0] += [key] * len(hit)
+                            out[1] += [max(1, n - (length if lengths is not None else size) + 1)] * len(hit)
+                            out[2] += [length] * len(hit)
+                            out[3] += (at if x is t else np.searchsorted(t.start, x.start[at])).tolist()  # in tokens of ``t``
+                            out[4] += h[hit].view(np.int64).tolist()
+                            out[5] += [x.slots(i, length, r) for i, r in zip(at.tolist(), reading.tolist())]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["id", "n", "size", "at", "h", "slots"])
 
@@ -222,12 +274,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     key = ["doc_id", "item_id", "n_windows", "diagonal"]
     met = written(met.select("doc_id", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pair).distinct(), "met")
 
-    # on a diagonal every value of the item stands for the value it meets most; windows that say otherwise do not count
-    pairs = met.select(*key, "item_at", F.explode("pairs").alias("p")).select(*key, "item_at", "p.a", "p.b")
+    # on a diagonal every value of the item stands for the value it meets most; readings of windows that say otherwise do not count
+    pairs = met.select(*key, "item_at", "pairs", F.explode("pairs").alias("p")).select(*key, "item_at", "pairs", "p.a", "p.b")
     votes = pairs.groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy(*key, "a").agg(F.max_by("b", F.struct("n", "b")).alias("best"))
-    against = pairs.join(votes, [*key, "a"]).where(F.col("b") != F.col("best")).select(*key, "item_at").distinct()
+    against = pairs.join(votes, [*key, "a"]).where(F.col("b") != F.col("best")).select(*key, "item_at", "pairs").distinct()
     changed = votes.where(F.col("a") != F.col("best")).select("doc_id", "item_id").distinct().withColumn("changed", F.lit(True))
-    kept = met.join(against, [*key, "item_at"], "left_anti").groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("item_at").cast("int").alias("n_matched"))
+    kept = met.join(against, [*key, "item_at", "pairs"], "left_anti").groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("item_at").cast("int").alias("n_matched"))
     part = F.col("n_matched") / F.col("n_windows")
     held = kept.where(part >= share).join(changed, ["doc_id", "item_id"], "left")
     return held.select("doc_id", "item_id", "n_windows", "n_matched", F.round(part, 4).alias("share"), F.col("changed").isNull().alias("same_values"))

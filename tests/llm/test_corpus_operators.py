@@ -190,6 +190,19 @@ def test_leaks_against_containment(spark, sf_dir):
     assert got == want
 
 
+def test_leaks_by_sentence_initial_names(spark):
+    apples = "Alice has 12 apples in her basket. Bob has 7 apples in his bag. Carol has 3 pears in her box. How many apples do they have?"
+    items = [(1, apples), (2, "What is the sum of 2 and 3"), (3, "Alice Smith took 3 of 4 left"), (4, "given that Peter runs, what is his speed after the start of it")]
+    swapped = apples.replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Fay")
+    rows = [
+        (1, "Before. " + swapped), (2, "as is known " + swapped + " and so on"), (3, "then he asked What is the sum of 2 and 3"), (4, "and what is the sum of 2 and 3"),
+        (5, "she said Alice Smith took 3 of 4 left"), (6, "Alice Smith took 3 of 4 left"), (7, "Given that Peter runs. What is his speed after the start of it"), (8, "Alice has no apples in her basket. Bob left."),
+    ]
+    found = held(spark, rows, items)
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 4)}
+    assert all(found[k].share == 1 for k in found) and {k for k in found if not found[k].same_values} == {(1, 1), (2, 1)}
+
+
 def test_leaks_of_nothing(spark):
     assert not held(spark, [(1, QUESTION)], [(None, None)]) and not held(spark, [(None, None)])
     none = spark.createDataFrame([], SCHEMA)
