@@ -36,9 +36,10 @@ PAIR_WEIGHTS = {("api", "key"): 3.0, ("access", "key"): 3.0, ("private", "key"):
 THRESHOLD = 1.5
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|changeme|example|placeholder|todo|test|your[-_ ]?\w*|<.*>|\$\{.*\}|\$\(.*\)|\{\{.*\}\}|%\w*%)$")
 
-_NAME = r"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})["']?(?:\])?"""
-_TERM = r"""(?:[rbfuRBFU]{0,2}"(?:[^"\\\n]|\\.){0,4000}"|[rbfuRBFU]{0,2}'(?:[^'\\\n]|\\.){0,4000}'|[A-Za-z0-9_$][A-Za-z0-9_.+/=$~!@%^&*\-]{0,4000})"""
-_PAIR = re.compile(rf"(?<![A-Za-z0-9_.\-]){_NAME}[ \t]*(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*(?P<value>{_TERM}(?:[ \t]*\+[ \t]*{_TERM}){{0,40}})")
+# possessive, so that names and literals of any length are read in one go
+_NAME = r"""["']?(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?(?:\])?"""
+_TERM = r"""(?:[rbfuRBFU]{0,2}"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|[rbfuRBFU]{0,2}'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[A-Za-z0-9_$][A-Za-z0-9_.+/=$~!@%^&*\-]*+)"""
+_PAIR = re.compile(rf"(?<![A-Za-z0-9_.\-]){_NAME}[ \t]*(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*(?P<value>{_TERM}(?:[ \t]*\+[ \t]*{_TERM})*+)")
 _PART = re.compile(_TERM)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -64,26 +65,44 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 3.5) * min(1.0, len(value) / 12)
 
 
+def _literals(parts: list) -> list[tuple[int, int]]:
+    """Distinct spans of a constant's parts, in order; parts are spans, or the parts of another constant, met once."""
+    spans: dict[tuple[int, int], None] = {}
+    met, left = {id(parts)}, [iter(parts)]
+    while left:
+        for part in left[-1]:
+            if isinstance(part, tuple):
+                spans[part] = None
+            elif id(part) not in met:
+                met.add(id(part))
+                left.append(iter(part))
+                break
+        else:
+            left.pop()
+    return list(spans)
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, itself or through other names."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, list] = {}
     found: set[tuple[int, int]] = set()
     for pair in _PAIR.finditer(text):
-        spans: list[tuple[int, int]] = []
+        parts: list = []
         for part in _PART.finditer(text, pair.start("value"), pair.end("value")):
             start, end = part.span()
             quote = next((q for q in "\"'" if text[end - 1] == q and q in text[start : start + 3] and end - start > 1), "")
             if quote:
-                spans.append((text.index(quote, start) + 1, end - 1))
+                parts.append((text.index(quote, start) + 1, end - 1))
             elif (known := constants.get(part.group())) is not None:
-                spans += known
+                parts.append(known)
             else:
-                spans.append((start, end))
-        spans = list(dict.fromkeys(spans))[:64]
+                parts.append((start, end))
         name = pair.group("name")
-        constants[name] = spans
-        if (weight := name_weight(name)) and weight * literal_score("".join(text[a:b] for a, b in spans)) >= THRESHOLD:
-            found.update((a, b) for a, b in spans if a < b)
+        constants[name] = parts
+        if weight := name_weight(name):
+            spans = _literals(parts)
+            if weight * literal_score("".join(text[a:b] for a, b in spans)) >= THRESHOLD:
+                found.update((a, b) for a, b in spans if a < b)
     return sorted(found)
 
 

@@ -138,6 +138,32 @@ def test_lexed_secrets(text, literals):
     assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == literals
 
 
+LONG = "aB3dE5gH7j" * 1000
+PIECES = [f"k{i}Zq" for i in range(100)]
+
+
+@pytest.mark.parametrize("text,literals", [
+    (f'client_credential = "{LONG}"', [LONG]), (f"client_credential = {LONG} rest", [LONG]), (f"auth='{LONG}\\'{LONG}'", [f"{LONG}\\'{LONG}"]),
+    ("n" * 100 + '.pwd = "Zk9aB12cD34e"', ["Zk9aB12cD34e"]), ("pwd = " + " + ".join(f'"{p}"' for p in PIECES), PIECES),
+    ("\n".join(f"a{i} = " + (f"a{i - 1} + " if i else "") + f'"{p}"' for i, p in enumerate(PIECES)) + "\npwd = a99 + a99", PIECES),
+])
+def test_long_lexed_secrets(text, literals):
+    assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == literals
+    assert not any(x in secret_scan.redacted(text, "[SECRET]") for x in literals)
+
+
+def test_lexer_is_linear():
+    import time
+
+    def took(text):
+        start = time.process_time()
+        secret_scan.lexed_spans(text)
+        return time.process_time() - start
+
+    for piece in ('a="', "a='x ", "name-", "a = ", 'a = "\\" + ', "a     ", '"a" : "b" + '):
+        assert took(piece * (400_000 // len(piece))) < 5, piece
+
+
 def test_redaction_keeps_the_rest(spark):
     df = frame(spark, SECRETS + ROWS)
     before, after = df.collect(), secret_scan.redact_secrets(df).collect()
