@@ -16,7 +16,7 @@ from plumbline.llm.decontamination import find_leaks
 from plumbline.llm.quality_mil import fit_quality, keep_quality
 from plumbline.llm.scratch import free_name, written
 from plumbline.llm.secret_scan import redact_secrets
-from plumbline.llm.simhash import simhash_components
+from plumbline.llm.simhash import simhash_groups, with_fingerprint
 
 #: Neither the scores of a trained model nor fingerprints, masks and token ids can be said in SQL.
 ORACLE_SQL = None
@@ -29,12 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the document of smallest id, once; rows without id cannot be named by a group and stay."""
-    groups = simhash_components(docs)
-    first, turn = free_name(docs, "_first"), free_name(docs, "_turn")
-    names = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.join(names.hint("merge"), F.col("doc_id") == F.col(first), "left_semi")  # one plan at every size
-    order = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
-    kept = kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
+    groups = simhash_groups(docs)
+    first, print_, turn = free_name(docs, "_first"), free_name(docs, "_print"), free_name(docs, "_turn")
+    names = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("root", F.col("doc_id").alias(first)).agg(F.min("fp").alias(print_ + "_"))
+    same = (F.col("doc_id") == F.col(first)) & (F.col(print_) == F.col(print_ + "_"))
+    kept = with_fingerprint(docs, print_).join(names.hint("merge"), same, "left_semi")  # one plan at every size
+    order = W.partitionBy("doc_id", print_).orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
+    kept = kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn, print_)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from plumbline.llm.components import components
 from plumbline.llm.scratch import written
@@ -203,6 +204,30 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 # -- documents -------------------------------------------------------------------------
 
 
+def with_fingerprint(docs: DataFrame, name: str, words: int = SHINGLE_WORDS, text_col: str = "text") -> DataFrame:
+    """``docs`` with each text's fingerprint in a column ``name``."""
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(text.as_py() or "", words) for text in batch.column(column)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(name, LongType())]))
+
+
+def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, root, component_id`` for every row; ``root`` tells components apart that have the same smallest id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(rows.mapInArrow(_fingerprints(words), "doc_id bigint, fp bigint"), "fingerprints")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    found = components(fingerprint_links(classes.select("fp"), bits))
+    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_fp = written(named.join(names, "root").select("fp", "root", "component_id"), "names")
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
 
@@ -213,11 +238,5 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int =
     repeated rows give repeated results; an empty table gives no rows; other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(rows.mapInArrow(_fingerprints(words), "doc_id bigint, fp bigint"), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = components(fingerprint_links(classes.select("fp"), bits))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = written(named.join(names, "root").select("fp", "component_id"), "names")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = simhash_groups(docs, words, bits, id_col, text_col)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 """Operators over all documents, against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import components, decontamination, simhash, substring_dedup, topk, transcripts
-from tests.llm.cases import ODD, SCHEMA, documents, frame, same
+from tests.llm.cases import ODD, SCHEMA, documents, frame, same, sentences
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -325,6 +326,16 @@ def test_pipeline_keeps_one_of_each_group(spark):
     assert sum(r.doc_id is None for r in kept) == 1 and kept[0].__fields__ == df.columns
 
 
+def test_pipeline_groups_rows_of_one_id_apart(spark):
+    alone, shared, twice, other = (sentences(random.Random(i), 200) for i in range(4))
+    # 5: one text that is its own, and the longer one that 1 holds as well; 7: two texts, the first twice
+    rows = [(1, shared), (5, alone), (5, shared + "\n" * 2000), (7, twice), (7, twice), (7, other)]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows, clashing=True), "").collect()
+    groups = {(g.doc_id, g.component_id) for g in simhash.simhash_components(frame(spark, rows)).collect()}
+    assert (5, 1) in groups and (5, 5) in groups
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, shared), (5, alone), (7, twice), (7, other)])
+
+
 def test_pipeline_edges(spark, sf_dir):
     for rows in ([], ODD):
         docs = frame(spark, rows, clashing=True)
