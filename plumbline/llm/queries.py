@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.byte_bpe import byte_bpe_roundtrip
 from plumbline.llm.decontamination import find_leaks
+from plumbline.llm.hard_negatives import hard_negatives
 from plumbline.llm.html_text import extract_pages
 from plumbline.llm.quality_mil import fit_quality, score_quality
 from plumbline.llm.secret_scan import scan_secrets, secret_digest
@@ -68,8 +69,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(F.pmod(vec_id, F.lit(7)) == 0, F.pmod(label + 1, F.lit(10))).otherwise(label)
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, moved)
+
+
 QUERIES = (
     op1_decontamination, op2_simhash, op3_topk, op4_quality_mil, op5_byte_bpe, op6_chat_format, op7_substring_dedup, op8_html_text, op9_token_counts, op10_secret_scan,
+    op13_hard_negatives,
 )
 
 OP3_SQL = """
@@ -92,9 +100,23 @@ SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
   sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE list_select(w, [i for i in range(1, len(w) + 1) if NOT list_contains(gone, i)]) END, ' ')) AS kept_sha256 FROM x"""
 
 
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, list_inner_product(a.t, d.t)::BIGINT AS score
+  FROM v a JOIN v d ON a.vec_id % 50 = 0 AND d.vec_id <> a.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INTEGER AS "rank",
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY "rank" <= 3"""
+
+
 def build() -> dict[str, Query]:
     return {query.__name__: query for query in QUERIES}
 
 
 def oracle() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op3_topk": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op13_hard_negatives": OP13_SQL}
