@@ -12,6 +12,7 @@ from plumbline.llm.byte_bpe import byte_bpe_roundtrip
 from plumbline.llm.decontamination import find_leaks
 from plumbline.llm.hard_negatives import hard_negatives
 from plumbline.llm.html_text import extract_pages
+from plumbline.llm.lattice_lm import lattice_scores
 from plumbline.llm.quality_mil import fit_quality, score_quality
 from plumbline.llm.secret_scan import scan_secrets, secret_digest
 from plumbline.llm.simhash import simhash_components
@@ -69,6 +70,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op12_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lattice_scores(_table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     moved = F.when(F.pmod(vec_id, F.lit(7)) == 0, F.pmod(label + 1, F.lit(10))).otherwise(label)
@@ -77,7 +83,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_decontamination, op2_simhash, op3_topk, op4_quality_mil, op5_byte_bpe, op6_chat_format, op7_substring_dedup, op8_html_text, op9_token_counts, op10_secret_scan,
-    op13_hard_negatives,
+    op12_lattice_lm, op13_hard_negatives,
 )
 
 OP3_SQL = """
