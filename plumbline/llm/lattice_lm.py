@@ -21,13 +21,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.scratch import written
 
 #: Bytes of text in a chunk (or one document that is longer), and of a slice of it that is split at once.
-CHUNK_BYTES, SLICE_BYTES = 8_000_000, 2_000_000
+CHUNK_BYTES, SLICE_BYTES = 16_000_000, 2_000_000
+#: Scored words that a task holds before it sends them back, packed by chunk.
+PACK_WORDS = 1_000_000
 #: What ends a document; no word is empty.
 END = b""
 #: Mark of a piece that starts a word, in the vocabulary file.
@@ -35,7 +38,7 @@ START = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 CHUNKS = "words array<binary>, counts array<bigint>, docs array<bigint>, held array<boolean>, sizes array<bigint>, ids binary"
-SCORED = "chunk bigint, at int, c bigint, sub double, first boolean"
+SCORED = "chunk bigint, at binary, c binary, sub binary, n bigint, words bigint, once bigint"
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 _SPACE = re.compile(rb"[\x20\t-\r]")
@@ -138,7 +141,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(flat[trained], minlength=len(seen))
         columns = [
             pa.array([list(seen)], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())),
-            pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())), pa.array([flat.astype(np.int32).tobytes()], pa.binary()),
+            pa.array([docs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pa.compress(flat.astype(np.int32), codec="zstd", asbytes=True)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["words", "counts", "docs", "held", "sizes", "ids"])
 
@@ -163,10 +166,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scored(path: str):
-    """Rows ``chunk, at, word, c``, sorted by word: each distinct word meets the lattice once."""
+    """Rows ``chunk, at, word, c``, sorted by word, to packed rows of a chunk; each distinct word meets the lattice once.
+
+    ``n, words, once`` of all rows add up to the training tokens, the distinct
+    words among them, and those that occur once.
+    """
+
+    def packed(held: list[np.ndarray], about: list[int]) -> pa.RecordBatch:
+        chunk, at, c, sub = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, chunk))
+        chunk, at, c, sub = chunk[order], at[order], c[order], sub[order]
+        starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        cut = lambda x: pa.array([part.tobytes() for part in np.split(x, starts[1:])], pa.binary())
+        sums = [pa.array([x] + [0] * (len(starts) - 1), pa.int64()) for x in about]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), cut(at), cut(c), cut(sub), *sums], ["chunk", "at", "c", "sub", "n", "words", "once"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, last, value = read_lattice(path), None, 0.0
+        held, size, about = [], 0, [0, 0, 0]
         for batch in batches:
             words = batch.column(2).to_pylist()
             first = np.array([word != before for word, before in zip(words, [last, *words])], dtype=bool)
@@ -175,8 +192,15 @@ def _scored(path: str):
             values[1:][[words[i] == END for i in new]] = -math.inf  # no word of the lattice
             if words:
                 last, value = words[-1], values[-1]
-            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(values[np.cumsum(first)]), pa.array(first)]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "at", "c", "sub", "first"])
+            c = batch.column(3).to_numpy()
+            about = [about[0] + int(c[new].sum()), about[1] + int((c[new] > 0).sum()), about[2] + int((c[new] == 1).sum())]
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), c, values[np.cumsum(first)]))
+            size += len(words)
+            if size >= PACK_WORDS:
+                yield packed(held, about)
+                held, size, about = [], 0, [0, 0, 0]
+        if size:
+            yield packed(held, about)
 
     return run
 
@@ -202,27 +226,24 @@ def word_scores(c: np.ndarray, sub: np.ndarray, n: int, words: int, once: int) -
 
 
 def _documents(n: int, words: int, once: int):
-    """Scored words of a chunk, then the chunk; documents out."""
+    """The packed words of a chunk, then the chunk itself; documents out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
         for batch in batches:
-            whole = np.flatnonzero(batch.column("kind").to_numpy())
-            at = 0
-            for i in [*whole.tolist(), batch.num_rows]:
-                if i > at:
-                    parts.append(batch.slice(at, i - at))
-                at = i + 1
-                if i < batch.num_rows:
-                    yield documents(parts, batch.slice(i, 1))
+            for i, whole in enumerate(batch.column("kind").to_pylist()):
+                parts.append(batch.slice(i, 1))
+                if whole:
+                    yield documents(parts[:-1], parts[-1])
                     parts = []
 
     def documents(parts: list[pa.RecordBatch], row: pa.RecordBatch) -> pa.RecordBatch:
-        at, c, sub = (np.concatenate([p.column(x).to_numpy() for p in parts]) for x in ("at", "c", "sub"))
+        read = lambda x, kind: np.concatenate([np.frombuffer(p.column(x)[0].as_buffer(), dtype=kind) for p in parts])
+        at, c, sub = read("at", np.int32), read("c", np.int64), read("sub", np.float64)
         order = np.argsort(at)
         base, score = word_scores(c[order], sub[order], n, words, once)
-        ids = np.frombuffer(row.column("ids")[0].as_buffer(), dtype=np.int32)
         docs, held, sizes = (row.column(x)[0].values for x in ("docs", "held", "sizes"))
+        ids = np.frombuffer(pa.decompress(row.column("ids")[0].as_buffer(), 4 * pc.sum(sizes).as_py(), codec="zstd"), dtype=np.int32)
         starts = np.r_[0, np.cumsum(sizes.to_numpy())[:-1]]
         total = lambda x: np.add.reduceat(x[ids], starts)  # noqa: E731  every document has its end
         known = total((c[order] > 0).astype(np.int64))
@@ -253,10 +274,10 @@ def lattice_scores(docs: DataFrame, held_out: Column, path: str, id_col: str = "
     counted = words.select("chunk", "at", "word", total.alias("c")).sortWithinPartitions("word")
     scored = written(counted.mapInArrow(_scored(path), SCORED), "words")
 
-    once = F.col("first") & (F.col("c") == 1)
-    about = scored.agg(F.sum(F.when(F.col("first"), F.col("c"))).alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("words"), F.count_if(once).alias("once")).first()
+    about = scored.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "words", "once")]).first()
 
-    left = scored.select("chunk", F.lit(0).alias("kind"), "at", "c", "sub", *[F.lit(None).cast(t).alias(n) for n, t in (("docs", "array<bigint>"), ("held", "array<boolean>"), ("sizes", "array<bigint>"), ("ids", "binary"))])
-    right = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("sub"), "docs", "held", "sizes", "ids")
+    columns = dict(field.split(" ") for field in f"{CHUNKS}, at binary, c binary, sub binary".split(", "))
+    side = lambda rows, kind: rows.select("chunk", F.lit(kind).alias("kind"), *[F.col(x) if x in rows.columns else F.lit(None).cast(t).alias(x) for x, t in columns.items() if x not in ("words", "counts")])
+    left, right = side(scored, 0), side(chunks, 1)
     dealt = left.unionByName(right).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return dealt.mapInArrow(_documents(about["n"] or 0, about["words"], about["once"]), RESULT)
+    return dealt.mapInArrow(_documents(about["n"], about["words"], about["once"]), RESULT)
