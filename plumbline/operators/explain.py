@@ -9,6 +9,7 @@ from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,15 +109,16 @@ def linear_score(weights: dict[str, float], intercept: float = 0.0) -> Callable[
 def model_score(fitted: Fitted, task: str) -> Callable[[DataFrame], DataFrame]:
     """Scorer of a trained model: the prediction, the probability of the
     positive class, or one probability per class."""
-    if fitted.pipeline is None:
-        raise ValueError(f"{fitted.name} has no pipeline to explain")
+    if fitted.pipeline is None and fitted.trees is None:
+        raise ValueError(f"{fitted.name} has no model to explain")
 
     def outputs(scored: DataFrame) -> Column:
         if task != CLASSIFICATION:
             return F.array("prediction")
         if "probability" not in scored.columns:
             return F.array("prediction")
-        p = vector_to_array("probability")
+        is_vector = isinstance(scored.schema["probability"].dataType, VectorUDT)
+        p = vector_to_array("probability") if is_vector else F.col("probability")
         return F.when(F.size(p) == 2, F.slice(p, 2, 1)).otherwise(p)
 
     def score(df: DataFrame) -> DataFrame:

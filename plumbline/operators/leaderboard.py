@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 from plumbline.functions.frames import deal_out, materialise, small_frame
-from plumbline.operators import models
+from plumbline.operators import forests, models
 from plumbline.operators.neighbours import knn_predict
 from plumbline.operators.training import (
     CLASSIFICATION, Features, Preparation, classification_report, metrics_classification, metrics_regression, prepare_features,
@@ -138,16 +138,17 @@ def report(trained: Trained) -> DataFrame:
 
 
 MANIFEST = (
-    "run string, task string, model string, target string, names array<string>, key array<string>, classes array<string>, text array<string>"
+    "run string, task string, model string, target string, names array<string>, key array<string>, classes array<string>, text array<string>, "
+    "kind string, saved bigint"
 )
 
 
 def save(trained: Trained, path: str) -> None:
     """Write the leaderboard, the best model and how its rows were prepared.
 
-    Every run gets a folder of its own; the manifest that names the last one is
-    written at the end, so that a reader never meets half a run or the model of
-    an earlier one.
+    Every run gets a folder of its own, its manifest among the manifests last.
+    Nothing is overwritten: a reader takes the newest run whose manifest is there,
+    so it never meets half a run, and runs may be saved at the same time.
     """
     features, spark = trained.features, trained.leaderboard.sparkSession
     run = uuid.uuid4().hex
@@ -157,6 +158,8 @@ def save(trained: Trained, path: str) -> None:
         model = trained.best.name
         if trained.best.pipeline is not None:
             trained.best.pipeline.write().save(f"{path}/runs/{run}/model")
+        elif trained.best.trees is not None:
+            trained.best.trees.frame(spark).write.parquet(f"{path}/runs/{run}/trees")
         else:
             trained.train.write.parquet(f"{path}/runs/{run}/neighbours")
         prepared = features.preparation
@@ -165,14 +168,20 @@ def save(trained: Trained, path: str) -> None:
             prepared.codes.write.parquet(f"{path}/runs/{run}/codes")
     row = {
         "run": run, "task": trained.task, "model": model, "target": features.target, "names": features.names, "key": features.key, "classes": features.classes,
-        "text": features.preparation.text if features.preparation else None,
+        "text": features.preparation.text if features.preparation else None, "kind": _kind(trained.best), "saved": time.time_ns(),
     }
-    small_frame(spark, [row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    small_frame(spark, [row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifests")
+
+
+def _kind(best: models.Fitted | None) -> str | None:
+    if best is None:
+        return None
+    return "pipeline" if best.pipeline is not None else "trees" if best.trees is not None else "neighbours"
 
 
 def _manifest(spark: SparkSession, path: str):
     try:
-        return spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+        return spark.read.schema(MANIFEST).json(f"{path}/manifests").orderBy(F.desc("saved"), "run").first()
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -213,7 +222,9 @@ def load_model(spark: SparkSession, path: str) -> Loaded:
     if kept is None or kept["model"] is None:
         raise FileNotFoundError(f"no model under {path}; train one first")
     root, names, key = f"{path}/runs/{kept['run']}", list(kept["names"]), list(kept["key"])
-    if kept["model"] == "KNN":
+    if kept["kind"] == "trees":
+        score = forests.TreeModel.read(spark.read.parquet(f"{root}/trees"), names).predict
+    elif kept["kind"] == "neighbours":
         train = spark.read.parquet(f"{root}/neighbours")
         score = lambda rows: knn_predict(train, rows.withColumn("label", F.lit(None).cast("double")), names, key, kept["task"], models.NEIGHBOURS)
     else:

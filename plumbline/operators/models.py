@@ -1,5 +1,5 @@
-"""Candidate models. Each trains on the whole training share with MLlib, bar
-the nearest neighbours, which are an exact join."""
+"""Candidate models. Each trains on the whole training share: with MLlib, bar
+the nearest neighbours, extra trees, and boosting of several classes."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.frames import small_frame
+from plumbline.operators import forests
 from plumbline.operators.neighbours import knn_predict
 from plumbline.operators.training import CLASSIFICATION, Features
 
@@ -33,6 +34,7 @@ class Fitted:
     predict: Callable[[DataFrame], DataFrame]
     importances: dict[str, float]
     pipeline: PipelineModel | None = None
+    trees: forests.TreeModel | None = None
 
     def importance_frame(self, spark) -> DataFrame:
         rows = [{"feature": f, "importance": round(v, 6)} for f, v in self.importances.items()]
@@ -52,19 +54,18 @@ def random_forest(features: Features, train: DataFrame, max_depth: int = FOREST_
 
 
 def extra_trees(features: Features, train: DataFrame, max_depth: int = FOREST_DEPTH):
-    """Variant without bagging whose coarse thresholds stand in for random ones."""
-    if features.task == CLASSIFICATION:
-        return _forest(features.task, max_depth, bootstrap=False, maxBins=16)
-    return _forest(features.task, max_depth, bootstrap=False, maxBins=16, featureSubsetStrategy="onethird")
+    """100 trees without bagging that split at random thresholds."""
+    return forests.extra_trees(train, features.names, features.task, len(features.classes or []), TREES, max_depth, SEED)
 
 
 def gradient_boosting(features: Features, train: DataFrame):
-    """100 rounds of depth-3 trees, step 0.1; several classes go one against the rest."""
+    """100 rounds of depth-3 trees, step 0.1; several classes are boosted together."""
     common = dict(maxIter=BOOST_ROUNDS, stepSize=0.1, maxDepth=3, seed=SEED)
     if features.task != CLASSIFICATION:
         return GBTRegressor(**common)
-    binary = GBTClassifier(**common)
-    return binary if len(features.classes) <= 2 else OneVsRest(classifier=binary)
+    if len(features.classes) <= 2:
+        return GBTClassifier(**common)
+    return forests.boosted_classes(train, features.names, len(features.classes), BOOST_ROUNDS)
 
 
 def decision_tree(features: Features, train: DataFrame):
@@ -111,7 +112,10 @@ def fit(name: str, features: Features, train: DataFrame, max_depth: int = FOREST
         return Fitted(name, lambda rows: knn_predict(train, rows, names, features.key, features.task, NEIGHBOURS), {})
     make = candidates(features.task)[name]
     options = {"max_depth": max_depth} if make in (random_forest, extra_trees) else {}
-    return fit_estimator(name, make(features, train, **options), features, train)
+    made = make(features, train, **options)
+    if isinstance(made, forests.TreeModel):
+        return Fitted(name, made.predict, made.importances(), trees=made)
+    return fit_estimator(name, made, features, train)
 
 
 def fit_estimator(name: str, estimator, features: Features, train: DataFrame) -> Fitted:
@@ -130,12 +134,10 @@ def _declared(features: Features, rows: DataFrame) -> DataFrame:
 
 
 def _importances(model, names: list[str]) -> dict[str, float]:
-    """Feature importance of tree models, largest first; several one-vs-rest
-    models average theirs."""
-    parts = getattr(model, "models", None) or [model]
-    if not all(hasattr(m, "featureImportances") for m in parts):
+    """Feature importance of tree models, largest first."""
+    if not hasattr(model, "featureImportances"):
         return {}
-    values = sum(m.featureImportances.toArray() for m in parts) / len(parts)
+    values = model.featureImportances.toArray()
     return dict(sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda x: (-x[1], x[0])))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import table
 from plumbline.functions.frames import scratch_path
 from plumbline.operators import anomaly, explain, leaderboard, models, neighbours, profile, training
+from plumbline.plans import tiles
 
 
 @pytest.fixture(scope="module")
@@ -69,14 +70,14 @@ def test_neighbours_meet_few_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k string, label double, " + ", ".join(f"{n} double" for n in names))
     train, asked = df.where("k < 'r2000'"), df.where("k >= 'r2000'")
     compared = []
-    plain = neighbours.pairs
+    plain = tiles.cell_sizes
 
     def counted(a, b):
-        met = plain(a, b)
-        compared.append(met.count())
-        return met
+        sizes = plain(a, b)
+        compared.append(sizes.agg(F.sum(F.col("queries") * F.col("rows"))).first()[0] or 0)
+        return sizes
 
-    monkeypatch.setattr(neighbours, "pairs", counted)
+    monkeypatch.setattr(tiles, "cell_sizes", counted)
     found = {}
     for r in neighbours.nearest(train, asked, names, ["k"], 5).orderBy("x", "rank").collect():
         found.setdefault(tuple(r["x"]), []).append(r["dist"])
@@ -86,6 +87,53 @@ def test_neighbours_meet_few_rows(spark, monkeypatch):
     assert sum(compared) < 0.1 * 300 * 2000
 
 
+@pytest.mark.parametrize("dims", [3, 16])
+def test_hashed_neighbours(spark, monkeypatch, dims):
+    """Recall of at least 0.9 against brute force, with far fewer compared pairs than queries times rows; hot buckets in many tiles."""
+    monkeypatch.setattr(tiles, "TILE_QUERIES", 50)
+    monkeypatch.setattr(tiles, "TILE_ROWS", 60)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 4, (60, dims))
+    points = centres[rng.integers(0, 60, 8400)] + rng.normal(0, 1, (8400, dims))
+    points[:900] = centres[0] + rng.normal(0, 0.01, (900, dims))  # a dense clump
+    names = [f"f{i}" for i in range(dims)]
+    rows = [(f"r{i:04d}", float(i % 2), *map(float, p)) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "k string, label double, " + ", ".join(f"{n} double" for n in names))
+    train, asked = df.where("k < 'r8000'"), df.where("k >= 'r8000'")
+    compared, plain = [], tiles.cell_sizes
+
+    def counted(a, b):
+        sizes = plain(a, b)
+        compared.append(sizes.agg(F.sum(F.col("queries") * F.col("rows"))).first()[0] or 0)
+        return sizes
+
+    monkeypatch.setattr(tiles, "cell_sizes", counted)
+    found = {}
+    for r in neighbours.nearest_hashed(train, asked, names, ["k"], 5, tables=3, bucket_rows=16, probes=2).orderBy("x", "rank").collect():
+        found.setdefault(tuple(r["x"]), []).append(r["dist"])
+    hits = 0
+    for q in points[8000:]:
+        want = np.sort(np.sqrt(((points[:8000] - q) ** 2).sum(axis=1)))[:5]
+        got = np.array(found[tuple(map(float, q))])
+        assert len(got) == 5
+        hits += int((got <= want[-1] * (1 + 1e-9)).sum())
+    assert hits >= 0.9 * 5 * 400
+    assert sum(compared) < 0.4 * 400 * 8000
+
+
+def test_hashed_neighbours_complete(spark):
+    """Too few rows in a bucket, one row in all, copies, constant features: every query gets its k as in the exact form."""
+    rows = spark.createDataFrame([(f"k{i}", 1.0, float(i % 7) * 100, float(i % 2)) for i in range(40)], "k string, c double, a double, label double")
+    asked = spark.createDataFrame([("q", 1.0, 50.0), ("r", 1.0, -1e9), ("s", 2.0, 0.0)], "k string, c double, a double")
+    for size, k in ((1, 5), (4, 60), (64, 3)):
+        got = neighbours.nearest_hashed(rows, asked, ["c", "a"], ["k"], k, tables=1, bucket_rows=size, probes=0)
+        want = neighbours.nearest(rows, asked, ["c", "a"], ["k"], k)
+        counts = lambda df: {tuple(r["x"]): r["n"] for r in df.groupBy("x").agg(F.count("*").alias("n")).collect()}
+        assert counts(got) == counts(want)
+    one = neighbours.knn_predict(rows.limit(1), asked, ["c", "a"], ["k"], training.REGRESSION, 3, search=neighbours.nearest_hashed)
+    assert {r["prediction"] for r in one.collect()} == {0.0}
+
+
 def test_neighbours_vote(spark, classes):
     train, test = leaderboard.split(classes, 0.2)
     found = neighbours.knn_predict(train, test, classes.names, ["k"], classes.task)
