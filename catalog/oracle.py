@@ -487,6 +487,14 @@ UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 4), round(sum(rc
 FROM t LEFT JOIN (SELECT nation, sum(bal) AS total, count(bal) AS n FROM tr GROUP BY nation) USING (nation), (SELECT avg(bal) AS m, stddev_samp(bal) AS s FROM tr) WHERE is_test""",
         "t AS (SELECT *, ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % 10000 < 2000 AS is_test FROM fx)", "tr AS (SELECT * FROM t WHERE NOT is_test)")
 
+    # the rows of each tree of the forest, by a mixed hash
+    mix = lambda m, shift, by: f"((xor({m}, {m} >> {shift})::HUGEINT * {by}) % 4294967296)::BIGINT"
+    sql["iforest_draws"] = query(O, """SELECT tree::INTEGER AS tree, id, xor(c, c >> 16) AS draw FROM d3, size
+QUALIFY row_number() OVER (PARTITION BY tree ORDER BY draw, id::VARCHAR) <= least(256, n)""",
+        "size AS (SELECT count(*) AS n, least(100, greatest(10, count(*) // 10)) AS trees FROM fx)",
+        "d1 AS (SELECT id, t.tree, (('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT + t.tree * 2654435769) % 4294967296 AS a FROM fx, (SELECT unnest(range(0, trees)) AS tree FROM size) t)",
+        f"d2 AS (SELECT id, tree, {mix('a', 16, 2246822507)} AS b FROM d1)", f"d3 AS (SELECT id, tree, {mix('b', 13, 3266489909)} AS c FROM d2)")
+
     # inputs whose results are known
     S = "fx_step"
     cls = ["Decision Tree", "Extra Trees", "Gradient Boosting", "KNN", "Logistic Regression", "Random Forest"]

@@ -431,6 +431,7 @@ def build() -> dict[str, Query]:
         "insights_all": (rules, insights.insights_all),
         "insights_report": (corr, insights.insights_report),
         "impute_scale": (outlier, lambda d: anomaly.impute_scale(d, ["id"])),
+        "iforest_draws": (outlier, lambda d: anomaly.forest_draws(d, ["id"]).select("tree", F.col("identity").cast("bigint").alias("id"), "draw")),
         "iforest_trees": (outlier, lambda d: anomaly.iforest_trees(d, ["id"])),
         "iforest_scores": (outlier, scores),
         "iqr_row_flags": (outlier, lambda d: anomaly.iqr_row_flags(d, ["id"])),

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import col
+from plumbline.functions.columns import col, hash32
 from plumbline.functions.frames import deal_out, materialise
 from plumbline.functions.scalar import percent, round_stat
 from plumbline.plans.stats import TableStats, stats_of
@@ -94,39 +97,77 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
-def iforest_trees(table: DataFrame | TableStats, key: list[str], seed: int = SEED) -> DataFrame:
-    """Node table of an isolation forest: at most 100 trees of 511 nodes.
-
-    Each tree grows from its own random rows, chosen by hash of the row key, so
-    a retried task draws the same rows. Every tree draws from all rows: a row
-    offers itself to a tree by a hash share that expects four times the rows
-    needed, so that the shuffle carries a bounded sample at any size.
+def draw_numbers(h: np.ndarray, trees: int) -> np.ndarray:
+    """A number below 2**32 for every row, of hash ``h``, in every tree: the finishing mix of MurmurHash3."""
+    step = np.uint64(2**32)
+    m = (h.astype(np.uint64)[:, None] + np.arange(trees, dtype=np.uint64)[None, :] * np.uint64(2654435769)) % step
+    m = ((m ^ (m >> np.uint64(16))) * np.uint64(2246822507)) % step
+    m = ((m ^ (m >> np.uint64(13))) * np.uint64(3266489909)) % step
+    return m ^ (m >> np.uint64(16))
+
+
+def _drawn(trees: int, per_tree: int, ceiling: int):
+    """Each task's first ``per_tree`` rows of every tree, by draw and identity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            draws = draw_numbers(batch.column("h").to_numpy(), trees)
+            row, tree = np.nonzero(draws <= ceiling)
+            if not len(row):
+                continue
+            at = pa.array(row)
+            mine = pa.table({"tree": pa.array(tree.astype(np.int32)), "draw": pa.array(draws[row, tree].astype(np.int64)), "identity": batch.column("identity").take(at), "x": batch.column("x").take(at)})
+            kept = mine if kept is None else pa.concat_tables([kept, mine])
+            if kept.num_rows > 4 * trees * per_tree:
+                kept = first(kept)
+        if kept is not None:
+            yield from first(kept).combine_chunks().to_batches()
+
+    def first(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[("tree", "ascending"), ("draw", "ascending"), ("identity", "ascending")])
+        tree = rows.column("tree").to_numpy()[order.to_numpy()]
+        starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        place = np.arange(len(tree)) - np.repeat(starts, np.diff(np.r_[starts, len(tree)]))
+        return rows.take(order.filter(pa.array(place < per_tree)))
+
+    return run
+
+
+def forest_draws(table: DataFrame | TableStats, key: list[str]) -> DataFrame:
+    """``tree, draw, identity, x``: the rows that each tree of the forest grows from.
+
+    Every tree takes the rows with its smallest numbers, which follow from a hash
+    of the row key, so a retried task draws the same rows. A task sends no more
+    than a tree needs, and on a large table only numbers below four times the
+    share that is needed.
     """
     st = stats_of(table)
     _numeric_or_raise(st)
     rows = st.counts["rows"]
-    trees = tree_count(rows)
-    per_tree = min(SAMPLE_PER_TREE, rows)
+    trees, per_tree = tree_count(rows), min(SAMPLE_PER_TREE, rows)
     names = [c.name for c in st.numeric if c.name not in key]
     identity = F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key])
-    share = min(1.0, 4 * per_tree / max(rows, 1))
-    # xxhash64 spreads evenly over the signed 64-bit range
-    ceiling = min(int(share * 2**64) - 2**63, 2**63 - 1)
-    draws = _imputed(st, names).select(
-        identity.alias("identity"), F.array(*[col(c) for c in names]).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    )
-    draws = draws.withColumn("draw", F.xxhash64("identity", "tree", F.lit(seed))).where(F.col("draw") <= F.lit(ceiling))
+    ceiling = int(min(1.0, 4 * per_tree / max(rows, 1)) * 2**32)
+    points = _imputed(st, names).select(hash32(identity).alias("h"), identity.alias("identity"), F.array(*[col(c) for c in names]).alias("x"))
+    drawn = points.mapInArrow(_drawn(trees, per_tree, ceiling), "tree int, draw bigint, identity string, x array<double>")
+    order = Window.partitionBy("tree").orderBy("draw", "identity")
+    return drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_tree).drop("place")
+
+
+def iforest_trees(table: DataFrame | TableStats, key: list[str], seed: int = SEED) -> DataFrame:
+    """Node table of an isolation forest: at most 100 trees of 511 nodes, each grown from its own draw."""
 
     def grow(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(keys[0])
-        chosen = pdf.sort_values(["draw", "identity"]).head(per_tree)
+        chosen = pdf.sort_values(["draw", "identity"])
         points = np.array(chosen["x"].tolist(), dtype=float)
         nodes = grow_tree(points, np.random.default_rng([seed, tree]))
         frame = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "depth", "size"])
         frame.insert(0, "tree", tree)
         return frame
 
-    return draws.select("tree", "draw", "identity", "x").groupBy("tree").applyInPandas(grow, NODES)
+    return forest_draws(table, key).groupBy("tree").applyInPandas(grow, NODES)
 
 
 def _score(df: DataFrame, names: list[str], nodes: pd.DataFrame, sample: int) -> DataFrame:

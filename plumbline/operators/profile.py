@@ -15,6 +15,7 @@ from plumbline.functions.columns import col, hash32
 from plumbline.functions.frames import small_frame
 from plumbline.functions.scalar import percent, round_stat
 from plumbline.plans import value_counts
+from plumbline.plans.firsts import first_values
 from plumbline.plans.stats import TableStats, stats_of
 
 
@@ -183,23 +184,9 @@ def normality_jb(table: DataFrame | TableStats) -> DataFrame:
 def numeric_sample(table: DataFrame | TableStats, order_by: list[str], limit: int = 2000) -> DataFrame:
     """First ``limit`` values of every numeric column, in the given order."""
     st = stats_of(table)
-    names = [f"order_{i}" for i in range(len(order_by))]
-    firsts = [
-        # one bounded top-k per column: a window would sort the whole column in one task
-        st.df.where(col(c.name).isNotNull())
-        .select(
-            F.lit(c.name).alias("column"), col(c.name).cast("double").alias("value"),
-            *[col(k).alias(n) for k, n in zip(order_by, names)],
-        )
-        .orderBy(*names)
-        .limit(limit)
-        for c in st.numeric
-    ]
-    rows = firsts[0]
-    for more in firsts[1:]:
-        rows = rows.unionByName(more)
-    order = Window.partitionBy("column").orderBy(*names)
-    return rows.select("column", F.row_number().over(order).alias("rank"), "value")
+    names = [c.name for c in st.numeric]
+    found = first_values(st.df, names, order_by, limit)
+    return found.select(F.get(F.array(*[F.lit(c) for c in names]), F.col("p")).alias("column"), "rank", "value")
 
 
 # -- categories -----------------------------------------------------------

@@ -1,16 +1,19 @@
 """Exact quantiles in bounded memory.
 
 A column of up to ``EXACT_LIMIT`` values is sorted in one task: the counts prove
-the bound first. Beyond that, each wanted rank is found by sampled pivots (Floyd and Rivest): a random sample of the open bracket gives
-two pivots around the rank, one scan counts the rows below, at and between
-them, and the bracket shrinks over a hundredfold per round. Nothing is
-shuffled but counters and the bounded sample, and the counts make the result
-exact whatever the sample was.
+the bound first. Beyond that, a mergeable sketch, taken in the pass that also
+takes the moments, gives two pivots around each wanted rank; one scan counts the
+rows below, at and between them, and what lies between is sorted where that is
+little. Where it is not, the pivots of the next round come from a random sample of
+the bracket (Floyd and Rivest), which shrinks it over a hundredfold. Nothing is
+shuffled but sketches, counters and bounded samples, and the counts make the
+result exact whatever the pivots were.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +24,10 @@ from plumbline.functions.columns import col
 EXACT_LIMIT = 1_000_000
 SAMPLE_SIZE = 200_000
 DRAW = "plumbline random draw"
+#: A sketch's ranks are right to this share of the rows.
+ACCURACY = 10_000
+#: Shares at which a sketch is read: close around the quartiles and the ends, evenly elsewhere.
+GRID = sorted({i / 64 for i in range(1, 64)} | {q + d / ACCURACY for q in (0.25, 0.5, 0.75) for d in (-2, 2)} | {2 / ACCURACY, 1 - 2 / ACCURACY})
 
 
 def quantiles(
@@ -40,7 +47,7 @@ def quantiles(
     wanted = {c: sorted({k for p in probs for k in spots[(c, p)][:2]}) for c, n in counts.items() if n}
     values = _sorted_ranks(table, {c: ks for c, ks in wanted.items() if counts[c] <= exact_limit})
     large = {(c, k): counts[c] for c, ks in wanted.items() if counts[c] > exact_limit for k in ks}
-    values.update(select_ranks(table.df, large, sample_size))
+    values.update(select_ranks(table.df, large, sample_size, table.sketches(sorted({c for c, _ in large}))))
     result: dict[str, list[float | None]] = {}
     for c, n in counts.items():
         result[c] = []
@@ -104,9 +111,9 @@ class Bracket:
 
 
 def select_ranks(
-    df: DataFrame, wanted: dict[tuple[str, int], int], sample_size: int = SAMPLE_SIZE
+    df: DataFrame, wanted: dict[tuple[str, int], int], sample_size: int = SAMPLE_SIZE, sketches: dict[str, list[float]] | None = None
 ) -> dict[tuple[str, int], float]:
-    """The value at each (column, 0-based rank), given column sizes."""
+    """The value at each (column, 0-based rank), given column sizes and, for the first brackets, sketches."""
     found: dict[tuple[str, int], float] = {}
     open_at = {t: Bracket(t[0], None, None, 0, n) for t, n in wanted.items()}
     seed = 0
@@ -116,8 +123,9 @@ def select_ranks(
             found.update(_finish(df, small))
             open_at = {t: b for t, b in open_at.items() if t not in small}
         if open_at:
-            seed += 1
-            open_at, done = _narrow(df, open_at, _pivots(df, open_at, sample_size, seed))
+            pivots = _read(open_at, sketches) if sketches else _pivots(df, open_at, sample_size, seed)
+            sketches, seed = None, seed + 1
+            open_at, done = _narrow(df, open_at, pivots)
             found.update(done)
     return found
 
@@ -136,6 +144,22 @@ def _finish(df: DataFrame, targets: dict[tuple[str, int], Bracket]) -> dict[tupl
     return {t: found[p][j] for p, ts in enumerate(groups.values()) for j, t in enumerate(ts)}
 
 
+def sketch(x: str = "x") -> Column:
+    """The values at the shares of ``GRID``, nearly: an aggregate whose parts merge."""
+    return F.percentile_approx(x, GRID, ACCURACY)
+
+
+def _read(targets: dict[tuple[str, int], Bracket], sketches: dict[str, list[float]]):
+    """Per target, the two read values that enclose its rank for sure, where there are any."""
+    pivots = {}
+    for t, b in targets.items():
+        share, error = (t[1] + 0.5) / b.inside, 1.5 / ACCURACY
+        low, high = bisect_right(GRID, share - error) - 1, bisect_left(GRID, share + error)
+        values = sketches[t[0]]
+        pivots[t] = (values[low] if low >= 0 else None, values[high] if high < len(GRID) else None)
+    return pivots
+
+
 def _pivots(df: DataFrame, targets: dict[tuple[str, int], Bracket], sample_size: int, seed: int):
     """Per target, two sampled values that very likely enclose its rank."""
     groups = _grouped(targets)

@@ -59,6 +59,7 @@ class TableStats:
         self.exact_limit = exact_limit
         self.columns: list[ColumnInfo] = describe_columns(df)
         self._quantiles: dict[tuple[str, float], float | None] = {}
+        self._sketches: dict[str, list[float]] = {}
         self._summaries: dict[str, dict] = {}
         self._distinct: dict[str, int] = {}
 
@@ -125,19 +126,32 @@ class TableStats:
         names = list(result)
         if names:
             x = F.col("x")
+            # a table known to be too large to sort gives first brackets for its quantiles in the same pass
+            large = not self.approx and self.__dict__.get("counts", {"rows": 0})["rows"] > self.exact_limit
             found = self.numeric_long(names).groupBy("p").agg(
+                *([quantiles.sketch().alias("sketch")] if large else []),
                 F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"),
                 F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.min(x).alias("min"), F.max(x).alias("max"),
                 F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"),
             )
             for row in found.collect():
-                result[names[row["p"]]].update({k: v for k, v in row.asDict().items() if k != "p"})
+                result[names[row["p"]]].update({k: v for k, v in row.asDict().items() if k not in ("p", "sketch")})
+                if large:
+                    self._sketches[names[row["p"]]] = list(row["sketch"])
         for m in result.values():
             m["std"] = math.sqrt(m["variance"]) if m["variance"] is not None else None
             m["skewness"] = sample_skewness(m["g1"], m["n"], m["std"])
             m["kurtosis"] = sample_kurtosis(m["g2"], m["n"], m["std"])
         return result
 
+    def sketches(self, names: list[str]) -> dict[str, list[float]]:
+        """Sketched values of the columns, from the moments pass or else from a pass of their own."""
+        need = [c for c in names if c not in self._sketches]
+        if need:
+            for row in self.numeric_long(need).groupBy("p").agg(quantiles.sketch().alias("sketch")).collect():
+                self._sketches[need[row["p"]]] = list(row["sketch"])
+        return {c: self._sketches[c] for c in names}
+
     # -- quantiles and fences ---------------------------------------------
 
     def quantiles(self, probs: list[float], columns: list[str] | None = None) -> dict[str, list[float | None]]:

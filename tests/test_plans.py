@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import table
 from plumbline import TableStats
+from plumbline.operators import anomaly, profile, training
 from plumbline.operators.training import label_encode
-from plumbline.plans import quantiles, value_counts
+from plumbline.plans import firsts, quantiles, value_counts
 from plumbline.plans.codes import text_codes
 
 
@@ -137,3 +138,68 @@ def test_column_names_are_literal(spark):
     assert st.moments["a.b"]["mean"] == 1.5
     assert st.value_summary(st.categorical)["c`d"]["distinct"] == 1
     assert st.duplicates == 0
+
+
+# -- passes -----------------------------------------------------------------------------
+
+
+def test_quantiles_of_smooth_data_take_one_counting_scan(spark, monkeypatch):
+    """The moments pass gives the first brackets; no sample is drawn."""
+    df = spark.range(250_000).select(F.randn(1).alias("a"), F.exp(F.randn(2)).alias("b"), (F.col("id") % 7).cast("double").alias("ties"))
+    st = TableStats(df, exact_limit=1000)
+    st.counts, st.moments
+    scans, plain = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: scans.append(1) or plain(*a))
+    monkeypatch.setattr(quantiles, "_pivots", None)
+    monkeypatch.setattr(quantiles, "SAMPLE_SIZE", 20_000)
+    monkeypatch.setattr(TableStats, "numeric_long", None)  # the sketches are there already
+    monkeypatch.setattr(quantiles.select_ranks, "__defaults__", (20_000, None))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    found = quantiles.quantiles(st, {c: 250_000 for c in ("a", "b", "ties")}, probs, exact_limit=1000, sample_size=20_000)
+    pdf = df.toPandas()
+    for c in pdf:
+        assert found[c] == pytest.approx(np.quantile(pdf[c], probs).tolist(), rel=1e-12), c
+    assert len(scans) == 1
+
+
+def test_task_rule_shuffles_a_few_values(spark):
+    df = spark.range(100_000).select((F.col("id") % 1000).alias("many"), (F.col("id") % 14).cast("double").alias("few"), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(1.0).alias("one"))
+    few = training.few_values(df, "many", 15)
+    assert few.count() <= 15 * few.rdd.getNumPartitions()
+    assert "Exchange" not in plan_of(few)
+    plan = plan_of(few.distinct())
+    assert plan.index("Exchange") < plan.index("MapInArrow")  # printed top down: only the few values are shuffled
+    assert [training._distinct_up_to(df, c, 15) for c in ("many", "few", "one")] == [15, 14, 1]
+    assert training.task_automl(df, "few") == training.CLASSIFICATION and training.task_automl(df, "many") == training.REGRESSION
+    assert training._distinct_up_to(df.limit(0), "few", 15) == 0
+
+
+def test_forest_draw_makes_no_row_per_tree(spark):
+    df = spark.range(20_000).select("id", F.randn(3).alias("v"))
+    draws = anomaly.forest_draws(df, ["id"])
+    assert "Generate" not in plan_of(draws)
+    counts = {r["tree"]: r["count"] for r in draws.groupBy("tree").count().collect()}
+    assert counts == {t: 256 for t in range(100)}
+    again = anomaly.forest_draws(df.repartition(13), ["id"])
+    assert draws.exceptAll(again).isEmpty() and again.exceptAll(draws).isEmpty()
+    # trees share no more rows than chance has them share
+    shared = draws.groupBy("identity").count()
+    assert shared.agg(F.max("count")).first()[0] < 12 and shared.count() > 13_000
+
+
+def test_first_values_of_fifty_columns_take_one_scan(spark, monkeypatch):
+    monkeypatch.setattr(firsts, "SORT_ROWS", 700)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(3000, 50)), columns=[f"c{i}" for i in range(50)])
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.3)
+    pdf["c7"] = np.nan
+    pdf["when"] = rng.permutation(3000)
+    pdf["k"] = [None if i % 40 == 0 else f"k{i % 30:02d}" for i in range(3000)]
+    df = spark.createDataFrame(pdf).repartition(5)
+    found = profile.numeric_sample(df, ["k", "when"], 90)
+    assert plan_of(found).count("MapInArrow") == 1 and plan_of(found).count("Scan") == 1
+    got = {c: list(g.sort_values("rank")["value"]) for c, g in found.toPandas().groupby("column")}
+    order = pdf.sort_values(["k", "when"], na_position="first")
+    assert "c7" not in got
+    for c in ("c0", "c31", "c49", "when"):
+        assert got[c] == order[c].dropna().head(90).tolist(), c
