@@ -61,6 +61,15 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
     "fx_step3": """
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS k,
   CAST(l_linenumber AS DOUBLE) AS v, CASE WHEN l_linenumber < 3 THEN 'few' WHEN l_linenumber < 5 THEN 'more' ELSE 'most' END AS y_txt FROM lineitem""",
+    "fx_dates": """
+SELECT id, CONCAT(m, '/', d, '/', y) AS us, CONCAT(dd, '.', mm, '.', y) AS dots, CONCAT(y, '-', mm) AS months, CONCAT(SUBSTR(name, 1, 3), ' ', y) AS named,
+  CONCAT(TRIM(name), ' ', d, ', ', y) AS long_name, CONCAT(mm, '/', dd, '/', SUBSTR(y, 3, 2)) AS short_year, CONCAT('Thu ', SUBSTR(name, 1, 3), ' ', dd, ' ', y) AS weekday,
+  CONCAT(y, '/', mm, '/', dd, ' 10:11:12') AS slashes, CONCAT(d, '-', SUBSTR(name, 1, 3), '-', y) AS dashes, CONCAT(y, '-', mm, '-', dd, ' 10:11:12 AM') AS half_day,
+  CONCAT('10:30 AM ', y) AS timed_year, CONCAT(y, '-', mm, '-', dd) AS iso, CONCAT('part ', dd) AS no_date, CAST(day AS DATE) AS day
+FROM (SELECT id, day, y, m, d, LPAD(m, 2, '0') AS mm, LPAD(d, 2, '0') AS dd,
+    SUBSTR('January  February March    April    May      June     July     August   SeptemberOctober  November December ', 9 * CAST(m AS INT) - 8, 9) AS name
+  FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(EXTRACT(YEAR FROM CAST(o_orderdate AS DATE)) AS STRING) AS y,
+      CAST(EXTRACT(MONTH FROM CAST(o_orderdate AS DATE)) AS STRING) AS m, CAST(EXTRACT(DAY FROM CAST(o_orderdate AS DATE)) AS STRING) AS d FROM orders) p) q""",
     "fx_far": """
 SELECT event_id AS id, CASE WHEN event_id % 20 = 0 THEN CAST(1000000 + event_id AS DOUBLE) ELSE CAST(event_id % 2 AS DOUBLE) END AS v FROM events""",
     "fx_wide": "SELECT o_orderkey AS id, 1234567890123 + 7 * o_orderkey AS big, o_totalprice * 1000000 AS dear FROM orders",

@@ -436,6 +436,14 @@ FROM (SELECT mn, (mx - mn) / k AS w, least(floor(({{c}} - mn) / ((mx - mn) / k))
     sql["feat_target_encode"] = query(R, "SELECT id, round((coalesce(sum(bal) OVER w, 0) + 10 * (SELECT avg(bal) FROM fx)) / (count(bal) OVER w + 10), 4) AS nation_target FROM fx WINDOW w AS (PARTITION BY nation)")
     sql["feat_hash"] = query(R, "SELECT id, ('0x' || substr(md5(name), 1, 8))::BIGINT % 1000 AS name_hash FROM fx")
     sql["feat_datetime"] = query(Q, "SELECT id, year(day_text::DATE) AS day_text_year, month(day_text::DATE) AS day_text_month, isodow(day_text::DATE) - 1 AS day_text_weekday FROM fx")
+    whole, first = ("us", "dots", "long_name", "short_year", "weekday", "slashes", "dashes", "half_day", "iso"), {"months": "month", "named": "month", "timed_year": "year"}
+    spelled = [(c, "day") for c in whole] + [(c, f"date_trunc('{u}', day)::DATE") for c, u in first.items()]
+    sql["feat_datetime_spellings"] = query("fx_dates", "\nUNION ALL ".join(f"SELECT id, '{c}' AS \"column\", year({d}) AS year, month({d}) AS month, isodow({d}) - 1 AS weekday FROM fx" for c, d in spelled))
+    shapes = {"us": "number-number-year", "dots": "number-number-year", "months": "year-month", "named": "name-year", "long_name": "name-day-year", "short_year": "number-number-year",
+              "weekday": "name-day-year", "slashes": "year-month-day", "dashes": "day-name-year", "half_day": "year-month-day", "timed_year": "year", "iso": "year-month-day"}
+    late = "count(*) FILTER (day(day) > 12)"
+    sql["date_shapes"] = query("fx_dates", "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{s}' AS shape, count(*) AS \"rows\", {late if c == 'dots' else 0} AS day_first, {late if c in ('us', 'short_year') else 0} AS month_first FROM fx" for c, s in shapes.items()))
     sql["feature_suggestions"] = query(R, "SELECT * FROM sug", st(R), miss(R), corr(R), suggestions(R))
     sql["suggestion_totals"] = query(R, "SELECT count(*) AS total_suggestions, count(*) FILTER (WHERE priority = 'high') AS high_priority FROM sug", st(R), miss(R), corr(R), suggestions(R))
     sql["auto_features"] = query(C, "SELECT feature AS name, \"type\" FROM sug WHERE \"type\" IN ('log_transform', 'interaction')", st(C), miss(C), corr(C), suggestions(C))

@@ -15,6 +15,7 @@ from plumbline.operators import (
     anomaly, cleaning, dataset, explain, explore, features, forests, insights, leaderboard, models, profile, quality, report, training,
 )
 from plumbline.operators.neighbours import knn_predict
+from plumbline.plans import dates
 from plumbline.sources import csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +156,14 @@ def date_feature(df: DataFrame) -> DataFrame:
     return features.add_date_parts(df, names).select("id", *parts)
 
 
+def spelled_dates(df: DataFrame) -> DataFrame:
+    """Parts of all text columns that are found to hold dates, however spelled, in long form."""
+    texts = df.drop("day")
+    names = features.date_columns(texts, ["id"])
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{p}").alias(p) for p in ("year", "month", "weekday")]) for c in names])
+    return features.add_date_parts(texts, names).select("id", F.inline(parts))
+
+
 def apply_features(df: DataFrame) -> DataFrame:
     """Transforms learned from the training rows, on the others."""
     rows = training.hash_split(df, ["id"])
@@ -453,6 +462,8 @@ def build() -> dict[str, Query]:
         "feat_target_encode": (rules, target_feature),
         "feat_hash": (rules, hash_feature),
         "feat_datetime": (quality_view, date_feature),
+        "feat_datetime_spellings": ("fx_dates", spelled_dates),
+        "date_shapes": ("fx_dates", lambda d: dates.date_shapes(d, [c for c in d.columns if c not in ("id", "day")])),
         "feature_suggestions": (rules, lambda d: features.feature_suggestions(d, ["id"])),
         "suggestion_totals": (rules, lambda d: features.suggestion_totals(features.feature_suggestions(d, ["id"]))),
         "auto_features": (corr, lambda d: features.auto_features(features.feature_suggestions(d, ["l_orderkey"]))),

@@ -15,23 +15,6 @@ MISSING_TOKENS = (
 # Fixed value: text that reads as a number, infinities included.
 NUMERIC_TEXT = r"(?i)^[ \t]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|infinity)[ \t]*$"
 
-# Date formats recognised in text columns, tried in this order.
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy",
-    "dd MMM yyyy",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][XXX]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]",
-    "yyyy-MM-dd HH:mm",
-    "MM/dd/yyyy HH:mm[:ss]",
-    "MMM d, yyyy",
-    "yyyyMMdd",
-)
-
 
 def round_stat(c: Column, digits: int = 4) -> Column:
     """Round to ``digits`` decimals at any size; non-finite becomes NULL."""
@@ -55,11 +38,6 @@ def looks_numeric(c: Column) -> Column:
     return c.rlike(NUMERIC_TEXT)
 
 
-def parse_date(c: Column) -> Column:
-    """Timestamp from text in any of ``DATE_FORMATS``, else NULL."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS])
-
-
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part`` as a percentage of ``whole``; 0 when ``whole`` is 0."""
     return F.round(

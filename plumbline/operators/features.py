@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, hash32, nan_to_null
 from plumbline.functions.frames import small_frame
-from plumbline.functions.scalar import parse_date
+from plumbline.plans import dates
 from plumbline.plans.stats import TableStats, stats_of
 from plumbline.plans.value_counts import unpivot
 
@@ -144,7 +144,7 @@ def date_columns(table: DataFrame | TableStats, order_by: list[str]) -> list[str
         rows = st.df.select(*[col(k).alias(n) for k, n in zip(order_by, names)], *[col(c.name) for c in text])
         order = Window.partitionBy("column").orderBy(*names, "s")
         first = unpivot(rows, text, names).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= DATE_ROWS)
-        hits = first.groupBy("column").agg(F.avg(parse_date(F.col("s")).isNotNull().cast("double")).alias("share"))
+        hits = first.groupBy("column").agg(F.avg(dates.parse(F.col("s")).isNotNull().cast("double")).alias("share"))
         found |= {r["column"] for r in hits.where(F.col("share") > DATE_SHARE).collect()}
     return [c.name for c in st.categorical if c.name in found]
 
@@ -275,9 +275,9 @@ def add_hash(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def add_date_parts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Year, month and weekday (Monday 0) of dates in text."""
-    parts = []
+    """Year, month and weekday (Monday 0) of dates in text; the whole column settles whether a day or a month comes first."""
+    parts, turned = [], dates.day_first(df, [c for c in columns if df.schema[c].dataType.simpleString() == "string"])
     for c in columns:
-        t = parse_date(col(c).cast("string"))
+        t = dates.parse(col(c).cast("string"), c in turned)
         parts += [F.year(t).alias(f"{c}_year"), F.month(t).alias(f"{c}_month"), F.weekday(t).alias(f"{c}_weekday")]
     return df.select("*", *parts)
