@@ -155,9 +155,9 @@ def secret_digest(scanned: DataFrame) -> DataFrame:
     spans = F.col("spans")
     of = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     return scanned.select(
-        "doc_id", *[of(kind).alias(f"n_{kind}") for kind in KINDS],
+        "doc_id", *[of(kind).alias(f"n_{kind}") for kind in KINDS if kind != "literal"],
         F.sha2(_joined(F.filter(spans, lambda s: s["kind"] != "literal")), 256).alias("base_sha256"),
-        _joined(spans).alias("spans"),
+        _joined(spans).alias("spans"), of("literal").alias("n_literal"),
     )
 
 
