@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -29,17 +27,8 @@ def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Where a single-process session has not set it, it is set once to a
-    temporary folder; any other session has to name a shared one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names, or in the warehouse, which is shared as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/plumbline-{label}-{uuid.uuid4().hex}"
 
 

@@ -186,8 +186,9 @@ def fill_missing(df: DataFrame, strategy: str = "auto", columns: dict[str, str]
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Distinct rows."""
-    return _step(df, remove_duplicates=True)
+    """Distinct rows, by all columns that can be compared; nothing runs until they are read."""
+    clean = nan_to_null(df)
+    return clean.dropDuplicates(comparable(clean)) if comparable(clean) else clean
 
 
 def clip_outliers(df: DataFrame, method: str = "iqr") -> DataFrame:

@@ -52,7 +52,7 @@ def _correlation(st: TableStats) -> DataFrame:
     size = F.abs("r")
     sign = F.when(F.col("r") > 0, "positive").otherwise("negative")
     pair = _text(F.col("col1"), " & ", F.col("col2"))
-    return st.pair_frame().withColumn("pos", F.col("i") * 10000 + F.col("j")).where(size > 0.8).select(
+    return st.pair_frame().withColumn("pos", F.col("i").cast("bigint") * len(st.numeric) + F.col("j")).where(size > 0.8).select(
         *_finding(
             "correlation", F.when(size > 0.9, "high").otherwise("medium"), F.round("r", 4),
             _text("Strong correlation: ", pair), _text("Strong ", sign, " correlation; the pair is largely redundant"), pair,

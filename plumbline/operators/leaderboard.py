@@ -167,7 +167,7 @@ def save(trained: Trained, path: str) -> None:
             prepared.fills.write.parquet(f"{path}/runs/{run}/fills")
             prepared.codes.write.parquet(f"{path}/runs/{run}/codes")
     row = {
-        "run": run, "task": trained.task, "model": model, "target": features.target, "names": features.names, "key": features.key, "classes": features.classes,
+        "run": run, "task": trained.task, "model": model, "target": features.target, "names": features.names, "key": features.key, "classes": list(features.classes) if features.classes is not None else None,
         "text": features.preparation.text if features.preparation else None, "kind": _kind(trained.best), "saved": time.time_ns(),
     }
     small_frame(spark, [row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifests")

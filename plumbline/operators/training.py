@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import CATEGORICAL, NUMERIC, ColumnInfo, col, describe_columns, hash32, nan_to_null
-from plumbline.functions.frames import small_frame
-from plumbline.plans.codes import apply_codes, text_codes
+from plumbline.functions.frames import materialise, small_frame
+from plumbline.plans import codes as codes_plan
+from plumbline.plans.codes import apply_codes, number_values, text_codes
 from plumbline.plans.stats import TableStats
 
 CLASSIFICATION = "classification"
@@ -169,28 +170,45 @@ class Features:
     names: list[str]
     target: str
     task: str
-    classes: list[str] | None = None
+    classes: Sequence[str] | None = None
     sizes: dict[str, int] = field(default_factory=dict)
     preparation: Preparation | None = None
 
 
-def class_values(df: DataFrame, target: str) -> list:
-    """Sorted class values of a target; a classifier holds weights for each, so the driver can hold their names."""
-    return sorted(r[0] for r in df.select(col(target)).where(col(target).isNotNull()).distinct().collect())
+class Classes(Sequence):
+    """Names of the classes in the order of their numbers; they come to the driver when a name is asked for, not before."""
 
+    def __init__(self, codes: DataFrame, size: int):
+        self.codes, self.size, self._names = codes, size, None
 
-def prepare_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str] | None]:
-    """Rows with a target, and ``label``: the class number, or the value itself."""
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if self._names is None:
+            self._names = [str(r["value"]) for r in self.codes.orderBy("code").select("value").collect()]
+        return self._names[at]
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other)
+
+
+def prepare_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, Classes | None]:
+    """Rows with a target, and ``label``: the class number, or the value itself.
+
+    Numbers follow the order of the values. Many values are numbered in range
+    buckets and joined by shuffle; the driver learns how many there are.
+    """
     clean = nan_to_null(df).where(col(target).isNotNull())
     if task == REGRESSION:
         return clean.withColumn("label", col(target).cast("double")), None
-    values = class_values(clean, target)
-    kind = clean.schema[target].dataType.simpleString()
-    codes = small_frame(df.sparkSession, [{"class_value": v, "class_label": float(i)} for i, v in enumerate(values)], f"class_value {kind}, class_label double")
-    joined = clean.join(codes, col(target) == F.col("class_value"))
+    codes, small, size = number_values(clean.select(col(target).alias("value")), codes_plan.CODE_LIMIT)
+    codes = materialise(codes, "classes")
+    lookup = codes.select(F.col("value").alias("class_value"), F.col("code").cast("double").alias("class_label"))
+    joined = clean.join(F.broadcast(lookup) if small else lookup, col(target) == F.col("class_value"))
     # the number of classes travels with the column: MLlib would look for at most 100 by itself
-    about = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": max(2, len(values))}}
-    return joined.select(*[col(c) for c in clean.columns], F.col("class_label").alias("label", metadata=about)), [str(v) for v in values]
+    about = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": max(2, size)}}
+    return joined.select(*[col(c) for c in clean.columns], F.col("class_label").alias("label", metadata=about)), Classes(codes, size)
 
 
 def prepare_features(df: DataFrame, target: str, key: list[str], task: str = "auto", detect=task_automl) -> Features:

@@ -24,12 +24,18 @@ def text_codes(df: DataFrame, column: str, null_text: str | None = None, limit:
     value = col(column).cast("string")
     if null_text is not None:
         value = F.coalesce(value, F.lit(null_text))
-    values = df.select(value.alias("value")).where("value IS NOT NULL").distinct()
-    size, width = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value").cast("bigint")), F.lit(0))).first()
+    return number_values(df.select(value.alias("value")), limit)[:2]
+
+
+def number_values(rows: DataFrame, limit: int = CODE_LIMIT) -> tuple[DataFrame, bool, int]:
+    """(value, code) of the distinct non-null values of ``rows`` (value), of any type with an order; whether they are few; how many."""
+    values = rows.where("value IS NOT NULL").distinct()
+    value = F.col("value").cast("string")
+    size, width = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(value).cast("bigint")), F.lit(0))).first()
     if size <= limit and width <= CODE_BYTES:
         order = Window.orderBy("value")
-        return values.select("value", (F.row_number().over(order) - 1).alias("code")), True
-    return _bucketed(values), False
+        return values.select("value", (F.row_number().over(order) - 1).alias("code")), True, size
+    return _bucketed(values), False, size
 
 
 def _bucketed(values: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import table
 from plumbline.functions.frames import scratch_path
 from plumbline.operators import anomaly, explain, leaderboard, models, neighbours, profile, training
-from plumbline.plans import tiles
+from plumbline.plans import codes, tiles
 
 
 @pytest.fixture(scope="module")
@@ -284,6 +284,20 @@ def test_more_than_a_hundred_classes(spark):
     assert len(names) == 1500 and labelled.agg(F.max("label")).first()[0] == 1499.0
 
 
+def test_classes_are_numbered_without_the_driver(spark, monkeypatch):
+    """Beyond the limit, values are numbered in range buckets; names come only when they are asked for."""
+    monkeypatch.setattr(codes, "CODE_LIMIT", 1000)
+    df = spark.range(60_000).select("id", (F.col("id") * 7919 % 30_011).cast("double").alias("n"), F.format_string("v%05d", F.col("id") % 20_000).alias("t"))
+    for target, size in (("n", 30_011), ("t", 20_000)):
+        rows, names = training.prepare_target(df, target, training.CLASSIFICATION)
+        assert len(names) == size and names._names is None
+        got = rows.agg(F.min("label"), F.max("label"), F.count_distinct("label"), F.count("*")).first()
+        assert tuple(got) == (0.0, size - 1.0, size, 60_000)
+        assert rows.where("n != label").isEmpty() if target == "n" else names[5] == "v00005"
+    rows, names = training.prepare_target(df.where("id < 3"), "t", training.CLASSIFICATION)
+    assert names == ["v00000", "v00001", "v00002"]
+
+
 def test_report_of_a_regression_and_of_nothing(numbers):
     run = leaderboard.train_candidates(numbers, names=["Ridge"])
     assert leaderboard.report(run).columns == ["rmse", "mae", "r2_score"]
@@ -296,13 +310,13 @@ def test_all_failures_have_no_best(numbers):
     assert run.best is None and not run.leaderboard.first()["is_best"]
 
 
-def test_many_classes_one_against_the_rest(spark, sf_dir):
+def test_many_classes(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(models, "BOOST_ROUNDS", 4)
     df = table(spark, sf_dir, "fx_ml").select("k", "q", "d", "flag")
     features = training.prepare_features(df, "flag", ["k"])
     assert features.classes == ["A", "N", "R"]
-    assert isinstance(models.gradient_boosting(features, features.df).getClassifier(), models.GBTClassifier)
-    run = leaderboard.train_candidates(features, names=["Decision Tree", "Logistic Regression", "KNN"])
-    assert run.leaderboard.where("status = 'success'").count() == 3
+    run = leaderboard.train_candidates(features, names=["Decision Tree", "Gradient Boosting", "Logistic Regression", "KNN"])
+    assert run.leaderboard.where("status = 'success'").count() == 4
     assert {"A", "N", "R", "accuracy", "macro avg", "weighted avg"} >= {r["class"] for r in leaderboard.report(run).collect()}
 
 
