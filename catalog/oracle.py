@@ -503,6 +503,10 @@ QUALIFY row_number() OVER (PARTITION BY tree ORDER BY draw, id::VARCHAR) <= leas
         "d1 AS (SELECT id, t.tree, (('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT + t.tree * 2654435769) % 4294967296 AS a FROM fx, (SELECT unnest(range(0, trees)) AS tree FROM size) t)",
         f"d2 AS (SELECT id, tree, {mix('a', 16, 2246822507)} AS b FROM d1)", f"d3 AS (SELECT id, tree, {mix('b', 13, 3266489909)} AS c FROM d2)")
 
+    for kind in ("parquet", "json", "csv"):
+        sql[f"{kind}_folder"] = query("orders", """SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) ELSE o_totalprice END::DOUBLE AS o_totalprice,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS o_orderstatus FROM fx""")
+
     # inputs whose results are known
     S = "fx_step"
     cls = ["Decision Tree", "Extra Trees", "Gradient Boosting", "KNN", "Logistic Regression", "Random Forest"]

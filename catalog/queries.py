@@ -16,7 +16,7 @@ from plumbline.operators import (
 )
 from plumbline.operators.neighbours import knn_predict
 from plumbline.plans import dates
-from plumbline.sources import csv
+from plumbline.sources import csv, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,20 @@ def csv_roundtrip(df: DataFrame) -> DataFrame:
     return csv.read_csv(df.sparkSession, path)
 
 
+def folder_of(kind: str):
+    """A folder of files in which columns are missing, moved or narrower, read back as one table."""
+
+    def build(df: DataFrame) -> DataFrame:
+        path = scratch_path(df.sparkSession, f"folder-{kind}")
+        few = df.where("o_orderkey % 2 = 0").select(F.col("o_custkey").cast("int").alias("o_custkey"), "o_orderkey", F.floor("o_totalprice").alias("o_totalprice"))
+        rest = df.where("o_orderkey % 2 = 1").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+        for name, part in (("a", few), ("b", rest)):
+            part.write.option("header", True).format(kind).save(f"{path}/{name}")
+        return files.read_folder(df.sparkSession, path, kind).select("o_orderkey", F.col("o_custkey").cast("bigint").alias("o_custkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
+
+    return build
+
+
 def version_rows(df: DataFrame) -> DataFrame:
     cleaned = cleaning.drop_duplicates(df)
     choices = {"cleaned": (cleaned, True), "original": (cleaned, False), "fallback": (None, True)}
@@ -371,6 +385,7 @@ def build() -> dict[str, Query]:
     order = ["id", "price", "priority", "status", "spiky", "cust_text", "day_text"]
     single = {
         "csv_roundtrip": (quality_view, csv_roundtrip),
+        **{f"{kind}_folder": ("orders", folder_of(kind)) for kind in ("parquet", "json", "csv")},
         "row_cap": ("orders", lambda d: csv.cap_rows(d, ["o_orderkey"], 10_000).select("o_orderkey", "o_custkey", "o_orderstatus")),
         "schema_roles": ("lineitem", lambda d: dataset.schema_roles(d).drop("pos")),
         "preview": ("orders", lambda d: dataset.preview(d.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])),

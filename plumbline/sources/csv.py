@@ -20,8 +20,8 @@ class BadInput(ValueError):
     """The file cannot be used as a table."""
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False, row_cap: int | None = None, order_by: list[str] | None = None) -> DataFrame:
-    """A CSV file, or a folder of them, with a header and inferred types.
+def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = False, row_cap: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """A CSV file, a folder of them, or a list of files, with a header and inferred types.
 
     Missing-value tokens become NULL before types are inferred, so a numeric
     column with ``NA`` in it stays numeric. Raises ``BadInput`` for another
@@ -43,8 +43,8 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False, row_cap: i
     return typed
 
 
-def _check_extension(spark: SparkSession, path: str) -> None:
-    if path.endswith(".csv"):
+def _check_extension(spark: SparkSession, path: str | list[str]) -> None:
+    if all(p.endswith(".csv") for p in ([path] if isinstance(path, str) else path)):
         return
     files = spark.read.format("binaryFile").load(path).select("path")
     bad = files.where(~F.col("path").rlike(r"\.csv$")).limit(1).collect()
@@ -52,7 +52,7 @@ def _check_extension(spark: SparkSession, path: str) -> None:
         raise BadInput(f"only .csv files are read, not {bad[0]['path']}")
 
 
-def _check_headers(spark: SparkSession, path: str, names: list[str], options: dict) -> None:
+def _check_headers(spark: SparkSession, path: str | list[str], names: list[str], options: dict) -> None:
     """Columns are read by position, so every file of a folder needs the same header.
 
     Spark compares them as it opens the files; no task reads beyond its first batch.
