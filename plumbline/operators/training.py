@@ -193,16 +193,18 @@ class Classes(Sequence):
         return list(self) == list(other)
 
 
-def prepare_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, Classes | None]:
+def prepare_target(df: DataFrame, target: str, task: str, source: DataFrame | None = None) -> tuple[DataFrame, Classes | None]:
     """Rows with a target, and ``label``: the class number, or the value itself.
 
     Numbers follow the order of the values. Many values are numbered in range
-    buckets and joined by shuffle; the driver learns how many there are.
+    buckets and joined by shuffle; the driver learns how many there are. ``source``
+    is a table with the same target values that is cheaper to read.
     """
     clean = nan_to_null(df).where(col(target).isNotNull())
     if task == REGRESSION:
         return clean.withColumn("label", col(target).cast("double")), None
-    codes, small, size = number_values(clean.select(col(target).alias("value")), codes_plan.CODE_LIMIT)
+    values = nan_to_null((df if source is None else source).select(col(target).alias("value")))
+    codes, small, size = number_values(values, codes_plan.CODE_LIMIT)
     codes = materialise(codes, "classes")
     lookup = codes.select(F.col("value").alias("class_value"), F.col("code").cast("double").alias("class_label"))
     joined = clean.join(F.broadcast(lookup) if small else lookup, col(target) == F.col("class_value"))
@@ -239,7 +241,7 @@ def prepare_features(df: DataFrame, target: str, key: list[str], task: str = "au
     fills = small_frame(spark, [{"column": c, "value": medians[c][0]} for c in numeric], "column string, value double")
     coded = [table.select(F.lit(c).alias("column"), "value", F.col("code").cast("bigint").alias("code")) for c, (table, _) in codes.items()]
     coded = reduce(DataFrame.unionByName, coded, small_frame(spark, [], "column string, value string, code bigint"))
-    labelled, classes = prepare_target(encoded, "target_", task)
+    labelled, classes = prepare_target(encoded, "target_", task, base)
     names = [c.name for c in infos]
     ready = labelled.select(
         *[col(k) for k in key], *[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in names], "label"
