@@ -95,7 +95,10 @@ def read_folder(spark: SparkSession, path: str, kind: str, clashes: str = "fail"
 
     Schemas are found by distributed passes: footers of Parquet files, types of
     JSON values, headers of CSV files. Only where Parquet types differ are the
-    files told apart. An empty folder is an error; a file without rows adds nothing.
+    files told apart. CSV files of one header have their types inferred together,
+    so a column of theirs that is text anywhere is text; types of files with other
+    headers are widened or clash. An empty folder is an error; a file without rows
+    adds nothing.
     """
     readers = {"parquet": _parquet, "json": _json, "csv": _csv}
     if kind not in readers:
