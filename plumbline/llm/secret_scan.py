@@ -53,56 +53,98 @@ def name_weight(name: str) -> float:
     return max([0.0, *(NAME_WEIGHTS.get(w, 0.0) for w in words), *(PAIR_WEIGHTS.get(p, 0.0) for p in zip(words, words[1:]))])
 
 
+#: Characters that a value keeps of its start and its end.
+ENDS = 16
+#: Characters up to which a joined value is counted exactly; beyond, counts are halved and keep their shares.
+EXACT = 1 << 40
+
+
+class _Value:
+    """What a value needs for its score: its length, its ends, and how often each character occurs."""
+
+    def __init__(self, text: str = ""):
+        self.n, self.head, self.tail = len(text), text[:ENDS], text[-ENDS:]
+        self.counts: dict[str, float] = Counter(text)
+
+    def __add__(self, other: _Value) -> _Value:
+        out = _Value()
+        out.n = self.n + other.n
+        out.head, out.tail = (self.head + other.head)[:ENDS], (self.tail + other.tail)[-ENDS:]
+        out.counts = dict(self.counts)
+        for c, n in other.counts.items():
+            out.counts[c] = out.counts.get(c, 0) + n
+        if out.n > EXACT:
+            out.n, out.counts = out.n // 2, {c: n / 2 for c, n in out.counts.items()}
+        return out
+
+    def outline(self) -> str:
+        """The text where it is short; else its ends with each character between them once, which matches the same placeholders."""
+        if self.n <= 2 * ENDS:
+            return self.head + self.tail[max(0, 2 * ENDS - self.n) :] if self.n > ENDS else self.head
+        ends = Counter(self.head + self.tail)
+        return self.head + "".join(c for c, n in self.counts.items() if n > ends[c]) + self.tail
+
+    def score(self) -> float:
+        counts, total = self.counts, sum(self.counts.values())
+        if self.n < 8 or PLACEHOLDER.match(self.outline()) or any(c.isspace() for c in counts):
+            return 0.0
+        entropy = -sum(n / total * math.log2(n / total) for n in counts.values())
+        kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        if kinds < 2 or not any(c.isdigit() for c in counts):
+            return 0.0
+        return min(1.0, entropy / 3.5) * min(1.0, self.n / 12)
+
+
 def literal_score(value: str) -> float:
     """0 to 1: length, variety of characters, and entropy; placeholders and plain words score 0."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    if kinds < 2 or not any(c.isdigit() for c in counts):
-        return 0.0
-    return min(1.0, entropy / 3.5) * min(1.0, len(value) / 12)
-
-
-def _literals(parts: list) -> list[tuple[int, int]]:
-    """Distinct spans of a constant's parts, in order; parts are spans, or the parts of another constant, met once."""
-    spans: dict[tuple[int, int], None] = {}
-    met, left = {id(parts)}, [iter(parts)]
-    while left:
-        for part in left[-1]:
-            if isinstance(part, tuple):
-                spans[part] = None
-            elif id(part) not in met:
-                met.add(id(part))
-                left.append(iter(part))
-                break
-        else:
-            left.pop()
-    return list(spans)
+    return _Value(value).score()
+
+
+class _Constant:
+    """A name's value: spans and other constants, with their joined value made from theirs."""
+
+    def __init__(self):
+        self.parts: list[tuple[int, int] | _Constant] = []
+        self.value = _Value()
+        self.told = False
+
+    def add(self, part: tuple[int, int] | _Constant, value: _Value) -> None:
+        self.value = self.value + value if self.parts else value
+        self.parts.append(part)
+
+    def tell(self, found: set[tuple[int, int]]) -> None:
+        """Adds all spans that the value comes from; a constant that was told before is not walked again."""
+        left = [self]
+        while left:
+            node = left.pop()
+            if not node.told:
+                node.told = True
+                found.update(p for p in node.parts if isinstance(p, tuple) and p[0] < p[1])
+                left += [p for p in node.parts if isinstance(p, _Constant)]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive name, itself or through other names."""
-    constants: dict[str, list] = {}
+    """Spans of the literals that reach a sensitive name, itself or through other names.
+
+    A line costs what stands in it, however much its names already hold.
+    """
+    constants: dict[str, _Constant] = {}
     found: set[tuple[int, int]] = set()
     for pair in _PAIR.finditer(text):
-        parts: list = []
+        constant = _Constant()
         for part in _PART.finditer(text, pair.start("value"), pair.end("value")):
             start, end = part.span()
             quote = next((q for q in "\"'" if text[end - 1] == q and q in text[start : start + 3] and end - start > 1), "")
+            if not quote and (known := constants.get(part.group())) is not None:
+                constant.add(known, known.value)
+                continue
             if quote:
-                parts.append((text.index(quote, start) + 1, end - 1))
-            elif (known := constants.get(part.group())) is not None:
-                parts.append(known)
-            else:
-                parts.append((start, end))
+                start, end = text.index(quote, start) + 1, end - 1
+            constant.add((start, end), _Value(text[start:end]))
         name = pair.group("name")
-        constants[name] = parts
-        if weight := name_weight(name):
-            spans = _literals(parts)
-            if weight * literal_score("".join(text[a:b] for a, b in spans)) >= THRESHOLD:
-                found.update((a, b) for a, b in spans if a < b)
+        constants[name] = constant
+        if (weight := name_weight(name)) and weight * constant.value.score() >= THRESHOLD:
+            constant.tell(found)
     return sorted(found)
 
 
