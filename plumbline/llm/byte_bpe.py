@@ -10,6 +10,10 @@ step puts the words of each document together again.
 The rank map is keyed by the two ids that a merge joins. It is laid out as two
 literal arrays: the rank of (a, b) stands at shift[a] + b, so that a lookup costs
 two array reads at any vocabulary size.
+
+A step of the fold copies its word, so that its time grows with the square of the
+word. Words of more than LONG_WORD bytes are therefore merged while packing, with
+a heap of pairs; they join the folded words as ids.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from heapq import heapify, heappop, heappush
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ from plumbline.llm.scratch import give_back
 CHUNK_BYTES = 16_000_000
 #: Words that are folded in one row.
 SLICE_WORDS = 16_384
+#: Bytes of a word up to which it is folded.
+LONG_WORD = 512
 RANK_BITS, PLACE_BITS = 17, 29
 #: Stands before and after a word's bytes.
 MARK = 256
@@ -48,11 +55,10 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _STRETCH = regex.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ODD_SPACE = regex.compile(rf"[{_SPACE}] |\A[{_SPACE}]|[{_SPACE}]\Z")
 
-CHUNK = "words array<array<smallint>>, parts array<array<int>>, ids array<bigint>, rows array<array<int>>"
+CHUNK = "words array<array<smallint>>, known array<array<bigint>>, parts array<array<int>>, ids array<bigint>, rows array<array<int>>"
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-@lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     """The rank of every byte sequence of a ``.tiktoken`` file."""
     with open(path, "rb") as lines:
@@ -70,6 +76,39 @@ def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of ``fold_merges`` for a word of any length, with a heap of pairs by rank and place.
+
+    ``after[i]`` is where the token that starts at ``i`` ends, 0 once it is part of an earlier one.
+    """
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pairs = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapify(pairs)
+
+    def meet(i: int, end: int) -> None:
+        rank = ranks.get(word[i:end])
+        if rank is not None:
+            heappush(pairs, (rank, i, end))
+
+    while pairs:
+        _, i, end = heappop(pairs)
+        middle = after[i]
+        if not 0 < middle < n or after[middle] != end:
+            continue  # one of the two is part of another token by now
+        after[i], after[middle] = end, 0
+        if end < n:
+            before[end] = i
+            meet(i, after[end])
+        if before[i] >= 0:
+            meet(before[i], end)
+    ids, at = [], 0
+    while at < n:
+        ids.append(ranks[word[at : after[at]]])
+        at = after[at]
+    return ids
+
+
 class RankMap:
     """A rank file as literal arrays: ``byte_rank``, ``shift``, ``slots`` and ``pieces``."""
 
@@ -90,16 +129,16 @@ class RankMap:
             raise ValueError("an entry of the rank file is not reached by its own merges; the fold would miss it as a whole word")
 
 
-def _placed(pairs: dict[int, list[tuple[int, int]]], size: int) -> tuple[list[int | None], list[int | None]]:
+def _placed(pairs: dict[int, list[tuple[int, int]]], size: int) -> tuple[list[int | None], list[int]]:
     """The sparse matrix of ranks in one array: row ``a`` is shifted until all its entries hit free slots.
 
-    An entry holds its row beside its rank, so that a slot of another row is told apart.
+    An entry holds its row beside its rank, so that a slot of another row is told apart; -1 is of no row.
     """
     rng = np.random.default_rng(1)
     room = 4 * sum(map(len, pairs.values())) + 1024
     used = np.zeros(room + size, dtype=bool)
     shift: list[int | None] = [None] * size
-    slots: list[int | None] = [None] * len(used)
+    slots = [-1] * len(used)
     for a in sorted(pairs, key=lambda x: (-len(pairs[x]), x)):
         columns = np.array([b for b, _ in pairs[a]])
         for tries in (64, 512, 4096, 32768):
@@ -137,13 +176,18 @@ def stretches(text: str) -> list[str | tuple[str]]:
     return pieces
 
 
-def _pack(pattern: str):
+def _pack(pattern: str, path: str):
     find = regex.compile(pattern).findall
+    ranks: dict[bytes, int] = {}  # read by the first task that meets a long word
+
+    def row(words=None, known=None, parts=None, ids=None, rows=None) -> pa.RecordBatch:
+        kinds = [pa.list_(pa.list_(pa.int16())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+        columns = [pa.nulls(1, k) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, k in zip((words, known, parts, ids, rows), kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["words", "known", "parts", "ids", "rows"])
 
-    def row(words=None, parts=None, ids=None, rows=None) -> pa.RecordBatch:
-        kinds = [pa.list_(pa.list_(pa.int16())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
-        columns = [pa.nulls(1, k) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, k in zip((words, parts, ids, rows), kinds)]
-        return pa.RecordBatch.from_arrays(columns, ["words", "parts", "ids", "rows"])
+    def encoded(words: list[bytes]) -> pa.ListArray:
+        ranks.update({} if ranks else read_ranks(path))
+        return pa.array([merge_long(w, ranks) for w in words], pa.list_(pa.int64()))
 
     def flush(ids: list, rows: list, seen: dict) -> Iterator[pa.RecordBatch]:
         words: dict[str, int] = defaultdict(count().__next__)
@@ -161,8 +205,10 @@ def _pack(pattern: str):
         seen.clear()
         raw = [w.encode() for w in words]
         words.clear()
-        for start in range(0, len(raw), SLICE_WORDS):
-            yield row(words=_marked(raw[start : start + SLICE_WORDS]))
+        for long, run in groupby(raw, lambda w: len(w) > LONG_WORD):
+            run = list(run)
+            for part in (run[start : start + SLICE_WORDS] for start in range(0, len(run), SLICE_WORDS)):
+                yield row(known=encoded(part)) if long else row(words=_marked(part))
         codes = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
         yield row(parts=_lists(np.array(parts, dtype=np.int32), np.array(ends)), ids=pa.array(ids, pa.int64()), rows=codes)
 
@@ -220,7 +266,12 @@ def encode_words(words: Column, ranks: RankMap) -> Column:
     the next token, its place in the word, and its id. The smallest of them is
     the leftmost merge of lowest rank.
     """
-    byte_rank, shift, slots = (_literal(v, "array<bigint>") for v in (ranks.byte_rank, ranks.shift, ranks.slots))
+    tables = [_literal(v, "array<bigint>") for v in (ranks.byte_rank, ranks.shift, ranks.slots)]
+    # named once, so that the plan, and all that prints it, holds each table once
+    return _let(tables[0], lambda byte_rank: _let(tables[1], lambda shift: _let(tables[2], lambda slots: _folded(words, byte_rank, shift, slots))))
+
+
+def _folded(words: Column, byte_rank: Column, shift: Column, slots: Column) -> Column:
     id_mask, low = F.lit(EDGE), RANK_BITS + PLACE_BITS
     none = F.lit(EDGE << low)
 
@@ -332,7 +383,7 @@ def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "
     space in front of words. Special tokens are ordinary text.
     """
     ranks = rank_map(path)
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern), CHUNK)
-    encoded = packed.select("parts", "ids", "rows", encode_words(F.col("words"), ranks).alias("encoded"))
+    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern, path), CHUNK)
+    encoded = packed.select("parts", "ids", "rows", F.coalesce("known", encode_words(F.col("words"), ranks)).alias("encoded"))
     decoded = encoded.select("parts", "ids", "rows", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
     return decoded.mapInArrow(_assemble, RESULT)

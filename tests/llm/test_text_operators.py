@@ -1,6 +1,7 @@
 """Operators that read one text at a time, against plain versions of the same rule."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -49,11 +50,11 @@ def test_bpe_chunks_do_not_matter(reference):
     before = byte_bpe.CHUNK_BYTES
     try:
         byte_bpe.CHUNK_BYTES = 500
-        chunks = list(byte_bpe._pack(P.PATTERN)(iter([batch])))
+        chunks = list(byte_bpe._pack(P.PATTERN, RANKS)(iter([batch])))
     finally:
         byte_bpe.CHUNK_BYTES = before
-    done = [c for c in chunks if c.column(2)[0].is_valid]
-    assert len(done) > 3 and sum(len(c.column(2)[0]) for c in done) == len(ROWS)
+    done = [c for c in chunks if c.column(3)[0].is_valid]
+    assert len(done) > 3 and sum(len(c.column(3)[0]) for c in done) == len(ROWS)
 
 
 def test_bpe_fold_in_plain_python(reference):
@@ -62,6 +63,18 @@ def test_bpe_fold_in_plain_python(reference):
         assert byte_bpe.fold_merges(word.encode(), ranks) == reference._encode_single_piece(word.encode())
 
 
+def test_long_words(spark, reference):
+    rng = random.Random(5)
+    ranks = byte_bpe.read_ranks(RANKS)
+    for word in (b"a", b"", b"aaaaaaa", " thing".encode(), *("".join(rng.choice("aeionrst") for _ in range(n)).encode() for n in (2, 3, 60, 700))):
+        assert byte_bpe.merge_long(word, ranks) == byte_bpe.fold_merges(word, ranks) if word else byte_bpe.merge_long(word, ranks) == []
+    texts = ["short " + "".join(rng.choice("aeionrst") for _ in range(n)) + " and " + "=" * n + " tail" for n in (500, 520, 100_000)]
+    got = byte_bpe.byte_bpe_roundtrip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    for r in got:
+        ids = reference.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == sha(np.array(ids, dtype="<u4").tobytes()) and r.decoded_sha256 == sha(texts[r.doc_id].encode())
+
+
 def test_bpe_pieces_join_to_the_text():
     for _, text in ROWS:
         assert "".join(x[0] if isinstance(x, tuple) else " " + x for x in byte_bpe.stretches(text or "")) == (text or "")
@@ -160,7 +173,7 @@ def test_lexer_is_linear():
         secret_scan.lexed_spans(text)
         return time.process_time() - start
 
-    for piece in ('a="', "a='x ", "name-", "a = ", 'a = "\\" + ', "a     ", '"a" : "b" + '):
+    for piece in ('a="', "a='x ", "name-", "a = ", 'a = "\\" + ', "a     ", '"a" : "b" + ', 'secret_key = secret_key + "aB3$x"\n', "pwd = pwd + pwd + b7\n"):
         assert took(piece * (400_000 // len(piece))) < 5, piece
 
 
