@@ -23,7 +23,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier accepts; the labels are of this table's own documents."""
+    """Keeps the rows that the classifier accepts; the labels are of this table's own documents.
+
+    A null text is scored as an empty one; repeated rows fare alike; without
+    labels of both classes all rows score the same; an empty table stays empty.
+    """
     return keep_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -40,20 +44,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold an item of the benchmark."""
-    leak = free_name(docs, "_leak")
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(leaks.hint("merge"), F.col("doc_id") == F.col(leak), "left_anti")
+    """Drops the rows that hold an item of the benchmark.
+
+    A row is named by a digest of its id and text: rows that share an id are judged
+    one by one, rows without id like all others. Rows without text stay; an empty
+    table gives an empty one, and an empty benchmark drops nothing.
+    """
+    row, leak = free_name(docs, "_row"), free_name(docs, "_leak")
+    named = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    leaks = find_leaks(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).select(F.col("doc_id").alias(leak)).distinct()
+    return named.join(leaks.hint("merge"), F.col(row) == F.col(leak), "left_anti").drop(row)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets in the texts and counts their characters anew; all documents stay."""
+    """Masks the secrets in the texts and counts their characters anew; all rows stay, null and empty texts as they are."""
     masked = redact_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded bytes of what is left, as digests."""
+    """Token ids and decoded bytes of what is left, as digests; a null text has no tokens, a repeated row gives a repeated result."""
     return byte_bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
