@@ -1,11 +1,15 @@
 """Main text of web pages, from streamed parser events.
 
 The standard library's parser is fed in slices. Its events become lines: one
-per block, with the characters of its text, the tags met since the line before,
-and where it stands. The ratio of text to tags along the page is smoothed with
-a Gaussian, split in two by threshold clustering, and the region that holds the
-dense lines is the main text. Blocks that their elements mark as menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments never belong to it.
+per block, with the characters of its text outside links, the tags met since the
+line before, and where it stands. The ratio of text to tags along the page, as a
+logarithm, is smoothed with a Gaussian and split in two by threshold clustering.
+
+Dense lines choose the content region: the articles that hold some, or the rest of
+the main part, or the innermost holder in the plain page, whichever of the three
+holds most dense text. A region is kept whole but for runs of lines that are links
+alone and not dense. What an element declares to be a menu, header, footer,
+sidebar, notice, advert, form or reader comments is markup: its ratio is zero.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 
 SLICE_CHARS = 1 << 16
 SIGMA = 1.5
-#: A region stays beside the densest one when its dense text is at least this share of it.
-REGION_SHARE = 0.5
+#: Lines in a row that are links alone make a menu, if they are not dense.
+MENU_LINES = 3
 #: Share of the dense text that the region of a page without landmarks holds.
 HELD_SHARE = 0.8
 
@@ -41,11 +46,16 @@ SIBLINGS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td",
 CLOSES_P = BLOCKS - {"body", "html"}
 HOLDERS = frozenset("article main section div td body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of a class or id that mark such a block.
+#: Words of a class or id that mark such a block, when all other words of that name only say where it is or what it is made of.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay sidebar sidenav rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer comment comments commentlist reply replies disqus "
-    "respond share sharing social related recommended newsletter subscribe subscription signup login search form toolbar widget".split()
+    "overlay sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer comment comments commentlist reply replies disqus "
+    "share sharing social related recommended newsletter subscribe subscription signup login search form toolbar widget".split()
+)
+QUALIFIERS = frozenset(
+    "site page main top bottom left right side global primary secondary reader readers user users post posts article articles list box block section area container "
+    "wrapper wrap inner outer group row col column bar button buttons icon icons link links media item items slot unit panel header title body content text small large "
+    "sticky fixed inline mobile desktop js is has id no the".split()
 )
 #: Words that do so outside the article only.
 OUTSIDE_HINTS = frozenset("header masthead topbar topnav".split())
@@ -54,15 +64,17 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """Turns parser events into lines ``(text, tags, masked, landmark, holder)``."""
+    """Turns parser events into lines ``(text, tags, masked, landmark, holder, characters outside links)``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int, int]] = []
         self.holders = [-1]  # parent of each holder
         # open elements: tag, masked, landmark, holder
         self.open: list[tuple[str, bool, int, int]] = [("", False, -1, 0)]
         self.words: list[str] = []
+        self.plain = 0  # characters of the line outside links, white space not counted
+        self.links = 0  # open links
         self.tags = 0
         self.kinds: list[str] = []  # element of each landmark
 
@@ -71,9 +83,9 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.words).split())
             if text:
                 _, masked, landmark, holder = self.open[-1]
-                self.lines.append((text, self.tags, masked, landmark, holder))
+                self.lines.append((text, self.tags, masked, landmark, holder, self.plain))
                 self.tags = 0
-            self.words = []
+            self.words, self.plain = [], 0
 
     def _masks(self, tag: str, attrs: list, inside: bool) -> bool:
         if tag in NEVER or (tag in OUTSIDE and not inside):
@@ -86,9 +98,11 @@ class _Lines(HTMLParser):
             if name == "role" and value and value.lower() in ROLES:
                 return True
             if name in ("class", "id") and value:
-                words = {w.lower() for w in _HINT_WORDS.findall(value)}
-                if words & HINTS or not inside and words & OUTSIDE_HINTS:
-                    return True
+                for own in value.split():
+                    words = {w.lower() for w in _HINT_WORDS.findall(own)}
+                    hints = words & (HINTS if inside else HINTS | OUTSIDE_HINTS)
+                    if hints and words - hints <= QUALIFIERS:
+                        return True
         return False
 
     @staticmethod
@@ -98,6 +112,7 @@ class _Lines(HTMLParser):
 
     def _pop_to(self, depth: int) -> None:
         self._end_line()
+        self.links -= sum(x[0] == "a" for x in self.open[depth:])
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -131,6 +146,7 @@ class _Lines(HTMLParser):
         if tag in HOLDERS:
             self.holders.append(holder)
             holder = len(self.holders) - 1
+        self.links += tag == "a"
         self.open.append((tag, masked or hides, landmark, holder))
 
     def handle_endtag(self, tag: str) -> None:
@@ -141,6 +157,7 @@ class _Lines(HTMLParser):
                 if tag in BLOCKS or tag in HOLDERS or masked:
                     self._pop_to(depth)
                 else:
+                    self.links -= tag == "a"
                     del self.open[depth]  # an inline element; those opened inside stay open
                 return
             if name in HOLDERS and tag not in HOLDERS and tag not in BLOCKS:
@@ -148,6 +165,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.words.append(data)
+        if not self.links:
+            self.plain += sum(map(len, data.split()))
 
     def close(self) -> None:
         super().close()
@@ -161,20 +180,25 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def dense(ratios: np.ndarray) -> np.ndarray:
-    """Lines whose smoothed or own ratio is in the upper of two clusters of the
-    smoothed ratios; all lines when those do not differ."""
-    smooth = smoothed(ratios)
-    low, high = float(smooth.min()), float(smooth.max())
-    if high - low < 1e-9:
-        return np.ones(len(ratios), dtype=bool)
+def ratios(lines: list) -> np.ndarray:
+    """Logarithm of the characters for each tag of every line; nothing for links and for what is marked as no content."""
+    return np.log1p([0.0 if masked else plain / max(1, tags) for _, tags, masked, _, _, plain in lines])
+
+
+def dense(ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Smoothed ratios, and the threshold between two clusters of them.
+
+    The lower cluster is that of plain markup, whose centre is zero; the upper
+    one's centre is the mean of its members, from the largest ratio on.
+    """
+    smooth = smoothed(ratio)
+    centre = float(smooth.max())
     for _ in range(50):
-        upper = smooth >= (low + high) / 2
-        new = (float(smooth[~upper].mean()), float(smooth[upper].mean()))
-        if new == (low, high):
+        new = float(smooth[smooth >= centre / 2].mean())
+        if new == centre:
             break
-        low, high = new
-    return np.maximum(smooth, ratios) >= (low + high) / 2
+        centre = new
+    return smooth, centre / 2
 
 
 def main_text(html: str) -> str:
@@ -184,28 +208,40 @@ def main_text(html: str) -> str:
         parser.feed(html[start : start + SLICE_CHARS])
     parser.close()
     lines = parser.lines
-    if not lines:
-        return ""
-    strong = dense(np.array([len(text) / max(1, tags) for text, tags, _, _, _ in lines]))
     free = [i for i, line in enumerate(lines) if not line[2]]
-    marked = [i for i in free if lines[i][3] >= 0]
-    if marked:
-        chosen = _landmarks(lines, marked, strong)
-    else:
-        chosen = _region(lines, free, strong, parser.holders)
-    return "\n".join(lines[i][0] for i in chosen)
-
-
-def _landmarks(lines: list, marked: list[int], strong: np.ndarray) -> list[int]:
-    """Lines of the landmarks whose dense text is comparable to the richest one's."""
-    mass: dict[int, int] = {}
-    for i in marked:
-        mass[lines[i][3]] = mass.get(lines[i][3], 0) + len(lines[i][0]) * (1 if strong[i] else 0)
-    if not any(mass.values()):
-        for i in marked:
-            mass[lines[i][3]] += len(lines[i][0])
-    least = REGION_SHARE * max(mass.values())
-    return [i for i in marked if mass[lines[i][3]] >= least]
+    if not free:
+        return ""
+    ratio = ratios(lines)
+    smooth, threshold = dense(ratio)
+    strong = np.maximum(smooth, ratio) >= threshold
+    return "\n".join(lines[i][0] for i in _without_menus(lines, _content(parser, free, strong), ratio, smooth, threshold))
+
+
+def _content(parser: _Lines, free: list[int], strong: np.ndarray) -> list[int]:
+    """Lines of the regions that hold most of the dense text."""
+    lines = parser.lines
+    places: list[list[int]] = [[], [], []]  # in articles, elsewhere in the main part, elsewhere in the page
+    for i in free:
+        landmark = lines[i][3]
+        places[2 if landmark < 0 else parser.kinds[landmark] != "article"].append(i)
+    mass = [sum(len(lines[i][0]) for i in place if strong[i]) for place in places]
+    if not any(mass):
+        return next(place for place in places if place)  # links alone
+    best = mass.index(max(mass))
+    if best == 2:
+        return _region(lines, places[2], strong, parser.holders)
+    held = {lines[i][3] for i in places[best] if strong[i]}
+    return [i for i in places[best] if lines[i][3] in held]
+
+
+def _without_menus(lines: list, chosen: list[int], ratio: np.ndarray, smooth: np.ndarray, threshold: float) -> list[int]:
+    """``chosen`` without runs of MENU_LINES and more lines that are links alone and sparse on the whole."""
+    out = []
+    for links, run in groupby(chosen, lambda i: ratio[i] == 0 and threshold > 0):
+        run = list(run)
+        if not (links and len(run) >= MENU_LINES and smooth[run].mean() < threshold):
+            out += run
+    return out
 
 
 def _region(lines: list, free: list[int], strong: np.ndarray, parents: list[int]) -> list[int]:

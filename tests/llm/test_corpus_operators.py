@@ -336,6 +336,16 @@ def test_pipeline_groups_rows_of_one_id_apart(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, shared), (5, alone), (7, twice), (7, other)])
 
 
+def test_pipeline_drops_rows_and_not_ids(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first().text
+    clean = sentences(random.Random(9), 80)
+    rows = [(1, clean), (1, f"{clean} {item}"), (None, item), (None, clean), (2, None), (3, clean), (3, clean)]
+    df = frame(spark, rows, clashing=True).withColumn("_row", F.lit("x"))
+    kept = corpus_pipeline.decontamination(spark, df, sf_dir)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, clean), (None, clean), (2, None), (3, clean), (3, clean)], key=str)
+
+
 def test_pipeline_edges(spark, sf_dir):
     for rows in ([], ODD):
         docs = frame(spark, rows, clashing=True)

@@ -204,6 +204,43 @@ def test_page_text(body, text):
     assert html_text.main_text(FRAME % body) == text
 
 
+WORDS = "Words that run on and on for quite a while, as text does. "
+MENU = "<ul>" + "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("body,text", [
+    # every article with dense text, however short beside the others
+    (f"<main><article><h1>One</h1><p>{WORDS * 30}</p></article><article><h2>Two</h2><p>{WORDS * 4}</p></article></main>", f"One\n{(WORDS * 30).strip()}\nTwo\n{(WORDS * 4).strip()}"),
+    # names of which a single word would mark something else
+    (f"<article><p>{WORDS}</p><div class='share-price-table'><p>12 euros</p></div><section id='form-and-function'><p>{WORDS}</p></section></article>", f"{WORDS.strip()}\n12 euros\n{WORDS.strip()}"),
+    # a menu inside the article that nothing names, and links within the text
+    (f"<article><p>{WORDS * 5}</p><p>{WORDS * 5}</p>{MENU}<p>{WORDS * 5}</p><p><a href=x>Source</a></p><p>{WORDS * 5}</p></article>",
+     "\n".join([(WORDS * 5).strip()] * 3 + ["Source", (WORDS * 5).strip()])),
+    # teasers in articles beside a text in the main part, and beside one in the plain page
+    (f"<main><p>{WORDS * 9}</p><p>end.</p><article><a href=x>Teaser</a> more</article></main>", f"{(WORDS * 9).strip()}\nend."),
+    (f"<div><p>{WORDS * 9}</p><p>{WORDS * 9}</p></div><article><a href=x>Teaser</a> more</article>", "\n".join([(WORDS * 9).strip()] * 2)),
+])
+def test_density_chooses_regions(body, text, monkeypatch):
+    assert html_text.main_text(FRAME % body) == text
+    before = html_text.main_text(f"<body><div>{MENU}</div><article>{MENU}<p>{WORDS * 5}</p></article></body>")
+    assert before == (WORDS * 5).strip()
+    monkeypatch.setattr(html_text, "dense", lambda ratio: (ratio, 0.0))
+    assert html_text.main_text(f"<body><div>{MENU}</div><article>{MENU}<p>{WORDS * 5}</p></article></body>") != before
+
+
+def test_ratios_smoothing_and_clusters():
+    lines = [("menu", 4, False, -1, 0, 0), ("ad text here", 2, True, -1, 0, 12), *[(WORDS, 2, False, 0, 1, 47)] * 3, ("end.", 2, False, 0, 1, 4), ("foot", 3, False, -1, 0, 4)]
+    ratio = html_text.ratios(lines)
+    plain = [0.0, 0.0, *[np.log(1 + 47 / 2)] * 3, np.log(1 + 4 / 2), np.log(1 + 4 / 3)]
+    assert np.allclose(ratio, plain)
+    smooth, threshold = html_text.dense(ratio)
+    weight = lambda i, j: np.exp(-((i - j) ** 2) / (2 * html_text.SIGMA**2)) if abs(i - j) <= 5 else 0
+    want = [sum(weight(i, j) * x for j, x in enumerate(plain)) / sum(weight(i, j) for j in range(len(plain))) for i in range(len(plain))]
+    assert np.allclose(smooth, want)
+    upper = [x for x in want if x >= threshold]
+    assert threshold == pytest.approx(np.mean(upper) / 2) and [bool(x >= threshold) for x in smooth] == [x >= threshold for x in want]
+
+
 def test_page_without_landmarks():
     long = "Words that run on and on for quite a while, as text does. " * 3
     page = f"<body><div id=top><a>x</a> <a>y</a> <a>z</a></div><div class=c><p>{long}<p>{long}<p>short.<p>{long}</div><div class='comments'><p>{long}</div>"
@@ -215,7 +252,7 @@ def test_pages_table(spark, sf_dir):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_text.extract_pages(df).collect()}
     assert got[(1, "u")] == ("x", 1) and got[(None, None)] == ("", 0) and got[(2, "v")] == ("", 0) and len(got) == 5
-    for r in html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").limit(50).collect():
+    for r in html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inside = re.search("<article>(.*)</article>", r.html, re.S)[1]
         assert r.text.split() == __import__("html").unescape(re.sub("</?(?:p|h1|b|br)>", " ", inside)).split()
 
