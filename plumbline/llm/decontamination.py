@@ -8,7 +8,8 @@ in both readings, as are those over an item's first word. Matches on one
 diagonal of a document and an item are then checked for consistent slots: each
 value of the item must stand for one and the same value in the document. A
 window of hardly any plain words proves nothing by its template and is hashed
-with its values.
+with its values; it also grows until it has enough of them and is then hashed as
+a template, so that questions made of numbers are found with others in them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.scratch import written
@@ -29,8 +30,11 @@ WINDOW = 8
 PLAIN = 4
 #: Words of the shortest item that is looked for.
 SHORTEST = 4
-#: Share of an item's windows that a document has to hold.
+#: Share of an item's windows that a document has to hold, or else this many windows in a row.
 SHARE = 0.5
+RUN = 13
+#: Tokens that a window of hardly any plain words may grow to, as a multiple of its size.
+GROWN = 2
 #: Bits of the filter that spares most document windows the join; its size never depends on the data.
 FILTER_BITS = 1 << 23
 KEPT_WORDS = 400_000
@@ -48,6 +52,8 @@ UNITS = frozenset(
     "% percent usd eur gbp dollar dollars euro euros cent cents kph mph km/h m/s hz khz mhz ghz kb mb gb tb v volt volts w kw watt watts j kj cal kcal "
     "k c f °c °f degree degrees point points meter meters metre metres kilometer kilometers kilometre kilometres kilogram kilograms gram grams".split()
 )
+#: Signs that count as words where they stand alone; a dash does not, as it is punctuation more often.
+SIGNS = frozenset("+ * / = < > ^ × ÷".split())
 _EDGES = re.compile(r"^[^\w$€£%°+-]+|[^\w%°]+$")
 _NUMBER = re.compile(r"[$€£]?[+-]?(?:\d[\d.,:/]*)(?P<unit>[^\W\d_/%°]*[%°]?[^\W\d_]*(?:/[^\W\d_]+)?)")
 _ENDS = re.compile(r"[.!?:][^\w\s]*$")
@@ -77,7 +83,7 @@ class _Tokens(dict):
             at = self[word] = len(self)
             self.new.append((kind, xxhash.xxh64_intdigest(folded, 5), word[-1] in ".!?:"))
             return at
-        bare = _EDGES.sub("", word)
+        bare = word if word in SIGNS else _EDGES.sub("", word)
         folded = bare.casefold()
         number = _NUMBER.fullmatch(bare)
         if not folded:
@@ -163,10 +169,12 @@ class Template:
             self.open[0] |= self.kind[0] == _WORD
         self.shape = np.where(self.kind == _NUM, _SLOT[_NUM], np.where(self.kind == _CAP, _SLOT[_CAP], self.value))
 
-    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Position, reading and hash of every window of ``size`` tokens; of shapes where enough are plain words, else of values.
+    def windows(self, size: int, grow: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Position, reading, hash and length of every window of ``size`` tokens; of shapes where enough are plain words, else of values.
 
-        Bit ``j`` of a reading says that the ``j``-th open token of the window is a name.
+        Bit ``j`` of a reading says that the ``j``-th open token of the window is a
+        name. Where ``grow``, windows hashed by values come again as the shortest
+        longer ones of enough plain words, by shapes.
         """
         n = len(self.kind) - size + 1
         if n < 1:
@@ -176,7 +184,9 @@ class Template:
         plain = np.concatenate([[0], np.cumsum(self.kind == _WORD)])
         plain = plain[size:] - plain[:-size]
         enough = min(PLAIN, size)
-        yield np.arange(n), np.zeros(n, dtype=np.int64), np.where(plain >= enough, shapes, values)
+        yield np.arange(n), np.zeros(n, dtype=np.int64), np.where(plain >= enough, shapes, values), size
+        if grow:
+            yield from self._grown(np.flatnonzero(plain < enough), size)
         if not self.open.any():
             return
         before = np.concatenate([[0], np.cumsum(self.open)])
@@ -193,9 +203,19 @@ class Template:
                 place = at[:, None] + np.arange(size)
                 named = self.open[place] & ((reading[:, None] >> (before[place] - before[at][:, None]) & 1) == 1)
                 shape = np.where(named, _SLOT[_CAP], self.shape[place])
-                yield at, reading, np.where(plain[at] - named.sum(axis=1) >= enough, _mixed(list(shape.T), size), values[at])
+                yield at, reading, np.where(plain[at] - named.sum(axis=1) >= enough, _mixed(list(shape.T), size), values[at]), size
             first = last
 
+    def _grown(self, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """The windows at ``at``, each as long as PLAIN plain words take."""
+        plain = np.cumsum(self.kind == _WORD)
+        before = plain[at] - (self.kind[at] == _WORD)
+        length = np.searchsorted(plain, before + PLAIN) + 1 - at  # beyond the text where it has too few
+        for longer in range(size + 1, GROWN * size + 1):
+            own = at[(length == longer) & (at + longer <= len(self.kind))]
+            if len(own):
+                yield own, np.zeros(len(own), dtype=np.int64), _mixed([self.shape[own + j] for j in range(longer)], longer), longer
+
     def slots(self, at: int, size: int, reading: int = 0) -> list[str]:
         """The values of the placeholders in a window."""
         held = self.kind[at : at + size] != _WORD
@@ -230,7 +250,7 @@ def _windows(size: int, lengths: list[int] | None, bits: bytes | None):
                 else:
                     asked = [(x, min(size, len(x.kind))) for x in (t, Template(words, known, True, True)) if len(x.kind) >= SHORTEST and (x is t or len(x.kind) < n)]
                 for x, length in asked:
-                    for at, reading, h in x.windows(length):
+                    for at, reading, h, wide in x.windows(length, length == size):
                         hit = np.arange(len(h)) if passes is None else np.flatnonzero(passes[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
                         if len(hit):
                             at, reading = at[hit], reading[hit]
@@ -239,7 +259,7 @@ def _windows(size: int, lengths: list[int] | None, bits: bytes | None):
                             out[2] += [length] * len(hit)
                             out[3] += (at if x is t else np.searchsorted(t.start, x.start[at])).tolist()  # in tokens of ``t``
                             out[4] += h[hit].view(np.int64).tolist()
-                            out[5] += [x.slots(i, length, r) for i, r in zip(at.tolist(), reading.tolist())]
+                            out[5] += [x.slots(i, wide, r) for i, r in zip(at.tolist(), reading.tolist())]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["id", "n", "size", "at", "h", "slots"])
 
@@ -252,8 +272,8 @@ _ROWS = "id bigint, n int, size int, at int, h bigint, slots array<string>"
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, share, same_values`` for every document and item it holds.
 
-    An item is held when at least ``share`` of its windows match on diagonals
-    whose slots are consistent; ``same_values`` says that no slot was changed.
+    An item is held when at least ``share`` of its windows, or RUN in a row, match
+    on diagonals whose slots are consistent; ``same_values`` says that no slot was changed.
     Null ids and texts take no part; items of fewer than four words are not
     looked for; shorter items than a window are one window; repeated rows count
     once; empty tables give no rows; other columns are ignored.
@@ -279,7 +299,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     votes = pairs.groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy(*key, "a").agg(F.max_by("b", F.struct("n", "b")).alias("best"))
     against = pairs.join(votes, [*key, "a"]).where(F.col("b") != F.col("best")).select(*key, "item_at", "pairs").distinct()
     changed = votes.where(F.col("a") != F.col("best")).select("doc_id", "item_id").distinct().withColumn("changed", F.lit(True))
-    kept = met.join(against, [*key, "item_at", "pairs"], "left_anti").groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("item_at").cast("int").alias("n_matched"))
+    kept = met.join(against, [*key, "item_at", "pairs"], "left_anti").select(*key, "item_at").distinct()
+    # windows in a row share their distance to their rank on the diagonal; no diagonal has more than an item's windows
+    place = F.row_number().over(W.partitionBy(*key).orderBy("item_at"))
+    kept = kept.withColumn("run", F.col("item_at") - place)
+    kept = kept.withColumn("in_run", F.count(F.lit(1)).over(W.partitionBy(*key, "run")))
+    kept = kept.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("item_at").cast("int").alias("n_matched"), F.max("in_run").alias("longest"))
     part = F.col("n_matched") / F.col("n_windows")
-    held = kept.where(part >= share).join(changed, ["doc_id", "item_id"], "left")
+    held = kept.where((part >= share) | (F.col("longest") >= RUN)).join(changed, ["doc_id", "item_id"], "left")
     return held.select("doc_id", "item_id", "n_windows", "n_matched", F.round(part, 4).alias("share"), F.col("changed").isNull().alias("same_values"))

@@ -204,6 +204,18 @@ def test_leaks_by_sentence_initial_names(spark):
     assert all(found[k].share == 1 for k in found) and {k for k in found if not found[k].same_values} == {(1, 1), (2, 1)}
 
 
+def test_leaks_of_excerpts_and_numbers(spark):
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    dense = "Compute 13 + 8 * 4 - 6 / 3 given 5 , 8 and 25 ."
+    items = [(1, long), (2, dense)]
+    words = long.split()
+    rows = [
+        (1, "before " + " ".join(words[10:38]) + " after"), (2, "before " + " ".join(words[10:29]) + " after"), (3, dense), (4, "Now: compute 17 + 9 * 2 - 4 / 7 given 6 , 9 and 31 . Go on."),
+        (5, "Now: " + dense + " Go on with 5 of 8."), (6, "Compute 13 + 8 * 4 and 25"), (7, " ".join(words[5:14]) + " between " + " ".join(words[20:29])), (8, "13 8 4 6 3 5 8 25 " * 40),
+    ]
+    assert {k: v.same_values for k, v in held(spark, rows, items).items()} == {(1, 1): True, (3, 2): True, (4, 2): False, (5, 2): True}
+
+
 def test_leaks_of_nothing(spark):
     assert not held(spark, [(1, QUESTION)], [(None, None)]) and not held(spark, [(None, None)])
     none = spark.createDataFrame([], SCHEMA)
