@@ -5,7 +5,8 @@ name, or none), whether a blank line precedes it, its length and whether it
 asks. Hidden states are a role that begins or goes on. Transitions, lengths and
 questions are counted from labelled conversations; what markers say is given.
 Viterbi finds the likeliest states. Names that are no known marker are bound to
-the role that most of their lines got, and the transcript is decoded again.
+the role that most of their lines got, and the transcript is decoded again. A name
+that marks one line only may be a heading ("Note: ...") and stays in the text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.scratch import written
@@ -29,8 +30,10 @@ MARKERS = {
 LENGTHS = 14
 #: Turns of one conversation that are put together; a longer one is rendered in parts.
 PART_TURNS = 256
+#: Words of the longest speaker's name.
+NAME_WORDS = 5
 
-_MARKER = re.compile(r"^(?:#{1,4}\s*|\*{1,2}|<\|?|\[)?\s*(?P<word>[^\W\d_][\w .'-]{0,24}?)\s*(?:\*{1,2})?\s*(?:\|?>|\]|:(?:\*{1,2})?)(?P<rest>.*)$", re.S)
+_MARKER = re.compile(r"^(?:#{1,4}\s*|\*{1,2}|<\|?|\[)?\s*(?P<word>[^\W\d_][\w .'-]{0,63}?)\s*(?:\*{1,2})?\s*(?:\|?>|\]|:(?:\*{1,2})?)(?P<rest>.*)$", re.S)
 _NONE, _NAME = 3, 4
 #: Log chance of a marker (three roles, none, a name) where a role begins and where it goes on.
 _BEGIN = np.log(np.array([[0.6 if r == m else 0.005 for m in range(3)] + [0.345, 0.045] for r in range(3)]))
@@ -81,7 +84,7 @@ def _marked(line: str) -> tuple[int, str, str]:
         return _NONE, "", line
     word = found["word"].strip().casefold()
     known = MARKERS.get(word)
-    if known is None and (len(word.split()) > 2 or not found["word"][:1].isupper()):
+    if known is None and (len(word.split()) > NAME_WORDS or not all(w[0].isupper() or not w[0].isalpha() for w in found["word"].split())):
         return _NONE, "", line
     return (_NAME if known is None else known), word, found["rest"].strip()
 
@@ -105,19 +108,22 @@ def parse(transcript: str, model: RoleModel, opens: bool = True) -> tuple[list[t
     sizes = np.array([length_bin(len(rest)) for _, _, rest in marked])
     asks = np.array([int(rest.rstrip().endswith("?")) for _, _, rest in marked])
     path = model.decode(markers, np.array(blank), sizes, asks, opens)
-    names = {name for m, name, _ in marked if m == _NAME}
+    names: dict[str, list[int]] = {}
+    for i, (m, name, _) in enumerate(marked):
+        if m == _NAME:
+            names.setdefault(name, []).append(i)
     if names:
-        for name in names:
-            own = [i for i, (m, n, _) in enumerate(marked) if m == _NAME and n == name]
+        for own in names.values():
             if len(own) > 1 or len(names) > 1:
                 markers[own] = np.bincount(path[own] % 3, minlength=3).argmax()
         path = model.decode(markers, np.array(blank), sizes, asks, opens)
     turns: list[tuple[str, list[str]]] = []
-    for line, (m, _, rest), state, b in zip(lines, marked, path.tolist(), blank):
+    for line, (m, name, rest), state in zip(lines, marked, path.tolist()):
         begins = state < 3 or not turns
         if begins:
             turns.append((ROLES[state % 3], []))
-        own = rest if m != _NONE and begins else line
+        speaks = m != _NONE and (m != _NAME or len(names[name]) > 1)
+        own = rest if speaks and begins else line
         if own or not begins:
             turns[-1][1].append(own)
     return [(role, "\n".join(content)) for role, content in turns], [ROLES[s % 3] for s in path.tolist()]
@@ -186,15 +192,24 @@ def as_transcripts(turns: DataFrame) -> DataFrame:
     """``conv_id, part, transcript, stored`` from labelled turns: their text in order, marked in one of five styles.
 
     The style follows from the id. Repeated rows count once; rows without id
-    are left out; a null turn comes first; a null text is empty. A conversation
-    of more than PART_TURNS turns makes several parts, so that no group grows
-    without bound. ``stored`` holds the role of each line that is not blank.
+    are left out; a null turn comes first; a null text is empty; turns of one
+    number are ordered by role and text. A conversation of more than PART_TURNS
+    turns makes several parts of that many, counted and not by their numbers, so
+    that no group grows without bound. ``stored`` holds the role of each line that
+    is not blank.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.where(F.col("conv_id").isNotNull()).distinct()
-    part = F.greatest(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).alias("part")
+    # places without a task for each conversation: sorted ranges are numbered, and a range starts after the turns of those before
+    order = ["conv_id", F.col("turn").asc_nulls_first(), "role", F.substring("text", 1, 32), F.md5("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
+    rows = written(rows, "turns").withColumn("span", F.shiftright("number", 33))
+    spans = rows.groupBy("conv_id", "span").agg(F.min("number").alias("least"), F.count(F.lit(1)).alias("n"))
+    spans = spans.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(spans, ["conv_id", "span"]).withColumn("place", F.col("number") - F.col("least") + F.col("before"))
+    part = F.floor(F.col("place") / PART_TURNS).alias("part")
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES))).cast("int")
-    grouped = rows.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    grouped = rows.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
     mark = lambda t: F.coalesce(F.element_at(F.get(F.array(*[_map(s) for s in STYLES]), style), F.coalesce(t["role"], F.lit(""))), F.lit(""))
     marked = lambda t: F.concat(mark(t), t["text"])
     lines = lambda t: F.size(F.filter(F.split(marked(t), "\n"), lambda x: F.length(F.trim(x)) > 0))

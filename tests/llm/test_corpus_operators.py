@@ -301,12 +301,24 @@ def test_viterbi_is_the_best_path():
     assert abs(score(best) - score(model.decode(markers, blank, length, asks, True).tolist())) < 1e-9
 
 
+def test_speaker_names(spark):
+    model = transcripts.fit_roles(spark.createDataFrame([(1, 0, "user", "hello?"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string"))
+    turns, _ = transcripts.parse("Dr Anna Maria Smith: hello?\nJonas: yes\nDr Anna Maria Smith: more?\nJonas: no", model)
+    assert [c for _, c in turns] == ["hello?", "yes", "more?", "no"] and turns[0][0] == turns[2][0] != turns[1][0] == turns[3][0]
+    turns, _ = transcripts.parse("User: hello\n\nNote: remember this", model)
+    assert "Note: remember this" in "\n".join(c for _, c in turns)
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "y"), (2, None, "user", "a"), (2, 0, "user", "b"), (2, 0, "user", "b"), (3, 5000, "assistant", "late"), (3, 0, "user", "early"), (4, 0, "other", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("p")).withColumn("turns", F.lit(1))
     got = {(r.conv_id, r.part): r for r in transcripts.chat_format(df).collect()}
-    assert set(got) == {(1, 0), (2, 0), (3, 0), (3, 5000 // transcripts.PART_TURNS), (4, 0)}
-    assert "late" in got[(3, 5000 // transcripts.PART_TURNS)].rendered
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (4, 0)}  # parts are counted turns, whatever their numbers
+    assert got[(3, 0)].rendered.index("early") < got[(3, 0)].rendered.index("late")
+    many = [(1, 1000 * i, ("user", "assistant")[i % 2], f"turn {i}?" if i % 2 == 0 else f"answer {i}") for i in range(2 * transcripts.PART_TURNS + 3)] + [(1, None, "system", "first of all")]
+    long = spark.createDataFrame(many, "conv_id long, turn long, role string, text string")
+    parts = {r.part: r.stored for r in transcripts.as_transcripts(long).collect()}
+    assert {k: len(v) for k, v in parts.items()} == {0: transcripts.PART_TURNS, 1: transcripts.PART_TURNS, 2: 4} and parts[0][0] == "system"
     assert transcripts.chat_format(df.where("conv_id < 0")).count() == 0
 
 
