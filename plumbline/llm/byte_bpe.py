@@ -1,15 +1,20 @@
 """Byte-level BPE: encode whole texts by a rank file, and decode the ids again.
 
 Three steps, without a shuffle. An Arrow step packs some megabytes of documents
-into a few rows: the distinct words of the chunk as byte arrays, a slice of them
-a row, and then each document as positions in that list. Spark's higher-order
-functions fold the ranked merges over every word, looking ranks up in a literal
-map, and concatenate the binary pieces of its ids for the way back. A last Arrow
-step puts the words of each document together again.
+into a few rows: the distinct words that the task has not sent yet as byte arrays,
+a slice of them a row, and then each document as positions in the list of words.
+Spark's higher-order functions fold the ranked merges over every word, looking
+ranks up in a literal map, and concatenate the binary pieces of its ids for the way
+back. A last Arrow step puts the words of each document together again.
+
+All three run in one task and keep the order of rows, so that a word is folded once
+a task: both ends keep the words so far, and drop them at the same row when they
+grow past STORE_BYTES.
 
 The rank map is keyed by the two ids that a merge joins. It is laid out as two
 literal arrays: the rank of (a, b) stands at shift[a] + b, so that a lookup costs
-two array reads at any vocabulary size.
+two array reads at any vocabulary size. Pairs of single bytes are looked up for all
+words of a slice at once, in a table of 257 by 257, before the fold.
 
 A step of the fold copies its word, so that its time grows with the square of the
 word. Words of more than LONG_WORD bytes are therefore merged while packing, with
@@ -25,7 +30,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import count, groupby
+from itertools import count, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,8 @@ from plumbline.llm.scratch import give_back
 
 #: Bytes of text in one chunk; a single longer text makes a chunk of its own.
 CHUNK_BYTES = 16_000_000
+#: Bytes of words that a task keeps from one chunk to the next.
+STORE_BYTES = 8_000_000
 #: Words that are folded in one row.
 SLICE_WORDS = 16_384
 #: Bytes of a word up to which it is folded.
@@ -55,7 +62,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _STRETCH = regex.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ODD_SPACE = regex.compile(rf"[{_SPACE}] |\A[{_SPACE}]|[{_SPACE}]\Z")
 
-CHUNK = "words array<array<smallint>>, known array<array<bigint>>, parts array<array<int>>, ids array<bigint>, rows array<array<int>>"
+CHUNK = "words array<array<bigint>>, known array<array<bigint>>, parts array<array<int>>, ids array<bigint>, rows array<array<int>>, done boolean"
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -109,13 +116,23 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def first_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The id of every byte, and the rank of merging every two of them; MARK merges with nothing."""
+    ids = np.array([ranks[bytes([b])] for b in range(256)] + [EDGE], dtype=np.int64)
+    merges = np.full((MARK + 1, MARK + 1), EDGE, dtype=np.int32)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            merges[piece[0], piece[1]] = rank
+    return ids, merges
+
+
 class RankMap:
-    """A rank file as literal arrays: ``byte_rank``, ``shift``, ``slots`` and ``pieces``."""
+    """A rank file as literal arrays ``shift``, ``slots`` and ``pieces``, and ``first`` for bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= EDGE or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the rank file needs all single bytes and ranks under 131,072")
-        self.byte_rank = [ranks[bytes([b])] for b in range(256)] + [EDGE]
+        self.first = first_ranks(ranks)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         pairs: dict[int, list[tuple[int, int]]] = {}
         for piece, rank in ranks.items():
@@ -176,22 +193,23 @@ def stretches(text: str) -> list[str | tuple[str]]:
     return pieces
 
 
-def _pack(pattern: str, path: str):
+def _pack(pattern: str, path: str, first: tuple[np.ndarray, np.ndarray] | None = None):
     find = regex.compile(pattern).findall
     ranks: dict[bytes, int] = {}  # read by the first task that meets a long word
+    first = first or first_ranks(read_ranks(path))
 
-    def row(words=None, known=None, parts=None, ids=None, rows=None) -> pa.RecordBatch:
-        kinds = [pa.list_(pa.list_(pa.int16())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+    def row(words=None, known=None, parts=None, ids=None, rows=None, done=None) -> pa.RecordBatch:
+        kinds = [pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
         columns = [pa.nulls(1, k) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, k in zip((words, known, parts, ids, rows), kinds)]
-        return pa.RecordBatch.from_arrays(columns, ["words", "known", "parts", "ids", "rows"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([done], pa.bool_())], ["words", "known", "parts", "ids", "rows", "done"])
 
     def encoded(words: list[bytes]) -> pa.ListArray:
         ranks.update({} if ranks else read_ranks(path))
         return pa.array([merge_long(w, ranks) for w in words], pa.list_(pa.int64()))
 
-    def flush(ids: list, rows: list, seen: dict) -> Iterator[pa.RecordBatch]:
-        words: dict[str, int] = defaultdict(count().__next__)
-        parts, ends = [], [0]
+    def flush(ids: list, rows: list, seen: dict, words: dict[str, int], store: list[int]) -> Iterator[pa.RecordBatch]:
+        """Sends the words that are new to ``words``, which hold ``store[0]`` bytes, then the documents."""
+        parts, ends, sent = [], [0], len(words)
         for piece in seen:
             if type(piece) is tuple:
                 parts += map(words.__getitem__, find(piece[0]))
@@ -203,17 +221,21 @@ def _pack(pattern: str, path: str):
                 parts += map(words.__getitem__, find(" " + piece))
             ends.append(len(parts))
         seen.clear()
-        raw = [w.encode() for w in words]
-        words.clear()
+        raw = [w.encode() for w in islice(words, sent, None)]
         for long, run in groupby(raw, lambda w: len(w) > LONG_WORD):
             run = list(run)
             for part in (run[start : start + SLICE_WORDS] for start in range(0, len(run), SLICE_WORDS)):
-                yield row(known=encoded(part)) if long else row(words=_marked(part))
-        codes = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
-        yield row(parts=_lists(np.array(parts, dtype=np.int32), np.array(ends)), ids=pa.array(ids, pa.int64()), rows=codes)
+                yield row(known=encoded(part)) if long else row(words=_started(part, *first))
+        codes, store[0] = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)])), store[0] + sum(map(len, raw))
+        done = store[0] > STORE_BYTES
+        if done:
+            words.clear()
+            words.default_factory, store[0] = count().__next__, 0
+        yield row(parts=_lists(np.array(parts, dtype=np.int32), np.array(ends)), ids=pa.array(ids, pa.int64()), rows=codes, done=done)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, seen, size = [], [], defaultdict(count().__next__), 0
+        words, store = defaultdict(count().__next__), [0]
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
@@ -222,25 +244,27 @@ def _pack(pattern: str, path: str):
                 ids.append(doc_id)
                 rows.append(np.fromiter(map(seen.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
                 if size >= CHUNK_BYTES:
-                    yield from flush(ids, rows, seen)
+                    yield from flush(ids, rows, seen, words, store)
                     ids, rows, seen, size = [], [], defaultdict(count().__next__), 0
         if ids:
-            yield from flush(ids, rows, seen)
-        del ids, rows, seen
+            yield from flush(ids, rows, seen, words, store)
+        del ids, rows, seen, words
         give_back()
 
     return run
 
 
-def _marked(words: list[bytes]) -> pa.ListArray:
-    """The words as byte arrays with a mark before and after each."""
+def _started(words: list[bytes], byte_ids: np.ndarray, merges: np.ndarray) -> pa.ListArray:
+    """The words as byte arrays with a mark before and after each; every byte holds the rank of merging it with the next, its place and its id."""
     sizes = np.array([len(w) for w in words], dtype=np.int64) + 2
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    values = np.full(ends[-1], MARK, dtype=np.int16)
+    values = np.full(ends[-1] + 1, MARK, dtype=np.int16)
     inside = np.ones(ends[-1], dtype=bool)
     inside[ends[:-1]] = inside[ends[1:] - 1] = False
-    values[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
-    return _lists(values, ends)
+    values[:-1][inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
+    places = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+    ranks = merges[values[:-1], values[1:]].astype(np.int64)
+    return _lists(ranks << (RANK_BITS + PLACE_BITS) | places << RANK_BITS | byte_ids[values[:-1]], ends)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -260,18 +284,18 @@ def _literal(values: list, kind: str) -> Column:
 
 
 def encode_words(words: Column, ranks: RankMap) -> Column:
-    """Token ids of every marked byte array in ``words`` (array<array<smallint>>).
+    """Token ids of every byte array in ``words``, as ``_started`` makes them.
 
     The state of the fold is one bigint per token: the rank of merging it with
     the next token, its place in the word, and its id. The smallest of them is
     the leftmost merge of lowest rank.
     """
-    tables = [_literal(v, "array<bigint>") for v in (ranks.byte_rank, ranks.shift, ranks.slots)]
+    tables = [_literal(v, "array<bigint>") for v in (ranks.shift, ranks.slots)]
     # named once, so that the plan, and all that prints it, holds each table once
-    return _let(tables[0], lambda byte_rank: _let(tables[1], lambda shift: _let(tables[2], lambda slots: _folded(words, byte_rank, shift, slots))))
+    return _let(tables[0], lambda shift: _let(tables[1], lambda slots: _folded(words, shift, slots)))
 
 
-def _folded(words: Column, byte_rank: Column, shift: Column, slots: Column) -> Column:
+def _folded(words: Column, shift: Column, slots: Column) -> Column:
     id_mask, low = F.lit(EDGE), RANK_BITS + PLACE_BITS
     none = F.lit(EDGE << low)
 
@@ -296,13 +320,9 @@ def _folded(words: Column, byte_rank: Column, shift: Column, slots: Column) -> C
 
         return _let(F.array_min(state), by)
 
-    def start(placed: Column) -> Column:
-        return F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda base, after: ranked(base, after.bitwiseAND(id_mask)))
-
     def encode(word: Column) -> Column:
-        placed = F.transform(word, lambda b, i: F.shiftleft(i.cast("bigint"), RANK_BITS).bitwiseOR(F.get(byte_rank, b.cast("int"))))
         inner = lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), lambda t: t.bitwiseAND(id_mask))
-        return F.aggregate(F.slice(word, F.lit(4), F.size(word)), _let(placed, start), step, inner)
+        return F.aggregate(F.slice(word, F.lit(4), F.size(word)), word, step, inner)
 
     return F.transform(words, encode)
 
@@ -334,18 +354,20 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, sizes, raw = [], [], []  # of the words of the chunk that is coming in
+    tokens, sizes, raw = [], [], []  # of the words that came in so far
     for batch in batches:
         for at in range(batch.num_rows):
-            parts, ids, rows, encoded, decoded = (batch.column(i).slice(at, 1) for i in range(5))
+            parts, ids, rows, done, encoded, decoded = (batch.column(i).slice(at, 1) for i in range(6))
             if ids.null_count:
                 values, lengths = _values(encoded)
                 tokens.append(values.astype(np.uint32))
                 sizes.append(lengths)
                 raw += decoded.flatten().to_pylist()
                 continue
-            yield _documents(parts, ids, rows, np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint32), np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64), raw)
-            tokens, sizes, raw = [], [], []
+            tokens, sizes = [np.concatenate(tokens or [np.zeros(0, dtype=np.uint32)])], [np.concatenate(sizes or [np.zeros(0, dtype=np.int64)])]
+            yield _documents(parts, ids, rows, tokens[0], sizes[0], raw)
+            if done[0].as_py():
+                tokens, sizes, raw = [], [], []
     give_back()
 
 
@@ -383,7 +405,7 @@ def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "
     space in front of words. Special tokens are ordinary text.
     """
     ranks = rank_map(path)
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern, path), CHUNK)
-    encoded = packed.select("parts", "ids", "rows", F.coalesce("known", encode_words(F.col("words"), ranks)).alias("encoded"))
-    decoded = encoded.select("parts", "ids", "rows", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
+    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern, path, ranks.first), CHUNK)
+    encoded = packed.select("parts", "ids", "rows", "done", F.coalesce("known", encode_words(F.col("words"), ranks)).alias("encoded"))
+    decoded = encoded.select("parts", "ids", "rows", "done", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
     return decoded.mapInArrow(_assemble, RESULT)
