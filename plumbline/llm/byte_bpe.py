@@ -328,9 +328,9 @@ def _folded(words: Column, shift: Column, slots: Column) -> Column:
 
 
 def decode_words(encoded: Column, ranks: RankMap) -> Column:
-    """The bytes of every id array in ``encoded``, as the binary pieces of its ids one after the other."""
+    """The bytes of all id arrays in ``encoded``, as the binary pieces of their ids one after the other."""
     pieces = _literal([p.decode("latin-1") for p in ranks.pieces], "array<string>")  # a character for each byte
-    return F.transform(encoded, lambda ids: F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""), "ISO-8859-1"))
+    return F.encode(F.array_join(F.transform(F.flatten(encoded), lambda i: F.get(pieces, i.cast("int"))), ""), "ISO-8859-1")
 
 
 # -- back to documents -----------------------------------------------------------
@@ -353,7 +353,17 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths) - lengths
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assemble(piece_bytes: np.ndarray):
+    """Back to documents; ``piece_bytes`` tells how many bytes each id stands for, and so where a word ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _assembled(batches, piece_bytes)
+        give_back()
+
+    return run
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], piece_bytes: np.ndarray) -> Iterator[pa.RecordBatch]:
     tokens, sizes, raw = [], [], []  # of the words that came in so far
     for batch in batches:
         for at in range(batch.num_rows):
@@ -362,13 +372,13 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values, lengths = _values(encoded)
                 tokens.append(values.astype(np.uint32))
                 sizes.append(lengths)
-                raw += decoded.flatten().to_pylist()
+                blob, cuts = decoded[0].as_py(), np.concatenate([[0], np.cumsum(piece_bytes[values])])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+                raw += [blob[a:b] for a, b in zip(cuts, cuts[1:])]
                 continue
             tokens, sizes = [np.concatenate(tokens or [np.zeros(0, dtype=np.uint32)])], [np.concatenate(sizes or [np.zeros(0, dtype=np.int64)])]
             yield _documents(parts, ids, rows, tokens[0], sizes[0], raw)
             if done[0].as_py():
                 tokens, sizes, raw = [], [], []
-    give_back()
 
 
 def _documents(parts: pa.Array, ids: pa.Array, rows: pa.Array, tokens: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
@@ -408,4 +418,4 @@ def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "
     packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern, path, ranks.first), CHUNK)
     encoded = packed.select("parts", "ids", "rows", "done", F.coalesce("known", encode_words(F.col("words"), ranks)).alias("encoded"))
     decoded = encoded.select("parts", "ids", "rows", "done", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
-    return decoded.mapInArrow(_assemble, RESULT)
+    return decoded.mapInArrow(_assemble(np.array([len(p) for p in ranks.pieces], dtype=np.int64)), RESULT)
