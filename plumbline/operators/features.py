@@ -278,6 +278,6 @@ def add_date_parts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Year, month and weekday (Monday 0) of dates in text; the whole column settles whether a day or a month comes first."""
     parts, turned = [], dates.day_first(df, [c for c in columns if df.schema[c].dataType.simpleString() == "string"])
     for c in columns:
-        t = dates.parse(col(c).cast("string"), c in turned)
+        t = dates.day_of(col(c).cast("string"), c in turned)
         parts += [F.year(t).alias(f"{c}_year"), F.month(t).alias(f"{c}_month"), F.weekday(t).alias(f"{c}_weekday")]
     return df.select("*", *parts)

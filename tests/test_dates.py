@@ -2,6 +2,7 @@
 
 import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,27 @@ def test_typed_and_empty_columns(spark):
     assert (row["a_year"], row["a_weekday"], row["b_month"], row["c_year"]) == (2024, 3, 2, None)
     assert features.add_date_parts(df.limit(0), ["c"]).collect() == []
     assert features.date_columns(df, ["id"]) == ["a", "b"]
+
+
+def test_patterns_are_tried_once_a_layout(monkeypatch):
+    """Ten thousand days of two layouts cost two rounds of patterns; the digits are read off all values at once."""
+    tried, plain = [], dates._layout
+    monkeypatch.setattr(dates, "_layout", lambda text: tried.append(text) or plain(text))
+    days = [datetime.date(1995, 1, 1) + datetime.timedelta(i) for i in range(5000)]
+    reader = dates._Reader()
+    texts = pa.array([*(d.strftime("%Y-%m-%d 10:11:12") for d in days), *(d.strftime("%d.%m.%Y") for d in days), None, "", "no digit", "é 12"])
+    assert reader.days(texts.slice(0, 5000), False).to_pylist() == days
+    assert reader.days(texts, True).to_pylist() == [*days, *days, None, None, None, None]
+    assert sorted(set(tried)) == sorted(tried) == ["00.00.0000", "0000-00-00 00:00:00", "é 00"]
+
+
+def test_line_ends_and_first_values(spark):
+    """A line end after a year is no part of it; of equal keys the smaller texts come first."""
+    df = spark.createDataFrame([(i, "10:30 2024\u2028") for i in range(3)], "id int, t string")
+    assert {r["t_year"] for r in features.add_date_parts(df, ["t"]).collect()} == {2024}
+    rows = [(1 if i < 200 else None, f"x{i:03d}" if i % 2 else f"{i:03d}-01-01", None if i else "2024-01-01") for i in range(220)]
+    rows = spark.createDataFrame(rows, "k int, t string, u string")
+    assert features.date_columns(rows, ["k"]) == ["u"]
+    late = spark.createDataFrame([(i, "2024-01-01" if i >= 50 else f"x{i}") for i in range(5000)], "k int, t string").repartition(5)
+    assert features.date_columns(late, ["k"]) == [] and features.date_columns(late.where("k >= 40"), ["k"]) == []
+    assert features.date_columns(late.where("k >= 41"), ["k"]) == ["t"]
