@@ -91,3 +91,22 @@ def test_bags_draw_rows(spark, rows, monkeypatch, label):
     error = model.predict(made.df).agg(F.avg((F.col("label") != F.col("prediction")).cast("double")), F.avg(F.pow(F.col("label") - F.col("prediction"), 2)), F.var_pop("label")).first()
     assert error[0] < 0.1 if label == "y" else error[1] < 0.75 * error[2]  # two thirds are noise
     assert sum(model.importances().values()) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("label", ["y", "v"])
+def test_cells_of_all_tasks_are_joined(rows, monkeypatch, label):
+    """Passes meet a row a cell, however many tasks drew the bags."""
+    kept, plain = [], forests.materialise
+
+    def keep(df, name):
+        kept.append(plain(df, name))
+        return kept[-1]
+
+    monkeypatch.setattr(forests, "materialise", keep)
+    made = features(rows.withColumn("c", F.lit(1.0)).withColumn("b", F.abs("b") % 4).repartition(16), label)
+    forests.random_forest(made.df, NAMES, made.task, 2, trees=5, max_depth=3)
+    found = [frame.collect() for frame in (kept[0], kept[-1])]
+    first, last = ({(*r["x"], r["y"]) for r in f} for f in found)
+    assert first == last and len(found[1]) == len(last) < len(found[0]) / 8
+    for part in ("drawn", "sums"):
+        assert np.allclose(*(np.array([r[part] for r in f]).sum(axis=0) for f in found))
