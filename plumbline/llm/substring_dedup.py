@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +28,19 @@ from plumbline.llm.scratch import written
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 12
-#: Distinct words whose hashes a task remembers before it starts over.
-KEPT_WORDS = 400_000
+#: Powers of a base that a task keeps from one document to the next.
+KEPT_POWERS = 1 << 18
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word, 97)
-        return value
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit SipHash of every word, the same in every task."""
+    from pandas.util import hash_array
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    found = np.empty(len(words), dtype=object)
+    found[:] = words
+    return hash_array(found, categorize=False)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -52,15 +49,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to ``n``, or more, of ``base`` and of its inverse modulo 2**64; a task keeps those that most documents need."""
+    kept = _powers_of.get(int(base))
+    if kept is not None and len(kept[0]) > n:
+        return kept
+    size = 1 << max(12, n.bit_length())
+    with np.errstate(over="ignore"):
+        factors = (base, np.uint64(pow(int(base), -1, 1 << 64)))
+        found = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, f)])) for f in factors)
+    if size <= KEPT_POWERS:
+        _powers_of[int(base)] = found
+    return found
+
+
 class _Rolling:
     """Hashes of any word ranges of one document, from running sums modulo 2**64."""
 
     def __init__(self, hashes: np.ndarray, base: np.uint64):
         n = len(hashes)
+        up, self.down = _powers(base, n)
         with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]))
             self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -72,12 +84,12 @@ class _Rolling:
 class Windows:
     """Anchors of a document's windows, and the stretches of windows that share one."""
 
-    def __init__(self, words: list[bytes], known: _WordHashes, size: int = MIN_WORDS, anchor: int = ANCHOR_WORDS):
+    def __init__(self, words: list[bytes], size: int = MIN_WORDS, anchor: int = ANCHOR_WORDS):
         self.size, self.n = size, max(0, len(words) - size + 1)
         if not self.n:
             return
-        hashes = known.of(words)
-        self.rolling = [_Rolling(hashes, base) for base in _BASES]
+        self.hashes = _word_hashes(words)
+        self.rolling = [_Rolling(self.hashes, _BASES[0])]
         starts = np.arange(len(words) - anchor + 1)
         grams = self.rolling[0].of(starts, starts + anchor)
         span = size - anchor + 1
@@ -91,11 +103,16 @@ class Windows:
         self.stop = np.concatenate([self.first[1:], [self.n]])
         self.anchors = grams[at[self.first]]
 
-    def stretch_keys(self, chosen: np.ndarray) -> list[np.ndarray]:
-        return [r.of(self.first[chosen], self.stop[chosen] + self.size - 1) for r in self.rolling]
+    def _keys(self, starts: np.ndarray, ends: np.ndarray, parts: int) -> list[np.ndarray]:
+        """The first ``parts`` of the two halves of each range's digest; the second base is summed up for documents that need it."""
+        self.rolling += [_Rolling(self.hashes, base) for base in _BASES[len(self.rolling) : parts]]
+        return [r.of(starts, ends) for r in self.rolling[:parts]]
+
+    def stretch_keys(self, chosen: np.ndarray, parts: int = 2) -> list[np.ndarray]:
+        return self._keys(self.first[chosen], self.stop[chosen] + self.size - 1, parts)
 
-    def window_keys(self, starts: np.ndarray) -> list[np.ndarray]:
-        return [r.of(starts, starts + self.size) for r in self.rolling]
+    def window_keys(self, starts: np.ndarray, parts: int = 2) -> list[np.ndarray]:
+        return self._keys(starts, starts + self.size, parts)
 
     def starts_in(self, chosen: np.ndarray) -> np.ndarray:
         lengths = self.stop[chosen] - self.first[chosen]
@@ -120,11 +137,10 @@ def _digest(words: list[bytes]) -> str:
 
 def _anchors(size: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = Windows((text.as_py() or "").encode().split(), known, size, anchor)
+                w = Windows((text.as_py() or "").encode().split(), size, anchor)
                 if w.n:
                     found.append(np.unique(w.anchors))
                     ids.append(np.full(len(found[-1]), doc_id, dtype=np.int64))
@@ -138,7 +154,6 @@ def _seeded(size: int, anchor: int):
     """Documents without seeds are done; of the others come the keys of their seeded stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in batches:
             texts, counts, digests, keys = [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -147,7 +162,7 @@ def _seeded(size: int, anchor: int):
                 seeds = _set(batch.column(2), i)
                 counts.append(len(words))
                 digests.append(_digest(words))
-                w = Windows(words, known, size, anchor) if len(seeds) else None
+                w = Windows(words, size, anchor) if len(seeds) else None
                 chosen = np.flatnonzero(np.isin(w.anchors, seeds)) if w and w.n else np.zeros(0, dtype=np.int64)
                 texts.append(raw if len(chosen) else None)
                 pair = w.stretch_keys(chosen) if len(chosen) else [np.zeros(0, dtype=np.uint64)] * 2
@@ -165,13 +180,12 @@ def _open_windows(size: int, anchor: int):
     """Windows of seeded stretches that no smaller document repeats as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], []]
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                w = Windows(batch.column(1)[i].as_py().encode().split(), known, size, anchor)
+                w = Windows(batch.column(1)[i].as_py().encode().split(), size, anchor)
                 chosen = np.flatnonzero(np.isin(w.anchors, _set(batch.column(2), i)))
-                settled = np.isin(w.stretch_keys(chosen)[0], _set(batch.column(3), i))
+                settled = np.isin(w.stretch_keys(chosen, 1)[0], _set(batch.column(3), i))
                 starts = w.starts_in(chosen[~settled])
                 if len(starts):
                     a, b = w.window_keys(starts)
@@ -188,19 +202,18 @@ def _kept(size: int, anchor: int):
     """Removes the words under matched stretches and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in batches:
             counts, removed, digests = [], [], []
             for i, text in enumerate(batch.column(1)):
                 words = text.as_py().encode().split()
-                w = Windows(words, known, size, anchor)
+                w = Windows(words, size, anchor)
                 chosen = np.flatnonzero(np.isin(w.anchors, _set(batch.column(2), i)))
-                settled = np.isin(w.stretch_keys(chosen)[0], _set(batch.column(3), i))
+                settled = np.isin(w.stretch_keys(chosen, 1)[0], _set(batch.column(3), i))
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edge, w.first[chosen[settled]], 1)
                 np.add.at(edge, w.stop[chosen[settled]] + size - 1, -1)
                 starts = w.starts_in(chosen[~settled])
-                starts = starts[np.isin(w.window_keys(starts)[0], _set(batch.column(4), i))]
+                starts = starts[np.isin(w.window_keys(starts, 1)[0], _set(batch.column(4), i))]
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + size, -1)
                 gone = np.cumsum(edge[:-1]) > 0

@@ -160,6 +160,31 @@ def test_remove_repeats(spark, size, anchor):
     assert same(substring_dedup.remove_repeats(frame(spark, rows, clashing=True), size, anchor), want)
 
 
+def test_window_digests_cost_what_is_asked(monkeypatch):
+    """Power tables are made once a size, and the second half of a digest only where keys are compared in full."""
+    summed, plain = [], substring_dedup._Rolling.__init__
+
+    def init(self, hashes, base):
+        summed.append(int(base))
+        plain(self, hashes, base)
+
+    monkeypatch.setattr(substring_dedup._Rolling, "__init__", init)
+    words = [f"w{i % 90}".encode() for i in range(5000)]
+    found = substring_dedup.Windows(words)
+    every = np.arange(len(found.first))
+    first = found.stretch_keys(every, 1)
+    assert len(first) == 1 and summed == [int(substring_dedup._BASES[0])]
+    whole = found.stretch_keys(every)
+    assert len(whole) == 2 and len(summed) == 2 and (whole[0] == first[0]).all() and (whole[0] != whole[1]).all()
+    for base in substring_dedup._BASES:
+        up, down = substring_dedup._powers(base, 5000)
+        assert substring_dedup._powers(base, 4000)[0] is up and int(up[77]) == pow(int(base), 77, 1 << 64)
+        assert all((int(a) * int(b)) % (1 << 64) == 1 for a, b in zip(up[:5001:500], down[:5001:500]))
+    starts = np.arange(found.n)
+    for keys in found.window_keys(starts):
+        assert (keys[:90] == keys[90:180]).all() and len(set(keys.tolist())) == 90
+
+
 # -- decontamination ---------------------------------------------------------------------
 
 QUESTION = "A train leaves the station with Alice at 60 km per hour while Bob waits 15 minutes and Alice reads 3 books before the next stop near Lyon today."
