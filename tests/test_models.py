@@ -1,12 +1,14 @@
 """Properties of the learned operators."""
 
 import math
+import threading
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import queries
 from catalog.fixtures import table
 from plumbline.functions.frames import scratch_path
 from plumbline.operators import anomaly, explain, leaderboard, models, neighbours, profile, training
@@ -320,6 +322,22 @@ def test_many_classes(spark, sf_dir, monkeypatch):
     assert {"A", "N", "R", "accuracy", "macro avg", "weighted avg"} >= {r["class"] for r in leaderboard.report(run).collect()}
 
 
+def test_targets_are_fitted_side_by_side(spark, sf_dir, monkeypatch):
+    """Neither fit waits for the other's rounds; the rows keep the order of the targets."""
+    monkeypatch.setattr(models, "BOOST_ROUNDS", 2)
+    both, plain = threading.Barrier(2, timeout=120), models.gradient_boosting
+
+    def meet(features, train):
+        both.wait()
+        return plain(features, train)
+
+    monkeypatch.setitem(models.CLASSIFIERS, "Gradient Boosting", meet)
+    monkeypatch.setitem(models.REGRESSORS, "Gradient Boosting", meet)
+    monkeypatch.setattr(models, "gradient_boosting", meet)
+    found = queries.build()["model_gbt"](spark, sf_dir).collect()
+    assert [(r["target"], r["status"]) for r in found] == [("y_txt", "success"), ("y_num", "success")]
+
+
 def test_importances_add_up(classes):
     train, _ = leaderboard.split(classes, 0.2)
     fitted = models.fit("Decision Tree", classes, train)
