@@ -14,7 +14,9 @@ grow past STORE_BYTES.
 The rank map is keyed by the two ids that a merge joins. It is laid out as two
 literal arrays: the rank of (a, b) stands at shift[a] + b, so that a lookup costs
 two array reads at any vocabulary size. Pairs of single bytes are looked up for all
-words of a slice at once, in a table of 257 by 257, before the fold.
+words of a slice at once, in a table of 257 by 257, before the fold. So are the first
+EARLY merges of every word, by the same two arrays: a step of the fold costs
+microseconds a word, and one over a whole slice a small part of that.
 
 A step of the fold copies its word, so that its time grows with the square of the
 word. Words of more than LONG_WORD bytes are therefore merged while packing, with
@@ -48,6 +50,8 @@ STORE_BYTES = 8_000_000
 SLICE_WORDS = 16_384
 #: Bytes of a word up to which it is folded.
 LONG_WORD = 512
+#: Merges of a word that are made while packing; the fold makes the others.
+EARLY = 3
 RANK_BITS, PLACE_BITS = 17, 29
 #: Stands before and after a word's bytes.
 MARK = 256
@@ -127,12 +131,11 @@ def first_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RankMap:
-    """A rank file as literal arrays ``shift``, ``slots`` and ``pieces``, and ``first`` for bytes."""
+    """A rank file as literal arrays ``shift``, ``slots`` and ``pieces``, and the ``tables`` of first ranks and of these two for numpy."""
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= EDGE or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the rank file needs all single bytes and ranks under 131,072")
-        self.first = first_ranks(ranks)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         pairs: dict[int, list[tuple[int, int]]] = {}
         for piece, rank in ranks.items():
@@ -142,6 +145,7 @@ class RankMap:
                 if a is not None and b is not None:
                     pairs.setdefault(a, []).append((b, rank))
         self.shift, self.slots = _placed(pairs, len(self.pieces))
+        self.tables = (*first_ranks(ranks), np.array([s or 0 for s in self.shift] + [0] * (EDGE + 1 - len(self.shift)), dtype=np.int32), np.array([*self.slots, -1]))
         if any(len(p) > 1 and fold_merges(p, ranks) != [r] for p, r in ranks.items()):
             raise ValueError("an entry of the rank file is not reached by its own merges; the fold would miss it as a whole word")
 
@@ -193,10 +197,10 @@ def stretches(text: str) -> list[str | tuple[str]]:
     return pieces
 
 
-def _pack(pattern: str, path: str, first: tuple[np.ndarray, np.ndarray] | None = None):
+def _pack(pattern: str, path: str, tables: tuple[np.ndarray, ...] | None = None):
     find = regex.compile(pattern).findall
     ranks: dict[bytes, int] = {}  # read by the first task that meets a long word
-    first = first or first_ranks(read_ranks(path))
+    tables = tables or rank_map(path).tables
 
     def row(words=None, known=None, parts=None, ids=None, rows=None, done=None) -> pa.RecordBatch:
         kinds = [pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
@@ -225,7 +229,7 @@ def _pack(pattern: str, path: str, first: tuple[np.ndarray, np.ndarray] | None =
         for long, run in groupby(raw, lambda w: len(w) > LONG_WORD):
             run = list(run)
             for part in (run[start : start + SLICE_WORDS] for start in range(0, len(run), SLICE_WORDS)):
-                yield row(known=encoded(part)) if long else row(words=_started(part, *first))
+                yield row(known=encoded(part)) if long else row(words=_started(part, *tables))
         codes, store[0] = _lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)])), store[0] + sum(map(len, raw))
         done = store[0] > STORE_BYTES
         if done:
@@ -254,8 +258,8 @@ def _pack(pattern: str, path: str, first: tuple[np.ndarray, np.ndarray] | None =
     return run
 
 
-def _started(words: list[bytes], byte_ids: np.ndarray, merges: np.ndarray) -> pa.ListArray:
-    """The words as byte arrays with a mark before and after each; every byte holds the rank of merging it with the next, its place and its id."""
+def _started(words: list[bytes], byte_ids: np.ndarray, merges: np.ndarray, shift: np.ndarray, slots: np.ndarray) -> pa.ListArray:
+    """The words as tokens after EARLY merges, with a mark before and after each; every token holds the rank of merging it with the next, its place and its id."""
     sizes = np.array([len(w) for w in words], dtype=np.int64) + 2
     ends = np.concatenate([[0], np.cumsum(sizes)])
     values = np.full(ends[-1] + 1, MARK, dtype=np.int16)
@@ -264,7 +268,31 @@ def _started(words: list[bytes], byte_ids: np.ndarray, merges: np.ndarray) -> pa
     values[:-1][inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
     places = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
     ranks = merges[values[:-1], values[1:]].astype(np.int64)
-    return _lists(ranks << (RANK_BITS + PLACE_BITS) | places << RANK_BITS | byte_ids[values[:-1]], ends)
+    state = ranks << (RANK_BITS + PLACE_BITS) | places << RANK_BITS | byte_ids[values[:-1]]
+    for _ in range(EARLY):
+        state, ends = _stepped(state, ends, shift, slots)
+    return _lists(state, ends)
+
+
+def _stepped(state: np.ndarray, ends: np.ndarray, shift: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step of the fold for all words: each makes its leftmost merge of lowest rank, if it has one."""
+    low = RANK_BITS + PLACE_BITS
+
+    def ranked(base: np.ndarray, after: np.ndarray) -> np.ndarray:
+        a = base & EDGE
+        entry = slots.take(shift[a] + after, mode="clip")  # the last slot is of no row
+        return np.where(entry >> RANK_BITS == a, entry & EDGE, EDGE) << low | base
+
+    sizes = np.diff(ends)
+    least = np.minimum.reduceat(state, ends[:-1])
+    merges = least < EDGE << low
+    at = np.flatnonzero(state == np.repeat(least, sizes))[merges]  # places tell the tokens of a word apart
+    new, before, after = least[merges] >> low, state[at - 1], state[at + 2] & EDGE
+    state[at] = ranked(state[at] & (((1 << PLACE_BITS) - 1) << RANK_BITS) | new, after)
+    state[at - 1] = ranked(before & ((1 << low) - 1), new)
+    kept = np.ones(len(state), dtype=bool)
+    kept[at + 1] = False
+    return state[kept], np.concatenate([[0], np.cumsum(sizes - merges)])
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
@@ -415,7 +443,7 @@ def byte_bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "
     space in front of words. Special tokens are ordinary text.
     """
     ranks = rank_map(path)
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern, path, ranks.first), CHUNK)
+    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack(pattern, path, ranks.tables), CHUNK)
     encoded = packed.select("parts", "ids", "rows", "done", F.coalesce("known", encode_words(F.col("words"), ranks)).alias("encoded"))
     decoded = encoded.select("parts", "ids", "rows", "done", "encoded", decode_words(F.col("encoded"), ranks).alias("decoded"))
     return decoded.mapInArrow(_assemble(np.array([len(p) for p in ranks.pieces], dtype=np.int64)), RESULT)

@@ -63,6 +63,26 @@ def test_bpe_fold_in_plain_python(reference):
         assert byte_bpe.fold_merges(word.encode(), ranks) == reference._encode_single_piece(word.encode())
 
 
+def test_first_merges_are_made_while_packing():
+    """Words are sent after their first merges, in the order of the fold; words without any come as they are."""
+    rng = random.Random(6)
+    ranks, tables = byte_bpe.read_ranks(RANKS), byte_bpe.rank_map(RANKS).tables
+    words = [b"a", b" ", "é".encode(), b"aaaaaaa", b"=" * 40, b"\xff\x00\xfe", *(bytes(rng.randrange(256) for _ in range(9)) for _ in range(50))]
+    words += [" ".join(("", "".join(rng.choice("aeionrst") for _ in range(n)))).encode() for n in range(1, 60)]
+    fewer = 0
+    for word, state in zip(words, byte_bpe._started(words, *tables).to_pylist()):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        for _ in range(byte_bpe.EARLY):
+            rank, at = min(((ranks.get(a + b, byte_bpe.EDGE), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(byte_bpe.EDGE, 0))
+            if rank < byte_bpe.EDGE:
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        fewer += len(parts) < len(word)
+        next_ranks = [ranks.get(a + b, byte_bpe.EDGE) for a, b in zip(parts, parts[1:])] + [byte_bpe.EDGE]
+        assert [x & byte_bpe.EDGE for x in state] == [byte_bpe.EDGE, *(ranks[p] for p in parts), byte_bpe.EDGE]
+        assert [x >> byte_bpe.RANK_BITS + byte_bpe.PLACE_BITS for x in state] == [byte_bpe.EDGE, *next_ranks, byte_bpe.EDGE]
+    assert fewer > 50
+
+
 def test_long_words(spark, reference):
     rng = random.Random(5)
     ranks = byte_bpe.read_ranks(RANKS)
