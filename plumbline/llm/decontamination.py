@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -37,6 +38,10 @@ RUN = 13
 GROWN = 2
 #: Bits of the filter that spares most document windows the join; its size never depends on the data.
 FILTER_BITS = 1 << 23
+#: Bits of the filter of words that items have, which spares windows over any other word.
+WORD_BITS = 1 << 22
+#: Bytes of text whose words are looked up and whose windows are hashed at a time.
+CHUNK = 1 << 22
 KEPT_WORDS = 400_000
 #: Readings of windows that are hashed at a time.
 READINGS = 1 << 17
@@ -62,16 +67,17 @@ _WORD, _NUM, _CAP, _UNIT, _EMPTY = range(5)
 
 
 class _Tokens(dict):
-    """word -> position in parallel arrays of kind, hash of the folded word, and whether a sentence ends."""
+    """word -> position in parallel arrays of kind, hash of the folded word, whether a sentence ends, and whether ``filter`` (none: any) lists it."""
 
-    def __init__(self):
+    def __init__(self, filter: np.ndarray | None = None):
         super().__init__()
         self.new: list[tuple[int, int, bool]] = []
         self.filled = 0
-        self.kinds, self.hashes, self.ends = np.zeros(1024, dtype=np.int8), np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=bool)
+        self.filter = filter
+        self.kinds, self.hashes, self.ends, self.listed = np.zeros(1024, dtype=np.int8), np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=bool), np.ones(1024, dtype=bool)
 
     def __missing__(self, word: str) -> int:
-        stem = word[:-1] if word[-1] in ".,!?:" else word
+        stem = word[:-1] if word[-1:] in ".,!?:" else word
         if stem.isalpha():  # most words: no edges to strip and no digits
             folded = stem.casefold()
             if folded in NUMBER_WORDS:
@@ -79,7 +85,7 @@ class _Tokens(dict):
             elif folded in UNITS:
                 kind = _UNIT
             else:
-                kind = _CAP if len(stem) > 1 and stem[0].isupper() and stem[1:].islower() else _WORD
+                kind = _CAP if stem[0].isupper() and len(stem) > 1 and stem[1:].islower() else _WORD
             at = self[word] = len(self)
             self.new.append((kind, xxhash.xxh64_intdigest(folded, 5), word[-1] in ".!?:"))
             return at
@@ -100,13 +106,13 @@ class _Tokens(dict):
         self.new.append((kind, xxhash.xxh64_intdigest(folded, 5), bool(_ENDS.search(word))))
         return at
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if len(self) > KEPT_WORDS:
             self.clear()
-            self.__init__()
+            self.__init__(self.filter)
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         self._fill()
-        return self.kinds[at], self.hashes[at], self.ends[at]
+        return self.kinds[at], self.hashes[at], self.ends[at], self.listed[at]
 
     def _fill(self) -> None:
         """Moves new words into the arrays, which double when they are full."""
@@ -114,11 +120,13 @@ class _Tokens(dict):
             return
         end = self.filled + len(self.new)
         while end > len(self.kinds):
-            self.kinds, self.hashes, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.hashes, self.ends))
+            self.kinds, self.hashes, self.ends, self.listed = (np.concatenate([x, np.ones_like(x)]) for x in (self.kinds, self.hashes, self.ends, self.listed))
         kinds, hashes, ends = zip(*self.new)
         self.kinds[self.filled : end] = kinds
         self.hashes[self.filled : end] = np.array(hashes, dtype=np.uint64)
         self.ends[self.filled : end] = ends
+        if self.filter is not None:
+            self.listed[self.filled : end] = self.filter[_slot(self.hashes[self.filled : end], WORD_BITS)]
         self.filled = end
         self.new.clear()
 
@@ -128,32 +136,32 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Template:
-    """Tokens of one text after canonicalisation; ``start`` and ``stop`` name the words of each.
+    """Tokens of texts, one text after the other, after canonicalisation; ``start`` and ``stop`` name the words of each, ``text`` its text.
 
     ``open`` tokens count as words and may be read as names: capitals that start
     a sentence and, of an item, the first word. ``merged`` makes them names that
-    take in the names after them.
+    take in the names after them. Plain words that no item has, by the filter
+    of ``known``, are not ``listed``; no window over one can be an item's.
     """
 
-    def __init__(self, words: list[str], known: _Tokens, item: bool = False, merged: bool = False):
-        self.words = words
-        if not words:
-            self.start = self.stop = np.zeros(0, dtype=np.int64)
-            self.kind, self.shape, self.value = np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-            self.open = np.zeros(0, dtype=bool)
-            return
-        kind, value, ends = known.of(words)
+    def __init__(self, texts: pa.Array, known: _Tokens, item: bool = False, merged: bool = False):
+        split = pc.utf8_split_whitespace(texts)
+        encoded = split.values.dictionary_encode()  # a word is looked up once, however often it comes
+        self.words, self.word = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+        self.seen: dict[int, str] = {}
+        kind, value, ends, listed = (column[self.word] for column in known.of(self.words))
+        text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         kept = np.flatnonzero(kind != _EMPTY)
-        kind, value, ends = kind[kept].copy(), value[kept], ends[kept]
-        after = np.concatenate([[True], ends[:-1]]) if len(kept) else ends
-        previous = np.concatenate([[_WORD], kind[:-1]]) if len(kept) else kind
+        kind, value, ends, listed, text = kind[kept], value[kept], ends[kept], listed[kept], text[kept]
+        first = np.concatenate([[True], text[1:] != text[:-1]])[: len(kept)]
+        after = first | _shifted(ends)
         may = (kind == _CAP) & after
         name = (kind == _CAP) & ~after
-        unit = (kind == _UNIT) & (previous == _NUM)
+        unit = (kind == _UNIT) & _shifted(kind == _NUM) & ~first
         leads = name | may if merged else name
-        joins = unit | (name & np.concatenate([[False], leads[:-1]])) if len(kept) else name
+        joins = unit | (name & _shifted(leads))
         if merged:
-            taken = may & np.concatenate([joins[1:], [False]]) if len(kept) else may
+            taken = may & np.concatenate([joins[1:], [False]])[: len(kept)]
             name, may = name | taken, may & ~taken
         kind[(kind == _CAP) & ~name] = _WORD
         kind[kind == _UNIT] = _WORD
@@ -165,63 +173,86 @@ class Template:
         self.stop = kept[np.concatenate([head[1:], [len(kept)]]) - 1] + 1 if len(head) else self.start
         self.kind = kind[head]
         self.open = may[head]
-        if item and len(head):
-            self.open[0] |= self.kind[0] == _WORD
+        self.text = text[head]
+        if item:
+            self.open |= first[head] & (self.kind == _WORD)
         self.shape = np.where(self.kind == _NUM, _SLOT[_NUM], np.where(self.kind == _CAP, _SLOT[_CAP], self.value))
+        listed = listed[head] | self.open | (self.kind != _WORD)
+        self._plain, self._opens, self._lost = (np.concatenate([[0], np.cumsum(x)]) for x in (self.kind == _WORD, self.open, ~listed))
+
+    def _whole(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Those of the windows at ``at`` that end in their text and hold listed tokens only."""
+        at = at[at + size <= len(self.kind)]
+        return at[(self._lost[at + size] == self._lost[at]) & (self.text[at + size - 1] == self.text[at])]
 
     def windows(self, size: int, grow: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """Position, reading, hash and length of every window of ``size`` tokens; of shapes where enough are plain words, else of values.
+        """Position, reading, hash and length of every window of ``size`` listed tokens; of shapes where enough are plain words, else of values.
 
         Bit ``j`` of a reading says that the ``j``-th open token of the window is a
         name. Where ``grow``, windows hashed by values come again as the shortest
         longer ones of enough plain words, by shapes.
         """
-        n = len(self.kind) - size + 1
-        if n < 1:
-            return
-        shapes, values = (_mixed([tokens[i : i + n] for i in range(size)], size) for tokens in (self.shape, self.value))
-        values ^= np.uint64(0xA5A5A5A5)
-        plain = np.concatenate([[0], np.cumsum(self.kind == _WORD)])
-        plain = plain[size:] - plain[:-size]
+        at = self._whole(np.arange(len(self.kind)), size)
+        plain = self._plain[at + size] - self._plain[at]
         enough = min(PLAIN, size)
-        yield np.arange(n), np.zeros(n, dtype=np.int64), np.where(plain >= enough, shapes, values), size
+        h = _mixed([self.shape[at + j] for j in range(size)], size)
+        h[plain < enough] = self._valued(at[plain < enough], size)
+        yield at, np.zeros(len(at), dtype=np.int64), h, size
         if grow:
-            yield from self._grown(np.flatnonzero(plain < enough), size)
-        if not self.open.any():
-            return
-        before = np.concatenate([[0], np.cumsum(self.open)])
-        more = (1 << (before[size:] - before[:-size])) - 1  # readings besides the first
+            yield from self._grown(at[plain < enough], size)
+        more = (1 << (self._opens[at + size] - self._opens[at])) - 1  # readings besides the first
+        at, plain, more = at[more > 0], plain[more > 0], more[more > 0]
         until = np.cumsum(more)
         first = 0
-        while first < n:
+        while first < len(at):
             done = until[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(until, done + READINGS, "right")))
             times = more[first:last]
-            at = np.repeat(np.arange(first, last), times)
-            if len(at):
-                reading = np.arange(len(at)) - np.repeat(until[first:last] - done - times, times) + 1
-                place = at[:, None] + np.arange(size)
-                named = self.open[place] & ((reading[:, None] >> (before[place] - before[at][:, None]) & 1) == 1)
-                shape = np.where(named, _SLOT[_CAP], self.shape[place])
-                yield at, reading, np.where(plain[at] - named.sum(axis=1) >= enough, _mixed(list(shape.T), size), values[at]), size
+            each = np.repeat(np.arange(first, last), times)
+            reading = np.arange(len(each)) - np.repeat(until[first:last] - done - times, times) + 1
+            place = at[each][:, None] + np.arange(size)
+            named = self._named(place, reading)
+            h = _mixed(list(np.where(named, _SLOT[_CAP], self.shape[place]).T), size)
+            few = plain[each] - named.sum(axis=1) < enough
+            h[few] = self._valued(at[each[few]], size)
+            yield at[each], reading, h, size
             first = last
 
+    def _valued(self, at: np.ndarray, size: int) -> np.ndarray:
+        return _mixed([self.value[at + j] for j in range(size)], size) ^ np.uint64(0xA5A5A5A5)
+
+    def _named(self, place: np.ndarray, reading: np.ndarray) -> np.ndarray:
+        """Which tokens of the windows, one a row, their readings take for names."""
+        return self.open[place] & ((reading[:, None] >> (self._opens[place] - self._opens[place[:, :1]]) & 1) == 1)
+
     def _grown(self, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """The windows at ``at``, each as long as PLAIN plain words take."""
-        plain = np.cumsum(self.kind == _WORD)
-        before = plain[at] - (self.kind[at] == _WORD)
-        length = np.searchsorted(plain, before + PLAIN) + 1 - at  # beyond the text where it has too few
+        length = np.searchsorted(self._plain[1:], self._plain[at] + PLAIN) + 1 - at  # beyond the text where it has too few
         for longer in range(size + 1, GROWN * size + 1):
-            own = at[(length == longer) & (at + longer <= len(self.kind))]
+            own = self._whole(at[length == longer], longer)
             if len(own):
                 yield own, np.zeros(len(own), dtype=np.int64), _mixed([self.shape[own + j] for j in range(longer)], longer), longer
 
-    def slots(self, at: int, size: int, reading: int = 0) -> list[str]:
-        """The values of the placeholders in a window."""
-        held = self.kind[at : at + size] != _WORD
-        held[[i for j, i in enumerate(np.flatnonzero(self.open[at : at + size]).tolist()) if reading >> j & 1]] = True
-        chosen = np.flatnonzero(held)
-        return [" ".join(_EDGES.sub("", w) for w in self.words[self.start[at + i] : self.stop[at + i]]).casefold() for i in chosen.tolist()]
+    def slots(self, at: np.ndarray, size: int, reading: np.ndarray) -> list[list[str]]:
+        """The values of the placeholders in each window."""
+        place = at[:, None] + np.arange(size)
+        held = (self.kind[place] != _WORD) | self._named(place, reading)
+        values = [self.seen.get(i) or self._said(i) for i in place[held].tolist()]
+        until = np.cumsum(held.sum(axis=1)).tolist()
+        return [values[i:j] for i, j in zip([0, *until], until)]
+
+    def _said(self, i: int) -> str:
+        said = self.seen[i] = " ".join(_EDGES.sub("", self.words[w]) for w in self.word[self.start[i] : self.stop[i]].tolist()).casefold()
+        return said
+
+
+def _shifted(marks: np.ndarray) -> np.ndarray:
+    """What holds for the one before."""
+    return np.concatenate([[False], marks[:-1]])[: len(marks)]
+
+
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _mixed(tokens: list[np.ndarray], size: int) -> np.ndarray:
@@ -233,39 +264,100 @@ def _mixed(tokens: list[np.ndarray], size: int) -> np.ndarray:
     return h
 
 
-def _windows(size: int, lengths: list[int] | None, bits: bytes | None):
-    """Rows ``id, n, size, at, h, slots``. Items: their own size, all windows in all readings. Documents: all sizes, those the filter lets pass."""
-    passes = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool) if bits is not None else None
+def _bits(slots: DataFrame, bits: int) -> bytes:
+    """The filter that has the ``slot`` of every row, at most ``bits`` values, set."""
+    found = np.zeros(bits, dtype=bool)
+    found[slots.distinct().toPandas()["slot"].to_numpy()] = True
+    return np.packbits(found).tobytes()
+
+
+def _set(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+
+
+def _asked(text: pa.Array, known: _Tokens) -> list[Template]:
+    """The readings of one item that are looked for: as it is and, where that makes a difference, with names at the start of sentences taken in."""
+    t, x = Template(text, known, True), Template(text, known, True, True)
+    return [y for y in (t, x) if len(y.kind) >= SHORTEST and (y is t or len(y.kind) < len(t.kind))]
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``slot``: where the tokens of items are in the filter of words."""
+    known = _Tokens()
+    for batch in batches:
+        found = [x.value for i in range(batch.num_rows) for x in _asked(batch.column(1).slice(i, 1), known)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(np.concatenate(found), WORD_BITS)), pa.int32())], ["slot"])
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about CHUNK bytes of text, and of whole texts."""
+    part = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64) // CHUNK
+    ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(i, j - i) for i, j in zip(ends, ends[1:]) if j > i)
+
+
+def _item_windows(size: int):
+    """Rows ``id, n, size, at, h, slots``: windows of items, each of its own size, in all readings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Tokens()
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (text.as_py() or "").split()
-                t = Template(words, known, item=lengths is None)
-                n = len(t.kind)
-                if lengths is not None:
-                    asked = [(t, length) for length in lengths]
-                else:
-                    asked = [(x, min(size, len(x.kind))) for x in (t, Template(words, known, True, True)) if len(x.kind) >= SHORTEST and (x is t or len(x.kind) < n)]
-                for x, length in asked:
+            rows = _Rows()
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                asked = _asked(batch.column(1).slice(i, 1), known)
+                for x in asked:
+                    length = min(size, len(x.kind))
+                    n = max(1, len(asked[0].kind) - size + 1)
                     for at, reading, h, wide in x.windows(length, length == size):
-                        hit = np.arange(len(h)) if passes is None else np.flatnonzero(passes[(h & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
-                        if len(hit):
-                            at, reading = at[hit], reading[hit]
-                            out[0] += [key] * len(hit)
-                            out[1] += [max(1, n - (length if lengths is not None else size) + 1)] * len(hit)
-                            out[2] += [length] * len(hit)
-                            out[3] += (at if x is t else np.searchsorted(t.start, x.start[at])).tolist()  # in tokens of ``t``
-                            out[4] += h[hit].view(np.int64).tolist()
-                            out[5] += [x.slots(i, wide, r) for i, r in zip(at.tolist(), reading.tolist())]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["id", "n", "size", "at", "h", "slots"])
+                        place = np.searchsorted(asked[0].start, x.start[at])  # in tokens of the item as it is
+                        rows.add(np.full(len(at), key), np.full(len(at), n), length, place, h, x.slots(at, wide, reading))
+            yield rows.batch()
 
     return run
 
 
+def _document_windows(size: int, lengths: list[int], bits: bytes, words: bytes):
+    """Rows ``id, n, size, at, h, slots``: windows of documents, of all sizes, those the filters let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes, known = _set(bits), _Tokens(_set(words))
+        for batch in batches:
+            for chunk in _chunks(batch):
+                rows = _Rows()
+                keys = chunk.column(0).to_numpy()
+                t = Template(chunk.column(1), known)
+                n = np.bincount(t.text, minlength=len(keys))
+                first = np.cumsum(n) - n
+                for length in lengths:
+                    for at, reading, h, wide in t.windows(length, length == size):
+                        hit = np.flatnonzero(passes[_slot(h, FILTER_BITS)])
+                        at, reading = at[hit], reading[hit]
+                        text = t.text[at]
+                        rows.add(keys[text], np.maximum(1, n[text] - length + 1), length, at - first[text], h[hit], t.slots(at, wide, reading))
+                yield rows.batch()
+
+    return run
+
+
+class _Rows:
+    """Windows, gathered for a batch."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.slots: list[list[str]] = []
+
+    def add(self, key: np.ndarray, n: np.ndarray, size: int, at: np.ndarray, h: np.ndarray, slots: list[list[str]]) -> None:
+        if len(at):
+            self.parts.append((key, n, np.full(len(at), size), at, h.view(np.int64)))
+            self.slots += slots
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        columns = [np.concatenate(x) for x in zip(*self.parts)] or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), pa.array(self.slots, pa.list_(pa.string()))], ["id", "n", "size", "at", "h", "slots"])
+
+
 _ROWS = "id bigint, n int, size int, at int, h bigint, slots array<string>"
 
 
@@ -279,15 +371,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     once; empty tables give no rows; other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    items = written(items.mapInArrow(_windows(window, None, None), _ROWS), "items")
+    words = _bits(items.mapInArrow(_listed, "slot int"), WORD_BITS)
+    items = written(items.mapInArrow(_item_windows(window), _ROWS), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("slot")
-    found = items.select(slot).distinct().toPandas()["slot"].to_numpy()  # at most FILTER_BITS values
-    bits[found] = True
+    bits = _bits(items.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("slot")), FILTER_BITS)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    windows = written(rows.mapInArrow(_windows(window, sizes, np.packbits(bits).tobytes()), _ROWS), "windows")
+    windows = written(rows.mapInArrow(_document_windows(window, sizes, bits, words), _ROWS), "windows")
     asked = items.select(F.col("id").alias("item_id"), F.col("n").alias("n_windows"), "size", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     met = windows.select(F.col("id").alias("doc_id"), "size", "at", "h", "slots").join(asked, ["h", "size"]).where(F.size("slots") == F.size("item_slots"))
     pair = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -241,6 +242,43 @@ def test_leaks_of_excerpts_and_numbers(spark):
     assert {k: v.same_values for k, v in held(spark, rows, items).items()} == {(1, 1): True, (3, 2): True, (4, 2): False, (5, 2): True}
 
 
+def test_leaks_only_over_words_of_items(monkeypatch):
+    """Words are looked up once for many documents, and windows over a word that no item has are not hashed."""
+    passage = "each of the old boats was painted by hand in the spring"
+    texts = [f"{passage} z{i} " + " ".join(f"x{i}y{j}" for j in range(200)) for i in range(50)]
+    word, window = np.zeros(decontamination.WORD_BITS, dtype=bool), np.ones(decontamination.FILTER_BITS, dtype=bool)
+    for rows in decontamination._listed([pa.RecordBatch.from_pydict({"id": [1], "text": [passage]})]):
+        word[rows.column(0).to_numpy()] = True
+    assert 0 < word.sum() <= len(passage.split())
+    hashed, asked, mixed, of = [], [], decontamination._mixed, decontamination._Tokens.of
+    monkeypatch.setattr(decontamination, "_mixed", lambda tokens, size: hashed.append(len(tokens[0])) or mixed(tokens, size))
+    monkeypatch.setattr(decontamination._Tokens, "of", lambda self, words: asked.append(len(words)) or of(self, words))
+    run = decontamination._document_windows(8, [8], *(np.packbits(x).tobytes() for x in (window, word)))
+    (found,) = run([pa.RecordBatch.from_pydict({"id": list(range(50)), "text": texts})])
+    windows = len(passage.split()) - 8 + 1
+    assert found.column("id").to_pylist() == [i for i in range(50) for _ in range(windows)] and found.column("at").to_pylist() == list(range(windows)) * 50
+    assert sum(hashed) <= 50 * (windows + 3) and asked == [len({w for t in texts for w in t.split()})]
+
+
+def test_leaks_of_texts_side_by_side(spark, monkeypatch):
+    """Texts that are looked at together stay apart, whether they share a chunk or not."""
+    half = len(QUESTION) // 2 + QUESTION[len(QUESTION) // 2 :].index(" ")
+    texts = [QUESTION, QUESTION[:half], QUESTION[half:], "", "  ", "x", "at 60", "km " + QUESTION, QUESTION[half:], QUESTION[:half], "ends with Alice", "Bob " + QUESTION]
+    ids = [pa.array(range(len(texts)), pa.int64()), pa.array(texts)]
+    items = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([QUESTION])], ["id", "text"])
+    full = [np.packbits(np.ones(n, dtype=bool)).tobytes() for n in (decontamination.FILTER_BITS, decontamination.WORD_BITS)]
+    want = {h for x in decontamination._item_windows(8)([items]) for h in x.column("h").to_pylist()}
+
+    def rows(run, batches):
+        return sorted((i, at, h, tuple(slots)) for x in run(batches) for i, at, h, slots in zip(*(x.column(c).to_pylist() for c in ("id", "at", "h", "slots"))) if h in want)
+
+    alone = rows(decontamination._document_windows(8, [8], *full), [pa.RecordBatch.from_arrays([x.slice(i, 1) for x in ids], ["id", "text"]) for i in range(len(texts))])
+    for size in (1, 150, 1 << 22):
+        monkeypatch.setattr(decontamination, "CHUNK", size)
+        assert rows(decontamination._document_windows(8, [8], *full), [pa.RecordBatch.from_arrays(ids, ["id", "text"])]) == alone
+    assert set(held(spark, list(enumerate(texts)), [(1, QUESTION)])) == {(0, 1), (7, 1), (11, 1)}
+
+
 def test_leaks_of_nothing(spark):
     assert not held(spark, [(1, QUESTION)], [(None, None)]) and not held(spark, [(None, None)])
     none = spark.createDataFrame([], SCHEMA)
