@@ -120,7 +120,7 @@ def test_large_forests_are_whole(spark, monkeypatch, kind, task):
     small = of_kind(kind, df, names, task, 8)
     monkeypatch.setattr(forests, "MAX_NODES", 50)
     monkeypatch.setattr(subtrees, "CHUNK_ROWS", 300)
-    monkeypatch.setattr(subtrees, "PASS_ROWS", 1000)
+    monkeypatch.setattr(splits, "DEALT_NUMBERS", 10_000)
     large = of_kind(kind, df, names, task, 8)
     assert small.subtrees is None and len(large.forest.feature) <= 50 and large.subtrees.count() > 200
     nodes = len(large.forest.feature) - large.subtrees.select("node").distinct().count() + large.subtrees.count()
@@ -155,6 +155,26 @@ def test_subtrees_are_grafted_where_they_fit(spark, monkeypatch):
         assert np.mean([found[f"r{i:04d}"] == t for i, t in enumerate(y)]) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["extra", "bagged"])
+@pytest.mark.parametrize("task", [training.CLASSIFICATION, training.REGRESSION])
+def test_passes_grow_as_tasks_do(spark, monkeypatch, kind, task):
+    x, y = table_of(6)
+    y = y if task == training.CLASSIFICATION else x[:, 0] * 3 + x[:, 1]
+    names, df = frame(spark, x, y)
+    tasks = of_kind(kind, df, names, task, 8)
+    monkeypatch.setattr(splits, "FINISHED_ROWS", 0)  # nothing is left to tasks
+    monkeypatch.setattr(forests, "FEW_VALUES", 32)
+    monkeypatch.setattr(subtrees, "finish", None)
+    passes = of_kind(kind, df, names, task, 8)
+    assert 0.7 * len(tasks.forest.feature) < len(passes.forest.feature) < 1.4 * len(tasks.forest.feature)
+    for model in (tasks, passes):
+        got = model.scores(x)
+        if task == training.CLASSIFICATION:
+            assert (got.argmax(axis=1) == y).mean() > (0.999 if kind == "extra" else 0.95)
+        else:
+            assert np.abs(got[:, 0] - y).max() < 1e-6 if kind == "extra" else np.abs(got[:, 0] - y).mean() < 0.5
+
+
 def test_kept_large_forest_predicts_alike(spark, monkeypatch):
     monkeypatch.setattr(models, "TREES", 4)
     monkeypatch.setattr(forests, "MAX_NODES", 40)
